@@ -214,19 +214,20 @@ def parse_timestamp_value(col: Column | str) -> Column:
     A layout is picked by searching its pattern anywhere in the value; then
     the *whole* value must parse. An ISO or epoch value that fails lets the
     search go on; a month-name layout that fails ends it with NULL.
+
+    All ISO layouts share one whole-value ISO parse and come first, so they
+    collapse into one branch guarded by the part every ISO pattern starts
+    with (day, blank or T, seconds).
     """
     v = F.col(col) if isinstance(col, str) else col
-    out = None
+    iso = _iso_whole(v)
+    out = F.when(v.rlike(_ISO_DAY + r"[ T]\d{2}:\d{2}:\d{2}") & iso.isNotNull(), iso)
     for lay in TIMESTAMP_LAYOUTS:
-        anchored = v.rlike("^(?:" + lay.regex + ")$")
         if lay.kind == "iso":
-            val = _iso_whole(v)
-            cond = v.rlike(lay.regex) & val.isNotNull()
-        elif lay.kind == "strptime":
-            val = F.when(anchored, lay.parse(v))
-            cond = v.rlike(lay.regex)
-        else:
-            val = F.when(anchored, lay.parse(v))
-            cond = v.rlike(lay.regex) & val.isNotNull()
-        out = F.when(cond, val) if out is None else out.when(cond, val)
+            continue
+        val = F.when(v.rlike("^(?:" + lay.regex + ")$"), lay.parse(v))
+        cond = v.rlike(lay.regex)
+        if lay.kind == "epoch":
+            cond = cond & val.isNotNull()
+        out = out.when(cond, val)
     return out

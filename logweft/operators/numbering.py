@@ -10,6 +10,10 @@ every row into one task. Instead:
   partitions. That table has at most ``partitions + groups`` rows; it is
   broadcast only when that bound is known to be small, otherwise the join is
   left to the planner (AQE sees its real size at run time).
+  The range-partitioned rows are written once with ``checkpoint()`` (to the
+  cluster's ``spark.checkpoint.dir``) before they are counted and numbered:
+  two separately planned range shuffles may sample different bounds, and the
+  written copy also spares a recomputation when an executor is lost.
 * :func:`number_lines` numbers the lines of text files the same way, but
   needs no shuffle at all: a file split is read in order by one task, so a
   line's number is the count of lines in earlier splits of the file plus
@@ -25,6 +29,8 @@ from typing import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from logweft.session import shared_dir
+
 # Largest helper table we broadcast without measuring it (rows).
 BROADCAST_ROW_LIMIT = 1_000_000
 
@@ -49,9 +55,11 @@ def rank_within(df: DataFrame, order_cols: Sequence[str | Column], group_cols: S
     """0-based position of each row in ``order_cols`` order inside its group.
 
     Ties in ``order_cols`` get distinct, arbitrary-but-consistent positions;
-    pass a unique key for a fully determined result.
+    pass a unique key for a fully determined result. Runs one job at call
+    time (the checkpoint of the range-partitioned rows).
     """
     spark = df.sparkSession
+    shared_dir(spark, "rank")  # makes sure a checkpoint folder is set
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     groups = list(group_cols)
     keys = [*[F.col(g) for g in groups],
@@ -59,7 +67,8 @@ def rank_within(df: DataFrame, order_cols: Sequence[str | Column], group_cols: S
     ranged = (df.repartitionByRange(n, *keys)
                 .sortWithinPartitions(*keys)
                 .withColumn("__pid", F.spark_partition_id())
-                .withColumn("__local", _local_position()))
+                .withColumn("__local", _local_position())
+                .checkpoint(eager=True))
     counts = ranged.groupBy(*groups, "__pid").agg(F.count(F.lit(1)).alias("__n"),
                                                   F.min("__local").alias("__first"))
     before = Window.partitionBy(*groups).orderBy("__pid") \

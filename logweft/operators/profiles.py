@@ -1,0 +1,29 @@
+"""Whole-table profiles of a log: layouts, formats, JSON keys, entities."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, functions as F
+
+from logweft.functions.entities import entity_counts, top_entities
+from logweft.functions.formats import (access_log_summary, format_profile, http_method_counts,
+                                       json_key_profile, status_class_counts)
+from logweft.functions.lines import line_stats
+
+__all__ = ["timestamp_profile", "access_log_summary", "format_profile", "http_method_counts",
+           "json_key_profile", "status_class_counts", "entity_counts", "top_entities",
+           "line_stats"]
+
+
+def timestamp_profile(df: DataFrame, by: tuple[str, ...] = ("file",)) -> DataFrame:
+    """Lines per file and timestamp layout (NULL layout = untimed), with the
+    first and last time and the share of the file's lines.
+
+    The layouts a file uses can be fed back to ``extract_timestamp(...,
+    layouts=...)`` to skip the others.
+    """
+    per = (df.groupBy(*by, "ts_layout")
+             .agg(F.count(F.lit(1)).alias("lines"),
+                  F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts")))
+    from pyspark.sql import Window
+    w = Window.partitionBy(*by)
+    return per.withColumn("share", F.col("lines") / F.sum("lines").over(w))

@@ -1,9 +1,12 @@
 """Named queries over the driver's tables, each with its DuckDB oracle.
 
 Every query renders log text from a driver table (``events``,
-``documents``), runs the library's operators on the *text*, and returns a
-small result. The oracle SQL never parses text: it reads the original
-columns, so it checks the operators independently.
+``documents``, ``conversations``), runs the library's operators on the
+*text*, and returns the result over the whole table. The oracle SQL never
+parses the text: it reads the original columns, so it checks the operators
+independently. Queries whose rule needs regex features DuckDB lacks
+(look-behind) have no oracle and are checked against a brute-force Python
+model in the tests instead.
 """
 
 from __future__ import annotations
@@ -13,9 +16,11 @@ from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from logweft.functions import entities, formats, lines as linefns, timestamps
+from logweft.operators import merge, navigate, profiles, search
 from logweft.session import configure
 from logweft.sources import render
-from logweft.functions import formats
+from logweft.sources.tables import with_file_order
 
 
 @dataclass(frozen=True)
@@ -34,6 +39,8 @@ def query(name: str, oracle: str | None):
         def build(spark: SparkSession, sf_dir: str) -> DataFrame:
             configure(spark)
             return fn(spark, sf_dir)
+        build.__name__ = f"build_{name}"
+        build.__doc__ = fn.__doc__
         REGISTRY[name] = Query(name, build, oracle, (fn.__doc__ or "").strip())
         return fn
     return wrap
@@ -45,11 +52,54 @@ def ntz(col: str) -> F.Column:
 
 
 # ---------------------------------------------------------------- oracle SQL
-# Shared SQL fragments: the true values behind the rendered access log.
+# The true values behind each rendered log, computed from the columns.
 _STATUS_SQL = ("CASE event_type WHEN 'click' THEN 200 WHEN 'signup' THEN 201 "
                "WHEN 'purchase' THEN 302 WHEN 'view' THEN 304 WHEN 'error' THEN 500 ELSE 0 END")
+_METHOD_SQL = "CASE WHEN event_type IN ('signup', 'purchase') THEN 'POST' ELSE 'GET' END"
 
+_ACCESS = """access AS (
+  SELECT 'access.log.' || CAST(user_id % 4 AS VARCHAR) AS file,
+         CAST(row_number() OVER (PARTITION BY user_id % 4 ORDER BY event_id) - 1 AS BIGINT) AS line_no,
+         *
+  FROM events)"""
 
+_APP = """body AS (
+  SELECT 'app.log.' || CAST(user_id % 4 AS VARCHAR) AS file, CAST(user_id % 4 AS INTEGER) AS file_order,
+         CAST(row_number() OVER (PARTITION BY user_id % 4 ORDER BY event_id) + 2 AS BIGINT) AS line_no,
+         date_trunc('millisecond', ts) AS ts, event_type
+  FROM events),
+hdr AS (
+  SELECT f.file, f.file_order, CAST(r.h AS BIGINT) AS line_no, CAST(NULL AS TIMESTAMP) AS ts,
+         CAST(NULL AS VARCHAR) AS event_type
+  FROM (SELECT DISTINCT file, file_order FROM body) f, range(3) r(h)),
+app AS (SELECT * FROM body UNION ALL SELECT * FROM hdr),
+keyed AS (
+  SELECT a.*, COALESCE(epoch_us(a.ts),
+                       (SELECT epoch_us(b.ts) FROM body b WHERE b.file = a.file AND b.line_no = 3)) AS ts_key
+  FROM app a)"""
+
+_DOCLINES = """parts AS (
+  SELECT CAST(doc_id AS VARCHAR) AS file,
+         string_split(regexp_replace(text, '\\n$', ''), chr(10)) AS p
+  FROM documents WHERE text <> ''),
+doclines AS (
+  SELECT file, CAST(i AS BIGINT) AS line_no, p[i + 1] AS raw, p[i + 1] AS line
+  FROM (SELECT file, p, unnest(range(len(p))) AS i FROM parts))"""
+
+
+def _access(spark, sf_dir):
+    return formats.parse_access_log(render.access_log(spark, sf_dir))
+
+
+def _app(spark, sf_dir):
+    return timestamps.extract_timestamp(render.app_log(spark, sf_dir))
+
+
+def _docs(spark, sf_dir):
+    return render.document_log(spark, sf_dir)
+
+
+# ------------------------------------------------------------ formats (F)
 @query("status_class_counts", f"""
 SELECT CASE WHEN substr(CAST(s AS VARCHAR), 1, 1) IN ('1','2','3','4','5')
             THEN substr(CAST(s AS VARCHAR), 1, 1) || 'xx' ELSE 'other' END AS status_class,
@@ -57,7 +107,564 @@ SELECT CASE WHEN substr(CAST(s AS VARCHAR), 1, 1) IN ('1','2','3','4','5')
 FROM (SELECT {_STATUS_SQL} AS s FROM events) t
 GROUP BY 1
 """)
-def q_status_class_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def q_status_class_counts(spark, sf_dir):
     """Access log rendered from ``events`` -> classify -> parse -> requests per status class."""
-    log = render.access_log(spark, sf_dir)
-    return formats.status_class_counts(formats.parse_access_log(log))
+    return formats.status_class_counts(_access(spark, sf_dir))
+
+
+@query("parse_access_log", f"""
+WITH {_ACCESS}
+SELECT file, line_no, 'common' AS format,
+       '10.0.' || CAST(user_id % 256 AS VARCHAR) || '.' || CAST(event_id % 256 AS VARCHAR) AS ip,
+       '-' AS remote_log_name, '-' AS userid, {_METHOD_SQL} AS request_method,
+       '/' || event_type || '/' || CAST(event_id AS VARCHAR) AS path,
+       ' HTTP/1.1' AS request_version, CAST({_STATUS_SQL} AS INTEGER) AS status,
+       CAST(floor(abs(value)) AS BIGINT) AS length,
+       '-" "agent/' || CAST(user_id AS VARCHAR) AS referrer,
+       '-' AS referrer_clean, 'agent/' || CAST(user_id AS VARCHAR) AS user_agent_clean,
+       date_trunc('second', ts) AS access_ts
+FROM access
+""")
+def q_parse_access_log(spark, sf_dir):
+    """Common access log: every field of every line, typed, with its time."""
+    df = _access(spark, sf_dir)
+    return df.select("file", "line_no", "format", "ip", "remote_log_name", "userid",
+                     "request_method", "path", "request_version", "status", "length",
+                     "referrer", "referrer_clean", "user_agent_clean", ntz("access_ts"))
+
+
+@query("parse_access_log_combined", f"""
+SELECT 'combined.log.' || CAST(user_id % 4 AS VARCHAR) AS file,
+       CAST(row_number() OVER (PARTITION BY user_id % 4 ORDER BY event_id) - 1 AS BIGINT) AS line_no,
+       'combined' AS format,
+       '10.0.' || CAST(user_id % 256 AS VARCHAR) || '.' || CAST(event_id % 256 AS VARCHAR) AS ip,
+       strftime(ts, '%d/%b/%Y:%H:%M:%S') AS date, '+0000' AS timezone,
+       {_METHOD_SQL} AS request_method, CAST({_STATUS_SQL} AS INTEGER) AS status,
+       CAST(floor(abs(value)) AS BIGINT) AS length, '-' AS referrer,
+       'agent/' || CAST(user_id AS VARCHAR) AS user_agent, 's' || CAST(user_id AS VARCHAR) AS session_id,
+       CAST(event_id AS BIGINT) AS generation_time_micro,
+       'host' || CAST(user_id % 3 AS VARCHAR) || '.example.com' AS virtual_host,
+       CAST(NULL AS TIMESTAMP) AS access_ts
+FROM events
+""")
+def q_parse_access_log_combined(spark, sf_dir):
+    """Combined access log: user agent, session, generation time, virtual host;
+    its date loses the zone, so its time stays NULL."""
+    df = formats.parse_access_log(render.access_log(spark, sf_dir, combined=True))
+    return df.select("file", "line_no", "format", "ip", "date", "timezone", "request_method",
+                     "status", "length", "referrer", "user_agent", "session_id",
+                     "generation_time_micro", "virtual_host", ntz("access_ts"))
+
+
+@query("http_method_counts", f"""
+SELECT {_METHOD_SQL} AS method, count(*) AS occurrences FROM events GROUP BY 1
+""")
+def q_http_method_counts(spark, sf_dir):
+    """Request-method words over every line of the access log."""
+    return formats.http_method_counts(render.access_log(spark, sf_dir))
+
+
+@query("access_log_summary", f"""
+SELECT CAST({_STATUS_SQL} AS INTEGER) AS status, {_METHOD_SQL} AS request_method,
+       count(*) AS requests, sum(CAST(floor(abs(value)) AS BIGINT)) AS bytes,
+       min(date_trunc('second', ts)) AS first_ts, max(date_trunc('second', ts)) AS last_ts
+FROM events GROUP BY 1, 2
+""")
+def q_access_log_summary(spark, sf_dir):
+    """Traffic table: requests, bytes, first / last time per status and method."""
+    out = profiles.access_log_summary(_access(spark, sf_dir), by=("status", "request_method"))
+    return out.select("status", "request_method", "requests", "bytes",
+                      ntz("first_ts"), ntz("last_ts"))
+
+
+def _mixed(spark, sf_dir):
+    parts = [render.access_log(spark, sf_dir), render.access_log(spark, sf_dir, combined=True),
+             render.jsonl_log(spark, sf_dir), render.app_log(spark, sf_dir)]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+@query("format_profile", """
+WITH files AS (
+  SELECT user_id % 4 AS k, count(*) AS n FROM events GROUP BY 1)
+SELECT 'access.log.' || CAST(k AS VARCHAR) AS file, 'common' AS format, n AS lines FROM files
+UNION ALL SELECT 'combined.log.' || CAST(k AS VARCHAR), 'combined', n FROM files
+UNION ALL SELECT 'events.jsonl.' || CAST(k AS VARCHAR), 'json', n FROM files
+UNION ALL SELECT 'app.log.' || CAST(k AS VARCHAR), 'default', n + 3 FROM files
+""")
+def q_format_profile(spark, sf_dir):
+    """Four differently formatted logs in one table: lines per file and detected format."""
+    return profiles.format_profile(formats.classify_lines(_mixed(spark, sf_dir)))
+
+
+@query("parse_json_lines", """
+SELECT event_type AS level, count(*) AS lines,
+       sum(CAST(json_extract(props, '$.k') AS BIGINT)) AS sum_k,
+       min(date_trunc('millisecond', ts)) AS first_ts
+FROM events GROUP BY 1
+""")
+def q_parse_json_lines(spark, sf_dir):
+    """JSONL rendered from ``events``: strict JSON check, VARIANT fields, grouped."""
+    df = formats.parse_json_lines(render.jsonl_log(spark, sf_dir))
+    df = df.select(F.variant_get("json", "$.level", "string").alias("level"),
+                   F.variant_get("json", "$.props.k", "bigint").alias("k"),
+                   F.to_timestamp(F.variant_get("json", "$.ts", "string")).alias("ts"))
+    return (df.groupBy("level").agg(F.count(F.lit(1)).alias("lines"), F.sum("k").alias("sum_k"),
+                                    F.min("ts").alias("first_ts"))
+              .select("level", "lines", "sum_k", ntz("first_ts")))
+
+
+@query("json_key_profile", """
+SELECT key, value_type, count(*) AS lines FROM (
+  SELECT 'ts' AS key, 'STRING' AS value_type FROM events
+  UNION ALL SELECT 'level', 'STRING' FROM events
+  UNION ALL SELECT 'props', 'OBJECT<k: BIGINT>' FROM events) t
+GROUP BY 1, 2
+""")
+def q_json_key_profile(spark, sf_dir):
+    """Top-level keys of the JSON lines, with value type and count."""
+    return profiles.json_key_profile(formats.parse_json_lines(render.jsonl_log(spark, sf_dir)))
+
+
+@query("pretty_json", """
+SELECT 'events.jsonl.' || CAST(user_id % 4 AS VARCHAR) AS file,
+       CAST(row_number() OVER (PARTITION BY user_id % 4 ORDER BY event_id) - 1 AS BIGINT) AS line_no,
+       '{' || chr(10) || '  "ts": "' || strftime(ts, '%Y-%m-%d %H:%M:%S.%g') || '",' || chr(10)
+       || '  "level": "' || event_type || '",' || chr(10)
+       || '  "props": {' || chr(10) || '    "k": ' || CAST(CAST(json_extract(props, '$.k') AS BIGINT) AS VARCHAR)
+       || chr(10) || '  }' || chr(10) || '}' AS pretty
+FROM events
+""")
+def q_pretty_json(spark, sf_dir):
+    """JSON lines printed with a 2-space indent (Arrow-batched pandas UDF)."""
+    df = linefns.pretty_json(render.jsonl_log(spark, sf_dir))
+    return df.select("file", "line_no", "pretty")
+
+
+# ------------------------------------------------------------ timestamps (T)
+@query("extract_timestamp", f"""
+WITH {_APP}
+SELECT file, line_no, ts, CASE WHEN ts IS NULL THEN NULL ELSE 'iso_comma_ms' END AS ts_layout
+FROM app
+""")
+def q_extract_timestamp(spark, sf_dir):
+    """Event time and layout of every line of an application log with headers."""
+    return _app(spark, sf_dir).select("file", "line_no", ntz("ts"), "ts_layout")
+
+
+@query("extract_timestamp_access", """
+SELECT 'access.log.' || CAST(user_id % 4 AS VARCHAR) AS file,
+       CAST(row_number() OVER (PARTITION BY user_id % 4 ORDER BY event_id) - 1 AS BIGINT) AS line_no,
+       date_trunc('second', ts) AS ts, 'clf' AS ts_layout
+FROM events
+""")
+def q_extract_timestamp_access(spark, sf_dir):
+    """Event time found in free text of access-log lines (zoned bracket date)."""
+    df = timestamps.extract_timestamp(render.access_log(spark, sf_dir))
+    return df.select("file", "line_no", ntz("ts"), "ts_layout")
+
+
+@query("timestamp_profile", f"""
+WITH {_APP}
+SELECT file, CASE WHEN ts IS NULL THEN NULL ELSE 'iso_comma_ms' END AS ts_layout,
+       count(*) AS lines, min(ts) AS first_ts, max(ts) AS last_ts
+FROM app GROUP BY 1, 2
+""")
+def q_timestamp_profile(spark, sf_dir):
+    """Lines per file and layout, first and last time."""
+    out = profiles.timestamp_profile(_app(spark, sf_dir))
+    return out.select("file", "ts_layout", "lines", ntz("first_ts"), ntz("last_ts"))
+
+
+@query("scan_timestamps", f"""
+WITH {_APP}
+SELECT file, line_no, COALESCE(epoch_us(ts), 0) AS epoch_us FROM app
+""")
+def q_scan_timestamps(spark, sf_dir):
+    """Per line (file, line_no, epoch); untimed lines give 0."""
+    df = _app(spark, sf_dir)
+    return df.select("file", "line_no", merge.ts_key_col().alias("epoch_us"))
+
+
+@query("lines_over_time", f"""
+WITH {_APP}
+SELECT file, date_trunc('hour', ts) AS period, count(*) AS lines
+FROM app WHERE ts IS NOT NULL GROUP BY 1, 2
+""")
+def q_lines_over_time(spark, sf_dir):
+    """Timed lines per hour and file."""
+    return navigate.lines_over_time(_app(spark, sf_dir), "h").select("file", ntz("period"), "lines")
+
+
+# ------------------------------------------------------------ merge (M)
+@query("backfill_header", f"""
+WITH {_APP}
+SELECT file, line_no, ts_key FROM keyed
+""")
+def q_backfill_header(spark, sf_dir):
+    """Merge time of every line: header lines take the first time of their file."""
+    return merge.backfill_header(_app(spark, sf_dir)).select("file", "line_no", "ts_key")
+
+
+@query("merged_positions", f"""
+WITH {_APP}
+SELECT file, line_no,
+       CAST(row_number() OVER (ORDER BY ts_key, line_no, file_order) - 1 AS BIGINT) AS merged_no
+FROM keyed
+""")
+def q_merged_positions(spark, sf_dir):
+    """Four application logs merged by time: position of every line in the merged log."""
+    df = merge.merged_positions(_app(spark, sf_dir), timed=True)
+    return df.select("file", "line_no", "merged_no")
+
+
+@query("merge_logs", f"""
+WITH {_APP}
+SELECT file_order, count(*) AS lines, min(ts_key) AS first_key, max(ts_key) AS last_key
+FROM keyed GROUP BY 1
+""")
+def q_merge_logs(spark, sf_dir):
+    """The merged log (globally sorted), summarised per source file."""
+    df = merge.merge_logs(_app(spark, sf_dir), timed=True)
+    return df.groupBy("file_order").agg(F.count(F.lit(1)).alias("lines"),
+                                        F.min("ts_key").alias("first_key"),
+                                        F.max("ts_key").alias("last_key"))
+
+
+@query("find_next_merged", f"""
+WITH {_APP},
+merged AS (
+  SELECT file, line_no, event_type,
+         row_number() OVER (ORDER BY ts_key, line_no, file_order) - 1 AS merged_no
+  FROM keyed)
+SELECT file, line_no, CAST(merged_no AS BIGINT) AS merged_no FROM merged
+WHERE event_type = 'error' AND merged_no > (SELECT count(*) FROM merged) // 2
+ORDER BY merged_no LIMIT 1
+""")
+def q_find_next_merged(spark, sf_dir):
+    """Next line holding 'error' after the middle of the merged log (top-1)."""
+    df = merge.merged_positions(_app(spark, sf_dir), timed=True)
+    half = df.count() // 2
+    hit = search.find_next(df, "error", after=half, case_sensitive=True, position="merged_no")
+    return hit.select("file", "line_no", "merged_no")
+
+
+@query("find_previous_merged", f"""
+WITH {_APP},
+merged AS (
+  SELECT file, line_no, event_type,
+         row_number() OVER (ORDER BY ts_key, line_no, file_order) - 1 AS merged_no
+  FROM keyed)
+SELECT file, line_no, CAST(merged_no AS BIGINT) AS merged_no FROM merged
+WHERE event_type = 'signup' AND merged_no < (SELECT count(*) FROM merged) // 2
+ORDER BY merged_no DESC LIMIT 1
+""")
+def q_find_previous_merged(spark, sf_dir):
+    """Previous line holding 'signup' before the middle of the merged log (top-1)."""
+    df = merge.merged_positions(_app(spark, sf_dir), timed=True)
+    half = df.count() // 2
+    hit = search.find_previous(df, "signup", before=half, case_sensitive=True,
+                               position="merged_no")
+    return hit.select("file", "line_no", "merged_no")
+
+
+@query("file_order", """
+SELECT DISTINCT 'app.log.' || CAST(user_id % 4 AS VARCHAR) AS file,
+       CAST(user_id % 4 AS INTEGER) AS file_order FROM events
+""")
+def q_file_order(spark, sf_dir):
+    """Natural name order of the files of a log table."""
+    return render.app_log(spark, sf_dir).select("file", "file_order").distinct()
+
+
+@query("file_order_documents", """
+SELECT CAST(doc_id AS VARCHAR) AS file,
+       CAST(dense_rank() OVER (ORDER BY doc_id) - 1 AS INTEGER) AS file_order
+FROM documents WHERE text <> ''
+""")
+def q_file_order_documents(spark, sf_dir):
+    """Natural order of numeric names: compared as numbers, not as text."""
+    docs = with_file_order(_docs(spark, sf_dir))
+    return docs.select("file", "file_order").distinct()
+
+
+# ------------------------------------------------------------ navigation (N)
+@query("line_facts", f"""
+WITH {_APP}
+SELECT file, file AS file_name, ts, line_no + 1 AS line_number FROM app
+""")
+def q_line_facts(spark, sf_dir):
+    """File name, time and 1-based number of every line."""
+    return navigate.line_facts(_app(spark, sf_dir)).select(
+        "file", "file_name", ntz("ts"), "line_number")
+
+
+@query("time_jump_forward", f"""
+WITH {_APP},
+base AS (
+  SELECT file, min(line_no) AS base_line FROM app
+  WHERE ts IS NOT NULL AND line_no BETWEEN 0 AND 10 GROUP BY 1),
+tgt AS (
+  SELECT b.file, b.base_line, a.ts + INTERVAL 1 HOUR AS target_ts
+  FROM base b JOIN app a ON a.file = b.file AND a.line_no = b.base_line),
+hit AS (
+  SELECT t.file, min(a.line_no) AS hit FROM tgt t JOIN app a ON a.file = t.file
+  WHERE a.line_no > t.base_line AND a.ts >= t.target_ts GROUP BY 1),
+last AS (SELECT file, max(line_no) AS last FROM app GROUP BY 1)
+SELECT t.file, t.base_line, t.target_ts, COALESCE(h.hit, l.last) AS line_no
+FROM tgt t JOIN last l ON l.file = t.file LEFT JOIN hit h ON h.file = t.file
+""")
+def q_time_jump_forward(spark, sf_dir):
+    """From line 0 of every file, jump one hour forward."""
+    out = navigate.time_jump(_app(spark, sf_dir), 0, 1, "h")
+    return out.select("file", "base_line", ntz("target_ts"), "line_no")
+
+
+@query("time_jump_backward", f"""
+WITH {_APP},
+base AS (
+  SELECT file, min(line_no) AS base_line FROM app
+  WHERE ts IS NOT NULL AND line_no BETWEEN 500 AND 510 GROUP BY 1),
+tgt AS (
+  SELECT b.file, b.base_line, a.ts - INTERVAL 2 DAY AS target_ts
+  FROM base b JOIN app a ON a.file = b.file AND a.line_no = b.base_line),
+hit AS (
+  SELECT t.file, max(a.line_no) AS hit FROM tgt t JOIN app a ON a.file = t.file
+  WHERE a.line_no < t.base_line AND a.line_no > 0 AND a.ts <= t.target_ts GROUP BY 1)
+SELECT t.file, t.base_line, t.target_ts, COALESCE(h.hit, 0) AS line_no
+FROM tgt t LEFT JOIN hit h ON h.file = t.file
+""")
+def q_time_jump_backward(spark, sf_dir):
+    """From line 500 of every file, jump two days back."""
+    out = navigate.time_jump(_app(spark, sf_dir), 500, -2, "d")
+    return out.select("file", "base_line", ntz("target_ts"), "line_no")
+
+
+@query("goto_line", f"""
+WITH {_DOCLINES},
+cnt AS (SELECT file, max(line_no) AS last FROM doclines GROUP BY 1)
+SELECT d.file, d.line_no, d.line FROM doclines d JOIN cnt c ON c.file = d.file
+WHERE d.line_no = greatest(0, least(9, c.last))
+""")
+def q_goto_line(spark, sf_dir):
+    """Line 10 (1-based) of every document, clamped to its last line."""
+    return navigate.goto_line(_docs(spark, sf_dir), 10).select("file", "line_no", "line")
+
+
+@query("line_page", f"""
+WITH {_DOCLINES}
+SELECT file, line_no, line FROM doclines WHERE line_no BETWEEN 2 AND 4
+""")
+def q_line_page(spark, sf_dir):
+    """Lines 2..4 (0-based) of every document."""
+    return navigate.line_page(_docs(spark, sf_dir), 2, 3).select("file", "line_no", "line")
+
+
+@query("head_lines", f"""
+WITH {_DOCLINES}
+SELECT file, line_no, line FROM doclines WHERE line_no < 2
+""")
+def q_head_lines(spark, sf_dir):
+    """First two lines of every document."""
+    return navigate.head_lines(_docs(spark, sf_dir), 2).select("file", "line_no", "line")
+
+
+@query("last_lines", f"""
+WITH {_DOCLINES},
+cnt AS (SELECT file, max(line_no) AS last FROM doclines GROUP BY 1)
+SELECT d.file, d.line_no, d.line FROM doclines d JOIN cnt c ON c.file = d.file
+WHERE d.line_no > c.last - 2
+""")
+def q_last_lines(spark, sf_dir):
+    """Last two lines of every document."""
+    return navigate.last_lines(_docs(spark, sf_dir), 2).select("file", "line_no", "line")
+
+
+@query("line_counts", f"""
+WITH {_DOCLINES}
+SELECT file, count(*) AS lines FROM doclines GROUP BY 1
+""")
+def q_line_counts(spark, sf_dir):
+    """Lines per document."""
+    return navigate.line_counts(_docs(spark, sf_dir))
+
+
+@query("line_stats", f"""
+WITH {_DOCLINES}
+SELECT file, count(*) AS lines, max(length(line)) AS max_width,
+       sum(strlen(line)) AS text_bytes
+FROM doclines GROUP BY 1
+""")
+def q_line_stats(spark, sf_dir):
+    """Per document: lines, widest line (characters), text bytes."""
+    return linefns.line_stats(_docs(spark, sf_dir)).select(
+        "file", "lines", F.col("max_width").cast("bigint").alias("max_width"), "text_bytes")
+
+
+# ------------------------------------------------------------ lines (S7, P)
+@query("logs_from_table", f"""
+WITH {_DOCLINES}
+SELECT file, line_no, raw, line FROM doclines
+""")
+def q_logs_from_table(spark, sf_dir):
+    """``documents.text`` as a log: one row per line, numbered from 0."""
+    return _docs(spark, sf_dir).select("file", "line_no", "raw", "line")
+
+
+@query("chat_log", """
+SELECT CAST(conv_id AS VARCHAR) AS file,
+       CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS BIGINT) AS line_no,
+       trim(role || ': ' || text, chr(13) || chr(10)) AS line
+FROM conversations
+""")
+def q_chat_log(spark, sf_dir):
+    """``conversations`` as a log: one line per turn, numbered by turn order."""
+    return render.chat_log(spark, sf_dir).select("file", "line_no", "line")
+
+
+@query("abbreviate", f"""
+WITH {_DOCLINES}
+SELECT file, line_no,
+       CASE WHEN length(line) > 1000 THEN left(line, 1000) || '…' ELSE line END AS short
+FROM doclines
+""")
+def q_abbreviate(spark, sf_dir):
+    """Display text of every document line: over 1,000 characters cut with an ellipsis."""
+    df = linefns.abbreviate(_docs(spark, sf_dir), out="short")
+    return df.select("file", "line_no", "short")
+
+
+# ------------------------------------------------------------ search (Q)
+@query("search_literal", f"""
+WITH {_DOCLINES}
+SELECT file, line_no FROM doclines WHERE contains(line, 'token')
+""")
+def q_search_literal(spark, sf_dir):
+    """Lines holding 'token' (case-sensitive)."""
+    return search.search_literal(_docs(spark, sf_dir), "token").select("file", "line_no")
+
+
+@query("search_ignore_case", f"""
+WITH {_DOCLINES}
+SELECT file, line_no FROM doclines WHERE contains(lower(line), 'the')
+""")
+def q_search_ignore_case(spark, sf_dir):
+    """Lines holding 'THE' in any case."""
+    return search.search_ignore_case(_docs(spark, sf_dir), "THE").select("file", "line_no")
+
+
+@query("search_regex", f"""
+WITH {_DOCLINES}
+SELECT file, line_no FROM doclines
+WHERE regexp_matches(line, '[0-9]+\\.[0-9]+\\.[0-9]+\\.[0-9]+')
+""")
+def q_search_regex(spark, sf_dir):
+    """Lines matching an IPv4-like regex."""
+    out = search.search_regex(_docs(spark, sf_dir), r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+",
+                              case_sensitive=True)
+    return out.select("file", "line_no")
+
+
+@query("search_regex_ignore_case", f"""
+WITH {_DOCLINES}
+SELECT file, line_no FROM doclines WHERE regexp_matches(line, 'the [a-z]+ of', 'i')
+""")
+def q_search_regex_ignore_case(spark, sf_dir):
+    """Lines matching 'the <word> of' in any case."""
+    out = search.search_regex(_docs(spark, sf_dir), "the [a-z]+ of")
+    return out.select("file", "line_no")
+
+
+@query("match_spans", f"""
+WITH {_DOCLINES}
+SELECT file, line_no, CAST(len(string_split(line, 'de')) - 1 AS INTEGER) AS match_count,
+       CAST(strpos(line, 'de') - 1 AS INTEGER) AS first_start,
+       CAST(length(line) - strpos(reverse(line), 'ed') + 1 AS INTEGER) AS last_end
+FROM doclines WHERE contains(line, 'de')
+""")
+def q_match_spans(spark, sf_dir):
+    """Every 'de' in every line: count, first start and last end of the spans."""
+    df = search.match_spans(_docs(spark, sf_dir), "de", case_sensitive=True)
+    return (df.filter(F.col("match_count") > 0)
+              .select("file", "line_no", "match_count",
+                      F.element_at("spans", 1).start.alias("first_start"),
+                      F.element_at("spans", -1).end.alias("last_end")))
+
+
+@query("find_next", f"""
+WITH {_DOCLINES}
+SELECT file, min(line_no) AS hit_line_no FROM doclines
+WHERE contains(lower(line), 'the') AND line_no > 2 GROUP BY 1
+""")
+def q_find_next(spark, sf_dir):
+    """In every document, the next line holding 'the' after line 2."""
+    return search.next_hits(_docs(spark, sf_dir), "the", after=2)
+
+
+@query("find_previous", f"""
+WITH {_DOCLINES}
+SELECT file, max(line_no) AS hit_line_no FROM doclines
+WHERE contains(lower(line), 'the') AND line_no < 5 GROUP BY 1
+""")
+def q_find_previous(spark, sf_dir):
+    """In every document, the previous line holding 'the' before line 5."""
+    return search.next_hits(_docs(spark, sf_dir), "the", after=5, direction="previous")
+
+
+@query("search_summary", f"""
+WITH {_DOCLINES}
+SELECT file, count(*) AS hits, min(line_no) AS first_hit, max(line_no) AS last_hit
+FROM doclines WHERE contains(line, '@') GROUP BY 1
+""")
+def q_search_summary(spark, sf_dir):
+    """Hits of '@' per document: count, first and last line."""
+    return search.search_summary(_docs(spark, sf_dir), "@", case_sensitive=True)
+
+
+@query("token_counts", f"""
+WITH {_DOCLINES}
+SELECT token, count(*) AS occurrences FROM (
+  SELECT unnest(regexp_split_to_array(line, '[\\s/\\[\\]\\(\\)"]')) AS token FROM doclines) t
+WHERE length(token) > 1 GROUP BY 1
+""")
+def q_token_counts(spark, sf_dir):
+    """Vocabulary of all document lines: words longer than one character."""
+    return search.token_counts(_docs(spark, sf_dir))
+
+
+@query("suggest_words", f"""
+WITH {_DOCLINES},
+words AS (
+  SELECT DISTINCT token AS word FROM (
+    SELECT unnest(regexp_split_to_array(line, '[\\s/\\[\\]\\(\\)"]')) AS token FROM doclines) t
+  WHERE length(token) >= 3),
+prefixes AS (
+  SELECT word, unnest(range(1, length(word) - 1)) AS n FROM words)
+SELECT lower(substr(word, 1, n)) AS prefix,
+       first(word ORDER BY length(word) DESC, word DESC) AS word
+FROM prefixes GROUP BY 1
+""")
+def q_suggest_words(spark, sf_dir):
+    """Completion index of the documents: prefix -> longest word."""
+    return search.suggest_words(_docs(spark, sf_dir))
+
+
+# ------------------------------------------------------------ entities (E)
+@query("extract_entities", None)
+def q_extract_entities(spark, sf_dir):
+    """Entity table (file, line, position, kind, value) of every document line."""
+    return entities.extract_entities(_docs(spark, sf_dir))
+
+
+@query("entity_counts", None)
+def q_entity_counts(spark, sf_dir):
+    """Matches and distinct values per entity kind over all documents."""
+    return entities.entity_counts(entities.extract_entities(_docs(spark, sf_dir)))
+
+
+@query("top_entities", None)
+def q_top_entities(spark, sf_dir):
+    """The ten most frequent values of every entity kind."""
+    return entities.top_entities(entities.extract_entities(_docs(spark, sf_dir)), k=10)

@@ -25,6 +25,8 @@ def with_file_order(df: DataFrame, file_col: str = "file", out: str = "file_orde
     Computed on the distinct file names only (one row per file), then joined
     back; the planner sizes that join at run time.
     """
+    if out in df.columns:
+        df = df.drop(out)
     files = df.select(file_col).distinct()
     order = Window.orderBy(natural_key(file_col), F.col(file_col))
     ranks = files.select(F.col(file_col).alias("__ofile"),
