@@ -64,7 +64,12 @@ _SEP = "\u0001"
 
 
 def _strip_ws(c: Column) -> Column:
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    return F.btrim(c, F.lit(" \t\n\r\u000b\u000c"))
+
+
+# A JSON scalar line is one of these; anything else must be an object,
+# array or string (first and last character agree) to be worth parsing.
+_JSON_SCALAR = r"^(?:-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?|true|false|null)$"
 
 
 def is_json_col(col: Column | str) -> Column:
@@ -77,12 +82,17 @@ def is_json_col(col: Column | str) -> Column:
     v = _strip_ws(F.col(col) if isinstance(col, str) else col)
     wrapped = F.concat(F.lit("["), v, F.lit("]"))
     as_array = F.try_parse_json(wrapped)
-    return (v.rlike(r'^[\[{"\-0-9tfn]')
-            & F.try_parse_json(v).isNotNull()
-            & as_array.isNotNull()
-            & F.try_variant_get(as_array, "$[1]", "string").isNull()
-            & (F.size(F.from_json(wrapped, "array<string>")) == 1)
-            & F.try_parse_json(F.concat(F.lit('{"v":'), v, F.lit("}"))).isNotNull())
+    first, last = F.left(v, F.lit(1)), F.right(v, F.lit(1))
+    container = (((first == "{") & (last == "}")) | ((first == "[") & (last == "]"))
+                 | ((first == '"') & (last == '"') & (F.length(v) > 1)))
+    parsed = (F.try_parse_json(v).isNotNull()
+              & as_array.isNotNull()
+              & F.try_variant_get(as_array, "$[1]", "string").isNull()
+              & (F.size(F.from_json(wrapped, "array<string>")) == 1)
+              & F.try_parse_json(F.concat(F.lit('{"v":'), v, F.lit("}"))).isNotNull())
+    # Scalars are decided by their shape; containers by the parsers.
+    return F.when(v.rlike(_JSON_SCALAR), F.lit(True)).when(container, parsed) \
+            .otherwise(F.lit(False))
 
 
 def format_col(col: Column | str = "line") -> Column:
@@ -135,7 +145,7 @@ def parse_access_log(df: DataFrame, col: str = "line", format_out: str = "format
         expr = None
         for fmt in LINE_FORMATS:
             if field in fmt.groups:
-                val = F.element_at(g, fmt.groups.index(field) + 1)
+                val = F.try_element_at(g, F.lit(fmt.groups.index(field) + 1))
                 expr = (F.when(fmt_c == fmt.name, val) if expr is None
                         else expr.when(fmt_c == fmt.name, val))
         if field == "request_version":

@@ -149,11 +149,11 @@ def timestamp_struct(col: Column | str, layouts: Sequence[str] | None = None,
     """
     text = parse_cap(F.col(col) if isinstance(col, str) else col)
     chosen = _select_layouts(layouts, epoch_ms)
-    first = F.coalesce(*[F.when(text.rlike(lay.regex), _hit(text, lay)) for lay in chosen])
-    chain = None
-    for lay in chosen:
-        cond = text.rlike(lay.regex) & lay.parse(F.regexp_extract(text, lay.regex, 0)).isNotNull()
-        chain = F.when(cond, _hit(text, lay)) if chain is None else chain.when(cond, _hit(text, lay))
+    hits = [F.when(text.rlike(lay.regex), _hit(text, lay)) for lay in chosen]
+    first = F.coalesce(*hits)
+    # Every layout tried, the first whose parse succeeded; evaluated only on
+    # the rare lines whose first-found layout did not parse.
+    chain = F.try_element_at(F.filter(F.array(*hits), lambda h: h.ts.isNotNull()), F.lit(1))
     return first, chain
 
 

@@ -35,11 +35,16 @@ def backfill_header(df: DataFrame, by: tuple[str, ...] = ("file",)) -> DataFrame
     first twelve lines); lines above that line take its time.
     """
     keyed = df.withColumn("ts_key", ts_key_col())
-    fill = (keyed.filter((F.col("line_no") < HEADER_SCAN_LINES) & (F.col("ts_key") != 0))
+    # Only the line filter goes down to the scan; untimed lines are skipped
+    # by the NULL ordering of min_by (no predicate on the parsed time, whose
+    # expression would otherwise be copied into the filter).
+    timed_line = F.when(F.col("ts_key") != 0, F.col("line_no"))
+    fill = (keyed.filter(F.col("line_no") < HEADER_SCAN_LINES)
                  .groupBy(*by)
                  .agg(F.min_by(F.struct(F.col("line_no").alias("fill_line"),
-                                        F.col("ts_key").alias("fill_key")), "line_no")
+                                        F.col("ts_key").alias("fill_key")), timed_line)
                       .alias("__fill"))
+                 .filter(F.col("__fill").isNotNull())
                  .select(*[F.col(b).alias(f"__f_{b}") for b in by],
                          F.col("__fill.fill_line").alias("__fill_line"),
                          F.col("__fill.fill_key").alias("__fill_key")))
