@@ -20,7 +20,9 @@ from logweft.functions import entities, formats, lines as linefns, timestamps
 from logweft.operators import merge, navigate, profiles, search
 from logweft.session import configure
 from logweft.sources import render
+from logweft.sources.files import file_stats, read_logs
 from logweft.sources.tables import with_file_order
+from logweft.streaming.streams import tail_logs
 
 
 @dataclass(frozen=True)
@@ -536,6 +538,96 @@ def q_abbreviate(spark, sf_dir):
     return df.select("file", "line_no", "short")
 
 
+# ------------------------------------------------------------ files (S, P2, P3)
+# Documents written as 8 text files: file k holds the documents with
+# doc_id % 8 == k one after another in doc_id order.
+_DOCFILES = """parts AS (
+  SELECT doc_id, CAST(doc_id % 8 AS VARCHAR) AS file,
+         string_split(regexp_replace(text, '\\n$', ''), chr(10)) AS p
+  FROM documents WHERE text <> ''),
+pieces AS (
+  SELECT doc_id, file, i, p[i + 1] AS raw
+  FROM (SELECT doc_id, file, p, unnest(range(len(p))) AS i FROM parts)),
+filelines AS (
+  SELECT file, CAST(row_number() OVER (PARTITION BY file ORDER BY doc_id, i) - 1 AS BIGINT) AS line_no,
+         raw, raw AS line
+  FROM pieces)"""
+
+_OFFSET_SQL = ("CAST(COALESCE(sum(strlen(raw) + 1) OVER (PARTITION BY file ORDER BY line_no "
+               "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT)")
+
+
+def _doc_files(spark, sf_dir, compression=None, offsets=False):
+    folder = render.document_files(spark, sf_dir, compression)
+    lines = read_logs(spark, folder, offsets=offsets).lines
+    return lines.withColumn("file", render.bucket_of("file"))
+
+
+@query("read_logs", f"""
+WITH {_DOCFILES}
+SELECT file, line_no, line FROM filelines
+""")
+def q_read_logs(spark, sf_dir):
+    """The documents written as plain text log files, read back as a numbered log."""
+    return _doc_files(spark, sf_dir).select("file", "line_no", "line")
+
+
+@query("read_logs_gzip", f"""
+WITH {_DOCFILES}
+SELECT file, line_no, line FROM filelines
+""")
+def q_read_logs_gzip(spark, sf_dir):
+    """The same files gzip-compressed (one split per file), read back."""
+    return _doc_files(spark, sf_dir, "gzip").select("file", "line_no", "line")
+
+
+@query("read_logs_bzip2", f"""
+WITH {_DOCFILES}
+SELECT file, line_no, line FROM filelines
+""")
+def q_read_logs_bzip2(spark, sf_dir):
+    """The same files bzip2-compressed (splittable), read back."""
+    return _doc_files(spark, sf_dir, "bzip2").select("file", "line_no", "line")
+
+
+@query("byte_offsets", f"""
+WITH {_DOCFILES}
+SELECT file, line_no, {_OFFSET_SQL} AS byte_offset FROM filelines
+""")
+def q_byte_offsets(spark, sf_dir):
+    """Byte position of every line of the plain log files."""
+    return _doc_files(spark, sf_dir, offsets=True).select("file", "line_no", "byte_offset")
+
+
+@query("file_stats", f"""
+WITH {_DOCFILES}
+SELECT file, count(*) AS lines, sum(strlen(raw) + 1) AS text_bytes FROM filelines GROUP BY 1
+""")
+def q_file_stats(spark, sf_dir):
+    """Lines and text bytes of every log file."""
+    return file_stats(_doc_files(spark, sf_dir)).select("file", "lines", "text_bytes")
+
+
+@query("tail_logs", f"""
+WITH {_DOCFILES}
+SELECT file, {_OFFSET_SQL} AS byte_offset, line FROM filelines
+""")
+def q_tail_logs(spark, sf_dir):
+    """Tail the log files from their start (streaming source, run until
+    caught up): every line seen, with its byte offset."""
+    from logweft.session import shared_dir
+    folder = render.document_files(spark, sf_dir)
+    files = [f[len("file:"):] if f.startswith("file:") else f
+             for f in spark.read.text(folder).inputFiles()]
+    out, ck = shared_dir(spark, "tail-out"), shared_dir(spark, "tail-ck")
+    stream = tail_logs(spark, files, starting_position="earliest")
+    q = (stream.writeStream.format("parquet").option("path", out)
+               .option("checkpointLocation", ck).trigger(availableNow=True).start())
+    q.awaitTermination()
+    got = spark.read.parquet(out)
+    return got.select(render.bucket_of("file").alias("file"), "byte_offset", "line")
+
+
 # ------------------------------------------------------------ search (Q)
 @query("search_literal", f"""
 WITH {_DOCLINES}

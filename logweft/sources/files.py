@@ -12,6 +12,7 @@ reader does anyway); file contents never pass through the driver.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 from typing import Iterable
 
@@ -31,27 +32,21 @@ class LogFiles:
     files: list[str]
 
 
-def _fs_status(spark: SparkSession, path: str):
-    """(exists, [(file path, size), ...]) for a file, folder or glob."""
+def _exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file, folder or glob names anything (one metadata call)."""
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     hpath = jvm.org.apache.hadoop.fs.Path(path)
-    fs = hpath.getFileSystem(conf)
-    statuses = fs.globStatus(hpath)
-    if statuses is None or len(statuses) == 0:
-        return False, []
-    out = []
-    for st in statuses:
-        if st.isDirectory():
-            it = fs.listFiles(st.getPath(), True)
-            while it.hasNext():
-                f = it.next()
-                name = f.getPath().getName()
-                if not name.startswith((".", "_")):
-                    out.append((f.getPath().toString(), f.getLen()))
-        else:
-            out.append((st.getPath().toString(), st.getLen()))
-    return True, out
+    statuses = hpath.getFileSystem(conf).globStatus(hpath)
+    return statuses is not None and len(statuses) > 0
+
+
+_EMPTY_AUTHORITY = r"^([A-Za-z][A-Za-z0-9+.-]*):///"
+
+
+def _norm_uri(path: str) -> str:
+    """One spelling for a path URI: ``file:///x`` and ``file:/x`` agree."""
+    return re.sub(_EMPTY_AUTHORITY, r"\1:/", path)
 
 
 def _natural_sort_key(path: str):
@@ -77,26 +72,22 @@ def read_logs(spark: SparkSession, paths: str | list[str], on_missing: str = "ra
     """
     if isinstance(paths, str):
         paths = [paths]
-    good: list[tuple[str, int]] = []
+    good: list[str] = []
     bad: list[tuple[str, str]] = []
     for p in paths:
         try:
-            exists, found = _fs_status(spark, p)
+            found = _exists(spark, p)
         except Exception as err:  # unreadable folder, bad scheme, ...
-            exists, found = False, []
             bad.append((p, str(err)[:500]))
             continue
-        if not exists:
-            bad.append((p, "not found"))
+        if found:
+            good.append(p)
         else:
-            good.extend(found)
+            bad.append((p, "not found"))
     if bad and on_missing == "raise":
         raise FileNotFoundError(f"cannot read: {[b[0] for b in bad]}")
     errors = spark.createDataFrame(bad, "path string, error string")
 
-    files = sort_paths(dict(good))
-    order = spark.createDataFrame([(f, i) for i, f in enumerate(files)],
-                                  "__opath string, file_order int")
     schema = T.StructType([T.StructField("file", T.StringType()),
                            T.StructField("file_name", T.StringType()),
                            T.StructField("file_size", T.LongType()),
@@ -105,21 +96,28 @@ def read_logs(spark: SparkSession, paths: str | list[str], on_missing: str = "ra
                            T.StructField("byte_offset", T.LongType()),
                            T.StructField("raw", T.StringType()),
                            T.StructField("line", T.StringType())])
-    if not files:
+    if not good:
         return LogFiles(spark.createDataFrame([], schema), errors, [])
 
     text = (spark.read.option("lineSep", "\n")
                  .option("ignoreMissingFiles", "true" if on_missing != "raise" else "false")
-                 .text(files))
+                 .text(good))
+    # The reader's own listing (hidden files skipped), in one call.
+    files = sort_paths(_norm_uri(f) for f in text.inputFiles())
+    if not files:
+        return LogFiles(spark.createDataFrame([], schema), errors, [])
+    order = spark.createDataFrame([(f, i) for i, f in enumerate(files)],
+                                  "__opath string, file_order int")
     df = text.select(F.col("value").alias("raw"),
-                     F.col("_metadata.file_path").alias("file"),
+                     F.regexp_replace(F.col("_metadata.file_path"), _EMPTY_AUTHORITY, "$1:/")
+                      .alias("file"),
                      F.col("_metadata.file_name").alias("file_name"),
                      F.col("_metadata.file_size").alias("file_size"),
                      F.col("_metadata.file_block_start").alias("__block"),
                      F.monotonically_increasing_id().alias("__mid"))
     # Splits <= files + partitions: a proven bound for broadcasting the
     # per-split table (one row per split).
-    max_blocks = len(files) + text.rdd.getNumPartitions()
+    max_blocks = len(files) + text._jdf.rdd().getNumPartitions()
     if offsets:
         df = byte_offsets(df, max_blocks=max_blocks)
     else:

@@ -117,3 +117,36 @@ def chat_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = conv.select("conv_id", "turn",
                         F.concat(F.col("role"), F.lit(": "), F.col("text")).alias("text"))
     return logs_from_table(lines, "text", "conv_id", order_col="turn")
+
+
+# Fixed value of the rendering rule: documents go into this many files.
+DOC_FILES = 8
+
+
+def document_files(spark: SparkSession, sf_dir: str, compression: str | None = None) -> str:
+    """Write the documents as text log files into a fresh folder of the
+    shared checkpoint space; returns the folder.
+
+    File ``bucket=k/part-*`` holds the documents with ``doc_id % 8 == k``,
+    one after the other in ``doc_id`` order (one file per bucket: a bucket
+    goes to one writer task, which sorts it). Spark writes the files from the
+    table; no text passes through the driver. ``compression`` is ``gzip`` or
+    ``bzip2`` for compressed logs.
+    """
+    from logweft.session import shared_dir
+    path = shared_dir(spark, "document-files")
+    docs = load(spark, sf_dir, "documents").filter(F.col("text") != "")
+    docs = (docs.select((F.col("doc_id") % DOC_FILES).alias("bucket"), "doc_id", "text")
+                .repartition(DOC_FILES, "bucket")
+                .sortWithinPartitions("bucket", "doc_id")
+                .select("bucket", "text"))
+    writer = docs.write.partitionBy("bucket")
+    if compression:
+        writer = writer.option("compression", compression)
+    writer.text(path)
+    return path
+
+
+def bucket_of(file_col: str = "file") -> Column:
+    """The bucket number in a path written by :func:`document_files`."""
+    return F.regexp_extract(F.col(file_col), r"bucket=([0-9]+)/", 1)
