@@ -110,12 +110,21 @@ def entity_counts(entities: DataFrame) -> DataFrame:
                                         F.countDistinct("value").alias("distinct_values"))
 
 
-def top_entities(entities: DataFrame, kind: str | None = None, k: int = 10) -> DataFrame:
-    """The ``k`` most frequent values (of one kind, or per kind)."""
+def top_entities(entities: DataFrame, kind: str | None = None, k: int = 10,
+                 buckets: int = 64) -> DataFrame:
+    """The ``k`` most frequent values of one kind, or of every kind
+    (ties: smaller value first).
+
+    Two-level top-k: first inside (kind, hash bucket of the value), so no
+    window partition holds more than a bucket's share of a kind's distinct
+    values, then over the at most ``k * buckets`` survivors of each kind.
+    """
+    from pyspark.sql import Window
     src = entities if kind is None else entities.filter(F.col("kind") == kind)
     counted = src.groupBy("kind", "value").agg(F.count(F.lit(1)).alias("occurrences"))
-    if kind is not None:
-        return counted.orderBy(F.desc("occurrences"), "value").limit(k)
-    from pyspark.sql import Window
-    w = Window.partitionBy("kind").orderBy(F.desc("occurrences"), "value")
-    return counted.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    rank_order = [F.desc("occurrences"), F.col("value")]
+    local = Window.partitionBy("kind", F.pmod(F.hash("value"), F.lit(buckets))).orderBy(*rank_order)
+    survivors = counted.withColumn("__r", F.row_number().over(local)).filter(F.col("__r") <= k)
+    overall = Window.partitionBy("kind").orderBy(*rank_order)
+    return (survivors.withColumn("rank", F.row_number().over(overall))
+                     .filter(F.col("rank") <= k).drop("__r"))

@@ -22,7 +22,8 @@ from logweft.session import configure
 from logweft.sources import render
 from logweft.sources.files import file_stats, read_logs
 from logweft.sources.tables import with_file_order
-from logweft.streaming.streams import tail_logs
+from logweft.streaming.streams import (lines_over_time_stream, pending_lines, search_stream,
+                                       stream_log_dir, tail_logs)
 
 
 @dataclass(frozen=True)
@@ -628,6 +629,66 @@ def q_tail_logs(spark, sf_dir):
     return got.select(render.bucket_of("file").alias("file"), "byte_offset", "line")
 
 
+# ------------------------------------------------------------ streams (W)
+def _run_stream(spark, df, complete=False):
+    """Run a streaming query until it has caught up; return what it wrote.
+
+    Append queries write parquet files; complete-mode aggregates replace a
+    parquet table on every batch, so the last batch holds the final state.
+    """
+    from logweft.session import shared_dir
+    out, ck = shared_dir(spark, "stream-out"), shared_dir(spark, "stream-ck")
+    w = df.writeStream.option("checkpointLocation", ck).trigger(availableNow=True)
+    if complete:
+        w = w.outputMode("complete").foreachBatch(
+            lambda batch, _epoch: batch.write.mode("overwrite").parquet(out))
+    else:
+        w = w.format("parquet").option("path", out)
+    w.start().awaitTermination()
+    return spark.read.parquet(out)
+
+
+@query("search_stream", f"""
+WITH {_DOCFILES}
+SELECT file, line FROM filelines WHERE contains(line, 'token')
+""")
+def q_search_stream(spark, sf_dir):
+    """Lines holding 'token' in log files landing in a folder (file stream)."""
+    folder = render.document_files(spark, sf_dir)
+    found = search_stream(stream_log_dir(spark, folder, max_files_per_trigger=2), "token",
+                          case_sensitive=True)
+    got = _run_stream(spark, found.select("file", "line"))
+    return got.select(render.bucket_of("file").alias("file"), "line")
+
+
+@query("pending_lines", f"""
+WITH {_DOCFILES}
+SELECT file, count(*) AS pending_lines FROM filelines GROUP BY 1
+""")
+def q_pending_lines(spark, sf_dir):
+    """Running count of unseen lines per file over a file stream (complete mode)."""
+    folder = render.document_files(spark, sf_dir)
+    counts = pending_lines(stream_log_dir(spark, folder, max_files_per_trigger=3))
+    got = _run_stream(spark, counts, complete=True)
+    return got.select(render.bucket_of("file").alias("file"), "pending_lines")
+
+
+@query("lines_over_time_stream", """
+SELECT date_trunc('hour', ts) AS period, 'app.log.' || CAST(user_id % 4 AS VARCHAR) AS file,
+       count(*) AS lines
+FROM events GROUP BY 1, 2
+""")
+def q_lines_over_time_stream(spark, sf_dir):
+    """Hourly lines per file of a streamed application log: event times
+    parsed from the text, watermarked windowed counts."""
+    folder = render.app_log_files(spark, sf_dir)
+    stream = stream_log_dir(spark, folder, max_files_per_trigger=1)
+    stream = stream.withColumn("file", render.app_file_of("file"))
+    counts = lines_over_time_stream(stream, "1 hour", "1 day")
+    got = _run_stream(spark, counts, complete=True)
+    return got.select(ntz("period"), "file", "lines")
+
+
 # ------------------------------------------------------------ search (Q)
 @query("search_literal", f"""
 WITH {_DOCLINES}

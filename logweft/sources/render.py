@@ -150,3 +150,20 @@ def document_files(spark: SparkSession, sf_dir: str, compression: str | None = N
 def bucket_of(file_col: str = "file") -> Column:
     """The bucket number in a path written by :func:`document_files`."""
     return F.regexp_extract(F.col(file_col), r"bucket=([0-9]+)/", 1)
+
+
+def app_log_files(spark: SparkSession, sf_dir: str) -> str:
+    """Write the application log as text files ``file=app.log.k/part-*``
+    (lines in log order) into a fresh shared folder; returns the folder."""
+    from logweft.session import shared_dir
+    path = shared_dir(spark, "app-files")
+    lines = (app_lines(load(spark, sf_dir, "events"))
+             .repartition(ACCESS_FILES, "file").sortWithinPartitions("file", "order")
+             .select("file", "text"))
+    lines.write.partitionBy("file").text(path)
+    return path
+
+
+def app_file_of(file_col: str = "file") -> Column:
+    """The log name in a path written by :func:`app_log_files`."""
+    return F.regexp_extract(F.col(file_col), r"file=([^/]+)/", 1)
