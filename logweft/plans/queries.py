@@ -169,7 +169,7 @@ def q_http_method_counts(spark, sf_dir):
 
 @query("access_log_summary", f"""
 SELECT CAST({_STATUS_SQL} AS INTEGER) AS status, {_METHOD_SQL} AS request_method,
-       count(*) AS requests, sum(CAST(floor(abs(value)) AS BIGINT)) AS bytes,
+       count(*) AS requests, CAST(sum(CAST(floor(abs(value)) AS BIGINT)) AS BIGINT) AS bytes,
        min(date_trunc('second', ts)) AS first_ts, max(date_trunc('second', ts)) AS last_ts
 FROM events GROUP BY 1, 2
 """)
@@ -204,7 +204,7 @@ def q_format_profile(spark, sf_dir):
 
 @query("parse_json_lines", """
 SELECT event_type AS level, count(*) AS lines,
-       sum(CAST(json_extract(props, '$.k') AS BIGINT)) AS sum_k,
+       CAST(sum(CAST(json_extract(props, '$.k') AS BIGINT)) AS BIGINT) AS sum_k,
        min(date_trunc('millisecond', ts)) AS first_ts
 FROM events GROUP BY 1
 """)
@@ -497,7 +497,7 @@ def q_line_counts(spark, sf_dir):
 @query("line_stats", f"""
 WITH {_DOCLINES}
 SELECT file, count(*) AS lines, max(length(line)) AS max_width,
-       sum(strlen(line)) AS text_bytes
+       CAST(sum(strlen(line)) AS BIGINT) AS text_bytes
 FROM doclines GROUP BY 1
 """)
 def q_line_stats(spark, sf_dir):
@@ -602,7 +602,7 @@ def q_byte_offsets(spark, sf_dir):
 
 @query("file_stats", f"""
 WITH {_DOCFILES}
-SELECT file, count(*) AS lines, sum(strlen(raw) + 1) AS text_bytes FROM filelines GROUP BY 1
+SELECT file, count(*) AS lines, CAST(sum(strlen(raw) + 1) AS BIGINT) AS text_bytes FROM filelines GROUP BY 1
 """)
 def q_file_stats(spark, sf_dir):
     """Lines and text bytes of every log file."""
