@@ -54,12 +54,21 @@ _GUARDS = {
 _FIRST = r"(?=[-0-9A-Fa-fTFNb'\"\[])"
 
 
+# The address kinds (the first five) all need '.', ':' or '-' within their
+# first nine characters; one shared look-ahead skips all five at once.
+_ADDRESS_KINDS = ("ipv4", "ipv6", "eui64", "eui48", "uuid")
+_ADDRESS_GUARD = r"(?=[0-9A-Fa-f]{1,8}[-:.])"
+
+
 def entity_regex() -> str:
     parts = []
     for kind, rx in ENTITY_PATTERNS:
         before, after = _WRAP.get(kind, ("", ""))
         parts.append(f"{before}{_GUARDS.get(kind, '')}({rx}){after}")
-    return "(?dU)" + _FIRST + "(?:" + "|".join(parts) + ")"
+    n = len(_ADDRESS_KINDS)
+    assert [k for k, _ in ENTITY_PATTERNS[:n]] == list(_ADDRESS_KINDS)
+    address = _ADDRESS_GUARD + "(?:" + "|".join(parts[:n]) + ")"
+    return "(?dU)" + _FIRST + "(?:" + "|".join([address] + parts[n:]) + ")"
 
 
 ENTITY_RX = entity_regex()
