@@ -269,6 +269,31 @@ def q_extract_timestamp_access(spark, sf_dir):
     return df.select("file", "line_no", ntz("ts"), "ts_layout")
 
 
+@query("extract_timestamp_layouts", """
+SELECT 'mixed.log.' || CAST(user_id % 4 AS VARCHAR) AS file,
+       CAST(row_number() OVER (PARTITION BY user_id % 4 ORDER BY event_id) - 1 AS BIGINT) AS line_no,
+       CASE event_id % 8
+         WHEN 0 THEN date_trunc('millisecond', ts)
+         WHEN 1 THEN date_trunc('millisecond', ts)
+         WHEN 2 THEN date_trunc('second', ts)
+         WHEN 3 THEN date_trunc('millisecond', ts)
+         WHEN 4 THEN date_trunc('second', ts)
+         WHEN 5 THEN make_timestamp(1900, month(ts), day(ts), hour(ts), minute(ts),
+                                    CAST(floor(second(ts)) AS DOUBLE))
+         WHEN 6 THEN date_trunc('second', ts)
+         ELSE ts END AS ts,
+       CASE event_id % 8
+         WHEN 0 THEN 'iso_comma_ms_zone' WHEN 1 THEN 'iso_dot_ms_zone' WHEN 2 THEN 'iso_s'
+         WHEN 3 THEN 'isoT_comma_ms' WHEN 4 THEN 'isoT_s_zone' WHEN 5 THEN 'syslog'
+         WHEN 6 THEN 'dmy_slash' ELSE 'epoch_fraction' END AS ts_layout
+FROM events
+""")
+def q_extract_timestamp_layouts(spark, sf_dir):
+    """Event times written in eight different layouts, found again in the text."""
+    df = timestamps.extract_timestamp(render.mixed_layout_log(spark, sf_dir))
+    return df.select("file", "line_no", ntz("ts"), "ts_layout")
+
+
 @query("timestamp_profile", f"""
 WITH {_APP}
 SELECT file, CASE WHEN ts IS NULL THEN NULL ELSE 'iso_comma_ms' END AS ts_layout,

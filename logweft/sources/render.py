@@ -167,3 +167,36 @@ def app_log_files(spark: SparkSession, sf_dir: str) -> str:
 def app_file_of(file_col: str = "file") -> Column:
     """The log name in a path written by :func:`app_log_files`."""
     return F.regexp_extract(F.col(file_col), r"file=([^/]+)/", 1)
+
+
+def mixed_layout_lines(events: DataFrame) -> DataFrame:
+    """Each event's time in one of eight text layouts (by ``event_id % 8``):
+    zoned ``Z`` / ``-0500`` / ``+0530`` shifts, comma and dot fractions, the
+    ``T`` separator, syslog without a year, day/month-name/year, epoch
+    seconds with microseconds; then ``{event_type} user={user_id}``."""
+    ts = _event_time(events)
+    us = F.unix_micros(ts)
+    day = F.lpad(F.dayofmonth(ts).cast("string"), 2, " ")
+    k = F.col("event_id") % 8
+    text = (F.when(k == 0, F.concat(F.date_format(ts, "yyyy-MM-dd HH:mm:ss,SSS"), F.lit("Z")))
+             .when(k == 1, F.concat(F.date_format(ts - F.expr("INTERVAL 5 HOURS"),
+                                                  "yyyy-MM-dd HH:mm:ss.SSS"), F.lit("-0500")))
+             .when(k == 2, F.date_format(ts, "yyyy-MM-dd HH:mm:ss"))
+             .when(k == 3, F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss,SSS"))
+             .when(k == 4, F.concat(F.date_format(ts + F.expr("INTERVAL '5:30' HOUR TO MINUTE"),
+                                                  "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+0530")))
+             .when(k == 5, F.concat(F.date_format(ts, "MMM"), F.lit(" "), day, F.lit(" "),
+                                    F.date_format(ts, "HH:mm:ss")))
+             .when(k == 6, F.date_format(ts, "dd/MMM/yyyy HH:mm:ss"))
+             .otherwise(F.concat(F.floor(us / 1_000_000).cast("string"), F.lit("."),
+                                 F.lpad((us % 1_000_000).cast("string"), 6, "0"))))
+    return events.select(
+        F.concat(F.lit("mixed.log."), (F.col("user_id") % ACCESS_FILES).cast("string")).alias("file"),
+        F.col("event_id"),
+        F.concat(text, F.lit(" "), F.col("event_type"), F.lit(" user="),
+                 F.col("user_id").cast("string")).alias("text"))
+
+
+def mixed_layout_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = mixed_layout_lines(load(spark, sf_dir, "events"))
+    return logs_from_table(lines, "text", "file", order_col="event_id", file_order=True)
