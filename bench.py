@@ -76,8 +76,8 @@ def main():
                          n_docs),
         "extract_entities": (lambda: noop(entities.extract_entities(docs)), n_docs),
         "token_counts": (lambda: noop(search.token_counts(docs)), n_docs),
-        "flagship_end_to_end": (lambda: formats.status_class_counts(
-            formats.parse_access_log(render.access_log(spark, SF_DIR))).collect(), n_access),
+        "flagship_end_to_end": (lambda: formats.status_class_counts(formats.parse_access_log(
+            render.access_log(spark, SF_DIR, numbered=False))).collect(), n_access),
     }
     # warm the JVM once (JIT, class loading) on a small query
     formats.parse_access_log(access.limit(1000)).write.format("noop").mode("overwrite").save()

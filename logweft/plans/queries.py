@@ -112,7 +112,8 @@ GROUP BY 1
 """)
 def q_status_class_counts(spark, sf_dir):
     """Access log rendered from ``events`` -> classify -> parse -> requests per status class."""
-    return formats.status_class_counts(_access(spark, sf_dir))
+    log = render.access_log(spark, sf_dir, numbered=False)
+    return formats.status_class_counts(formats.parse_access_log(log))
 
 
 @query("parse_access_log", f"""
@@ -164,7 +165,7 @@ SELECT {_METHOD_SQL} AS method, count(*) AS occurrences FROM events GROUP BY 1
 """)
 def q_http_method_counts(spark, sf_dir):
     """Request-method words over every line of the access log."""
-    return formats.http_method_counts(render.access_log(spark, sf_dir))
+    return formats.http_method_counts(render.access_log(spark, sf_dir, numbered=False))
 
 
 @query("access_log_summary", f"""
@@ -175,7 +176,8 @@ FROM events GROUP BY 1, 2
 """)
 def q_access_log_summary(spark, sf_dir):
     """Traffic table: requests, bytes, first / last time per status and method."""
-    out = profiles.access_log_summary(_access(spark, sf_dir), by=("status", "request_method"))
+    log = formats.parse_access_log(render.access_log(spark, sf_dir, numbered=False))
+    out = profiles.access_log_summary(log, by=("status", "request_method"))
     return out.select("status", "request_method", "requests", "bytes",
                       ntz("first_ts"), ntz("last_ts"))
 

@@ -60,10 +60,13 @@ def access_lines(events: DataFrame, combined: bool = False) -> DataFrame:
         F.col("event_id"), F.concat(*parts).alias("text"))
 
 
-def access_log(spark: SparkSession, sf_dir: str, combined: bool = False) -> DataFrame:
-    """The access log as a log table (4 files, lines in event-id order)."""
+def access_log(spark: SparkSession, sf_dir: str, combined: bool = False,
+               numbered: bool = True) -> DataFrame:
+    """The access log as a log table (4 files, lines in event-id order);
+    ``numbered=False`` for jobs that only aggregate its lines."""
     lines = access_lines(load(spark, sf_dir, "events"), combined)
-    return logs_from_table(lines, "text", "file", order_col="event_id", file_order=True)
+    return logs_from_table(lines, "text", "file", order_col="event_id", file_order=numbered,
+                           numbered=numbered)
 
 
 def jsonl_lines(events: DataFrame) -> DataFrame:

@@ -37,7 +37,7 @@ def with_file_order(df: DataFrame, file_col: str = "file", out: str = "file_orde
 
 def logs_from_table(df: DataFrame, text_col: str = "text", file_col: str | None = None,
                     order_col: str | Column | None = None, file_order: bool = False,
-                    keep: tuple[str, ...] = ()) -> DataFrame:
+                    keep: tuple[str, ...] = (), numbered: bool = True) -> DataFrame:
     """A log table (``file, file_order, line_no, byte_offset, raw, line``).
 
     Two shapes of input:
@@ -49,6 +49,8 @@ def logs_from_table(df: DataFrame, text_col: str = "text", file_col: str | None
     * ``order_col`` given: every row is already one line; its number is its
       rank by ``order_col`` inside ``file_col``, computed without a
       file-wide window (see :func:`logweft.operators.numbering.rank_within`).
+      ``numbered=False`` skips that step (``line_no`` NULL) for jobs that
+      only aggregate lines and need no order.
     """
     file_expr = (F.col(file_col) if file_col else F.lit("stdin")).cast("string")
     if order_col is None:
@@ -63,7 +65,10 @@ def logs_from_table(df: DataFrame, text_col: str = "text", file_col: str | None
                          F.col(text_col).alias("raw"),
                          (F.col(order_col) if isinstance(order_col, str) else order_col)
                          .alias("__order"))
-        lines = rank_within(base, ["__order"], ["file"], out="line_no").drop("__order")
+        if numbered:
+            lines = rank_within(base, ["__order"], ["file"], out="line_no").drop("__order")
+        else:
+            lines = base.withColumn("line_no", F.lit(None).cast("bigint")).drop("__order")
     lines = lines.withColumn("byte_offset", F.lit(None).cast("bigint"))
     lines = normalize_lines(lines)
     if file_order:
