@@ -31,8 +31,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from logweft.session import shared_dir
 
-# Largest helper table we broadcast without measuring it (rows).
-BROADCAST_ROW_LIMIT = 1_000_000
+# Largest helper table we broadcast on a proven bound: rows and bytes.
+BROADCAST_ROW_LIMIT = 5_000_000
+BROADCAST_BYTE_LIMIT = 256 * 1024 * 1024
 
 _LOW33 = (1 << 33) - 1
 
@@ -42,9 +43,11 @@ def _local_position() -> Column:
     return F.monotonically_increasing_id().bitwiseAND(F.lit(_LOW33))
 
 
-def maybe_broadcast(df: DataFrame, row_bound: int | None) -> DataFrame:
-    """Broadcast hint only behind a proven row bound; otherwise let AQE decide."""
-    if row_bound is not None and row_bound <= BROADCAST_ROW_LIMIT:
+def maybe_broadcast(df: DataFrame, row_bound: int | None, row_bytes: int = 32) -> DataFrame:
+    """Broadcast hint only behind a proven bound (rows, and rows x bytes per
+    row); otherwise the planner decides (AQE measures the real size)."""
+    if (row_bound is not None and row_bound <= BROADCAST_ROW_LIMIT
+            and row_bound * row_bytes <= BROADCAST_BYTE_LIMIT):
         return F.broadcast(df)
     return df
 
@@ -78,7 +81,7 @@ def rank_within(df: DataFrame, order_cols: Sequence[str | Column], group_cols: S
                             (F.coalesce(F.sum("__n").over(before), F.lit(0))
                              - F.col("__first")).alias("__shift"))
     bound = n + max_groups if max_groups is not None else (n if not groups else None)
-    offsets = maybe_broadcast(offsets, bound)
+    offsets = maybe_broadcast(offsets, bound, 24 + 256 * len(groups))
     cond = F.col("__pid") == F.col("__opid")
     for i, g in enumerate(groups):
         cond = cond & F.col(g).eqNullSafe(F.col(f"__g{i}"))
@@ -90,7 +93,7 @@ def rank_within(df: DataFrame, order_cols: Sequence[str | Column], group_cols: S
 
 def number_lines(df: DataFrame, file_col: str = "file", block_col: str = "__block",
                  id_col: str = "__mid", out: str = "line_no",
-                 max_blocks: int | None = None) -> DataFrame:
+                 max_blocks: int | None = None, path_bytes: int = 256) -> DataFrame:
     """Line numbers for rows straight out of a text scan.
 
     ``df`` must carry the split start (``_metadata.file_block_start``) in
@@ -107,7 +110,7 @@ def number_lines(df: DataFrame, file_col: str = "file", block_col: str = "__bloc
     offsets = blocks.select(F.col(file_col).alias("__bfile"), F.col(block_col).alias("__bstart"),
                             (F.coalesce(F.sum("__n").over(earlier), F.lit(0))
                              - F.col("__first")).alias("__shift"))
-    offsets = maybe_broadcast(offsets, max_blocks)
+    offsets = maybe_broadcast(offsets, max_blocks, path_bytes + 16)
     joined = df.join(offsets, (F.col(file_col) == F.col("__bfile"))
                      & (F.col(block_col) == F.col("__bstart")), "inner")
     return (joined.withColumn(out, F.col("__shift") + F.col(id_col))
@@ -116,7 +119,7 @@ def number_lines(df: DataFrame, file_col: str = "file", block_col: str = "__bloc
 
 def byte_offsets(df: DataFrame, file_col: str = "file", block_col: str = "__block",
                  id_col: str = "__mid", raw_col: str = "raw", out: str = "byte_offset",
-                 max_blocks: int | None = None) -> DataFrame:
+                 max_blocks: int | None = None, path_bytes: int = 256) -> DataFrame:
     """Byte position where each line starts (plain or decompressed bytes).
 
     Bytes of a line = ``octet_length(raw) + 1`` (its ``\\n``). A running sum
@@ -129,7 +132,7 @@ def byte_offsets(df: DataFrame, file_col: str = "file", block_col: str = "__bloc
                     .rowsBetween(Window.unboundedPreceding, -1)
     offsets = blocks.select(F.col(file_col).alias("__bfile"), F.col(block_col).alias("__bstart"),
                             F.coalesce(F.sum("__bytes").over(earlier), F.lit(0)).alias("__bbase"))
-    offsets = maybe_broadcast(offsets, max_blocks)
+    offsets = maybe_broadcast(offsets, max_blocks, path_bytes + 16)
     in_split = Window.partitionBy(file_col, block_col).orderBy(id_col) \
                      .rowsBetween(Window.unboundedPreceding, -1)
     with_run = df.withColumn("__run", F.coalesce(F.sum(size).over(in_split), F.lit(0)))

@@ -185,14 +185,20 @@ def search_summary(df: DataFrame, find: str | Search, regex: bool = False,
 
 
 def tokens_col(col: Column | str = "line") -> Column:
+    """Words of a line (longer than one character) as an array."""
     c = F.col(col) if isinstance(col, str) else col
     return F.filter(F.split(c, SPLIT_RX, -1), lambda w: F.length(w) > 1)
 
 
+def _words(df: DataFrame, col: str, out: str) -> DataFrame:
+    # explode, then a row filter: stays in generated code (no lambda).
+    return (df.select(F.explode(F.split(F.col(col), SPLIT_RX, -1)).alias(out))
+              .filter(F.length(out) > 1))
+
+
 def token_counts(df: DataFrame, col: str = "line") -> DataFrame:
     """Vocabulary: words longer than one character and how often they occur."""
-    return (df.select(F.explode(tokens_col(col)).alias("token"))
-              .groupBy("token").agg(F.count(F.lit(1)).alias("occurrences")))
+    return _words(df, col, "token").groupBy("token").agg(F.count(F.lit(1)).alias("occurrences"))
 
 
 def suggest_words(df: DataFrame, col: str = "line") -> DataFrame:
@@ -203,8 +209,7 @@ def suggest_words(df: DataFrame, col: str = "line") -> DataFrame:
     deterministic). Words are de-duplicated before prefixes are exploded,
     and both aggregates combine map-side, so a hot prefix is no hot task.
     """
-    words = (df.select(F.explode(tokens_col(col)).alias("word"))
-               .filter(F.length("word") >= 3).distinct())
+    words = _words(df, col, "word").filter(F.length("word") >= 3).distinct()
     prefixes = words.select(
         "word", F.explode(F.sequence(F.lit(1), F.length("word") - 2)).alias("n"))
     return (prefixes.groupBy(F.lower(F.col("word").substr(F.lit(1), F.col("n"))).alias("prefix"))

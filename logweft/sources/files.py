@@ -118,12 +118,13 @@ def read_logs(spark: SparkSession, paths: str | list[str], on_missing: str = "ra
     # Splits <= files + partitions: a proven bound for broadcasting the
     # per-split table (one row per split).
     max_blocks = len(files) + text._jdf.rdd().getNumPartitions()
+    path_bytes = max(len(f.encode()) for f in files)
     if offsets:
-        df = byte_offsets(df, max_blocks=max_blocks)
+        df = byte_offsets(df, max_blocks=max_blocks, path_bytes=path_bytes)
     else:
         df = df.withColumn("byte_offset", F.lit(None).cast("bigint"))
     if numbered:
-        df = number_lines(df, max_blocks=max_blocks)
+        df = number_lines(df, max_blocks=max_blocks, path_bytes=path_bytes)
     else:
         df = df.withColumn("line_no", F.lit(None).cast("bigint"))
     # The file table is the driver's own listing: exact size, broadcast.
