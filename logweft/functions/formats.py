@@ -187,11 +187,23 @@ def status_class_col(status: Column | str = "status") -> Column:
             .otherwise(F.lit("other"))
 
 
+def _is_access() -> Column:
+    return F.col("format").isin([f.name for f in LINE_FORMATS])
+
+
+# Access-log aggregates group every line and drop the non-access group
+# afterwards by an *aggregated* flag. A filter on ``format`` (or on a grouping
+# key) would be pushed down through the projections, and Catalyst would copy
+# the whole classification expression into it once per reference.
+
+
 def status_class_counts(df: DataFrame) -> DataFrame:
     """Requests per status class over lines parsed as access logs."""
-    access = df.filter(F.col("format").isin([f.name for f in LINE_FORMATS]))
-    return (access.groupBy(status_class_col(F.col("status")).alias("status_class"))
-                  .agg(F.count(F.lit(1)).alias("requests")))
+    access = _is_access()
+    cls = F.when(access, status_class_col(F.col("status")))
+    return (df.groupBy(cls.alias("status_class"))
+              .agg(F.count(F.lit(1)).alias("requests"), F.max(access).alias("__access"))
+              .filter(F.col("__access")).drop("__access"))
 
 
 def http_method_counts(df: DataFrame, col: str = "line") -> DataFrame:
@@ -205,12 +217,14 @@ def http_method_counts(df: DataFrame, col: str = "line") -> DataFrame:
 
 def access_log_summary(df: DataFrame, by: tuple[str, ...] = ("path",)) -> DataFrame:
     """Traffic table: requests and bytes per ``by`` over access-log lines."""
-    access = df.filter(F.col("format").isin([f.name for f in LINE_FORMATS]))
-    return (access.groupBy(*by)
-                  .agg(F.count(F.lit(1)).alias("requests"),
-                       F.sum("length").alias("bytes"),
-                       F.min("access_ts").alias("first_ts"),
-                       F.max("access_ts").alias("last_ts")))
+    access = _is_access()
+    return (df.groupBy(access.alias("__key"), *by)
+              .agg(F.count(F.lit(1)).alias("requests"),
+                   F.sum("length").alias("bytes"),
+                   F.min("access_ts").alias("first_ts"),
+                   F.max("access_ts").alias("last_ts"),
+                   F.max(access).alias("__access"))
+              .filter(F.col("__access")).drop("__access", "__key"))
 
 
 def format_profile(df: DataFrame, by: tuple[str, ...] = ("file",)) -> DataFrame:
@@ -222,7 +236,9 @@ def format_profile(df: DataFrame, by: tuple[str, ...] = ("file",)) -> DataFrame:
 
 def json_key_profile(df: DataFrame, col: str = "json") -> DataFrame:
     """Top-level keys of JSON object lines: value type and number of lines."""
+    # Lines that are not objects give no members (no filter on the parsed
+    # column, which would repeat the JSON check).
     members = F.explode(F.from_json(F.to_json(F.col(col)), "map<string,variant>"))
-    keyed = df.filter(F.col(col).isNotNull()).select(members.alias("key", "_value"))
+    keyed = df.select(members.alias("key", "_value"))
     return (keyed.groupBy("key", F.schema_of_variant("_value").alias("value_type"))
                  .agg(F.count(F.lit(1)).alias("lines")))

@@ -28,25 +28,29 @@ def strip_line_ends(col: Column | str) -> Column:
     return F.btrim(_c(col), F.lit("\r\n"))
 
 
-def expand_tabs_col(col: Column | str, tabsize: int = TAB_SIZE) -> Column:
-    """Tabs to spaces with a stop every ``tabsize`` columns.
+# Private-use character marking expanded tab stops between the passes below.
+_STOP = "\ue000"
+
 
-    The column counter restarts after ``\\r`` or ``\\n`` inside the text, as
-    Python's ``str.expandtabs`` does. Lines without a tab skip the work.
+def expand_tabs_col(col: Column | str, tabsize: int = TAB_SIZE) -> Column:
+    """Tabs to spaces with a stop every ``tabsize`` columns (as Python's
+    ``str.expandtabs``: the column restarts after ``\r`` or ``\n``).
+
+    After a tab the column is a multiple of ``tabsize``, so the padding of
+    each tab depends only on the length, modulo ``tabsize``, of the segment
+    just before it. One regex pass per remainder rewrites those tabs to stop
+    markers (the segment boundaries stay visible to the next pass), a last
+    pass turns markers into blanks. No lambda, so it stays in generated
+    code. Lines holding the marker character itself keep their tabs.
     """
     c = _c(col)
-    parts = F.split(c, "\t")
-
-    def step(acc, part):
-        grown = F.concat(acc, part)
-        column = F.length(F.regexp_extract(grown, "[^\r\n]*$", 0))
-        return F.concat(grown, F.repeat(F.lit(" "), F.lit(tabsize) - column % tabsize))
-
-    expanded = F.concat(
-        F.aggregate(F.slice(parts, 1, F.size(parts) - 1), F.lit(""), step),
-        F.element_at(parts, -1),
-    )
-    return F.when(F.instr(c, "\t") > 0, expanded).otherwise(c)
+    seg = f"[^\t\r\n{_STOP}]"
+    out = c
+    for r in range(tabsize):
+        rx = f"(?<=^|[\t\r\n{_STOP}])((?:{seg}{{{tabsize}}})*{seg}{{{r}}})\t"
+        out = F.regexp_replace(out, rx, "$1" + _STOP * (tabsize - r))
+    out = F.replace(out, F.lit(_STOP), F.lit(" "))
+    return F.when((F.instr(c, "\t") > 0) & (F.instr(c, _STOP) == 0), out).otherwise(c)
 
 
 def strip_ansi_col(col: Column | str) -> Column:
@@ -64,9 +68,9 @@ def unfold_newlines_col(col: Column | str) -> Column:
 
 
 def parse_cap(col: Column | str) -> Column:
-    """The head of a line that timestamp, format and entity scans look at."""
-    c = _c(col)
-    return F.when(F.length(c) > PARSE_CAP, F.left(c, F.lit(PARSE_CAP))).otherwise(c)
+    """The head of a line that timestamp, format and entity scans look at
+    (one reference to the line, so it stays small when inlined)."""
+    return F.left(_c(col), F.lit(PARSE_CAP))
 
 
 def normalize_lines(df: DataFrame, raw: str = "raw", out: str = "line",

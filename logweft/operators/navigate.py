@@ -86,23 +86,27 @@ def time_jump(df: DataFrame, line_no: int, steps: int, unit: str,
     if unit not in _UNITS:
         raise ValueError(f"unit must be one of m, h, d: {unit!r}")
     keys = list(by)
-    timed = df.filter(F.col("ts").isNotNull())
-    base = (timed.filter(F.col("line_no").between(line_no, line_no + 10))
-                 .groupBy(*keys)
-                 .agg(F.min_by(F.struct("line_no", "ts"), "line_no").alias("b"))
-                 .select(*keys, F.col("b.line_no").alias("base_line"),
-                         (F.col("b.ts") + _interval(steps, unit)).alias("target_ts")))
+    # Untimed lines are skipped by NULL orderings / NULL values inside the
+    # aggregates, not by a filter on ``ts`` (which Catalyst would push down,
+    # copying the timestamp expression into the filter).
+    timed_line = F.when(F.col("ts").isNotNull(), F.col("line_no"))
+    base = (df.filter(F.col("line_no").between(line_no, line_no + 10))
+              .groupBy(*keys)
+              .agg(F.min_by(F.struct("line_no", "ts"), timed_line).alias("b"))
+              .filter(F.col("b").isNotNull())
+              .select(*keys, F.col("b.line_no").alias("base_line"),
+                      (F.col("b.ts") + _interval(steps, unit)).alias("target_ts")))
     last = _last_line(df, by)
-    cand = timed.join(base, keys)
+    cand = df.join(base, keys)
     if steps > 0:
-        hits = (cand.filter((F.col("line_no") > F.col("base_line"))
-                            & (F.col("ts") >= F.col("target_ts")))
-                    .groupBy(*keys).agg(F.min("line_no").alias("hit")))
+        hit = F.when((F.col("line_no") > F.col("base_line"))
+                     & (F.col("ts") >= F.col("target_ts")), F.col("line_no"))
+        hits = cand.groupBy(*keys).agg(F.min(hit).alias("hit"))
         fallback = F.col("__last")
     else:
-        hits = (cand.filter((F.col("line_no") < F.col("base_line")) & (F.col("line_no") > 0)
-                            & (F.col("ts") <= F.col("target_ts")))
-                    .groupBy(*keys).agg(F.max("line_no").alias("hit")))
+        hit = F.when((F.col("line_no") < F.col("base_line")) & (F.col("line_no") > 0)
+                     & (F.col("ts") <= F.col("target_ts")), F.col("line_no"))
+        hits = cand.groupBy(*keys).agg(F.max(hit).alias("hit"))
         fallback = F.lit(0).cast("bigint")
     return (base.join(last, keys).join(hits, keys, "left")
                 .select(*keys, "base_line", "target_ts",
@@ -112,6 +116,8 @@ def time_jump(df: DataFrame, line_no: int, steps: int, unit: str,
 def lines_over_time(df: DataFrame, unit: str = "h", by: tuple[str, ...] = ("file",)) -> DataFrame:
     """Timed lines per minute / hour / day (and file)."""
     u = _UNITS[unit]
-    return (df.filter(F.col("ts").isNotNull())
-              .groupBy(*by, F.date_trunc(u, F.col("ts")).alias("period"))
-              .agg(F.count(F.lit(1)).alias("lines")))
+    # count(ts) is 0 exactly for the untimed group; dropped after the
+    # aggregate (a filter on ``ts`` would repeat the timestamp scan).
+    return (df.groupBy(*by, F.date_trunc(u, F.col("ts")).alias("period"))
+              .agg(F.count("ts").alias("lines"))
+              .filter(F.col("lines") > 0))

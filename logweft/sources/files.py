@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from logweft.functions.lines import normalize_lines
 from logweft.operators.numbering import byte_offsets, number_lines
-from logweft.sources.tables import natural_key
+from logweft.sources.tables import natural_key, spread
 
 
 @dataclass
@@ -129,7 +129,10 @@ def read_logs(spark: SparkSession, paths: str | list[str], on_missing: str = "ra
         df = df.withColumn("line_no", F.lit(None).cast("bigint"))
     # The file table is the driver's own listing: exact size, broadcast.
     df = df.join(F.broadcast(order), F.col("file") == F.col("__opath"), "left").drop("__opath")
-    df = normalize_lines(df).drop("__block", "__mid")
+    # Numbers are fixed above (they need the scan's own partitions); the
+    # parsing that follows may spread a narrow input over all cores.
+    df = spread(df.drop("__block", "__mid"))
+    df = normalize_lines(df)
     return LogFiles(df.select(*schema.fieldNames()), errors, files)
 
 

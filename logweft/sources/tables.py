@@ -35,6 +35,18 @@ def with_file_order(df: DataFrame, file_col: str = "file", out: str = "file_orde
               .drop("__ofile"))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Spread an input that arrives in fewer partitions than the cluster has
+    cores (one small file, one gzip file) over all of them. Decided at plan
+    time from the partition count; an input that is already wide (the
+    normal case at scale) is left as it is, with no shuffle."""
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    if df._jdf.rdd().getNumPartitions() < cores:
+        return df.repartition(cores)
+    return df
+
+
 def logs_from_table(df: DataFrame, text_col: str = "text", file_col: str | None = None,
                     order_col: str | Column | None = None, file_order: bool = False,
                     keep: tuple[str, ...] = (), numbered: bool = True) -> DataFrame:
@@ -53,6 +65,7 @@ def logs_from_table(df: DataFrame, text_col: str = "text", file_col: str | None
       only aggregate lines and need no order.
     """
     file_expr = (F.col(file_col) if file_col else F.lit("stdin")).cast("string")
+    df = spread(df)
     if order_col is None:
         text = F.regexp_replace(F.col(text_col), "\n\\z", "")
         parts = F.when(F.col(text_col) == "", F.array().cast("array<string>")) \

@@ -31,3 +31,11 @@ def test_normalize(spark):
     df = spark.createDataFrame([(0, "\r\n  a\tb\r\n"), (1, "")], "i int, raw string")
     got = [r.line for r in L.normalize_lines(df).orderBy("i").collect()]
     assert got == ["  a b", ""]
+
+
+def test_expand_tabs_random_like_python(spark):
+    import random
+    rnd = random.Random(3)
+    alphabet = ["a", "bc", "\t", "\t\t", "\r", "é", "x y", "😀", "1234"]
+    texts = ["".join(rnd.choice(alphabet) for _ in range(rnd.randint(0, 12))) for _ in range(400)]
+    assert _one(spark, texts, L.expand_tabs_col) == [t.expandtabs(4) for t in texts]
