@@ -40,6 +40,8 @@ def spread(df: DataFrame) -> DataFrame:
     cores (one small file, one gzip file) over all of them. Decided at plan
     time from the partition count; an input that is already wide (the
     normal case at scale) is left as it is, with no shuffle."""
+    if df.isStreaming:
+        return df  # a stream's partitions come from its source per batch
     spark = df.sparkSession
     cores = spark.sparkContext.defaultParallelism
     if df._jdf.rdd().getNumPartitions() < cores:
@@ -65,6 +67,11 @@ def logs_from_table(df: DataFrame, text_col: str = "text", file_col: str | None
       only aggregate lines and need no order.
     """
     file_expr = (F.col(file_col) if file_col else F.lit("stdin")).cast("string")
+    if df.isStreaming and order_col is not None and numbered:
+        raise ValueError("a stream has no global line order: pass numbered=False "
+                         "(byte offsets or event times order streamed lines)")
+    if df.isStreaming and file_order:
+        raise ValueError("file_order needs the whole file list: not available on a stream")
     df = spread(df)
     if order_col is None:
         text = F.regexp_replace(F.col(text_col), "\n\\z", "")

@@ -94,3 +94,21 @@ def test_pending_and_windows(spark, tmpdir_path):
         q.stop()
     got = sorted((r.period.minute, r.lines) for r in spark.sql("select * from win").collect())
     assert got[:2] == [(0, 2), (2, 2)]
+
+
+def test_logs_from_table_on_a_stream(spark, tmpdir_path):
+    import pytest
+    from logweft.functions.timestamps import extract_timestamp
+    from logweft.sources.tables import logs_from_table
+    src = os.path.join(tmpdir_path, "in")
+    os.makedirs(src)
+    with open(os.path.join(src, "a.txt"), "w") as fh:
+        fh.write("2024-01-01 00:00:00 one\n2024-01-01 00:00:01 two\n")
+    raw = spark.readStream.text(src)
+    with pytest.raises(ValueError):
+        logs_from_table(raw, "value", order_col="value")
+    lines = extract_timestamp(logs_from_table(raw, "value"))
+    out, ck = os.path.join(tmpdir_path, "out"), os.path.join(tmpdir_path, "ck")
+    _run(lines.select("line", "ts_layout"), out, ck)
+    got = sorted((r.line, r.ts_layout) for r in spark.read.parquet(out).collect())
+    assert got == [("2024-01-01 00:00:00 one", "iso_s"), ("2024-01-01 00:00:01 two", "iso_s")]
