@@ -99,8 +99,12 @@ def read_logs(spark: SparkSession, paths: str | list[str], on_missing: str = "ra
     if not good:
         return LogFiles(spark.createDataFrame([], schema), errors, [])
 
+    tolerant = "true" if on_missing != "raise" else "false"
+    # Tolerant reads also skip a file that fails while being read (a broken
+    # gzip stream): one bad file does not stop the others.
     text = (spark.read.option("lineSep", "\n")
-                 .option("ignoreMissingFiles", "true" if on_missing != "raise" else "false")
+                 .option("ignoreMissingFiles", tolerant)
+                 .option("ignoreCorruptFiles", tolerant)
                  .text(good))
     # The reader's own listing (hidden files skipped), in one call.
     files = sort_paths(_norm_uri(f) for f in text.inputFiles())

@@ -76,3 +76,12 @@ def test_numbering_and_offsets_across_splits(spark, tmpdir_path):
 def test_natural_order():
     names = ["app.log.10", "b.1", "app.log", "a.2", "app.log.2", "App.log.1"]
     assert sort_paths(names) == ["a.2", "app.log", "App.log.1", "app.log.2", "app.log.10", "b.1"]
+
+
+def test_corrupt_file_is_skipped_when_tolerant(spark, tmpdir_path):
+    good = _write(os.path.join(tmpdir_path, "good.log"), b"ok 1\nok 2\n")
+    bad = _write(os.path.join(tmpdir_path, "bad.log.gz"), b"\x1f\x8b\x08\x00 this is not gzip data")
+    res = read_logs(spark, [good, bad], on_missing="report")
+    assert sorted(r.line for r in res.lines.collect()) == ["ok 1", "ok 2"]
+    with pytest.raises(Exception):
+        read_logs(spark, [good, bad]).lines.collect()
