@@ -118,6 +118,41 @@ def _groups(text: Column, fmt: LineFormat) -> Column:
     return F.when(F.instr(text, _SEP) == 0, fast).otherwise(slow)
 
 
+def _classify_and_split(df: DataFrame, text: Column, format_out: str, groups_out: str) -> DataFrame:
+    """Format and access-log groups with one regex pass per format tried.
+
+    The group-splitting rewrite doubles as the match test: it returns the
+    text unchanged when the pattern does not match, and the groups joined by
+    the separator when it does. Lines that hold the separator themselves, or
+    a separator produced by an empty match, take the slow, exact path.
+    """
+    plain = F.instr(text, _SEP) == 0
+    blank = _strip_ws(text) == ""
+    guard = F.instr(text, '] "') > 0
+    tries = []
+    missed = guard & plain
+    for i, fmt in enumerate(LINE_FORMATS):
+        name = f"__try{i}"
+        replacement = _SEP.join(f"${k}" for k in range(1, len(fmt.groups) + 1))
+        # a later format is tried only on lines the earlier ones missed
+        df = df.withColumn(name, F.when(missed, F.regexp_replace(text, fmt.full, replacement)))
+        tries.append((fmt, name))
+        missed = missed & (F.coalesce(F.instr(F.col(name), _SEP), F.lit(0)) == 0)
+    fmt_expr = F.when(blank, F.lit("default")).when(is_json_col(text), F.lit("json"))
+    for fmt, name in tries:
+        hit = F.instr(F.col(name), _SEP) > 0
+        slow = ~plain & guard & text.rlike(fmt.full)
+        fmt_expr = fmt_expr.when(hit | slow, F.lit(fmt.name))
+    df = df.withColumn(format_out, fmt_expr.otherwise(F.lit("default")))
+    groups = None
+    for fmt, name in tries:
+        g = F.when(plain, F.split(F.col(name), _SEP)).otherwise(
+            F.array(*[F.regexp_extract(text, fmt.full, k) for k in range(1, len(fmt.groups) + 1)]))
+        cond = F.col(format_out) == fmt.name
+        groups = F.when(cond, g) if groups is None else groups.when(cond, g)
+    return df.withColumn(groups_out, groups).drop(*[n for _, n in tries])
+
+
 def parse_access_log(df: DataFrame, col: str = "line", format_out: str = "format") -> DataFrame:
     """Access-log columns for lines classified ``common`` or ``combined``.
 
@@ -128,17 +163,19 @@ def parse_access_log(df: DataFrame, col: str = "line", format_out: str = "format
     and ``referrer_clean`` / ``user_agent_clean``: a usual NCSA-combined line
     is a *common* line whose referrer swallowed ``" "user agent``.
     """
-    if format_out not in df.columns:
-        df = classify_lines(df, col, format_out)
     text = parse_cap(F.col(col))
-    fmt_c = F.col(format_out)
     tmp = "__access_groups"
-    groups_expr = None
-    for fmt in LINE_FORMATS:
-        g = _groups(text, fmt)
-        groups_expr = (F.when(fmt_c == fmt.name, g) if groups_expr is None
-                       else groups_expr.when(fmt_c == fmt.name, g))
-    df = df.withColumn(tmp, groups_expr)
+    if format_out in df.columns:
+        fmt_c = F.col(format_out)
+        groups_expr = None
+        for fmt in LINE_FORMATS:
+            g = _groups(text, fmt)
+            groups_expr = (F.when(fmt_c == fmt.name, g) if groups_expr is None
+                           else groups_expr.when(fmt_c == fmt.name, g))
+        df = df.withColumn(tmp, groups_expr)
+    else:
+        df = _classify_and_split(df, text, format_out, tmp)
+        fmt_c = F.col(format_out)
     g = F.col(tmp)
     cols = {}
     for field in ACCESS_FIELDS:
