@@ -21,9 +21,11 @@ def tail_logs(spark: SparkSession, paths: str | list[str], starting_position: st
               max_bytes_per_trigger: int | None = None, chunk_bytes: int | None = None) -> DataFrame:
     """Stream of the complete lines appended to growing files.
 
-    Columns: file, byte_offset (where the line starts), raw, line. Pause /
-    resume = stop the query and start it again on the same checkpoint: it
-    continues at the stored offsets.
+    Columns: file, byte_offset (where the line starts), raw, line, error
+    (NULL on lines; a row with the message when a file cannot be read, which
+    is then skipped while the others go on). Pause / resume = stop the query
+    and start it again on the same checkpoint: it continues at the stored
+    offsets.
     """
     if isinstance(paths, str):
         paths = [paths]
@@ -67,6 +69,8 @@ def pending_lines(df: DataFrame, seen: dict[str, int] | None = None) -> DataFram
     """Running count of lines per file past the position the reader has
     seen (``seen``: file -> byte offset; all lines when None). Use with
     ``outputMode("update")`` or ``("complete")``."""
+    if "error" in df.columns:
+        df = df.filter(F.col("error").isNull())  # error reports are no lines
     if seen:
         cond = None
         for path, pos in seen.items():

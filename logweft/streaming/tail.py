@@ -22,7 +22,8 @@ Options (``spark.readStream.format("logtail").option(...)``):
 Offsets are ``{path: {"gen": g, "pos": p}}``; when a file shrinks below its
 offset (truncated or rotated) ``gen`` goes up and reading restarts at 0.
 A file that cannot be read keeps its old offset and is skipped; the others
-go on.
+go on. The failure is reported once, as a row whose ``error`` column holds
+the message (``error`` is NULL on every line).
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ from dataclasses import dataclass
 
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
-SCHEMA = "file string, byte_offset bigint, raw string"
+SCHEMA = "file string, byte_offset bigint, raw string, error string"
 # Fixed value: read size when looking back for the last newline (64 KiB).
 LOOKBACK = 64 * 1024
 DEFAULT_CHUNK = 32 * 1024 * 1024
@@ -56,6 +57,12 @@ def last_line_end(path: str, size: int, floor: int = 0) -> int:
     return floor
 
 
+@dataclass
+class TailError(InputPartition):
+    path: str
+    message: str
+
+
 @dataclass
 class TailPartition(InputPartition):
     path: str
@@ -106,9 +113,10 @@ class TailReader(DataSourceStreamReader):
         out = {}
         for p in self.paths:
             prev = base.get(p, {"gen": 0, "pos": 0})
+            kept = {"gen": prev["gen"], "pos": prev["pos"]}
             size = self._size(p)
             if size is None:          # unreadable now: keep its place, skip it
-                out[p] = prev
+                out[p] = {**kept, "err": "cannot read file"}
                 continue
             gen, floor = prev["gen"], prev["pos"]
             if size < floor:          # truncated / rotated: start again at 0
@@ -121,8 +129,8 @@ class TailReader(DataSourceStreamReader):
                 if pos == floor and limit < size:
                     # one line longer than the cap: take it whole
                     pos = last_line_end(p, size, floor)
-            except OSError:
-                out[p] = prev
+            except OSError as err:
+                out[p] = {**kept, "err": str(err)[:300]}
                 continue
             out[p] = {"gen": gen, "pos": pos}
         self._known = out
@@ -135,6 +143,10 @@ class TailReader(DataSourceStreamReader):
             if e is None:
                 continue
             s = start.get(p, {"gen": e["gen"], "pos": 0})
+            if e.get("err"):
+                if not s.get("err"):   # report a failure once, when it starts
+                    parts.append(TailError(p, e["err"]))
+                continue
             lo = s["pos"] if s["gen"] == e["gen"] else 0
             hi = e["pos"]
             a = lo
@@ -145,11 +157,15 @@ class TailReader(DataSourceStreamReader):
         self._known = end
         return parts
 
-    def read(self, partition: TailPartition):
+    def read(self, partition):
         part = partition
+        if isinstance(part, TailError):
+            yield (part.path, None, None, part.message)
+            return
         try:
             fh = open(part.path, "rb")
-        except OSError:
+        except OSError as err:
+            yield (part.path, None, None, f"cannot read file: {err}"[:300])
             return
         with fh:
             pos = part.chunk_start
@@ -170,7 +186,7 @@ class TailReader(DataSourceStreamReader):
                 if pos > part.end:
                     break  # never past the batch end (a line still being written)
                 text = data[:-1] if data.endswith(b"\n") else data
-                yield (part.path, line_start, text.decode("utf-8", errors="replace"))
+                yield (part.path, line_start, text.decode("utf-8", errors="replace"), None)
 
     def commit(self, end: dict) -> None:
         self._known = end

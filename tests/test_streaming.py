@@ -112,3 +112,16 @@ def test_logs_from_table_on_a_stream(spark, tmpdir_path):
     _run(lines.select("line", "ts_layout"), out, ck)
     got = sorted((r.line, r.ts_layout) for r in spark.read.parquet(out).collect())
     assert got == [("2024-01-01 00:00:00 one", "iso_s"), ("2024-01-01 00:00:01 two", "iso_s")]
+
+
+def test_tail_unreadable_file_is_reported_and_skipped(spark, tmpdir_path):
+    good = os.path.join(tmpdir_path, "good.log")
+    with open(good, "w") as fh:
+        fh.write("g1\ng2\n")
+    missing = os.path.join(tmpdir_path, "missing.log")
+    out, ck = os.path.join(tmpdir_path, "out"), os.path.join(tmpdir_path, "ck")
+    _run(tail_logs(spark, [good, missing], starting_position="earliest"), out, ck)
+    rows = spark.read.parquet(out).collect()
+    assert sorted(r.line for r in rows if r.error is None) == ["g1", "g2"]
+    errs = [r for r in rows if r.error is not None]
+    assert len(errs) == 1 and errs[0].file == missing
