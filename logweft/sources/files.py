@@ -19,7 +19,7 @@ from typing import Iterable
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from logweft.functions.lines import normalize_lines
-from logweft.operators.numbering import byte_offsets, number_lines
+from logweft.operators.numbering import byte_offsets, maybe_broadcast, number_lines
 from logweft.sources.tables import natural_key, spread
 
 
@@ -131,8 +131,10 @@ def read_logs(spark: SparkSession, paths: str | list[str], on_missing: str = "ra
         df = number_lines(df, max_blocks=max_blocks, path_bytes=path_bytes)
     else:
         df = df.withColumn("line_no", F.lit(None).cast("bigint"))
-    # The file table is the driver's own listing: exact size, broadcast.
-    df = df.join(F.broadcast(order), F.col("file") == F.col("__opath"), "left").drop("__opath")
+    # The file table is the reader's own listing: its size is known exactly,
+    # so it is broadcast when within the bound (one row per file).
+    order = maybe_broadcast(order, len(files), path_bytes + 8)
+    df = df.join(order, F.col("file") == F.col("__opath"), "left").drop("__opath")
     # Numbers are fixed above (they need the scan's own partitions); the
     # parsing that follows may spread a narrow input over all cores.
     df = spread(df.drop("__block", "__mid"))
