@@ -492,6 +492,20 @@ def q_line_page(spark, sf_dir):
     return navigate.line_page(_docs(spark, sf_dir), 2, 3).select("file", "line_no", "line")
 
 
+@query("line_page_table", f"""
+WITH {_DOCLINES}
+SELECT file, line_no, line FROM doclines WHERE line_no BETWEEN 10 AND 19
+""")
+def q_line_page_table(spark, sf_dir):
+    """Lines 10..19 of every document from a parquet log table (written once,
+    clustered by file and line): the line range is pruned at the scan."""
+    from logweft.session import shared_dir
+    from logweft.sources.sinks import read_log_table, write_log_table
+    path = shared_dir(spark, "log-table")
+    write_log_table(_docs(spark, sf_dir), path)
+    return navigate.line_page(read_log_table(spark, path), 10, 10).select("file", "line_no", "line")
+
+
 @query("head_lines", f"""
 WITH {_DOCLINES}
 SELECT file, line_no, line FROM doclines WHERE line_no < 2
