@@ -73,44 +73,48 @@ def _interval(steps: int, unit: str) -> F.Column:
 
 
 def time_jump(df: DataFrame, line_no: int, steps: int, unit: str,
-              by: tuple[str, ...] = ("file",)) -> DataFrame:
+              by: tuple[str, ...] = ("file",), position: str = "line_no") -> DataFrame:
     """Where a jump of ``steps`` minutes / hours / days from line ``line_no``
-    lands, in every file at once.
+    lands, in every file at once (or, with ``by=()`` and
+    ``position="merged_no"``, in the merged log).
 
     The base is the first timed line among ``line_no`` .. ``line_no+10``
-    (no base -> no row for that file). Forward: the first later line whose
-    time is at or after base + delta, else the last line. Backward: the
-    nearest earlier line (above line 0) whose time is at or before
-    base + delta, else line 0. Three small aggregates joined per file.
+    (no base -> no row). Forward: the first later line whose time is at or
+    after base + delta, else the last line. Backward: the nearest earlier
+    line (above line 0) whose time is at or before base + delta, else line
+    0. Three small aggregates joined per file.
     """
     if unit not in _UNITS:
         raise ValueError(f"unit must be one of m, h, d: {unit!r}")
+    pos = F.col(position)
+    if not by:  # the whole log: one constant key keeps the joins equi-joins
+        df = df.withColumn("__all", F.lit(0))
+        by = ("__all",)
     keys = list(by)
     # Untimed lines are skipped by NULL orderings / NULL values inside the
     # aggregates, not by a filter on ``ts`` (which Catalyst would push down,
     # copying the timestamp expression into the filter).
-    timed_line = F.when(F.col("ts").isNotNull(), F.col("line_no"))
-    base = (df.filter(F.col("line_no").between(line_no, line_no + 10))
+    timed_pos = F.when(F.col("ts").isNotNull(), pos)
+    base = (df.filter(pos.between(line_no, line_no + 10))
               .groupBy(*keys)
-              .agg(F.min_by(F.struct("line_no", "ts"), timed_line).alias("b"))
+              .agg(F.min_by(F.struct(pos.alias("p"), F.col("ts").alias("ts")), timed_pos).alias("b"))
               .filter(F.col("b").isNotNull())
-              .select(*keys, F.col("b.line_no").alias("base_line"),
+              .select(*keys, F.col("b.p").alias("base_line"),
                       (F.col("b.ts") + _interval(steps, unit)).alias("target_ts")))
-    last = _last_line(df, by)
+    last = df.groupBy(*keys).agg(F.max(pos).alias("__last"))
     cand = df.join(base, keys)
     if steps > 0:
-        hit = F.when((F.col("line_no") > F.col("base_line"))
-                     & (F.col("ts") >= F.col("target_ts")), F.col("line_no"))
+        hit = F.when((pos > F.col("base_line")) & (F.col("ts") >= F.col("target_ts")), pos)
         hits = cand.groupBy(*keys).agg(F.min(hit).alias("hit"))
         fallback = F.col("__last")
     else:
-        hit = F.when((F.col("line_no") < F.col("base_line")) & (F.col("line_no") > 0)
-                     & (F.col("ts") <= F.col("target_ts")), F.col("line_no"))
+        hit = F.when((pos < F.col("base_line")) & (pos > 0) & (F.col("ts") <= F.col("target_ts")), pos)
         hits = cand.groupBy(*keys).agg(F.max(hit).alias("hit"))
         fallback = F.lit(0).cast("bigint")
-    return (base.join(last, keys).join(hits, keys, "left")
-                .select(*keys, "base_line", "target_ts",
-                        F.coalesce(F.col("hit"), fallback).alias("line_no")))
+    out = (base.join(last, keys).join(hits, keys, "left")
+               .select(*keys, "base_line", "target_ts",
+                       F.coalesce(F.col("hit"), fallback).alias(position)))
+    return out.drop("__all") if keys == ["__all"] else out
 
 
 def lines_over_time(df: DataFrame, unit: str = "h", by: tuple[str, ...] = ("file",)) -> DataFrame:

@@ -83,3 +83,17 @@ def test_save_merged_drops_blank_lines(spark, tmpdir_path):
     text = "".join(open(os.path.join(out, f)).read()
                    for f in sorted(os.listdir(out)) if f.startswith("part-"))
     assert n == 2 and text == "2024-01-01 00:00:01 b\n2024-01-01 00:00:02 a\n"
+
+
+def test_time_jump_on_merged_log(spark):
+    from logweft.operators import navigate
+    files = {"a.log": [f"2024-01-01 00:{m:02d}:00 a" for m in range(0, 60, 7)],
+             "b.log": ["head"] + [f"2024-01-01 00:{m:02d}:30 b" for m in range(0, 60, 5)]}
+    merged = merge.merged_positions(table(spark, files), timed=True, partitions=3)
+    rows = sorted((r.merged_no, r.ts) for r in merged.select("merged_no", "ts").collect())
+    got = navigate.time_jump(merged, 3, 20, "m", by=(), position="merged_no").collect()
+    # Python walk over the merged order
+    base = next(i for i, t in rows[3:14] if t is not None)
+    target = dict(rows)[base] + __import__("datetime").timedelta(minutes=20)
+    want = next((i for i, t in rows if i > base and t is not None and t >= target), rows[-1][0])
+    assert [(r.base_line, r.merged_no) for r in got] == [(base, want)]
