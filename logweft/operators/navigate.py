@@ -20,40 +20,56 @@ def line_counts(df: DataFrame, by: tuple[str, ...] = ("file",)) -> DataFrame:
     return df.groupBy(*by).agg(F.count(F.lit(1)).alias("lines"))
 
 
-def _last_line(df: DataFrame, by: tuple[str, ...]) -> DataFrame:
-    return df.groupBy(*by).agg(F.max("line_no").alias("__last"))
+def _keyed(df: DataFrame, by: tuple[str, ...]) -> tuple[DataFrame, list[str]]:
+    """Per-file keys, or one constant key for the whole (merged) log, so the
+    joins below stay equi-joins."""
+    if by:
+        return df, list(by)
+    return df.withColumn("__all", F.lit(0)), ["__all"]
 
 
-def goto_line(df: DataFrame, n: int | str, by: tuple[str, ...] = ("file",)) -> DataFrame:
-    """The line the user means by 1-based ``n`` in each file, clamped to
-    the first and last line. Not a number -> no rows."""
+def _last_line(df: DataFrame, by: tuple[str, ...], position: str = "line_no") -> DataFrame:
+    return df.groupBy(*by).agg(F.max(position).alias("__last"))
+
+
+def goto_line(df: DataFrame, n: int | str, by: tuple[str, ...] = ("file",),
+              position: str = "line_no") -> DataFrame:
+    """The line the user means by 1-based ``n`` in each file (or in the
+    merged log: ``by=()``, ``position="merged_no"``), clamped to the first
+    and last line. Not a number -> no rows."""
     try:
         target = int(n) - 1
     except (TypeError, ValueError):
         return df.limit(0)
-    last = _last_line(df, by).select(
-        *by, F.greatest(F.lit(0), F.least(F.lit(target), F.col("__last"))).alias("__target"))
+    df, keys = _keyed(df, by)
+    last = _last_line(df, tuple(keys), position).select(
+        *keys, F.greatest(F.lit(0), F.least(F.lit(target), F.col("__last"))).alias("__target"))
     # The clamped line is never past n-1: that bound prunes at the scan.
-    return (df.filter(F.col("line_no") <= F.lit(max(target, 0)))
-              .join(last, list(by))
-              .filter(F.col("line_no") == F.col("__target")).drop("__target"))
+    out = (df.filter(F.col(position) <= F.lit(max(target, 0)))
+             .join(last, keys)
+             .filter(F.col(position) == F.col("__target")).drop("__target"))
+    return out.drop("__all") if keys == ["__all"] else out
 
 
-def line_page(df: DataFrame, start: int, count: int) -> DataFrame:
-    """Lines ``start`` .. ``start+count-1`` (0-based) of every file."""
-    return df.filter(F.col("line_no").between(start, start + count - 1))
+def line_page(df: DataFrame, start: int, count: int, position: str = "line_no") -> DataFrame:
+    """Lines ``start`` .. ``start+count-1`` (0-based) of every file (or of
+    the merged log with ``position="merged_no"``)."""
+    return df.filter(F.col(position).between(start, start + count - 1))
 
 
-def head_lines(df: DataFrame, n: int) -> DataFrame:
-    """First ``n`` lines of every file."""
-    return df.filter(F.col("line_no") < F.lit(n))
+def head_lines(df: DataFrame, n: int, position: str = "line_no") -> DataFrame:
+    """First ``n`` lines of every file (or of the merged log)."""
+    return df.filter(F.col(position) < F.lit(n))
 
 
-def last_lines(df: DataFrame, n: int, by: tuple[str, ...] = ("file",)) -> DataFrame:
-    """Last ``n`` lines of every file."""
-    last = _last_line(df, by)
-    return df.join(last, list(by)).filter(F.col("line_no") > F.col("__last") - F.lit(n)) \
-             .drop("__last")
+def last_lines(df: DataFrame, n: int, by: tuple[str, ...] = ("file",),
+               position: str = "line_no") -> DataFrame:
+    """Last ``n`` lines of every file (or of the merged log: ``by=()``)."""
+    df, keys = _keyed(df, by)
+    last = _last_line(df, tuple(keys), position)
+    out = (df.join(last, keys).filter(F.col(position) > F.col("__last") - F.lit(n))
+             .drop("__last"))
+    return out.drop("__all") if keys == ["__all"] else out
 
 
 def line_facts(df: DataFrame) -> DataFrame:
@@ -101,7 +117,7 @@ def time_jump(df: DataFrame, line_no: int, steps: int, unit: str,
               .filter(F.col("b").isNotNull())
               .select(*keys, F.col("b.p").alias("base_line"),
                       (F.col("b.ts") + _interval(steps, unit)).alias("target_ts")))
-    last = df.groupBy(*keys).agg(F.max(pos).alias("__last"))
+    last = _last_line(df, tuple(keys), position)
     cand = df.join(base, keys)
     if steps > 0:
         hit = F.when((pos > F.col("base_line")) & (F.col("ts") >= F.col("target_ts")), pos)

@@ -97,3 +97,15 @@ def test_time_jump_on_merged_log(spark):
     target = dict(rows)[base] + __import__("datetime").timedelta(minutes=20)
     want = next((i for i, t in rows if i > base and t is not None and t >= target), rows[-1][0])
     assert [(r.base_line, r.merged_no) for r in got] == [(base, want)]
+
+
+def test_navigation_on_merged_log(spark):
+    from logweft.operators import navigate
+    merged = merge.merged_positions(table(spark, FILES), timed=True, partitions=3)
+    n = merged.count()
+    go = lambda k: [r.merged_no for r in navigate.goto_line(merged, k, by=(), position="merged_no").collect()]
+    assert go(5) == [4] and go(10_000) == [n - 1]
+    tail = sorted(r.merged_no for r in navigate.last_lines(merged, 3, by=(), position="merged_no").collect())
+    assert tail == [n - 3, n - 2, n - 1]
+    page = sorted(r.merged_no for r in navigate.line_page(merged, 2, 3, position="merged_no").collect())
+    assert page == [2, 3, 4]
