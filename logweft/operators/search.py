@@ -226,3 +226,19 @@ def complete(index: DataFrame, text: str) -> DataFrame:
     head = text[: len(text) - len(last)]
     return (index.filter(F.col("prefix") == last.lower())
                  .select(F.concat(F.lit(head), F.col("word")).alias("suggestion")))
+
+
+def complete_all(index: DataFrame, typed: DataFrame, col: str = "typed",
+                 out: str = "suggestion") -> DataFrame:
+    """:func:`complete` for a whole column of typed texts: an equi-join of
+    each text's lower-cased last word with the completion index. NULL when
+    the last word is empty or has no completion."""
+    last = F.regexp_extract(F.col(col), r'(?U)[^\s/\[\]\(\)"]*$', 0)
+    keyed = typed.withColumn("__last", last)
+    idx = index.select(F.col("prefix").alias("__prefix"), F.col("word").alias("__word"))
+    joined = keyed.join(idx, (F.lower(F.col("__last")) == F.col("__prefix"))
+                        & (F.col("__last") != ""), "left")
+    head = F.expr(f"substring({col}, 1, length({col}) - length(__last))")
+    return (joined.withColumn(out, F.when(F.col("__word").isNotNull(),
+                                          F.concat(head, F.col("__word"))))
+                  .drop("__last", "__prefix", "__word"))

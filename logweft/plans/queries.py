@@ -845,6 +845,35 @@ def q_suggest_words(spark, sf_dir):
     return search.suggest_words(_docs(spark, sf_dir))
 
 
+@query("complete_words", f"""
+WITH {_DOCLINES},
+words AS (
+  SELECT DISTINCT token AS word FROM (
+    SELECT unnest(regexp_split_to_array(line, '[\\s/\\[\\]\\(\\)"]')) AS token FROM doclines) t
+  WHERE length(token) >= 3),
+prefixes AS (SELECT word, unnest(range(1, length(word) - 1)) AS n FROM words),
+idx AS (
+  SELECT lower(substr(word, 1, n)) AS prefix,
+         first(word ORDER BY length(word) DESC, word DESC) AS word
+  FROM prefixes GROUP BY 1),
+typed AS (
+  SELECT file, line_no, left(line, 3) AS typed,
+         regexp_extract(left(line, 3), '[^\\s/\\[\\]\\(\\)"]*$', 0) AS last
+  FROM doclines)
+SELECT t.file, t.line_no, t.typed,
+       CASE WHEN i.word IS NULL THEN NULL
+            ELSE substr(t.typed, 1, length(t.typed) - length(t.last)) || i.word END AS suggestion
+FROM typed t LEFT JOIN idx i ON lower(t.last) = i.prefix AND t.last <> ''
+""")
+def q_complete_words(spark, sf_dir):
+    """Complete the first three typed characters of every line from the
+    documents' own completion index."""
+    docs = _docs(spark, sf_dir)
+    index = search.suggest_words(docs)
+    typed = docs.select("file", "line_no", F.left("line", F.lit(3)).alias("typed"))
+    return search.complete_all(index, typed).select("file", "line_no", "typed", "suggestion")
+
+
 # ------------------------------------------------------------ entities (E)
 @query("extract_entities", None)
 def q_extract_entities(spark, sf_dir):

@@ -57,3 +57,12 @@ def test_tokens_and_completion(spark):
     assert sug["g"] == "getting" and sug["ge"] == "getting" and sug["it"] == "items"
     assert "getti" in sug and "gettin" not in sug
     assert [r.suggestion for r in search.complete(index, "find /it").collect()] == ["find /items"]
+
+
+def test_complete_all(spark):
+    df = lines_df(spark, ["getting items", "GET /api"])
+    index = search.suggest_words(df)
+    typed = spark.createDataFrame([(0, "find /it"), (1, "x ge"), (2, "none "), (3, "zzz")],
+                                  "i int, typed string")
+    got = {r.i: r.suggestion for r in search.complete_all(index, typed).collect()}
+    assert got == {0: "find /items", 1: "x getting", 2: None, 3: None}
