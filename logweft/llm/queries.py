@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from typing import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from logweft.llm import common as c
-from logweft.llm import exact_dedup, substring_dedup, suffix_dedup
+from logweft.llm import (bpe_codec, exact_dedup, jaccard_join, packing, quality_rules, secret_scan, substring_dedup,
+                         suffix_dedup, wavelet_shards)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -74,6 +76,27 @@ def op5_suffix_array_dedup(spark, sf_dir):
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+@query("op7_jaccard_join", f"""
+WITH RECURSIVE docs AS (
+  SELECT doc_id, {_WORDS.replace("coalesce(text, '')", "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS w
+  FROM documents),
+spot AS (SELECT doc_id, w, unnest(range(greatest(len(w) - 4, 1))) AS i FROM docs WHERE len(w) > 0),
+sh AS (SELECT DISTINCT doc_id, array_to_string(w[i + 1:i + 5], ' ') AS s FROM spot),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY 1),
+shared AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS i FROM sh a JOIN sh b USING (s)
+         WHERE a.doc_id <> b.doc_id GROUP BY 1, 2),
+links AS (SELECT x, y FROM shared JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y
+          WHERE 100 * i >= 80 * (a.n + b.n - i)),
+reach(x, y) AS (SELECT x, y FROM links UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x)
+SELECT d.doc_id, CAST(coalesce(any_value(n.n), 0) AS BIGINT) AS n_shingles,
+       least(d.doc_id, coalesce(min(r.y), d.doc_id)) AS component_id
+FROM docs d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN reach r ON r.x = d.doc_id GROUP BY d.doc_id
+""")
+def op7_jaccard_join(spark, sf_dir):
+    """Components of documents whose five-word shingle sets have Jaccard similarity 0.8 or more."""
+    return jaccard_join.near_duplicates(documents(spark, sf_dir))
+
+
 @query("op8_exact_dedup", """
 SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
        doc_id = max(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256
@@ -82,3 +105,80 @@ FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))
 def op8_exact_dedup(spark, sf_dir):
     """``documents`` as one batch against a new persistent digest index."""
     return exact_dedup.dedup_exact(documents(spark, sf_dir))
+
+
+@query("op2_bpe_codec")
+def op2_bpe_codec(spark, sf_dir):
+    """Every text of ``documents`` encoded and decoded with the 49k word vocabulary through the distinct-word table."""
+    return bpe_codec.encode_decode(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), digests=True)
+
+
+@query("op3_quality_rules")
+def op3_quality_rules(spark, sf_dir):
+    """Counts, base rules and suffix-array repetition of every document."""
+    out = quality_rules.measure(documents(spark, sf_dir).select("doc_id", "text"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
+                      "kept", "n_covered_words", "longest_repeat")
+
+
+@query("op4_best_fit_packing")
+def op4_best_fit_packing(spark, sf_dir):
+    """All documents, by word count, packed into sequences of 512 to 4,096 words."""
+    return packing.pack_documents(documents(spark, sf_dir))
+
+
+_KINDS = secret_scan.KINDS
+
+
+def _sql_text(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+_OP6_FOUND = " UNION ALL ".join(
+    f"SELECT doc_id, {k} AS k, unnest(range(len(m))) AS i, unnest(m) AS m, unnest(v) AS v, unnest(g[:len(m)]) AS g "
+    f"FROM (SELECT doc_id, regexp_extract_all(t, {_sql_text(kind.pattern)}, 0) AS m, "
+    f"regexp_extract_all(t, {_sql_text(kind.pattern)}, {kind.group}) AS v, "
+    f"string_split_regex(t, {_sql_text(kind.pattern)}) AS g FROM docs)" for k, kind in enumerate(_KINDS))
+_OP6_LIST = ", ".join(f"({k}, '{kind.name}', {kind.least}, {str(kind.base).lower()})" for k, kind in enumerate(_KINDS))
+
+
+@query("op6_secret_scan", f"""
+WITH docs AS (SELECT doc_id, source, lang, coalesce(text, '') AS t FROM documents),
+kinds(k, name, least, base) AS (VALUES {_OP6_LIST}),
+found AS ({_OP6_FOUND}),
+placed AS (SELECT doc_id, k, v, length(m) AS size,
+                  sum(length(g) + length(m)) OVER (PARTITION BY doc_id, k ORDER BY i) AS stop FROM found),
+long_enough AS (SELECT doc_id, k, name, base, v, CAST(stop - size AS BIGINT) AS a, CAST(stop AS BIGINT) AS b
+                FROM placed JOIN kinds USING (k) WHERE length(v) >= least),
+owned AS (SELECT v, count(DISTINCT source) > {secret_scan.MAX_OWNERS}
+                    OR count(DISTINCT concat_ws('/', source, lang)) > {secret_scan.MAX_REPOSITORIES} AS shared
+          FROM long_enough JOIN docs USING (doc_id) GROUP BY v),
+spans AS (SELECT doc_id, k, name, base, a, b, shared FROM long_enough JOIN owned USING (v)
+          WHERE base OR (NOT shared AND regexp_matches(v, '[A-Za-z]') AND regexp_matches(v, '[0-9]')
+                         AND NOT regexp_matches(v, {_sql_text(secret_scan.PLACEHOLDER)})
+                         AND replace(v, substr(v, 1, 1), '') <> ''))
+SELECT d.doc_id, count(*) FILTER (name = 'assign') AS n_assign, count(*) FILTER (name = 'access') AS n_access,
+       count(*) FILTER (name = 'hex') AS n_hex,
+       sha256(coalesce(string_agg(name || ':' || a || ':' || b, ',' ORDER BY a, k) FILTER (base), '')) AS base_sha256,
+       coalesce(string_agg(name || ':' || a || ':' || b, ',' ORDER BY a, k), '') AS spans,
+       count(*) FILTER (shared) AS n_shared, count(*) FILTER (NOT shared) AS n_owner_specific
+FROM docs d LEFT JOIN spans USING (doc_id) GROUP BY d.doc_id
+""")
+def op6_secret_scan(spark, sf_dir):
+    """Secrets of every document, with owner-specific candidates by corpus-wide ownership (owner: source)."""
+    out = secret_scan.scan_documents(documents(spark, sf_dir))
+    spans = F.col("spans")
+    of_kind = lambda kind: F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
+    shared = lambda flag: F.size(F.filter(spans, lambda s: s["shared"] == F.lit(flag))).cast("long")
+    return out.select(
+        "doc_id", of_kind("assign").alias("n_assign"), of_kind("access").alias("n_access"), of_kind("hex").alias("n_hex"),
+        F.sha2(secret_scan.joined_spans(F.filter(spans, lambda s: s["base"])), 256).alias("base_sha256"),
+        secret_scan.joined_spans(spans).alias("spans"), shared(True).alias("n_shared"),
+        shared(False).alias("n_owner_specific"))
+
+
+@query("op10_wavelet_shards")
+def op10_wavelet_shards(spark, sf_dir):
+    """Token ids of every document (50k byte vocabulary) written as wavelet-matrix shards and read back."""
+    shards = wavelet_shards.write_shards(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+    return wavelet_shards.document_checksums(shards)
