@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from logweft.llm import common as c
-from logweft.llm import (bpe_codec, exact_dedup, jaccard_join, packing, quality_rules, secret_scan, substring_dedup,
+from logweft.llm import (bpe_codec, exact_dedup, html_text, jaccard_join, packing, quality_rules, secret_scan, substring_dedup,
                          suffix_dedup, wavelet_shards)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -182,3 +182,11 @@ def op10_wavelet_shards(spark, sf_dir):
     """Token ids of every document (50k byte vocabulary) written as wavelet-matrix shards and read back."""
     shards = wavelet_shards.write_shards(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
     return wavelet_shards.document_checksums(shards)
+
+
+@query("op9_html_text")
+def op9_html_text(spark, sf_dir):
+    """Visible text of every page of ``pages``, laid out."""
+    c.prepare(spark)
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "html")
+    return html_text.extract(pages).select("page_id", "text", F.length("text").cast("long").alias("n_chars"))
