@@ -82,3 +82,18 @@ def dedup_exact(docs: DataFrame, index: str | None = None, buckets: int = BUCKET
         marked = marked.join(one, "digest", "left").withColumn("mine", F.col("mine") & (F.col("row") == F.col("one")))
     return marked.select("doc_id", "keep_id", "group_size", F.col("mine").alias("kept"),
                          F.col("digest").alias("text_sha256"))
+
+
+def keep_new(docs: DataFrame, index: str | None = None, buckets: int = BUCKETS, id_col: str = "doc_id",
+             text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that :func:`dedup_exact` keeps, all columns unchanged; their texts join the index."""
+    spark = c.prepare(docs.sparkSession)
+    index = index or create_index(spark, buckets=buckets)
+    new = append_new(c.written(batch_groups(docs, id_col, text_col), "digests"), index, buckets)
+    verdict = new.select(F.col("digest").alias("__digest"), F.col("keep_id").alias("__keep"))
+    mine = F.col(id_col).cast("long").eqNullSafe(F.col("__keep"))
+    rows = docs.withColumn("__digest", text_digest(F.col(text_col))).join(verdict, "__digest").filter(mine)
+    narrow = docs.select(F.col(id_col), text_digest(F.col(text_col)).alias("__digest")).join(verdict, "__digest")
+    if narrow.filter(mine).groupBy("__digest").count().filter("count > 1").limit(1).count():
+        rows = rows.dropDuplicates(["__digest"])       # rows that repeat the id that stays
+    return rows.select(*docs.columns)
