@@ -349,14 +349,13 @@ def page_text(page: str | None) -> str:
 
 
 def extract(pages: DataFrame, html_col: str = "html", out: str = "text") -> DataFrame:
-    """All columns of ``pages`` and the visible text in ``out`` (which must not exist yet).
+    """All columns of ``pages`` and the visible text in ``out`` (another column of that name is replaced).
 
     Null or empty pages give an empty text; rows are independent, so repeated rows, null ids and other columns pass
     through; an empty table gives an empty result. Pages of any size are read whole.
     """
     c.prepare(pages.sparkSession)
-    if out in pages.columns:
-        raise ValueError(f"column {out} exists")
+    pages = pages.drop(out)
     schema = pages.withColumn(out, F.lit("")).schema
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

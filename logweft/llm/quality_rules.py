@@ -179,12 +179,11 @@ def measure(docs: DataFrame, text_col: str = "text", limits: Limits = Limits(),
 
     Null and empty texts have no words: all measures 0, ``base_failed`` true, ``kept`` false. Rows are independent:
     repeated rows, null ids and other columns pass through, and an empty table gives an empty result. A column of
-    ``docs`` that bears the name of a measure needs a ``prefix``.
+    ``docs`` that bears the name of a measure is replaced by it.
     """
     c.prepare(docs.sparkSession)
     extra = [prefix + name for name in (*MEASURES, *VERDICTS)]
-    if clash := set(extra) & set(docs.columns):
-        raise ValueError(f"columns {sorted(clash)} exist; pass a prefix")
+    docs = docs.drop(*extra)
     schema = T.StructType([*docs.schema.fields, *[T.StructField(prefix + x, T.LongType()) for x in MEASURES],
                            *[T.StructField(prefix + x, T.BooleanType()) for x in VERDICTS]])
 
