@@ -10,8 +10,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from logweft.schema import PARSE_CAP
-
 # Entity kinds and their patterns, in the order they are tried.
 # (?U): \w, \d, \b
 # follow Unicode as Python's str patterns do; (?d): only \n ends a line.
@@ -93,15 +91,14 @@ def _kind_of(match: Column) -> Column:
 def entities_col(col: Column | str = "line") -> Column:
     """ARRAY<STRUCT<kind STRING, value STRING>> of the entities in the text.
 
-    One regex pass over the line finds all matches; each (short) match is
-    then labelled. Lines of 10,000 characters or more are not scanned.
+    One regex pass over the whole line finds all matches; each (short) match
+    is then labelled.
     """
     c = F.col(col) if isinstance(col, str) else col
     matches = F.regexp_extract_all(c, F.lit(ENTITY_RX), 0)
     labelled = F.transform(matches, lambda m: F.struct(_kind_of(m).alias("kind"),
                                                        m.alias("value")))
-    return F.when(F.length(c) < PARSE_CAP, labelled) \
-            .otherwise(F.array().cast("array<struct<kind:string,value:string>>"))
+    return labelled
 
 
 def extract_entities(df: DataFrame, col: str = "line",

@@ -10,34 +10,59 @@ that rewrites the line to its groups joined by a separator).
 from __future__ import annotations
 
 from dataclasses import dataclass
+from typing import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from logweft.functions.lines import parse_cap
 from logweft.functions.timestamps import parse_timestamp_value
 
 
 @dataclass(frozen=True)
 class LineFormat:
-    """A regex line format: full-match pattern and its group names in order."""
+    """A regex line format: full-match pattern and its group names in order.
+
+    ``split`` (same groups) and ``test`` are optional faster forms: ``test``
+    matches exactly the lines that ``regex`` matches, and on those ``split``
+    gives exactly its groups.
+    """
 
     name: str
     regex: str
     groups: tuple[str, ...]
+    split: str | None = None
+    test: str | None = None
+
+    @staticmethod
+    def _whole(regex: str) -> str:
+        # (?d): only \n ends a line for '.', as in Python; \z: whole text.
+        return "(?d)^(?:" + regex + r")\z"
 
     @property
     def full(self) -> str:
-        # (?d): only \n ends a line for '.', as in Python; \z: whole text.
-        return "(?d)^(?:" + self.regex + r")\z"
+        return self._whole(self.split or self.regex)
+
+    @property
+    def full_test(self) -> str:
+        return self._whole(self.test or self.split or self.regex)
 
 
 # The two access-log patterns (full match), with their group
 # names in order. Java group names cannot hold '_', so groups are numbered.
+#
+# The fixed patterns backtrack over every blank and quote of a line that does
+# not match. ``split`` and ``test`` say the same without that: a lazy group
+# that ends at a delimiter ends at the *first* place where the rest can match,
+# and a later place never helps the rest (what follows only needs delimiters
+# in order), so it may be taken for good. The one greedy group, the request
+# version, keeps its choice among the closing quotes.
 COMMON_LOG = LineFormat(
     "common",
     r'(.*?) (.*?) (.*?) (\[.*?(?= ).*?\]) "(.*?) (.*?)( HTTP\/.*)?" (.*?) (.*?) "(.*?)"',
     ("ip", "remote_log_name", "userid", "date", "request_method", "path",
      "request_version", "status", "length", "referrer"),
+    split=r'([^ \n]*+) ([^ \n]*+) (?>(.*?) (?=\[))(?>(\[[^ \n]*+ .*?\]) ")([^ \n]*+) '
+          r'(.*?)( HTTP\/.*)?" ([^ \n]*+) (?>(.*?) ")(.*)"',
+    test=r'[^ \n]*+ [^ \n]*+ (?>.*? (?=\[))(?>\[[^ \n]*+ .*?\] ")[^ \n]*+ (?>.*?" )[^ \n]*+ (?>.*? ").*"',
 )
 COMBINED_LOG = LineFormat(
     "combined",
@@ -46,6 +71,10 @@ COMBINED_LOG = LineFormat(
     ("ip", "remote_log_name", "userid", "date", "timezone", "request_method", "path",
      "request_version", "status", "length", "referrer", "user_agent", "session_id",
      "generation_time_micro", "virtual_host"),
+    split=r'([^ \n]*+) ([^ \n]*+) (?>(.*?) \[)([^ \n]*+) (?>(.*?)\] ")([^ \n]*+) (.*?)( HTTP\/.*)?" '
+          r'([^ \n]*+) (?>(.*?) ")(?>(.*?)" ")(?>(.*?)" )([^ \n]*+) ([^ \n]*+) (.*)',
+    test=r'[^ \n]*+ [^ \n]*+ (?>.*? \[)[^ \n]*+ (?>.*?\] ")[^ \n]*+ (?>.*?" )[^ \n]*+ (?>.*? ")'
+         r'(?>.*?" ")(?>.*?" )[^ \n]*+ [^ \n]*+ .*',
 )
 
 # Registry of regex formats, tried in this order after JSON.
@@ -95,19 +124,23 @@ def is_json_col(col: Column | str) -> Column:
             .otherwise(F.lit(False))
 
 
-def format_col(col: Column | str = "line") -> Column:
+def _guard(text: Column, fmt: LineFormat) -> Column:
+    """Cheap test before a built-in pattern: both need '] "'."""
+    return F.instr(text, '] "') > 0 if fmt in (COMMON_LOG, COMBINED_LOG) else F.lit(True)
+
+
+def format_col(col: Column | str = "line", formats: Sequence[LineFormat] | None = None) -> Column:
     """The dispatch: 'json', a registered regex format name, or 'default'."""
-    text = parse_cap(F.col(col) if isinstance(col, str) else col)
+    text = F.col(col) if isinstance(col, str) else col
     chain = F.when(_strip_ws(text) == "", F.lit("default")).when(is_json_col(text), F.lit("json"))
-    # Cheap guard before the backtracking patterns: both need '] "'.
-    guard = F.instr(text, '] "') > 0
-    for fmt in LINE_FORMATS:
-        chain = chain.when(guard & text.rlike(fmt.full), F.lit(fmt.name))
+    for fmt in LINE_FORMATS if formats is None else formats:
+        chain = chain.when(_guard(text, fmt) & text.rlike(fmt.full_test), F.lit(fmt.name))
     return chain.otherwise(F.lit("default"))
 
 
-def classify_lines(df: DataFrame, col: str = "line", out: str = "format") -> DataFrame:
-    return df.withColumn(out, format_col(col))
+def classify_lines(df: DataFrame, col: str = "line", out: str = "format",
+                   formats: Sequence[LineFormat] | None = None) -> DataFrame:
+    return df.withColumn(out, format_col(col, formats))
 
 
 def _groups(text: Column, fmt: LineFormat) -> Column:
@@ -118,43 +151,9 @@ def _groups(text: Column, fmt: LineFormat) -> Column:
     return F.when(F.instr(text, _SEP) == 0, fast).otherwise(slow)
 
 
-def _classify_and_split(df: DataFrame, text: Column, format_out: str, groups_out: str) -> DataFrame:
-    """Format and access-log groups with one regex pass per format tried.
-
-    The group-splitting rewrite doubles as the match test: it returns the
-    text unchanged when the pattern does not match, and the groups joined by
-    the separator when it does. Lines that hold the separator themselves, or
-    a separator produced by an empty match, take the slow, exact path.
-    """
-    plain = F.instr(text, _SEP) == 0
-    blank = _strip_ws(text) == ""
-    guard = F.instr(text, '] "') > 0
-    tries = []
-    missed = guard & plain
-    for i, fmt in enumerate(LINE_FORMATS):
-        name = f"__try{i}"
-        replacement = _SEP.join(f"${k}" for k in range(1, len(fmt.groups) + 1))
-        # a later format is tried only on lines the earlier ones missed
-        df = df.withColumn(name, F.when(missed, F.regexp_replace(text, fmt.full, replacement)))
-        tries.append((fmt, name))
-        missed = missed & (F.coalesce(F.instr(F.col(name), _SEP), F.lit(0)) == 0)
-    fmt_expr = F.when(blank, F.lit("default")).when(is_json_col(text), F.lit("json"))
-    for fmt, name in tries:
-        hit = F.instr(F.col(name), _SEP) > 0
-        slow = ~plain & guard & text.rlike(fmt.full)
-        fmt_expr = fmt_expr.when(hit | slow, F.lit(fmt.name))
-    df = df.withColumn(format_out, fmt_expr.otherwise(F.lit("default")))
-    groups = None
-    for fmt, name in tries:
-        g = F.when(plain, F.split(F.col(name), _SEP)).otherwise(
-            F.array(*[F.regexp_extract(text, fmt.full, k) for k in range(1, len(fmt.groups) + 1)]))
-        cond = F.col(format_out) == fmt.name
-        groups = F.when(cond, g) if groups is None else groups.when(cond, g)
-    return df.withColumn(groups_out, groups).drop(*[n for _, n in tries])
-
-
-def parse_access_log(df: DataFrame, col: str = "line", format_out: str = "format") -> DataFrame:
-    """Access-log columns for lines classified ``common`` or ``combined``.
+def parse_access_log(df: DataFrame, col: str = "line", format_out: str = "format",
+                     formats: Sequence[LineFormat] | None = None) -> DataFrame:
+    """Access-log columns for lines classified as one of the regex formats.
 
     Adds the format, every group as a typed column (``status`` INT,
     ``length`` and ``generation_time_micro`` BIGINT, the rest STRING),
@@ -162,29 +161,30 @@ def parse_access_log(df: DataFrame, col: str = "line", format_out: str = "format
     common lines keep their zone; combined lines lose it and stay NULL),
     and ``referrer_clean`` / ``user_agent_clean``: a usual NCSA-combined line
     is a *common* line whose referrer swallowed ``" "user agent``.
+
+    ``formats`` are the regex formats to try, in order (default: the
+    registry). Groups of a user's format that the built-in formats lack
+    become string columns of that name.
     """
-    text = parse_cap(F.col(col))
+    chosen = list(LINE_FORMATS if formats is None else formats)
+    text = F.col(col)
     tmp = "__access_groups"
-    if format_out in df.columns:
-        fmt_c = F.col(format_out)
-        groups_expr = None
-        for fmt in LINE_FORMATS:
-            g = _groups(text, fmt)
-            groups_expr = (F.when(fmt_c == fmt.name, g) if groups_expr is None
-                           else groups_expr.when(fmt_c == fmt.name, g))
-        df = df.withColumn(tmp, groups_expr)
-    else:
-        df = _classify_and_split(df, text, format_out, tmp)
-        fmt_c = F.col(format_out)
+    if format_out not in df.columns:
+        df = classify_lines(df, col, format_out, chosen)
+    fmt_c = F.col(format_out)
+    groups_expr = F.lit(None).cast("array<string>")
+    for fmt in chosen:
+        groups_expr = F.when(fmt_c == fmt.name, _groups(text, fmt)).otherwise(groups_expr)
+    df = df.withColumn(tmp, groups_expr)
     g = F.col(tmp)
     cols = {}
-    for field in ACCESS_FIELDS:
-        expr = None
-        for fmt in LINE_FORMATS:
+    extra = dict.fromkeys(x for fmt in chosen for x in fmt.groups if x not in ACCESS_FIELDS)
+    for field in (*ACCESS_FIELDS, *extra):
+        expr = F.lit(None).cast("string")
+        for fmt in chosen:
             if field in fmt.groups:
                 val = F.try_element_at(g, F.lit(fmt.groups.index(field) + 1))
-                expr = (F.when(fmt_c == fmt.name, val) if expr is None
-                        else expr.when(fmt_c == fmt.name, val))
+                expr = F.when(fmt_c == fmt.name, val).otherwise(expr)
         if field == "request_version":
             expr = F.when(expr != "", expr)
         if field in INT_FIELDS:
@@ -209,7 +209,7 @@ def parse_access_log(df: DataFrame, col: str = "line", format_out: str = "format
 def parse_json_lines(df: DataFrame, col: str = "line", out: str = "json") -> DataFrame:
     """JSON lines as a VARIANT column (NULL for lines that are not JSON),
     plus ``json_ts``: the whole line through the whole-value time parse."""
-    text = parse_cap(F.col(col))
+    text = F.col(col)
     stripped = _strip_ws(text)
     ok = is_json_col(text)
     return (df.withColumn(out, F.when(ok, F.try_parse_json(stripped)))
@@ -247,7 +247,7 @@ def http_method_counts(df: DataFrame, col: str = "line") -> DataFrame:
     """Occurrences of each request-method word in any line (no word
     boundary, case-sensitive), the words a log viewer highlights."""
     rx = "(" + "|".join(HTTP_METHODS) + ")"
-    words = F.explode(F.regexp_extract_all(parse_cap(F.col(col)), F.lit(rx), 1))
+    words = F.explode(F.regexp_extract_all(F.col(col), F.lit(rx), 1))
     return (df.select(words.alias("method"))
               .groupBy("method").agg(F.count(F.lit(1)).alias("occurrences")))
 

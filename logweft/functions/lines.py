@@ -2,12 +2,9 @@
 
 from __future__ import annotations
 
-import json
+from pyspark.sql import Column, DataFrame, functions as F
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F, types as T
-
-from logweft.schema import DETAIL_CAP, DISPLAY_CAP, PARSE_CAP, TAB_SIZE
+from logweft.schema import DISPLAY_CAP, TAB_SIZE
 
 # ANSI / VT100 control sequence introducer followed by parameters and a final
 # byte; this is what a colour code looks like in a log line.
@@ -41,7 +38,8 @@ def expand_tabs_col(col: Column | str, tabsize: int = TAB_SIZE) -> Column:
     just before it. One regex pass per remainder rewrites those tabs to stop
     markers (the segment boundaries stay visible to the next pass), a last
     pass turns markers into blanks. No lambda, so it stays in generated
-    code. Lines holding the marker character itself keep their tabs.
+    code. A line that holds the marker character itself is folded piece by
+    piece instead.
     """
     c = _c(col)
     seg = f"[^\t\r\n{_STOP}]"
@@ -50,7 +48,18 @@ def expand_tabs_col(col: Column | str, tabsize: int = TAB_SIZE) -> Column:
         rx = f"(?<=^|[\t\r\n{_STOP}])((?:{seg}{{{tabsize}}})*{seg}{{{r}}})\t"
         out = F.regexp_replace(out, rx, "$1" + _STOP * (tabsize - r))
     out = F.replace(out, F.lit(_STOP), F.lit(" "))
-    return F.when((F.instr(c, "\t") > 0) & (F.instr(c, _STOP) == 0), out).otherwise(c)
+    return F.when(F.instr(c, "\t") == 0, c).when(F.instr(c, _STOP) == 0, out) \
+            .otherwise(_expand_by_pieces(c, tabsize))
+
+
+def _expand_by_pieces(c: Column, tabsize: int) -> Column:
+    """Tabs to spaces by folding over the pieces between tabs (any text)."""
+    pieces = F.split(c, "\t", -1)
+
+    def add(done, piece):
+        column = F.length(F.regexp_extract(done, r"[^\r\n]*\z", 0))
+        return F.concat(done, F.repeat(F.lit(" "), F.lit(tabsize) - F.pmod(column, F.lit(tabsize))), piece)
+    return F.aggregate(F.slice(pieces, 2, F.size(pieces)), F.element_at(pieces, 1), add)
 
 
 def strip_ansi_col(col: Column | str) -> Column:
@@ -67,12 +76,6 @@ def unfold_newlines_col(col: Column | str) -> Column:
     return F.replace(_c(col), F.lit("\\n"), F.lit("\n"))
 
 
-def parse_cap(col: Column | str) -> Column:
-    """The head of a line that timestamp, format and entity scans look at
-    (one reference to the line, so it stays small when inlined)."""
-    return F.left(_c(col), F.lit(PARSE_CAP))
-
-
 def normalize_lines(df: DataFrame, raw: str = "raw", out: str = "line",
                     tabsize: int = TAB_SIZE) -> DataFrame:
     """``raw`` -> ``line``: lenient decode, strip line ends, expand tabs."""
@@ -92,38 +95,45 @@ def abbreviate(df: DataFrame, col: str = "line", width: int = DISPLAY_CAP,
     return df.withColumn(out or col, abbreviate_col(col, width))
 
 
-def detail_text(df: DataFrame, col: str = "line", out: str = "detail") -> DataFrame:
-    """The detail view of a line: capped at 100,000 characters, ``\\n`` unfolded."""
-    return df.withColumn(out, unfold_newlines_col(abbreviate_col(col, DETAIL_CAP)))
+def detail_text(df: DataFrame, col: str = "line", out: str = "detail",
+                width: int | None = None) -> DataFrame:
+    """The detail view of a line: ``\\n`` unfolded; whole unless a ``width`` is given."""
+    shown = _c(col) if width is None else abbreviate_col(col, width)
+    return df.withColumn(out, unfold_newlines_col(shown))
 
 
 def unfold_newlines(df: DataFrame, col: str = "line", out: str | None = None) -> DataFrame:
     return df.withColumn(out or col, unfold_newlines_col(col))
 
 
-@F.pandas_udf(T.StringType())
-def _pretty_json_udf(lines: pd.Series) -> pd.Series:
-    def one(text):
-        if text is None:
-            return None
-        try:
-            value = json.loads(text)
-        except Exception:
-            return None
-        return json.dumps(value, indent=2, ensure_ascii=False)
-
-    return lines.map(one)
+# One JSON token: a string, a mark, or a run of other characters.
+_JSON_TOKEN = r'"(?:[^"\\]|\\.)*+"|[{}\[\],:]|[^\s{}\[\],:"]++'
 
 
 def pretty_json(df: DataFrame, col: str = "line", out: str = "pretty") -> DataFrame:
-    """JSON lines printed with a 2-space indent; NULL when the line is not JSON.
+    """JSON lines printed with a 2-space indent; NULL when the line is not
+    JSON. Keys keep their order and values their spelling.
 
-    Spark's own JSON writers do not indent, so this is the one Arrow-batched
-    pandas UDF of the library. Rows that are not JSON-looking skip the UDF.
+    A fold over the line's tokens that carries the depth and the token before.
     """
-    c = F.col(col)
-    looks_json = F.try_parse_json(F.btrim(c)).isNotNull()
-    return df.withColumn(out, F.when(looks_json, _pretty_json_udf(c)))
+    c = _c(col)
+    tokens = F.regexp_extract_all(c, F.lit(_JSON_TOKEN), F.lit(0))
+    opens = lambda t: t.isin("{", "[")
+
+    def step(acc, t):
+        closing = t.isin("}", "]")
+        depth = acc.depth + F.when(opens(t), 1).when(closing, -1).otherwise(0)
+        line = lambda d: F.concat(F.lit("\n"), F.repeat(F.lit("  "), d))
+        text = (F.when(closing & ~opens(acc.before), F.concat(line(depth), t))
+                 .when(t == ":", F.lit(": "))
+                 .when(~closing & (t != ",") & (opens(acc.before) | (acc.before == ",")),
+                       F.concat(line(acc.depth), t))
+                 .otherwise(t))
+        return F.struct(depth.alias("depth"), t.alias("before"), F.concat(acc.text, text).alias("text"))
+
+    start = F.struct(F.lit(0).alias("depth"), F.lit("").alias("before"), F.lit("").alias("text"))
+    is_json = F.try_parse_json(F.btrim(c)).isNotNull()
+    return df.withColumn(out, F.when(is_json, F.aggregate(tokens, start, step).text))
 
 
 def line_stats(df: DataFrame, by: tuple[str, ...] = ("file",), col: str = "line") -> DataFrame:

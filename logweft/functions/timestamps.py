@@ -15,9 +15,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from typing import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
-
-from logweft.functions.lines import parse_cap
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
 @dataclass(frozen=True)
@@ -78,31 +76,30 @@ def _epoch13_millis(m: Column) -> Column:
 
 # The seventeen search patterns of the timestamp scan, in the
 # order they are tried (first that matches and parses wins).
-_ISO_DAY = r"\d{4}-\d{2}-\d{2}"
 TIMESTAMP_LAYOUTS: list[Layout] = [
-    Layout("iso_comma_ms_zone", _ISO_DAY + r" \d{2}:\d{2}:\d{2},\d{3}\s?(?:Z|[+-]\d{4})", "iso",
+    Layout("iso_comma_ms_zone", r"\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2},\d{3}\s?(?:Z|[+-]\d{4})", "iso",
            _p("yyyy-MM-dd HH:mm:ss,SSSXX")),
-    Layout("iso_comma_ms", _ISO_DAY + r" \d{2}:\d{2}:\d{2},\d{3}", "iso",
+    Layout("iso_comma_ms", r"\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2},\d{3}", "iso",
            _p("yyyy-MM-dd HH:mm:ss,SSS")),
-    Layout("iso_dot_ms_zone", _ISO_DAY + r" \d{2}:\d{2}:\d{2}\.\d{3}\s?(?:Z|[+-]\d{4})", "iso",
+    Layout("iso_dot_ms_zone", r"\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}\.\d{3}\s?(?:Z|[+-]\d{4})", "iso",
            _p("yyyy-MM-dd HH:mm:ss.SSSXX")),
-    Layout("iso_dot_ms", _ISO_DAY + r" \d{2}:\d{2}:\d{2}\.\d{3}", "iso",
+    Layout("iso_dot_ms", r"\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}\.\d{3}", "iso",
            _p("yyyy-MM-dd HH:mm:ss.SSS")),
-    Layout("iso_s_zone", _ISO_DAY + r" \d{2}:\d{2}:\d{2}\s?(?:Z|[+-]\d{4})", "iso",
+    Layout("iso_s_zone", r"\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}\s?(?:Z|[+-]\d{4})", "iso",
            _drop_blank_before_zone("yyyy-MM-dd HH:mm:ssXX")),
-    Layout("iso_s", _ISO_DAY + r" \d{2}:\d{2}:\d{2}", "iso",
+    Layout("iso_s", r"\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}", "iso",
            _p("yyyy-MM-dd HH:mm:ss")),
-    Layout("isoT_comma_ms_zone", _ISO_DAY + r"T\d{2}:\d{2}:\d{2},\d{3}\s?(?:Z|[+-]\d{4})", "iso",
+    Layout("isoT_comma_ms_zone", r"\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2},\d{3}\s?(?:Z|[+-]\d{4})", "iso",
            _p("yyyy-MM-dd'T'HH:mm:ss,SSSXX")),
-    Layout("isoT_comma_ms", _ISO_DAY + r"T\d{2}:\d{2}:\d{2},\d{3}", "iso",
+    Layout("isoT_comma_ms", r"\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2},\d{3}", "iso",
            _p("yyyy-MM-dd'T'HH:mm:ss,SSS")),
-    Layout("isoT_dot_ms_zone", _ISO_DAY + r"T\d{2}:\d{2}:\d{2}\.\d{3}\s?(?:Z|[+-]\d{4}Z?)", "iso",
+    Layout("isoT_dot_ms_zone", r"\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}\.\d{3}\s?(?:Z|[+-]\d{4}Z?)", "iso",
            _p("yyyy-MM-dd'T'HH:mm:ss.SSSXX")),
-    Layout("isoT_dot_ms", _ISO_DAY + r"T\d{2}:\d{2}:\d{2}\.\d{3}", "iso",
+    Layout("isoT_dot_ms", r"\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}\.\d{3}", "iso",
            _p("yyyy-MM-dd'T'HH:mm:ss.SSS")),
-    Layout("isoT_s_zone", _ISO_DAY + r"T\d{2}:\d{2}:\d{2}\s?(?:Z|[+-]\d{4})", "iso",
+    Layout("isoT_s_zone", r"\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}\s?(?:Z|[+-]\d{4})", "iso",
            _drop_blank_before_zone("yyyy-MM-dd'T'HH:mm:ssXX")),
-    Layout("isoT_s", _ISO_DAY + r"T\d{2}:\d{2}:\d{2}", "iso",
+    Layout("isoT_s", r"\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}", "iso",
            _p("yyyy-MM-dd'T'HH:mm:ss")),
     Layout("syslog", r"[JFMASOND][a-z]{2}\s(\s|\d)\d \d{2}:\d{2}:\d{2}", "strptime", _syslog),
     Layout("dmy_slash", r"\d{2}\/\w+\/\d{4} \d{2}:\d{2}:\d{2}", "strptime",
@@ -119,16 +116,23 @@ EPOCH_MS_LAYOUT = Layout("epoch_ms", r"\d{13}", "epoch", _epoch13_millis)
 LAYOUT_NAMES = [layout.name for layout in TIMESTAMP_LAYOUTS]
 
 
-def _select_layouts(layouts: Sequence[str] | None, epoch_ms: bool) -> list[Layout]:
+# Every built-in layout holds one of these; a line without is left at once.
+_ANY_TIME = r"\d{2}:\d{2}:\d{2}|\d{10}\.\d|\d{13}"
+
+
+def _select_layouts(layouts: Sequence[str | Layout] | None, epoch_ms: bool) -> list[Layout]:
+    """Named built-in layouts in their fixed order, then a user's own in the
+    order given; all built-in ones when ``layouts`` is None."""
     chosen = list(TIMESTAMP_LAYOUTS)
     if epoch_ms:
         chosen = [EPOCH_MS_LAYOUT if lay.name == "epoch13" else lay for lay in chosen]
     if layouts is not None:
-        wanted = set(layouts)
+        own = [lay for lay in layouts if isinstance(lay, Layout)]
+        wanted = {lay for lay in layouts if not isinstance(lay, Layout)}
         unknown = wanted - {lay.name for lay in chosen}
         if unknown:
             raise ValueError(f"unknown timestamp layouts: {sorted(unknown)}")
-        chosen = [lay for lay in chosen if lay.name in wanted]
+        chosen = [lay for lay in chosen if lay.name in wanted] + own
     return chosen
 
 
@@ -137,7 +141,13 @@ def _hit(text: Column, layout: Layout) -> Column:
                     F.lit(layout.name).alias("layout"))
 
 
-def timestamp_struct(col: Column | str, layouts: Sequence[str] | None = None,
+def strptime_layout(name: str, regex: str, pattern: str) -> Layout:
+    """A user's own layout: a Java regex to search and the datetime pattern
+    that what it found must parse with."""
+    return Layout(name, regex, "strptime", _p(pattern))
+
+
+def timestamp_struct(col: Column | str, layouts: Sequence[str | Layout] | None = None,
                      epoch_ms: bool = False) -> tuple[Column, Column]:
     """Two expressions: the first-found layout, and the full fallback chain.
 
@@ -147,10 +157,12 @@ def timestamp_struct(col: Column | str, layouts: Sequence[str] | None = None,
     after a fraction, ...) is the second, slower chain used, which keeps
     looking through the later layouts.
     """
-    text = parse_cap(F.col(col) if isinstance(col, str) else col)
+    text = F.col(col) if isinstance(col, str) else col
     chosen = _select_layouts(layouts, epoch_ms)
     hits = [F.when(text.rlike(lay.regex), _hit(text, lay)) for lay in chosen]
     first = F.coalesce(*hits)
+    if all(lay in TIMESTAMP_LAYOUTS or lay is EPOCH_MS_LAYOUT for lay in chosen):
+        first = F.when(text.rlike(_ANY_TIME), first)
     # Every layout tried, the first whose parse succeeded; evaluated only on
     # the rare lines whose first-found layout did not parse. (A CASE chain
     # here would keep the stage in generated code, but makes the fused method
@@ -160,12 +172,13 @@ def timestamp_struct(col: Column | str, layouts: Sequence[str] | None = None,
 
 
 def extract_timestamp(df: DataFrame, col: str = "line", out: str = "ts",
-                      layout_out: str = "ts_layout", layouts: Sequence[str] | None = None,
+                      layout_out: str = "ts_layout", layouts: Sequence[str | Layout] | None = None,
                       epoch_ms: bool = False) -> DataFrame:
     """Add ``ts`` (TIMESTAMP) and ``ts_layout`` (name of the layout that hit).
 
     ``layouts`` restricts the search to some layouts (for example the ones
-    :func:`timestamp_profile` found in a file), which prunes regex work.
+    :func:`timestamp_profile` found in a file), which prunes regex work; it
+    may also hold a user's own :class:`Layout` (see :func:`strptime_layout`).
     """
     first, chain = timestamp_struct(col, layouts, epoch_ms)
     tmp = "__ts_hit"
@@ -223,7 +236,7 @@ def parse_timestamp_value(col: Column | str) -> Column:
     """
     v = F.col(col) if isinstance(col, str) else col
     iso = _iso_whole(v)
-    out = F.when(v.rlike(_ISO_DAY + r"[ T]\d{2}:\d{2}:\d{2}") & iso.isNotNull(), iso)
+    out = F.when(v.rlike(r"\d{4}-\d{2}-\d{2}[ T]\d{2}:\d{2}:\d{2}") & iso.isNotNull(), iso)
     for lay in TIMESTAMP_LAYOUTS:
         if lay.kind == "iso":
             continue
@@ -233,3 +246,17 @@ def parse_timestamp_value(col: Column | str) -> Column:
             cond = cond & val.isNotNull()
         out = out.when(cond, val)
     return out
+
+
+def timestamp_profile(df: DataFrame, by: tuple[str, ...] = ("file",)) -> DataFrame:
+    """Lines per file and timestamp layout (NULL layout = untimed), with the
+    first and last time and the share of the file's lines.
+
+    The layouts a file uses can be fed back to ``extract_timestamp(...,
+    layouts=...)`` to skip the others.
+    """
+    per = (df.groupBy(*by, "ts_layout")
+             .agg(F.count(F.lit(1)).alias("lines"),
+                  F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts")))
+    w = Window.partitionBy(*by)
+    return per.withColumn("share", F.col("lines") / F.sum("lines").over(w))

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from logweft.functions.timestamps import extract_timestamp
-from logweft.operators.numbering import rank_within
+from logweft.operators.numbering import range_partitions, rank_within, small_table
 
 # Fixed value: the header back-fill looks at lines 0..11 of a file.
 HEADER_SCAN_LINES = 12
@@ -48,6 +48,7 @@ def backfill_header(df: DataFrame, by: tuple[str, ...] = ("file",)) -> DataFrame
                  .select(*[F.col(b).alias(f"__f_{b}") for b in by],
                          F.col("__fill.fill_line").alias("__fill_line"),
                          F.col("__fill.fill_key").alias("__fill_key")))
+    fill = small_table(fill, 24 + 256 * len(by))  # one row per file with a header; counted
     cond = None
     for b in by:
         c = F.col(b).eqNullSafe(F.col(f"__f_{b}"))
@@ -59,21 +60,23 @@ def backfill_header(df: DataFrame, by: tuple[str, ...] = ("file",)) -> DataFrame
                   .drop("__fill_line", "__fill_key", *[f"__f_{b}" for b in by]))
 
 
-def merge_logs(df: DataFrame, timed: bool = False, min_files: int | None = 2) -> DataFrame:
+def merge_logs(df: DataFrame, timed: bool = False, by_time: bool = True) -> DataFrame:
     """The lines of all files in merged order (a globally sorted DataFrame).
 
     ``df`` is a log table with ``file_order``; ``timed`` says it already has
-    ``ts``. With ``min_files`` set and fewer files present, the log is kept
-    in file order instead (one file is shown as it is).
+    ``ts``. ``by_time=False`` keeps file order instead, as a viewer shows a
+    single file as it is (see :func:`several_files`).
     """
     if not timed:
         df = extract_timestamp(df)
     keyed = backfill_header(df)
-    if min_files is not None:
-        files = keyed.select("file_order").distinct().limit(min_files).count()
-        if files < min_files:
-            return keyed.orderBy("file_order", "line_no")
-    return keyed.orderBy(*MERGE_KEY)
+    return keyed.orderBy(*(MERGE_KEY if by_time else ["file_order", "line_no"]))
+
+
+def several_files(df: DataFrame) -> bool:
+    """Whether a log table holds more than one file (a narrow job): the
+    ``by_time`` of a viewer that merges two files or more."""
+    return df.select("file_order").distinct().limit(2).count() > 1
 
 
 def merged_positions(df: DataFrame, timed: bool = False, partitions: int | None = None) -> DataFrame:
@@ -100,7 +103,7 @@ def save_merged(df: DataFrame, path: str, timed: bool = False, count: bool = Tru
         df = extract_timestamp(df)
     keyed = backfill_header(df).filter(F.col("line") != "")
     spark = df.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = partitions or range_partitions(df)
     out = (keyed.repartitionByRange(n, *MERGE_KEY)
                 .sortWithinPartitions(*MERGE_KEY)
                 .select("line"))

@@ -9,7 +9,9 @@ the scan; only "last n lines" and "go to line" need the per-file line count
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
+
+from logweft.operators.numbering import small_table
 
 _UNITS = {"m": "minute", "h": "hour", "d": "day",
           "minute": "minute", "hour": "hour", "day": "day"}
@@ -20,12 +22,14 @@ def line_counts(df: DataFrame, by: tuple[str, ...] = ("file",)) -> DataFrame:
     return df.groupBy(*by).agg(F.count(F.lit(1)).alias("lines"))
 
 
-def _keyed(df: DataFrame, by: tuple[str, ...]) -> tuple[DataFrame, list[str]]:
-    """Per-file keys, or one constant key for the whole (merged) log, so the
-    joins below stay equi-joins."""
-    if by:
-        return df, list(by)
-    return df.withColumn("__all", F.lit(0)), ["__all"]
+def _top_lines(df: DataFrame, n: int, by: tuple[str, ...], position: str) -> DataFrame:
+    """The ``n`` highest positions of each group (or of the whole log). A
+    rank limit: every task keeps only ``n`` lines of a group before the
+    shuffle (WindowGroupLimit); the whole log is a distributed top-n."""
+    if not by:
+        return df.orderBy(F.desc(position)).limit(n)
+    order = Window.partitionBy(*by).orderBy(F.desc(position))
+    return df.withColumn("__rank", F.row_number().over(order)).filter(F.col("__rank") <= n).drop("__rank")
 
 
 def _last_line(df: DataFrame, by: tuple[str, ...], position: str = "line_no") -> DataFrame:
@@ -41,14 +45,9 @@ def goto_line(df: DataFrame, n: int | str, by: tuple[str, ...] = ("file",),
         target = int(n) - 1
     except (TypeError, ValueError):
         return df.limit(0)
-    df, keys = _keyed(df, by)
-    last = _last_line(df, tuple(keys), position).select(
-        *keys, F.greatest(F.lit(0), F.least(F.lit(target), F.col("__last"))).alias("__target"))
-    # The clamped line is never past n-1: that bound prunes at the scan.
-    out = (df.filter(F.col(position) <= F.lit(max(target, 0)))
-             .join(last, keys)
-             .filter(F.col(position) == F.col("__target")).drop("__target"))
-    return out.drop("__all") if keys == ["__all"] else out
+    # The clamped line is the last one at or before n-1: that bound prunes at
+    # the scan, and one line per file is kept before anything is shuffled.
+    return _top_lines(df.filter(F.col(position) <= F.lit(max(target, 0))), 1, by, position)
 
 
 def line_page(df: DataFrame, start: int, count: int, position: str = "line_no") -> DataFrame:
@@ -65,11 +64,7 @@ def head_lines(df: DataFrame, n: int, position: str = "line_no") -> DataFrame:
 def last_lines(df: DataFrame, n: int, by: tuple[str, ...] = ("file",),
                position: str = "line_no") -> DataFrame:
     """Last ``n`` lines of every file (or of the merged log: ``by=()``)."""
-    df, keys = _keyed(df, by)
-    last = _last_line(df, tuple(keys), position)
-    out = (df.join(last, keys).filter(F.col(position) > F.col("__last") - F.lit(n))
-             .drop("__last"))
-    return out.drop("__all") if keys == ["__all"] else out
+    return _top_lines(df, n, by, position)
 
 
 def line_facts(df: DataFrame) -> DataFrame:
@@ -103,20 +98,21 @@ def time_jump(df: DataFrame, line_no: int, steps: int, unit: str,
     if unit not in _UNITS:
         raise ValueError(f"unit must be one of m, h, d: {unit!r}")
     pos = F.col(position)
-    if not by:  # the whole log: one constant key keeps the joins equi-joins
-        df = df.withColumn("__all", F.lit(0))
-        by = ("__all",)
     keys = list(by)
     # Untimed lines are skipped by NULL orderings / NULL values inside the
     # aggregates, not by a filter on ``ts`` (which Catalyst would push down,
     # copying the timestamp expression into the filter).
     timed_pos = F.when(F.col("ts").isNotNull(), pos)
-    base = (df.filter(pos.between(line_no, line_no + 10))
-              .groupBy(*keys)
+    near = df.filter(pos.between(line_no, line_no + 10))
+    base = (near.groupBy(*keys)
               .agg(F.min_by(F.struct(pos.alias("p"), F.col("ts").alias("ts")), timed_pos).alias("b"))
               .filter(F.col("b").isNotNull())
               .select(*keys, F.col("b.p").alias("base_line"),
                       (F.col("b.ts") + _interval(steps, unit)).alias("target_ts")))
+    # One row per file (one row in all for the whole log), computed once.
+    base = small_table(base, 32 + 256 * len(keys))
+    if not keys:
+        return _jump_whole_log(df, base, steps, position)
     last = _last_line(df, tuple(keys), position)
     cand = df.join(base, keys)
     if steps > 0:
@@ -127,10 +123,27 @@ def time_jump(df: DataFrame, line_no: int, steps: int, unit: str,
         hit = F.when((pos < F.col("base_line")) & (pos > 0) & (F.col("ts") <= F.col("target_ts")), pos)
         hits = cand.groupBy(*keys).agg(F.max(hit).alias("hit"))
         fallback = F.lit(0).cast("bigint")
-    out = (base.join(last, keys).join(hits, keys, "left")
-               .select(*keys, "base_line", "target_ts",
-                       F.coalesce(F.col("hit"), fallback).alias(position)))
-    return out.drop("__all") if keys == ["__all"] else out
+    return (base.join(last, keys).join(hits, keys, "left")
+                .select(*keys, "base_line", "target_ts",
+                        F.coalesce(F.col("hit"), fallback).alias(position)))
+
+
+def _jump_whole_log(df: DataFrame, base: DataFrame, steps: int, position: str) -> DataFrame:
+    """The jump in the merged log: the one base row becomes literals of a
+    single map-side combined aggregate (no join)."""
+    pos = F.col(position)
+    found = base.first()
+    if found is None:
+        return base.withColumn(position, F.lit(None).cast("bigint"))
+    target = base.select(F.unix_micros("target_ts")).first()[0]
+    at, line = F.timestamp_micros(F.lit(target)), F.lit(found["base_line"])
+    if steps > 0:
+        hit = F.coalesce(F.min(F.when((pos > line) & (F.col("ts") >= at), pos)), F.max(pos))
+    else:
+        hit = F.coalesce(F.max(F.when((pos < line) & (pos > 0) & (F.col("ts") <= at), pos)),
+                         F.lit(0).cast("bigint"))
+    return df.agg(hit.alias(position)).select(line.cast("bigint").alias("base_line"),
+                                              at.alias("target_ts"), position)
 
 
 def lines_over_time(df: DataFrame, unit: str = "h", by: tuple[str, ...] = ("file",)) -> DataFrame:

@@ -52,6 +52,27 @@ def maybe_broadcast(df: DataFrame, row_bound: int | None, row_bytes: int = 32) -
     return df
 
 
+# Bytes of input for one range partition (spill-friendly task size).
+PARTITION_BYTES = 256 * 1024 * 1024
+
+
+def range_partitions(df: DataFrame) -> int:
+    """Partitions for a range shuffle of ``df``: by the optimiser's size
+    estimate (no job), and not fewer than the session's shuffle partitions."""
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    # a plan without statistics claims the largest long: no evidence
+    return least if size >= 1 << 62 else max(least, -(-size // PARTITION_BYTES))
+
+
+def small_table(df: DataFrame, row_bytes: int) -> DataFrame:
+    """A helper table computed once (checkpointed) and counted, with a
+    broadcast hint if what was counted is within the bound."""
+    shared_dir(df.sparkSession, "small")  # makes sure a checkpoint folder is set
+    made = df.checkpoint(eager=True)
+    return maybe_broadcast(made, made.count(), row_bytes)
+
+
 def rank_within(df: DataFrame, order_cols: Sequence[str | Column], group_cols: Sequence[str] = (),
                 out: str = "pos", partitions: int | None = None,
                 max_groups: int | None = None) -> DataFrame:
@@ -63,7 +84,7 @@ def rank_within(df: DataFrame, order_cols: Sequence[str | Column], group_cols: S
     """
     spark = df.sparkSession
     shared_dir(spark, "rank")  # makes sure a checkpoint folder is set
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = partitions or range_partitions(df)
     groups = list(group_cols)
     keys = [*[F.col(g) for g in groups],
             *[F.col(c) if isinstance(c, str) else c for c in order_cols]]
@@ -81,7 +102,9 @@ def rank_within(df: DataFrame, order_cols: Sequence[str | Column], group_cols: S
                             (F.coalesce(F.sum("__n").over(before), F.lit(0))
                              - F.col("__first")).alias("__shift"))
     bound = n + max_groups if max_groups is not None else (n if not groups else None)
-    offsets = maybe_broadcast(offsets, bound, 24 + 256 * len(groups))
+    # Without a bound on the groups the table is counted (partitions + groups rows).
+    offsets = (small_table(offsets, 24 + 256 * len(groups)) if bound is None
+               else maybe_broadcast(offsets, bound, 24 + 256 * len(groups)))
     cond = F.col("__pid") == F.col("__opid")
     for i, g in enumerate(groups):
         cond = cond & F.col(g).eqNullSafe(F.col(f"__g{i}"))
@@ -119,24 +142,32 @@ def number_lines(df: DataFrame, file_col: str = "file", block_col: str = "__bloc
 
 def byte_offsets(df: DataFrame, file_col: str = "file", block_col: str = "__block",
                  id_col: str = "__mid", raw_col: str = "raw", out: str = "byte_offset",
-                 max_blocks: int | None = None, path_bytes: int = 256) -> DataFrame:
+                 max_blocks: int | None = None, path_bytes: int = 256,
+                 size_col: str | None = None) -> DataFrame:
     """Byte position where each line starts (plain or decompressed bytes).
 
-    Bytes of a line = ``octet_length(raw) + 1`` (its ``\\n``). A running sum
+    Bytes of a line = ``octet_length(raw) + 1`` (its ``\\n``). With
+    ``size_col`` (bytes of the plain file) a byte-order mark that the reader
+    dropped is found by the bytes that are missing, and counted. A running sum
     inside a split (a window whose partitions are single splits, so bounded
     by the split size) plus the bytes of earlier splits of the file.
     """
     size = F.octet_length(F.col(raw_col)) + F.lit(1)
-    blocks = df.groupBy(file_col, block_col).agg(F.sum(size).alias("__bytes"))
+    known = F.max(size_col) if size_col else F.lit(None).cast("long")
+    blocks = df.groupBy(file_col, block_col).agg(F.sum(size).alias("__bytes"), known.alias("__size"))
+    missing = F.col("__size") - F.sum("__bytes").over(Window.partitionBy(file_col))
+    blocks = blocks.withColumn("__mark", F.when(missing >= 2, F.lit(3)).otherwise(F.lit(0)))
     earlier = Window.partitionBy(file_col).orderBy(block_col) \
                     .rowsBetween(Window.unboundedPreceding, -1)
     offsets = blocks.select(F.col(file_col).alias("__bfile"), F.col(block_col).alias("__bstart"),
-                            F.coalesce(F.sum("__bytes").over(earlier), F.lit(0)).alias("__bbase"))
+                            F.coalesce(F.sum("__bytes").over(earlier), F.lit(0)).alias("__bbase"),
+                            "__mark")
     offsets = maybe_broadcast(offsets, max_blocks, path_bytes + 16)
     in_split = Window.partitionBy(file_col, block_col).orderBy(id_col) \
                      .rowsBetween(Window.unboundedPreceding, -1)
     with_run = df.withColumn("__run", F.coalesce(F.sum(size).over(in_split), F.lit(0)))
     joined = with_run.join(offsets, (F.col(file_col) == F.col("__bfile"))
                            & (F.col(block_col) == F.col("__bstart")), "inner")
-    return (joined.withColumn(out, F.col("__bbase") + F.col("__run"))
-                  .drop("__bfile", "__bstart", "__bbase", "__run"))
+    place = F.col("__bbase") + F.col("__run")
+    return (joined.withColumn(out, F.when(place > 0, place + F.col("__mark")).otherwise(place))
+                  .drop("__bfile", "__bstart", "__bbase", "__run", "__mark"))

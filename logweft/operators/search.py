@@ -10,12 +10,17 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from typing import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 # Fixed value: the characters that separate words for the vocabulary and
 # completion index (whitespace, slash, brackets, parentheses, double quote).
 SPLIT_RX = r'(?U)[\s/\[\]\(\)"/]'
+_NOT_SPLIT_AT_END = r'(?U)[^\s/\[\]\(\)"/]*$'
+
+# Noncharacters that mark matches (never part of text interchange).
+_OPEN, _CLOSE, _OTHER = "\ufdd0", "\ufdd1", "\ufdd2"
 
 
 def java_quote(text: str) -> str:
@@ -51,15 +56,6 @@ class Search:
             return c.contains(self.find)
         return F.lower(c).contains(self.find.lower())
 
-    @property
-    def can_match_empty(self) -> bool:
-        if not self.regex:
-            return False
-        try:
-            return re.search(self.find, "") is not None
-        except re.error:
-            return False
-
 
 def validate_regex(pattern: str) -> None:
     """Refuse a pattern the JVM regex engine cannot compile, before any job runs."""
@@ -105,33 +101,36 @@ def match_spans(df: DataFrame, find: str | Search, regex: bool = False,
     """Add ``match_count`` and ``spans`` (ARRAY<STRUCT<start, end>>, 0-based,
     end exclusive) of all non-overlapping matches in each line.
 
-    Spans come from the pieces between matches (``split``) and the matches
-    (``regexp_extract_all``): start of match k = characters of the pieces and
-    matches before it. For a regex that can match the empty string only the
-    count is given.
+    One pass puts a marker on both sides of every match, empty ones too (the
+    engine's own search order); starts and ends follow from the lengths of the
+    pieces. Characters of the line that look like a marker are first replaced
+    by a third noncharacter of the same length, so any line works.
     """
     s = _search(find, regex, case_sensitive)
     c = F.col(col)
-    count = F.regexp_count(c, F.lit(s.pattern)).cast("int")
-    if s.can_match_empty:
-        return df.withColumn("match_count", count) \
-                 .withColumn("spans", F.lit(None).cast("array<struct<start:int,end:int>>"))
-    pieces = F.split(c, s.pattern, -1)
-    found = F.regexp_extract_all(c, F.lit(s.pattern), 0)
-    pairs = F.arrays_zip(F.slice(pieces, 1, F.greatest(F.size(found), F.lit(1))).alias("p"),
-                         found.alias("m"))
-    init = F.struct(F.lit(0).alias("pos"),
+    clean = F.translate(c, _OPEN + _CLOSE, _OTHER + _OTHER)
+    marked = F.split(F.regexp_replace(clean, s.pattern, f"{_OPEN}$0{_CLOSE}"), _OPEN, -1)
+    # each piece after the first: the match, the closing marker, the gap behind it
+    sizes = F.transform(F.slice(marked, 2, F.size(marked)), lambda x: F.struct(
+        (F.instr(x, _CLOSE) - 1).alias("m"), (F.length(x) - F.instr(x, _CLOSE)).alias("gap")))
+    init = F.struct(F.length(F.element_at(marked, 1)).alias("pos"),
                     F.array().cast("array<struct<start:int,end:int>>").alias("spans"))
 
     def step(acc, x):
-        start = acc.pos + F.length(x.p)
-        end = start + F.length(x.m)
-        return F.struct(end.alias("pos"),
+        start = acc.pos
+        end = start + x.m
+        return F.struct((end + x.gap).alias("pos"),
                         F.array_append(acc.spans, F.struct(start.alias("start"),
                                                            end.alias("end"))).alias("spans"))
 
-    spans = F.aggregate(F.filter(pairs, lambda x: x.m.isNotNull()), init, step).spans
-    return df.withColumn("match_count", count).withColumn("spans", spans)
+    spans = F.aggregate(sizes, init, step).spans
+    return df.withColumn("spans", spans).withColumn("match_count", F.size("spans")) \
+             .select(*[x for x in df.columns if x not in ("match_count", "spans")], "match_count", "spans")
+
+
+def _file_ties(df: DataFrame) -> list[Column]:
+    """Order of lines at the same position in several files."""
+    return [F.col(x).asc() for x in ("file_order", "file") if x in df.columns]
 
 
 def find_next(df: DataFrame, find: str | Search, after: int | None = None,
@@ -145,7 +144,7 @@ def find_next(df: DataFrame, find: str | Search, after: int | None = None,
     cond = s.matches(col)
     if after is not None:
         cond = cond & (F.col(position) > F.lit(after))
-    return df.filter(cond).orderBy(F.col(position).asc()).limit(1)
+    return df.filter(cond).orderBy(F.col(position).asc(), *_file_ties(df)).limit(1)
 
 
 def find_previous(df: DataFrame, find: str | Search, before: int | None = None,
@@ -156,7 +155,7 @@ def find_previous(df: DataFrame, find: str | Search, before: int | None = None,
     cond = s.matches(col)
     if before is not None:
         cond = cond & (F.col(position) < F.lit(before))
-    return df.filter(cond).orderBy(F.col(position).desc()).limit(1)
+    return df.filter(cond).orderBy(F.col(position).desc(), *_file_ties(df)).limit(1)
 
 
 def next_hits(df: DataFrame, find: str | Search, after: int | None = None,
@@ -201,17 +200,28 @@ def token_counts(df: DataFrame, col: str = "line") -> DataFrame:
     return _words(df, col, "token").groupBy("token").agg(F.count(F.lit(1)).alias("occurrences"))
 
 
-def suggest_words(df: DataFrame, col: str = "line") -> DataFrame:
+def typed_lengths(typed: DataFrame, col: str = "typed") -> list[int]:
+    """The lengths of the last words of typed texts: what a completion index
+    for them needs. A handful of integers (one per distinct length)."""
+    last = F.length(F.regexp_extract(F.col(col), _NOT_SPLIT_AT_END, 0))
+    return sorted(r[0] for r in typed.select(last.alias("n")).distinct().collect() if r[0])
+
+
+def suggest_words(df: DataFrame, col: str = "line", lengths: Sequence[int] | None = None) -> DataFrame:
     """Completion index ``(prefix, word)``.
 
-    Every word gives its lower-cased prefixes of length 1 .. len-2; a prefix
+    Every word gives its lower-cased prefixes of length 1 .. len-2, or of the
+    ``lengths`` asked for (see :func:`typed_lengths`: a long word then gives a
+    few prefixes instead of one for each of its characters); a prefix
     completes to its longest word (ties: the greatest word, so the result is
     deterministic). Words are de-duplicated before prefixes are exploded,
     and both aggregates combine map-side, so a hot prefix is no hot task.
     """
     words = _words(df, col, "word").filter(F.length("word") >= 3).distinct()
-    prefixes = words.select(
-        "word", F.explode(F.sequence(F.lit(1), F.length("word") - 2)).alias("n"))
+    sizes = (F.sequence(F.lit(1), F.length("word") - 2) if lengths is None else
+             F.filter(F.array(*[F.lit(int(n)) for n in lengths]).cast("array<int>"),
+                      lambda n: n <= F.length("word") - 2))
+    prefixes = words.select("word", F.explode(sizes).alias("n"))
     return (prefixes.groupBy(F.lower(F.col("word").substr(F.lit(1), F.col("n"))).alias("prefix"))
                     .agg(F.max_by("word", F.struct(F.length("word"), F.col("word")))
                           .alias("word")))
@@ -232,13 +242,14 @@ def complete_all(index: DataFrame, typed: DataFrame, col: str = "typed",
                  out: str = "suggestion") -> DataFrame:
     """:func:`complete` for a whole column of typed texts: an equi-join of
     each text's lower-cased last word with the completion index. NULL when
-    the last word is empty or has no completion."""
-    last = F.regexp_extract(F.col(col), r'(?U)[^\s/\[\]\(\)"]*$', 0)
+    the last word is empty or has no completion; texts without a last word
+    (NULL texts too) take no part in the join."""
+    last = F.regexp_extract(F.col(col), _NOT_SPLIT_AT_END, 0)
     keyed = typed.withColumn("__last", last)
+    has_word = F.coalesce(F.col("__last") != "", F.lit(False))
     idx = index.select(F.col("prefix").alias("__prefix"), F.col("word").alias("__word"))
-    joined = keyed.join(idx, (F.lower(F.col("__last")) == F.col("__prefix"))
-                        & (F.col("__last") != ""), "left")
-    head = F.expr(f"substring({col}, 1, length({col}) - length(__last))")
-    return (joined.withColumn(out, F.when(F.col("__word").isNotNull(),
-                                          F.concat(head, F.col("__word"))))
-                  .drop("__last", "__prefix", "__word"))
+    joined = keyed.filter(has_word).join(idx, F.lower(F.col("__last")) == F.col("__prefix"), "left")
+    head = F.expr(f"substring(`{col}`, 1, length(`{col}`) - length(__last))")
+    found = joined.withColumn(out, F.when(F.col("__word").isNotNull(), F.concat(head, F.col("__word"))))
+    none = keyed.filter(~has_word).withColumn(out, F.lit(None).cast("string"))
+    return found.drop("__prefix", "__word").unionByName(none).drop("__last")

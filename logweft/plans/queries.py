@@ -14,15 +14,15 @@ from __future__ import annotations
 from dataclasses import dataclass
 from typing import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from logweft.functions import entities, formats, lines as linefns, timestamps
-from logweft.operators import merge, navigate, profiles, search
+from logweft.operators import merge, navigate, search
 from logweft.session import configure
 from logweft.sources import render
 from logweft.sources.files import file_stats, read_logs
-from logweft.sources.tables import with_file_order
-from logweft.streaming.streams import (lines_over_time_stream, pending_lines, search_stream,
+from logweft.sources.tables import logs_from_table, with_file_order
+from logweft.streaming.streams import (lines_over_time_stream, parse_stream, pending_lines, search_stream,
                                        stream_log_dir, tail_logs)
 
 
@@ -177,7 +177,7 @@ FROM events GROUP BY 1, 2
 def q_access_log_summary(spark, sf_dir):
     """Traffic table: requests, bytes, first / last time per status and method."""
     log = formats.parse_access_log(render.access_log(spark, sf_dir, numbered=False))
-    out = profiles.access_log_summary(log, by=("status", "request_method"))
+    out = formats.access_log_summary(log, by=("status", "request_method"))
     return out.select("status", "request_method", "requests", "bytes",
                       ntz("first_ts"), ntz("last_ts"))
 
@@ -201,7 +201,7 @@ UNION ALL SELECT 'app.log.' || CAST(k AS VARCHAR), 'default', n + 3 FROM files
 """)
 def q_format_profile(spark, sf_dir):
     """Four differently formatted logs in one table: lines per file and detected format."""
-    return profiles.format_profile(formats.classify_lines(_mixed(spark, sf_dir)))
+    return formats.format_profile(formats.classify_lines(_mixed(spark, sf_dir)))
 
 
 @query("parse_json_lines", """
@@ -230,7 +230,7 @@ GROUP BY 1, 2
 """)
 def q_json_key_profile(spark, sf_dir):
     """Top-level keys of the JSON lines, with value type and count."""
-    return profiles.json_key_profile(formats.parse_json_lines(render.jsonl_log(spark, sf_dir)))
+    return formats.json_key_profile(formats.parse_json_lines(render.jsonl_log(spark, sf_dir)))
 
 
 @query("pretty_json", """
@@ -243,7 +243,7 @@ SELECT 'events.jsonl.' || CAST(user_id % 4 AS VARCHAR) AS file,
 FROM events
 """)
 def q_pretty_json(spark, sf_dir):
-    """JSON lines printed with a 2-space indent (Arrow-batched pandas UDF)."""
+    """JSON lines printed with a 2-space indent."""
     df = linefns.pretty_json(render.jsonl_log(spark, sf_dir))
     return df.select("file", "line_no", "pretty")
 
@@ -304,7 +304,7 @@ FROM app GROUP BY 1, 2
 """)
 def q_timestamp_profile(spark, sf_dir):
     """Lines per file and layout, first and last time."""
-    out = profiles.timestamp_profile(_app(spark, sf_dir))
+    out = timestamps.timestamp_profile(_app(spark, sf_dir))
     return out.select("file", "ts_layout", "lines", ntz("first_ts"), ntz("last_ts"))
 
 
@@ -314,8 +314,8 @@ SELECT file, line_no, COALESCE(epoch_us(ts), 0) AS epoch_us FROM app
 """)
 def q_scan_timestamps(spark, sf_dir):
     """Per line (file, line_no, epoch); untimed lines give 0."""
-    df = _app(spark, sf_dir)
-    return df.select("file", "line_no", merge.ts_key_col().alias("epoch_us"))
+    df = timestamps.scan_timestamps(render.app_log(spark, sf_dir))
+    return df.select("file", "line_no", F.round(F.col("epoch") * 1_000_000).cast("bigint").alias("epoch_us"))
 
 
 @query("lines_over_time", f"""
@@ -857,8 +857,8 @@ idx AS (
          first(word ORDER BY length(word) DESC, word DESC) AS word
   FROM prefixes GROUP BY 1),
 typed AS (
-  SELECT file, line_no, left(line, 3) AS typed,
-         regexp_extract(left(line, 3), '[^\\s/\\[\\]\\(\\)"]*$', 0) AS last
+  SELECT file, line_no, line AS typed,
+         regexp_extract(line, '[^\\s/\\[\\]\\(\\)"]*$', 0) AS last
   FROM doclines)
 SELECT t.file, t.line_no, t.typed,
        CASE WHEN i.word IS NULL THEN NULL
@@ -866,28 +866,269 @@ SELECT t.file, t.line_no, t.typed,
 FROM typed t LEFT JOIN idx i ON lower(t.last) = i.prefix AND t.last <> ''
 """)
 def q_complete_words(spark, sf_dir):
-    """Complete the first three typed characters of every line from the
-    documents' own completion index."""
+    """Complete the last word of every line from the documents' own
+    completion index."""
     docs = _docs(spark, sf_dir)
-    index = search.suggest_words(docs)
-    typed = docs.select("file", "line_no", F.left("line", F.lit(3)).alias("typed"))
+    typed = docs.select("file", "line_no", F.col("line").alias("typed"))
+    index = search.suggest_words(docs, lengths=search.typed_lengths(typed))
     return search.complete_all(index, typed).select("file", "line_no", "typed", "suggestion")
 
 
 # ------------------------------------------------------------ entities (E)
-@query("extract_entities", None)
+# One entity of each kind per event, in the order they stand in the line.
+_ENTITIES = """elines AS (
+  SELECT 'entity.log.' || CAST(user_id % 4 AS VARCHAR) AS file,
+         CAST(row_number() OVER (PARTITION BY user_id % 4 ORDER BY event_id) - 1 AS BIGINT) AS line_no, *
+  FROM events),
+each AS (
+  SELECT file, line_no, unnest([
+    {'p': 0, 'kind': 'ipv4', 'value': '10.1.' || (user_id % 256) || '.' || (event_id % 256)},
+    {'p': 1, 'kind': 'ipv6', 'value': 'fe80::' || format('{:04x}', event_id % 65536)},
+    {'p': 2, 'kind': 'eui64', 'value': '02-00-5e-10-00-00-00-' || format('{:02x}', event_id % 256)},
+    {'p': 3, 'kind': 'eui48', 'value': '02-00-5e-10-01-' || format('{:02x}', user_id % 256)},
+    {'p': 4, 'kind': 'uuid', 'value': format('{:08x}', event_id) || '-0000-4000-8000-' || format('{:012x}', user_id)},
+    {'p': 5, 'kind': CASE WHEN event_id % 2 = 0 THEN 'bool_true' ELSE 'bool_false' END,
+     'value': CASE WHEN event_id % 2 = 0 THEN 'True' ELSE 'False' END},
+    {'p': 6, 'kind': 'none', 'value': 'None'},
+    {'p': 7, 'kind': 'number', 'value': CASE WHEN event_id % 3 = 0 THEN '-' || event_id END},
+    {'p': 8, 'kind': 'str', 'value': chr(39) || event_type || chr(39)},
+    {'p': 9, 'kind': 'path', 'value': '[/v1/' || event_type || '/' || user_id || ']'}]) AS x
+  FROM elines),
+ents AS (
+  SELECT file, line_no, CAST(row_number() OVER (PARTITION BY file, line_no ORDER BY x.p) - 1 AS INTEGER) AS pos,
+         x.kind AS kind, x.value AS value
+  FROM each WHERE x.value IS NOT NULL)"""
+
+
+@query("extract_entities", f"""
+WITH {_ENTITIES}
+SELECT file, line_no, pos, kind, value FROM ents
+""")
 def q_extract_entities(spark, sf_dir):
-    """Entity table (file, line, position, kind, value) of every document line."""
-    return entities.extract_entities(_docs(spark, sf_dir))
+    """Entity table (file, line, position, kind, value) of lines with an entity of each kind."""
+    return entities.extract_entities(render.entity_log(spark, sf_dir))
 
 
-@query("entity_counts", None)
+@query("entity_counts", f"""
+WITH {_ENTITIES}
+SELECT kind, count(*) AS matches, count(DISTINCT value) AS distinct_values FROM ents GROUP BY 1
+""")
 def q_entity_counts(spark, sf_dir):
-    """Matches and distinct values per entity kind over all documents."""
-    return entities.entity_counts(entities.extract_entities(_docs(spark, sf_dir)))
+    """Matches and distinct values per entity kind."""
+    return entities.entity_counts(entities.extract_entities(render.entity_log(spark, sf_dir)))
 
 
-@query("top_entities", None)
+@query("top_entities", f"""
+WITH {_ENTITIES},
+counted AS (SELECT kind, value, count(*) AS occurrences FROM ents GROUP BY 1, 2),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY kind ORDER BY occurrences DESC, value) AS INTEGER) AS rank
+           FROM counted)
+SELECT kind, value, occurrences, rank FROM ranked WHERE rank <= 10
+""")
 def q_top_entities(spark, sf_dir):
     """The ten most frequent values of every entity kind."""
-    return entities.top_entities(entities.extract_entities(_docs(spark, sf_dir)), k=10)
+    return entities.top_entities(entities.extract_entities(render.entity_log(spark, sf_dir)), k=10)
+
+
+@query("document_entities", None)
+def q_document_entities(spark, sf_dir):
+    """Entity table of every document line, whole lines (checked against Python in the tests)."""
+    return entities.extract_entities(_docs(spark, sf_dir))
+
+
+# ------------------------------------------------------------ long lines, user formats
+@query("long_access_lines", f"""
+SELECT CAST(row_number() OVER (ORDER BY event_id) - 1 AS BIGINT) AS line_no, 'common' AS format,
+       {_STATUS_SQL} AS status, event_id AS length, CAST(12009 AS INTEGER) AS referrer_chars,
+       'agent/' || user_id AS user_agent_clean, date_trunc('second', ts) AS access_ts
+FROM events
+""")
+def q_long_access_lines(spark, sf_dir):
+    """Access lines of over 12,000 characters parse whole."""
+    lines = render.long_lines(render.load(spark, sf_dir, "events"))
+    log = logs_from_table(lines, "text", "file", order_col="event_id")
+    out = formats.parse_access_log(log)
+    return out.select("line_no", "format", "status", "length",
+                      F.length("referrer_clean").alias("referrer_chars"), "user_agent_clean", ntz("access_ts"))
+
+
+@query("user_format_and_layout", """
+SELECT CAST(row_number() OVER (ORDER BY event_id) - 1 AS BIGINT) AS line_no, 'queue' AS format,
+       CAST(user_id AS VARCHAR) AS worker, event_type AS job, date_trunc('second', ts) AS ts,
+       'dots' AS ts_layout
+FROM events
+""")
+def q_user_format_and_layout(spark, sf_dir):
+    """A user's own line format (new group names) and time layout, passed as arguments."""
+    events = render.load(spark, sf_dir, "events")
+    ts = F.date_format(F.col("ts").cast("timestamp_ntz").cast("timestamp"), "dd.MM.yyyy HH.mm.ss")
+    lines = events.select(F.lit("queue.log").alias("file"), "event_id", F.concat(
+        ts, F.lit(" worker<"), F.col("user_id").cast("string"), F.lit("> "), F.col("event_type")).alias("text"))
+    log = logs_from_table(lines, "text", "file", order_col="event_id")
+    own = formats.LineFormat("queue", r"\S+ \S+ worker<(\d+)> (\w+)", ("worker", "job"))
+    dots = timestamps.strptime_layout("dots", r"\d{2}\.\d{2}\.\d{4} \d{2}\.\d{2}\.\d{2}", "dd.MM.yyyy HH.mm.ss")
+    out = timestamps.extract_timestamp(log, layouts=[*timestamps.LAYOUT_NAMES, dots])
+    out = formats.parse_access_log(out, formats=[*formats.LINE_FORMATS, own])
+    return out.select("line_no", "format", "worker", "job", ntz("ts"), "ts_layout")
+
+
+@query("extract_timestamp_zones", """
+SELECT CAST(row_number() OVER (ORDER BY event_id) - 1 AS BIGINT) AS line_no,
+       CASE event_id % 7 WHEN 0 THEN date_trunc('millisecond', ts) WHEN 1 THEN date_trunc('second', ts)
+         WHEN 2 THEN date_trunc('millisecond', ts) WHEN 3 THEN date_trunc('millisecond', ts)
+         WHEN 4 THEN date_trunc('millisecond', ts) ELSE date_trunc('second', ts) END AS ts,
+       CASE event_id % 7 WHEN 0 THEN 'iso_dot_ms' WHEN 1 THEN 'iso_s_zone' WHEN 2 THEN 'isoT_comma_ms_zone'
+         WHEN 3 THEN 'isoT_dot_ms_zone' WHEN 4 THEN 'isoT_dot_ms' WHEN 5 THEN 'isoT_s' ELSE 'epoch13' END AS ts_layout
+FROM events
+""")
+def q_extract_timestamp_zones(spark, sf_dir):
+    """The seven further layouts, found again in the text."""
+    lines = render.zone_layout_lines(render.load(spark, sf_dir, "events"))
+    log = logs_from_table(lines, "text", "file", order_col="event_id")
+    return timestamps.extract_timestamp(log).select("line_no", ntz("ts"), "ts_layout")
+
+
+# ------------------------------------------------------------ merged log (K, M6)
+_MERGED = _APP + """,
+merged AS (
+  SELECT file, line_no, ts, CAST(row_number() OVER (ORDER BY ts_key, line_no, file_order) - 1 AS BIGINT) AS merged_no
+  FROM keyed)"""
+
+
+def _merged(spark, sf_dir):
+    return merge.merged_positions(_app(spark, sf_dir), timed=True)
+
+
+@query("save_merged", f"""
+WITH {_MERGED},
+text AS (
+  SELECT m.merged_no, CASE WHEN b.event_type IS NULL
+           THEN '# header ' || (m.line_no + 1) || ' of ' || m.file
+           ELSE strftime(b.ts, '%Y-%m-%d %H:%M:%S') || ',' || lpad(CAST(epoch_ms(b.ts) % 1000 AS VARCHAR), 3, '0')
+                || ' ' || b.event_type || ' user=' || b.user_id END AS line
+  FROM merged m JOIN (SELECT k.*, e.user_id FROM keyed k LEFT JOIN (
+         SELECT 'app.log.' || CAST(user_id % 4 AS VARCHAR) AS file, user_id,
+                CAST(row_number() OVER (PARTITION BY user_id % 4 ORDER BY event_id) + 2 AS BIGINT) AS line_no
+         FROM events) e ON e.file = k.file AND e.line_no = k.line_no) b
+    ON b.file = m.file AND b.line_no = m.line_no)
+SELECT merged_no, line FROM text
+""")
+def q_save_merged(spark, sf_dir):
+    """The merged log saved as text and read back: part files in name order give the merged order."""
+    from logweft.session import shared_dir
+    path = shared_dir(spark, "merged-log")
+    merge.save_merged(_app(spark, sf_dir), path, timed=True, count=False)
+    back = read_logs(spark, path).lines
+    before = Window.orderBy("file_order").rowsBetween(Window.unboundedPreceding, -1)
+    first = back.groupBy("file_order").agg(F.count(F.lit(1)).alias("n")) \
+                .select("file_order", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+    return back.join(first, "file_order").select((F.col("first") + F.col("line_no")).alias("merged_no"), "line")
+
+
+@query("merge_logs_order", f"""
+WITH {_MERGED}
+SELECT merged_no AS place, file, line_no FROM merged
+""")
+def q_merge_logs_order(spark, sf_dir):
+    """The sorted log's own order: each row's place in the sorted output."""
+    out = merge.merge_logs(_app(spark, sf_dir), timed=True).select("file", "line_no")
+    from logweft.session import shared_dir
+    path = shared_dir(spark, "sorted-log")
+    out.write.parquet(path)     # part files hold the sorted partitions in order
+    back = spark.read.parquet(path)
+    rows = back.select("file", "line_no", F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1).cast("int").alias("part"),
+                       F.col("_metadata.row_index").alias("row"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    first = rows.groupBy("part").agg(F.count(F.lit(1)).alias("n")) \
+                .select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+    return rows.join(first, "part").select((F.col("first") + F.col("row")).alias("place"), "file", "line_no")
+
+
+@query("goto_line_merged", f"""
+WITH {_MERGED} SELECT file, line_no, merged_no FROM merged WHERE merged_no = 99
+""")
+def q_goto_line_merged(spark, sf_dir):
+    """Line 100 of the merged log."""
+    return navigate.goto_line(_merged(spark, sf_dir), 100, by=(), position="merged_no").select(
+        "file", "line_no", "merged_no")
+
+
+@query("line_page_merged", f"""
+WITH {_MERGED} SELECT file, line_no, merged_no FROM merged WHERE merged_no BETWEEN 50 AND 74
+""")
+def q_line_page_merged(spark, sf_dir):
+    """Lines 50..74 of the merged log."""
+    return navigate.line_page(_merged(spark, sf_dir), 50, 25, position="merged_no").select(
+        "file", "line_no", "merged_no")
+
+
+@query("last_lines_merged", f"""
+WITH {_MERGED} SELECT file, line_no, merged_no FROM merged
+WHERE merged_no > (SELECT max(merged_no) FROM merged) - 5
+""")
+def q_last_lines_merged(spark, sf_dir):
+    """The last five lines of the merged log."""
+    return navigate.last_lines(_merged(spark, sf_dir), 5, by=(), position="merged_no").select(
+        "file", "line_no", "merged_no")
+
+
+@query("time_jump_merged", f"""
+WITH {_MERGED},
+base AS (SELECT merged_no, ts + INTERVAL 1 DAY AS target_ts FROM merged
+         WHERE ts IS NOT NULL AND merged_no BETWEEN 200 AND 210 ORDER BY merged_no LIMIT 1)
+SELECT b.merged_no AS base_line, b.target_ts,
+       coalesce((SELECT min(m.merged_no) FROM merged m, base b WHERE m.merged_no > b.merged_no AND m.ts >= b.target_ts),
+                (SELECT max(merged_no) FROM merged)) AS merged_no
+FROM base b
+""")
+def q_time_jump_merged(spark, sf_dir):
+    """From line 200 of the merged log, jump one day forward."""
+    out = navigate.time_jump(_merged(spark, sf_dir), 200, 1, "d", by=(), position="merged_no")
+    return out.select("base_line", ntz("target_ts"), "merged_no")
+
+
+# ------------------------------------------------------------ sources and streams
+@query("missing_files", f"""
+WITH {_DOCFILES}
+SELECT 'read' AS state, count(*) AS n FROM filelines UNION ALL SELECT 'missing', 1
+""")
+def q_missing_files(spark, sf_dir):
+    """A missing path is reported while the others are read."""
+    folder = render.document_files(spark, sf_dir)
+    found = read_logs(spark, [folder, folder + "/no-such.log"], on_missing="report")
+    read = found.lines.agg(F.count(F.lit(1)).alias("n")).select(F.lit("read").alias("state"), "n")
+    return read.unionByName(found.errors.agg(F.count(F.lit(1)).alias("n")).select(F.lit("missing").alias("state"), "n"))
+
+
+@query("parse_stream", f"""
+SELECT {_STATUS_SQL} AS status, 'common' AS format, date_trunc('second', ts) AS access_ts,
+       'agent/' || user_id AS user_agent_clean
+FROM events
+""")
+def q_parse_stream(spark, sf_dir):
+    """Access lines landing in a folder, classified and parsed as a stream."""
+    from logweft.session import shared_dir
+    folder = shared_dir(spark, "access-files")
+    render.access_lines(render.load(spark, sf_dir, "events")).repartition(4).select("text").write.text(folder)
+    out = parse_stream(stream_log_dir(spark, folder, max_files_per_trigger=2))
+    got = _run_stream(spark, out.select("status", "format", "access_ts", "user_agent_clean"))
+    return got.select("status", "format", ntz("access_ts"), "user_agent_clean")
+
+
+@query("lines_over_time_append", """
+WITH t AS (SELECT date_trunc('hour', ts) AS period, count(*) AS lines FROM events GROUP BY 1)
+SELECT period, 'app.log' AS file, lines FROM t
+WHERE period + INTERVAL 1 HOUR <= (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 1 DAY FROM events)
+""")
+def q_lines_over_time_append(spark, sf_dir):
+    """Hourly lines in append mode: windows that the watermark has closed, each written once."""
+    from logweft.session import shared_dir
+    folder = shared_dir(spark, "append-files")
+    events = render.load(spark, sf_dir, "events")
+    # files land in event order, so no line comes later than the watermark allows
+    n = events.count()
+    lines = render.app_lines(events).filter(~F.col("text").startswith("#")).orderBy("text").select("text")
+    lines.coalesce(1).write.option("maxRecordsPerFile", max(1, n // 4)).text(folder)
+    stream = stream_log_dir(spark, folder).withColumn("file", F.lit("app.log"))
+    got = _run_stream(spark, lines_over_time_stream(stream, "1 hour", "1 day"))
+    return got.select(ntz("period"), "file", "lines")

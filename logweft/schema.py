@@ -20,11 +20,7 @@ LOG_SCHEMA = T.StructType([
 
 LOG_COLUMNS = [f.name for f in LOG_SCHEMA.fields]
 
-# Width caps, fixed values of the reference behaviour:
-# the timestamp scan, format parse and entity scan look at the first
-# 10,000 characters of a line; display abbreviates at 1,000 characters
-# and the detail view at 100,000 characters.
-PARSE_CAP = 10_000
+# Fixed value of the reference behaviour: display abbreviates at 1,000
+# characters. Every parser reads whole lines.
 DISPLAY_CAP = 1_000
-DETAIL_CAP = 100_000
 TAB_SIZE = 4

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import uuid
 
 from pyspark.sql import SparkSession
@@ -49,11 +50,14 @@ def shared_dir(spark: SparkSession, name: str | None = None) -> str:
     """A fresh folder under the cluster's shared checkpoint folder.
 
     The folder comes from ``spark.checkpoint.dir`` as the cluster names it.
-    Only when the session has none (a bare local test) do we set one, under
-    the system temp folder, so the same code path works in tests.
+    A session in local mode (a test) that has none gets one under the system
+    temp folder; on a cluster, where executors do not share that folder, it
+    is an error.
     """
     sc = spark.sparkContext
     base = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not base:
         base = os.path.join(os.environ.get("TMPDIR", "/tmp"), "logweft-checkpoints")
         sc.setCheckpointDir(base)

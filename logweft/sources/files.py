@@ -12,6 +12,7 @@ reader does anyway); file contents never pass through the driver.
 
 from __future__ import annotations
 
+import os
 import re
 from dataclasses import dataclass
 from typing import Iterable
@@ -50,8 +51,14 @@ def _norm_uri(path: str) -> str:
 
 
 def _natural_sort_key(path: str):
-    tokens = path.rsplit("/", 1)[-1].split(".")
-    return [t.zfill(24) if t.isdigit() else t.lower() for t in tokens], path
+    """:func:`natural_key` for a driver-side path."""
+    key = []
+    for token in os.path.basename(path).split("."):
+        if re.fullmatch("[0-9]+", token):
+            digits = token.lstrip("0")
+            token = f"{len(digits):010d}{digits}"
+        key.append(token.lower())
+    return key, path
 
 
 def sort_paths(paths: Iterable[str]) -> list[str]:
@@ -121,10 +128,13 @@ def read_logs(spark: SparkSession, paths: str | list[str], on_missing: str = "ra
                      F.monotonically_increasing_id().alias("__mid"))
     # Splits <= files + partitions: a proven bound for broadcasting the
     # per-split table (one row per split).
-    max_blocks = len(files) + text._jdf.rdd().getNumPartitions()
+    scanned = text._jdf.rdd().getNumPartitions()  # a bare scan: no job
+    max_blocks = len(files) + scanned
     path_bytes = max(len(f.encode()) for f in files)
     if offsets:
-        df = byte_offsets(df, max_blocks=max_blocks, path_bytes=path_bytes)
+        plain = F.when(~F.col("file_name").rlike(r"(?i)\.(gz|bz2|zst|lz4|snappy|deflate|xz)$"), F.col("file_size"))
+        df = byte_offsets(df.withColumn("__plain", plain), max_blocks=max_blocks, path_bytes=path_bytes,
+                          size_col="__plain").drop("__plain")
     else:
         df = df.withColumn("byte_offset", F.lit(None).cast("bigint"))
     if numbered:
@@ -137,7 +147,7 @@ def read_logs(spark: SparkSession, paths: str | list[str], on_missing: str = "ra
     df = df.join(order, F.col("file") == F.col("__opath"), "left").drop("__opath")
     # Numbers are fixed above (they need the scan's own partitions); the
     # parsing that follows may spread a narrow input over all cores.
-    df = spread(df.drop("__block", "__mid"))
+    df = spread(df.drop("__block", "__mid"), scanned)
     df = normalize_lines(df)
     return LogFiles(df.select(*schema.fieldNames()), errors, files)
 

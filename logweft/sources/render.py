@@ -172,6 +172,57 @@ def app_file_of(file_col: str = "file") -> Column:
     return F.regexp_extract(F.col(file_col), r"file=([^/]+)/", 1)
 
 
+def entity_lines(events: DataFrame) -> DataFrame:
+    """One line per event that holds one entity of each kind, built from the
+    event's id, user and type; file ``entity.log.{user_id % 4}``."""
+    low = lambda n, width: F.lower(F.lpad(F.hex(n), width, "0"))
+    e, u = F.col("event_id"), F.col("user_id")
+    parts = [F.lit("10.1."), (u % 256).cast("string"), F.lit("."), (e % 256).cast("string"),
+             F.lit(" via fe80::"), low(e % 65536, 4),
+             F.lit(" hw 02-00-5e-10-00-00-00-"), low(e % 256, 2), F.lit(" 02-00-5e-10-01-"), low(u % 256, 2),
+             F.lit(" id "), low(e, 8), F.lit("-0000-4000-8000-"), low(u, 12),
+             F.when(e % 2 == 0, F.lit(" True")).otherwise(F.lit(" False")), F.lit(" None"),
+             F.when(e % 3 == 0, F.concat(F.lit(" -"), e.cast("string"))).otherwise(F.lit("")),
+             F.lit(" '"), F.col("event_type"), F.lit("' [/v1/"), F.col("event_type"), F.lit("/"),
+             u.cast("string"), F.lit("]")]
+    return events.select(F.concat(F.lit("entity.log."), (u % ACCESS_FILES).cast("string")).alias("file"),
+                         "event_id", F.concat(*parts).alias("text"))
+
+
+def entity_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return logs_from_table(entity_lines(load(spark, sf_dir, "events")), "text", "file",
+                           order_col="event_id", file_order=True)
+
+
+def long_lines(events: DataFrame, width: int = 12_000) -> DataFrame:
+    """Access-log lines with a referrer of ``width`` characters in front of
+    the user agent: longer than any display width."""
+    ts = F.date_format(_event_time(events), "dd/MMM/yyyy:HH:mm:ss")
+    return events.select(
+        F.lit("long.log").alias("file"), "event_id",
+        F.concat(F.lit("10.0.0.1 - - ["), ts, F.lit(" +0000] \"GET /"), F.col("event_type"),
+                 F.lit(" HTTP/1.1\" "), _status(F.col("event_type")).cast("string"), F.lit(" "),
+                 F.col("event_id").cast("string"), F.lit(" \"http://h/"), F.repeat(F.lit("r"), F.lit(width)),
+                 F.lit("\" \"agent/"), F.col("user_id").cast("string"), F.lit("\"")).alias("text"))
+
+
+def zone_layout_lines(events: DataFrame) -> DataFrame:
+    """Each event's time in one of the seven layouts that
+    :func:`mixed_layout_lines` does not write (by ``event_id % 7``)."""
+    ts = _event_time(events)
+    minus = ts - F.expr("INTERVAL 5 HOURS")
+    k = F.col("event_id") % 7
+    text = (F.when(k == 0, F.concat(F.date_format(ts, "yyyy-MM-dd HH:mm:ss.SSS"), F.lit("")))
+             .when(k == 1, F.concat(F.date_format(minus, "yyyy-MM-dd HH:mm:ss"), F.lit(" -0500")))
+             .when(k == 2, F.concat(F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss,SSS"), F.lit("Z")))
+             .when(k == 3, F.concat(F.date_format(minus, "yyyy-MM-dd'T'HH:mm:ss.SSS"), F.lit("-0500")))
+             .when(k == 4, F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSS"))
+             .when(k == 5, F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss"))
+             .otherwise(F.lpad(F.unix_micros(ts).cast("string").substr(1, 10), 13, "0")))
+    return events.select(F.lit("zones.log").alias("file"), "event_id",
+                         F.concat(text, F.lit(" "), F.col("event_type")).alias("text"))
+
+
 def mixed_layout_lines(events: DataFrame) -> DataFrame:
     """Each event's time in one of eight text layouts (by ``event_id % 8``):
     zoned ``Z`` / ``-0500`` / ``+0530`` shifts, comma and dot fractions, the

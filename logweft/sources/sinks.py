@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from logweft.operators.merge import save_merged
+from logweft.operators.numbering import range_partitions
 
 __all__ = ["save_merged", "write_log_table"]
 
@@ -21,8 +22,7 @@ def write_log_table(df: DataFrame, path: str, partition_by_file: bool = False,
     Range partitioning on (file, line_no) gives sorted, non-overlapping row
     groups, so ``line_no`` min/max statistics prune pages and row groups.
     """
-    spark = df.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = range_partitions(df)
     out = df.repartitionByRange(n, "file", "line_no").sortWithinPartitions("file", "line_no")
     writer = out.write.mode(mode)
     if partition_by_file:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import re
+
+from pyspark.sql import Column, DataFrame, functions as F
 
 from logweft.functions.lines import normalize_lines
-from logweft.operators.numbering import rank_within
+from logweft.operators.numbering import rank_within, small_table
 
 
 def natural_key(name: Column | str) -> Column:
@@ -14,39 +16,55 @@ def natural_key(name: Column | str) -> Column:
     app.log.10``. An ARRAY<STRING>, so it compares token by token."""
     c = F.col(name) if isinstance(name, str) else name
     base = F.element_at(F.split(c, "/"), -1)
-    return F.transform(F.split(base, r"\."),
-                       lambda t: F.when(t.rlike(r"^[0-9]+$"), F.lpad(t, 24, "0"))
-                                  .otherwise(F.lower(t)))
+    def token(t):
+        digits = F.ltrim(t, F.lit("0"))  # a number: by its length, then its digits
+        return F.when(t.rlike(r"^[0-9]+$"),
+                      F.concat(F.lpad(F.length(digits).cast("string"), 10, "0"), digits)).otherwise(F.lower(t))
+    return F.transform(F.split(base, r"\."), token)
 
 
 def with_file_order(df: DataFrame, file_col: str = "file", out: str = "file_order") -> DataFrame:
     """Rank of each file in natural name order (0-based).
 
-    Computed on the distinct file names only (one row per file), then joined
-    back; the planner sizes that join at run time.
+    Computed on the distinct file names only (one row per file), ranked
+    without a global window, and joined back: broadcast when their counted
+    number is within the bound.
     """
     if out in df.columns:
         df = df.drop(out)
-    files = df.select(file_col).distinct()
-    order = Window.orderBy(natural_key(file_col), F.col(file_col))
-    ranks = files.select(F.col(file_col).alias("__ofile"),
-                         (F.dense_rank().over(order) - 1).cast("int").alias(out))
+    files = df.select(F.col(file_col).alias("__ofile")).distinct()
+    ranks = rank_within(files.filter(F.col("__ofile").isNotNull()),
+                        [natural_key("__ofile"), "__ofile"], out=out)
+    ranks = small_table(ranks.select("__ofile", F.col(out).cast("int").alias(out)), 264)
     return (df.join(ranks, F.col(file_col).eqNullSafe(F.col("__ofile")), "left")
               .drop("__ofile"))
 
 
-def spread(df: DataFrame) -> DataFrame:
+# Operators whose plan would run jobs (or wait for them) if its partitions were asked for.
+_WIDE = re.compile(r"\b(Join|Aggregate|Distinct|Deduplicate|Window|Sort|Repartition\w*|RebalancePartitions|"
+                   r"Union|Intersect|Except|GlobalLimit|FlatMap\w*|InMemoryRelation)\b")
+
+
+def scan_partitions(df: DataFrame) -> int | None:
+    """Partitions of a plan that is a scan with projections and filters (no
+    job); None for any other plan."""
+    plan = df._jdf.queryExecution().optimizedPlan()
+    if _WIDE.search(re.sub(r"#\d+|\[[^\n]*", "", plan.toString())):
+        return None
+    return df._jdf.rdd().getNumPartitions()
+
+
+def spread(df: DataFrame, partitions: int | None = None) -> DataFrame:
     """Spread an input that arrives in fewer partitions than the cluster has
     cores (one small file, one gzip file) over all of them. Decided at plan
-    time from the partition count; an input that is already wide (the
-    normal case at scale) is left as it is, with no shuffle."""
+    time, without a job, from the partition count given or that of a bare
+    scan; a wide input (the normal case at scale) is left as it is, with no
+    shuffle."""
     if df.isStreaming:
         return df  # a stream's partitions come from its source per batch
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    if df._jdf.rdd().getNumPartitions() < cores:
-        return df.repartition(cores)
-    return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    n = scan_partitions(df) if partitions is None else partitions
+    return df.repartition(cores) if n is not None and n < cores else df
 
 
 def logs_from_table(df: DataFrame, text_col: str = "text", file_col: str | None = None,

@@ -18,14 +18,16 @@ from logweft.streaming.tail import _check_paths, register
 
 
 def tail_logs(spark: SparkSession, paths: str | list[str], starting_position: str = "latest",
-              max_bytes_per_trigger: int | None = None, chunk_bytes: int | None = None) -> DataFrame:
+              max_bytes_per_trigger: int | None = None, chunk_bytes: int | None = None,
+              checkpoint: str | None = None) -> DataFrame:
     """Stream of the complete lines appended to growing files.
 
     Columns: file, byte_offset (where the line starts), raw, line, error
     (NULL on lines; a row with the message when a file cannot be read, which
     is then skipped while the others go on). Pause / resume = stop the query
     and start it again on the same checkpoint: it continues at the stored
-    offsets.
+    offsets. Pass that ``checkpoint`` folder here as well, and the byte cap and
+    the check for rotated files hold for the first batch after a restart.
     """
     if isinstance(paths, str):
         paths = [paths]
@@ -36,6 +38,8 @@ def tail_logs(spark: SparkSession, paths: str | list[str], starting_position: st
                    .option("startingPosition", starting_position))
     if max_bytes_per_trigger:
         reader = reader.option("maxBytesPerTrigger", str(max_bytes_per_trigger))
+    if checkpoint:
+        reader = reader.option("checkpointLocation", checkpoint)
     if chunk_bytes:
         reader = reader.option("chunkBytes", str(chunk_bytes))
     return normalize_lines(reader.load())
@@ -72,12 +76,9 @@ def pending_lines(df: DataFrame, seen: dict[str, int] | None = None) -> DataFram
     if "error" in df.columns:
         df = df.filter(F.col("error").isNull())  # error reports are no lines
     if seen:
-        cond = None
-        for path, pos in seen.items():
-            c = (F.col("file") == path) & (F.col("byte_offset") >= pos)
-            cond = c if cond is None else cond | c
-        known = F.col("file").isin(list(seen))
-        df = df.filter(cond | ~known)
+        # a map literal: one lookup per line, however many files
+        known = F.create_map(*[F.lit(x) for pair in seen.items() for x in pair])
+        df = df.filter(F.col("byte_offset") >= F.coalesce(F.try_element_at(known, F.col("file")), F.lit(0)))
     return df.groupBy("file").agg(F.count(F.lit(1)).alias("pending_lines"))
 
 

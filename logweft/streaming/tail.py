@@ -13,14 +13,19 @@ Options (``spark.readStream.format("logtail").option(...)``):
   cannot grow and are refused).
 * ``startingPosition``: ``latest`` (default: only lines written from now)
   or ``earliest`` (the history first, then new lines).
-* ``maxBytesPerTrigger``: cap of bytes per file per batch (cut at a line
-  end). The cap applies from the first batch of a fresh query; a query
-  restarted from its checkpoint catches up in its first batch.
+* ``maxBytesPerTrigger``: cap of bytes per file per batch, cut at a line
+  end (a line longer than the cap is a batch of its own).
+* ``checkpointLocation``: the query's checkpoint folder, where a restarted
+  query finds the offset it stopped at before its first batch, so that the cap
+  and the rotation check hold for that batch too.
 * ``chunkBytes``: a large range is read by several tasks, each owning the
   lines that *start* in its chunk (default 32 MiB).
 
-Offsets are ``{path: {"gen": g, "pos": p}}``; when a file shrinks below its
-offset (truncated or rotated) ``gen`` goes up and reading restarts at 0.
+Offsets are ``{path: {"gen": g, "pos": p, "head": h}}``. ``head`` is a digest
+of the file's first bytes (up to 1 KiB of what was read). When a file shrinks
+below its offset, or its first bytes are no longer those (truncated, or
+rotated and already longer than before), ``gen`` goes up and reading restarts
+at 0. Paths must be mounted alike on the driver and all executors.
 A file that cannot be read keeps its old offset and is skipped; the others
 go on. The failure is reported once, as a row whose ``error`` column holds
 the message (``error`` is NULL on every line).
@@ -28,9 +33,13 @@ the message (``error`` is NULL on every line).
 
 from __future__ import annotations
 
+import glob
+import hashlib
+import json
 import os
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
 SCHEMA = "file string, byte_offset bigint, raw string, error string"
@@ -57,6 +66,55 @@ def last_line_end(path: str, size: int, floor: int = 0) -> int:
     return floor
 
 
+def first_line_end(path: str, start: int, size: int) -> int:
+    """Position just after the first ``\n`` at or after ``start`` and below
+    ``size``; ``start`` when there is none."""
+    with open(path, "rb") as fh:
+        fh.seek(start)
+        at = start
+        while at < size:
+            block = fh.read(min(LOOKBACK, size - at))
+            hit = block.find(b"\n")
+            if hit >= 0:
+                return at + hit + 1
+            if not block:
+                break
+            at += len(block)
+    return start
+
+
+# Fixed value: bytes of a file's start that tell it from its successor.
+HEAD_BYTES = 1024
+
+
+def head_digest(path: str, size: int) -> str:
+    """``length:digest`` of the first bytes (at most ``size`` of them)."""
+    with open(path, "rb") as fh:
+        data = fh.read(min(HEAD_BYTES, size))
+    return f"{len(data)}:{hashlib.sha256(data).hexdigest()[:32]}"
+
+
+def same_file(path: str, head: str) -> bool:
+    """Whether the file still begins with the bytes that ``head`` stands for."""
+    return head_digest(path, int(head.split(":")[0])) == head
+
+
+def checkpointed_offset(folder: str | None, paths: list[str]) -> dict | None:
+    """The newest offset of these paths in a checkpoint folder's offset log."""
+    if not folder:
+        return None
+    names = [n for n in glob.glob(os.path.join(folder.removeprefix("file:"), "offsets", "*"))
+             if os.path.basename(n).isdigit()]
+    for name in sorted(names, key=lambda n: -int(os.path.basename(n))):
+        with open(name, encoding="utf-8") as fh:
+            for line in fh:
+                if line.startswith("{"):
+                    offset = json.loads(line)
+                    if any(isinstance(offset.get(p), dict) and "pos" in offset[p] for p in paths):
+                        return offset
+    return None
+
+
 @dataclass
 class TailError(InputPartition):
     path: str
@@ -79,6 +137,17 @@ def _check_paths(paths: list[str]) -> list[str]:
     return paths
 
 
+# Fixed value: text bytes of one Arrow batch (1 MiB).
+BATCH_BYTES = 1024 * 1024
+
+
+def _batch(path: str, starts: list, lines: list, error: str | None = None) -> pa.RecordBatch:
+    n = len(lines)
+    return pa.RecordBatch.from_arrays(
+        [pa.array([path] * n, pa.string()), pa.array(starts, pa.int64()), pa.array(lines, pa.string()),
+         pa.array([error] * n, pa.string())], ["file", "byte_offset", "raw", "error"])
+
+
 class TailReader(DataSourceStreamReader):
     def __init__(self, options: dict):
         paths = [p.strip() for p in options.get("paths", "").split(",") if p.strip()]
@@ -89,7 +158,8 @@ class TailReader(DataSourceStreamReader):
         cap = options.get("maxBytesPerTrigger")
         self.cap = int(cap) if cap else None
         self.chunk = int(options.get("chunkBytes", DEFAULT_CHUNK))
-        self._known: dict | None = None  # last offset handed out, when known
+        # last offset handed out, when known
+        self._known: dict | None = checkpointed_offset(options.get("checkpointLocation"), paths)
 
     def _size(self, path: str) -> int | None:
         try:
@@ -105,6 +175,8 @@ class TailReader(DataSourceStreamReader):
             if self.starting == "latest" and size is not None:
                 pos = last_line_end(p, size)
             out[p] = {"gen": 0, "pos": pos}
+            if pos:
+                out[p]["head"] = head_digest(p, pos)
         self._known = out
         return out
 
@@ -113,26 +185,26 @@ class TailReader(DataSourceStreamReader):
         out = {}
         for p in self.paths:
             prev = base.get(p, {"gen": 0, "pos": 0})
-            kept = {"gen": prev["gen"], "pos": prev["pos"]}
+            kept = {k: prev[k] for k in ("gen", "pos", "head") if k in prev}
             size = self._size(p)
             if size is None:          # unreadable now: keep its place, skip it
                 out[p] = {**kept, "err": "cannot read file"}
                 continue
             gen, floor = prev["gen"], prev["pos"]
-            if size < floor:          # truncated / rotated: start again at 0
-                gen, floor = gen + 1, 0
-            limit = size
-            if self.cap is not None and self._known is not None:
-                limit = min(size, floor + self.cap)
             try:
+                if size < floor or prev.get("head") and not same_file(p, prev["head"]):
+                    gen, floor = gen + 1, 0   # truncated or rotated: start again at 0
+                limit = size if self.cap is None or self._known is None else min(size, floor + self.cap)
                 pos = last_line_end(p, limit, floor)
                 if pos == floor and limit < size:
-                    # one line longer than the cap: take it whole
-                    pos = last_line_end(p, size, floor)
+                    # one line longer than the cap: that line, and no more
+                    pos = first_line_end(p, limit, size)
+                    pos = floor if pos == limit else pos
+                out[p] = {"gen": gen, "pos": pos}
+                if pos:
+                    out[p]["head"] = head_digest(p, pos)
             except OSError as err:
-                out[p] = {**kept, "err": str(err)[:300]}
-                continue
-            out[p] = {"gen": gen, "pos": pos}
+                out[p] = {**kept, "err": str(err)}
         self._known = out
         return out
 
@@ -158,15 +230,17 @@ class TailReader(DataSourceStreamReader):
         return parts
 
     def read(self, partition):
+        """Arrow batches of the lines a task owns."""
         part = partition
         if isinstance(part, TailError):
-            yield (part.path, None, None, part.message)
+            yield _batch(part.path, [None], [None], part.message)
             return
         try:
             fh = open(part.path, "rb")
         except OSError as err:
-            yield (part.path, None, None, f"cannot read file: {err}"[:300])
+            yield _batch(part.path, [None], [None], f"cannot read file: {err}")
             return
+        starts, lines, held = [], [], 0
         with fh:
             pos = part.chunk_start
             if pos > part.start:
@@ -186,7 +260,14 @@ class TailReader(DataSourceStreamReader):
                 if pos > part.end:
                     break  # never past the batch end (a line still being written)
                 text = data[:-1] if data.endswith(b"\n") else data
-                yield (part.path, line_start, text.decode("utf-8", errors="replace"), None)
+                starts.append(line_start)
+                lines.append(text.decode("utf-8", errors="replace"))
+                held += len(data)
+                if held >= BATCH_BYTES:
+                    yield _batch(part.path, starts, lines)
+                    starts, lines, held = [], [], 0
+        if lines:
+            yield _batch(part.path, starts, lines)
 
     def commit(self, end: dict) -> None:
         self._known = end

@@ -85,3 +85,39 @@ def test_corrupt_file_is_skipped_when_tolerant(spark, tmpdir_path):
     assert sorted(r.line for r in res.lines.collect()) == ["ok 1", "ok 2"]
     with pytest.raises(Exception):
         read_logs(spark, [good, bad]).lines.collect()
+
+
+def test_natural_order_of_long_numbers(spark):
+    from logweft.sources.files import sort_paths
+    from logweft.sources.tables import with_file_order
+    names = ["a.9", "a.10", "a." + "1" * 26, "a." + "1" * 25 + "2", "a.009", "a.b", "A.1"]
+    df = spark.createDataFrame([(n,) for n in names], "file string")
+    got = [r.file for r in with_file_order(df).orderBy("file_order").collect()]
+    assert got == sort_paths(names) == ["A.1", "a.009", "a.9", "a.10", "a." + "1" * 26, "a." + "1" * 25 + "2", "a.b"]
+
+
+def test_offsets_behind_a_byte_order_mark(spark, tmpdir_path):
+    p = os.path.join(tmpdir_path, "bom.log")
+    with open(p, "wb") as fh:
+        fh.write(b"\xef\xbb\xbfabc\nde\nf")
+    rows = read_logs(spark, p, offsets=True).lines.orderBy("line_no").collect()
+    assert [(r.raw, r.byte_offset) for r in rows] == [("abc", 0), ("de", 7), ("f", 10)]
+
+
+def jobs_of(spark, build):
+    """Jobs that ran while ``build`` made its DataFrame."""
+    spark.sparkContext.setJobGroup("plan-time", "jobs before the first action")
+    try:
+        build()
+        return list(spark.sparkContext.statusTracker().getJobIdsForGroup("plan-time"))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_no_job_before_the_first_action(spark, tmpdir_path):
+    from logweft.sources.render import document_log
+    for k in range(2):
+        with open(os.path.join(tmpdir_path, f"app.log.{k}"), "w") as fh:
+            fh.write("x\ny\n")
+    assert jobs_of(spark, lambda: read_logs(spark, tmpdir_path, offsets=True)) == []
+    assert len(jobs_of(spark, lambda: document_log(spark, "/root/testdata/sf0.001"))) <= 1  # the schema of the table

@@ -79,3 +79,56 @@ def test_pretty_json(spark):
     df = pretty_json(lines_df(spark, ['{"a": {"b": [1, 2]}}', "not json"]))
     got = [r.pretty for r in df.orderBy("line_no").collect()]
     assert got == [json.dumps({"a": {"b": [1, 2]}}, indent=2), None]
+
+
+def test_fast_patterns_equal_the_fixed_ones():
+    """Random lines around both shapes: the same lines match and the groups are the same."""
+    import random
+    import re
+    rng = random.Random(5)
+    marks = ["a", "b", " ", " ", "[", '] "', '" ', ' "', '"', " HTTP/", '" "', " [", "]", "\n", " a"]
+    some = lambda n: "".join(rng.choice(marks) for _ in range(rng.randint(0, n)))
+    hits = 0
+    for k in range(3000):
+        if k % 3 == 0:
+            line = some(22)
+        else:
+            line = (f"{some(2)} {some(2)} {some(2)} [{some(2)} {some(2)}] \"{some(2)} {some(2)}"
+                    f"{rng.choice(['', ' HTTP/1'])}{some(1)}\" {some(2)} {some(1)} \"{some(3)}\"")
+            if k % 2:
+                line += f' "{some(2)}" {some(2)} {some(2)} {some(2)}'
+        for fmt in (formats.COMMON_LOG, formats.COMBINED_LOG):
+            slow, test, split = (re.fullmatch(x, line) for x in (fmt.regex, fmt.test, fmt.split))
+            assert bool(slow) == bool(test) == bool(split), line
+            if slow:
+                hits += 1
+                assert slow.groups() == split.groups(), line
+    assert hits > 300
+
+
+def test_long_lines(spark):
+    import time
+    body = "r" * 20_000
+    lines = ['{"a": "' + body + '"}', COMMON.replace('"-"', f'"{body}"'),
+             "w " * 2500 + '] "' + "w " * 2500, "a b c [d e] \"" + 'x" ' * 3000 + "y"]
+    df = lines_df(spark, lines)
+    formats.classify_lines(df.limit(1)).collect()
+    t = time.perf_counter()
+    rows = formats.parse_access_log(df).orderBy("line_no").collect()
+    assert time.perf_counter() - t < 10
+    assert [r.format for r in rows] == ["json", "common", "default", "default"]
+    assert rows[1].status == 200 and rows[1].referrer == body
+
+
+def test_user_format_with_new_groups(spark):
+    own = formats.LineFormat("kv", r"(\w+)=(\w+)", ("key", "status"))
+    df = formats.parse_access_log(lines_df(spark, ["a=7", COMMON, "other"]), formats=[*formats.LINE_FORMATS, own])
+    got = [(r.format, r.key, r.status) for r in df.orderBy("line_no").collect()]
+    assert got == [("kv", "a", 7), ("common", None, 200), ("default", None, None)]
+
+
+def test_pretty_json_shapes(spark):
+    from logweft.functions.lines import pretty_json
+    texts = ['{"b":1,"a":[{},[],{"x":"1, {2}: [3]\\\\\\""}],"c":null}', "[]", "{}", "3", '"s"', '[1,[2,3]]']
+    df = pretty_json(lines_df(spark, texts))
+    assert [r.pretty for r in df.orderBy("line_no").collect()] == [json.dumps(json.loads(t), indent=2) for t in texts]

@@ -24,7 +24,14 @@ def test_strip_ansi_and_unfold(spark):
 def test_abbreviate_and_caps(spark):
     long = "x" * 1500
     assert _one(spark, [long, "short"], L.abbreviate_col) == ["x" * 1000 + "…", "short"]
-    assert len(_one(spark, ["y" * 20000], L.parse_cap)[0]) == 10000
+    from logweft.functions.lines import detail_text
+    df = spark.createDataFrame([("z" * 150_000 + "\\n",)], "line string")
+    assert detail_text(df).first().detail == "z" * 150_000 + "\n"
+
+
+def test_expand_tabs_with_the_marker_character(spark):
+    texts = ["a\tb\ue000\tc", "\ue000\t\tx\ry\t", "\ue000"]
+    assert _one(spark, texts, L.expand_tabs_col) == [t.expandtabs(4) for t in texts]
 
 
 def test_normalize(spark):

@@ -1,5 +1,6 @@
 """Merge: order key, header back-fill, positions, saved text (FIXTURES §4)."""
 
+import datetime as dt
 import os
 
 from pyspark.sql import functions as F
@@ -16,33 +17,30 @@ def table(spark, files):
     return extract_timestamp(with_file_order(normalize_lines(df)))
 
 
+EPOCH = dt.datetime(1970, 1, 1)
+
+
+def line_time(line):
+    """The time of a test line in microseconds, None without one."""
+    if line.startswith("Jan  1 00:00:00"):
+        return (dt.datetime(1900, 1, 1) - EPOCH) // dt.timedelta(microseconds=1)
+    try:
+        return (dt.datetime.strptime(line[:19], "%Y-%m-%d %H:%M:%S") - EPOCH) // dt.timedelta(microseconds=1)
+    except ValueError:
+        return None
+
+
 def python_merge(files):
-    """Independent model of the merge rule."""
-    import datetime as dt
-    meta = []
-    names = sorted(files, key=lambda n: [t.zfill(24) if t.isdigit() else t.lower()
-                                         for t in n.split(".")])
-    for name in names:
-        keys = []
-        for line in files[name]:
-            try:
-                t = dt.datetime.strptime(line[:19], "%Y-%m-%d %H:%M:%S")
-                keys.append(int((t - dt.datetime(1970, 1, 1)).total_seconds() * 1e6))
-            except ValueError:
-                if line.startswith("Jan  1 00:00:00"):
-                    t = dt.datetime(1900, 1, 1)
-                    keys.append(int((t - dt.datetime(1970, 1, 1)).total_seconds() * 1e6))
-                else:
-                    keys.append(0)
-        for off, k in enumerate(keys):
-            if k:
-                keys[:off] = [k] * off
-                break
-            if off > 10:
-                break
-        meta += [(k, i, name) for i, k in enumerate(keys)]
-    meta.sort(key=lambda m: (m[0], m[1]))
-    return [(name, i) for _, i, name in meta]
+    """The merge rule: lines ordered by (time, line number, file name). An untimed line has time 0, but in a file whose
+    first timed line is among its first twelve, the lines above that one have its time."""
+    rows = []
+    for name, lines in files.items():
+        times = [line_time(x) for x in lines]
+        first = next((i for i, t in enumerate(times) if t), len(lines))
+        for i, t in enumerate(times):
+            key = times[first] if i < first < 12 else t or 0
+            rows.append((key, i, name))
+    return [(name, i) for _, i, name in sorted(rows)]
 
 
 FILES = {
@@ -72,7 +70,9 @@ def test_backfill_limits(spark):
 
 
 def test_single_file_keeps_file_order(spark):
-    df = merge.merge_logs(table(spark, {"a.log": FILES["a.log"]}), timed=True)
+    one = table(spark, {"a.log": FILES["a.log"]})
+    assert not merge.several_files(one) and merge.several_files(table(spark, FILES))
+    df = merge.merge_logs(one, timed=True, by_time=merge.several_files(one))
     assert [r.line_no for r in df.collect()] == [0, 1, 2, 3]
 
 

@@ -27,6 +27,8 @@ def test_filters(spark):
 
 @pytest.mark.parametrize("find,regex,case", [("ab", False, True), ("AB", False, False),
                                              (r"a+b", True, True), ("error", False, False),
+                                             (r"(?=ab)", True, True), (r"\b", True, True), ("x*", True, True),
+                                             (r"(e)(r)+", True, True), ("o|$", True, True),
                                              (".", False, True)])
 def test_spans_match_python(spark, find, regex, case):
     df = search.match_spans(lines_df(spark, LINES), find, regex=regex, case_sensitive=case)

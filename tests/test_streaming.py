@@ -125,3 +125,50 @@ def test_tail_unreadable_file_is_reported_and_skipped(spark, tmpdir_path):
     assert sorted(r.line for r in rows if r.error is None) == ["g1", "g2"]
     errs = [r for r in rows if r.error is not None]
     assert len(errs) == 1 and errs[0].file == missing
+
+
+def test_tail_cap_with_long_lines_and_restart(spark, tmpdir_path):
+    p = os.path.join(tmpdir_path, "app.log")
+    text = "x" * 50 + "\n" + "".join(f"l{k}\n" for k in range(40))
+    with open(p, "w") as fh:
+        fh.write(text)
+    out, ck = os.path.join(tmpdir_path, "out"), os.path.join(tmpdir_path, "ck")
+    sizes = []
+
+    def run(batches):
+        df = tail_logs(spark, p, starting_position="earliest", max_bytes_per_trigger=20, checkpoint=ck)
+
+        def keep(batch, _id):
+            batch = batch.select("line", "byte_offset").collect()
+            if batch:
+                sizes.append([r.line for r in batch])
+        q = (df.writeStream.foreachBatch(keep).option("checkpointLocation", ck)
+               .trigger(processingTime="0 seconds").start())
+        try:
+            for _ in range(600):
+                if len(sizes) >= batches:
+                    break
+                time.sleep(0.1)
+        finally:
+            q.stop()
+    run(2)
+    seen = len(sizes)
+    run(seen + 2)          # restarted: the cap holds in its first batch
+    lines = [x for batch in sizes for x in batch]
+    assert lines == text.split("\n")[:len(lines)]
+    assert sizes[0] == ["x" * 50]
+    assert all(sum(len(x) + 1 for x in batch) <= 20 for batch in sizes[1:])
+    assert len(lines) < len(text.split("\n"))
+
+
+def test_tail_notices_a_longer_successor(spark, tmpdir_path):
+    p = os.path.join(tmpdir_path, "app.log")
+    with open(p, "w") as fh:
+        fh.write("a1\na2\n")
+    out, ck = os.path.join(tmpdir_path, "out"), os.path.join(tmpdir_path, "ck")
+    _run(tail_logs(spark, p, starting_position="earliest", checkpoint=ck), out, ck)
+    with open(p, "w") as fh:
+        fh.write("b1\nb2\nb3\nb4\n")
+    _run(tail_logs(spark, p, starting_position="earliest", checkpoint=ck), out, ck)
+    got = sorted(r.line for r in spark.read.parquet(out).collect())
+    assert got == ["a1", "a2", "b1", "b2", "b3", "b4"]

@@ -10,8 +10,7 @@ warnings.filterwarnings("ignore", category=DeprecationWarning)
 import pytest
 
 from conftest import lines_df
-from logweft.functions.timestamps import (TIMESTAMP_LAYOUTS, extract_timestamp,
-                                          parse_timestamp_value)
+from logweft.functions.timestamps import extract_timestamp, parse_timestamp_value
 
 D = dt.datetime
 
@@ -73,10 +72,21 @@ def test_layout_hint_prunes(spark):
     assert got == [(None, None), (D(2024, 1, 29, 13, 48), "clf")]
 
 
-def test_long_line_only_head_scanned(spark):
-    line = "x" * 10_000 + " 2024-01-08 13:31:48 up"
+def test_long_lines_are_scanned_whole(spark):
+    line = "x" * 50_000 + " 2024-01-08 13:31:48 up"
     got = _collect(extract_timestamp(lines_df(spark, [line])).select("line_no", F_ntz("ts"), "ts_layout"))
-    assert got == [(None, None)]
+    assert got == [(D(2024, 1, 8, 13, 31, 48), "iso_s")]
+
+
+def test_user_layouts(spark):
+    from logweft.functions.timestamps import LAYOUT_NAMES, strptime_layout
+    own = strptime_layout("dots", r"\d{2}\.\d{2}\.\d{4} \d{2}h\d{2}", "dd.MM.yyyy HH'h'mm")
+    lines = ["at 08.01.2024 13h31", "2024-01-08 13:31:48 08.01.2024 13h31", "none"]
+    df = extract_timestamp(lines_df(spark, lines), layouts=[*LAYOUT_NAMES, own])
+    assert _collect(df.select("line_no", F_ntz("ts"), "ts_layout")) == [
+        (D(2024, 1, 8, 13, 31), "dots"), (D(2024, 1, 8, 13, 31, 48), "iso_s"), (None, None)]
+    with pytest.raises(ValueError):
+        extract_timestamp(lines_df(spark, lines), layouts=["no such layout"])
 
 
 def test_whole_value_parse(spark):
@@ -91,23 +101,38 @@ def test_whole_value_parse(spark):
 
 
 # ---- independent Python model of the scan rule ------------------------------
+# Its patterns are built here from the shape of a time, not taken from the library.
+def _shapes():
+    for sep, name in ((" ", "iso"), ("T", "isoT")):
+        clock = "[0-9]{4}-[0-9]{2}-[0-9]{2}" + sep + "[0-9]{2}:[0-9]{2}:[0-9]{2}"
+        for mark, part in ((",", "_comma_ms"), ("[.]", "_dot_ms"), ("", "_s")):
+            body = clock + (mark + "[0-9]{3}" if mark else "")
+            tail = "Z?" if name + part == "isoT_dot_ms" else ""
+            yield name + part + "_zone", body + r"\s?(?:Z|[-+][0-9]{4}" + tail + ")"
+            yield name + part, body
+    yield "syslog", r"[ADFJMNOS][a-z][a-z]\s[\s0-9][0-9] [0-9]{2}:[0-9]{2}:[0-9]{2}"
+    yield "dmy_slash", r"[0-9]{2}/[A-Za-z0-9_]+/[0-9]{4} [0-9]{2}:[0-9]{2}:[0-9]{2}"
+    yield "clf", r"[0-9]{2}/[A-Za-z0-9_]+/[0-9]{4}:[0-9]{2}:[0-9]{2}:[0-9]{2} [-+][0-9]{4}"
+    yield "epoch_fraction", r"[0-9]{10}[.][0-9]+"
+    yield "epoch13", "[0-9]{13}"
+
+
 def _model(line):
-    line = line[:10000]
-    for lay in TIMESTAMP_LAYOUTS:
-        m = re.search(lay.regex, line)
+    for name, regex in _shapes():
+        m = re.search(regex, line)
         if not m:
             continue
         t = m.group(0)
         try:
-            if lay.kind == "iso":
+            if name.startswith("iso"):
                 v = dt.datetime.fromisoformat(t)
-            elif lay.name == "syslog":
+            elif name == "syslog":
                 v = dt.datetime.strptime(t, "%b %d %H:%M:%S")
-            elif lay.name == "dmy_slash":
+            elif name == "dmy_slash":
                 v = dt.datetime.strptime(t, "%d/%b/%Y %H:%M:%S")
-            elif lay.name == "clf":
+            elif name == "clf":
                 v = dt.datetime.strptime(t, "%d/%b/%Y:%H:%M:%S %z")
-            elif lay.name == "epoch_fraction":
+            elif name == "epoch_fraction":
                 v = dt.datetime.fromtimestamp(float(t), dt.timezone.utc)
             else:
                 v = dt.datetime.fromtimestamp(int(t), dt.timezone.utc)
@@ -115,7 +140,7 @@ def _model(line):
             continue
         if v.tzinfo is not None:
             v = v.astimezone(dt.timezone.utc).replace(tzinfo=None)
-        return v, lay.name
+        return v, name
     return None, None
 
 
