@@ -25,8 +25,10 @@ def strip_line_ends(col: Column | str) -> Column:
     return F.btrim(_c(col), F.lit("\r\n"))
 
 
-# Private-use character marking expanded tab stops between the passes below.
-_STOP = "\ue000"
+# Characters that mark expanded tab stops between the passes below: the first
+# that the line does not hold (a private-use one, then noncharacters, which no
+# interchanged text holds).
+_STOPS = ("\ue000", "\ufdd0", "\ufdef")
 
 
 def expand_tabs_col(col: Column | str, tabsize: int = TAB_SIZE) -> Column:
@@ -37,29 +39,22 @@ def expand_tabs_col(col: Column | str, tabsize: int = TAB_SIZE) -> Column:
     each tab depends only on the length, modulo ``tabsize``, of the segment
     just before it. One regex pass per remainder rewrites those tabs to stop
     markers (the segment boundaries stay visible to the next pass), a last
-    pass turns markers into blanks. No lambda, so it stays in generated
-    code. A line that holds the marker character itself is folded piece by
-    piece instead.
+    pass turns markers into blanks. No lambda, so it stays in generated code.
     """
     c = _c(col)
-    seg = f"[^\t\r\n{_STOP}]"
-    out = c
-    for r in range(tabsize):
-        rx = f"(?<=^|[\t\r\n{_STOP}])((?:{seg}{{{tabsize}}})*{seg}{{{r}}})\t"
-        out = F.regexp_replace(out, rx, "$1" + _STOP * (tabsize - r))
-    out = F.replace(out, F.lit(_STOP), F.lit(" "))
-    return F.when(F.instr(c, "\t") == 0, c).when(F.instr(c, _STOP) == 0, out) \
-            .otherwise(_expand_by_pieces(c, tabsize))
-
+    out = F.when(F.instr(c, "\t") == 0, c)
+    for stop in _STOPS[:-1]:
+        out = out.when(F.instr(c, stop) == 0, _expand_with(c, stop, tabsize))
+    return out.otherwise(_expand_with(c, _STOPS[-1], tabsize))
 
-def _expand_by_pieces(c: Column, tabsize: int) -> Column:
-    """Tabs to spaces by folding over the pieces between tabs (any text)."""
-    pieces = F.split(c, "\t", -1)
 
-    def add(done, piece):
-        column = F.length(F.regexp_extract(done, r"[^\r\n]*\z", 0))
-        return F.concat(done, F.repeat(F.lit(" "), F.lit(tabsize) - F.pmod(column, F.lit(tabsize))), piece)
-    return F.aggregate(F.slice(pieces, 2, F.size(pieces)), F.element_at(pieces, 1), add)
+def _expand_with(c: Column, stop: str, tabsize: int) -> Column:
+    seg = f"[^\t\r\n{stop}]"
+    out = c
+    for r in range(tabsize):
+        rx = f"(?<=^|[\t\r\n{stop}])((?:{seg}{{{tabsize}}})*{seg}{{{r}}})\t"
+        out = F.regexp_replace(out, rx, "$1" + stop * (tabsize - r))
+    return F.replace(out, F.lit(stop), F.lit(" "))
 
 
 def strip_ansi_col(col: Column | str) -> Column:

@@ -61,8 +61,8 @@ def range_partitions(df: DataFrame) -> int:
     estimate (no job), and not fewer than the session's shuffle partitions."""
     least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    # a plan without statistics claims the largest long: no evidence
-    return least if size >= 1 << 62 else max(least, -(-size // PARTITION_BYTES))
+    # a plan without statistics claims an immense size: no evidence
+    return least if size >= 1 << 50 else max(least, -(-size // PARTITION_BYTES))
 
 
 def small_table(df: DataFrame, row_bytes: int) -> DataFrame:

@@ -18,16 +18,14 @@ from logweft.streaming.tail import _check_paths, register
 
 
 def tail_logs(spark: SparkSession, paths: str | list[str], starting_position: str = "latest",
-              max_bytes_per_trigger: int | None = None, chunk_bytes: int | None = None,
-              checkpoint: str | None = None) -> DataFrame:
+              max_bytes_per_trigger: int | None = None, chunk_bytes: int | None = None) -> DataFrame:
     """Stream of the complete lines appended to growing files.
 
     Columns: file, byte_offset (where the line starts), raw, line, error
     (NULL on lines; a row with the message when a file cannot be read, which
     is then skipped while the others go on). Pause / resume = stop the query
     and start it again on the same checkpoint: it continues at the stored
-    offsets. Pass that ``checkpoint`` folder here as well, and the byte cap and
-    the check for rotated files hold for the first batch after a restart.
+    offsets.
     """
     if isinstance(paths, str):
         paths = [paths]
@@ -38,8 +36,6 @@ def tail_logs(spark: SparkSession, paths: str | list[str], starting_position: st
                    .option("startingPosition", starting_position))
     if max_bytes_per_trigger:
         reader = reader.option("maxBytesPerTrigger", str(max_bytes_per_trigger))
-    if checkpoint:
-        reader = reader.option("checkpointLocation", checkpoint)
     if chunk_bytes:
         reader = reader.option("chunkBytes", str(chunk_bytes))
     return normalize_lines(reader.load())

@@ -14,10 +14,8 @@ Options (``spark.readStream.format("logtail").option(...)``):
 * ``startingPosition``: ``latest`` (default: only lines written from now)
   or ``earliest`` (the history first, then new lines).
 * ``maxBytesPerTrigger``: cap of bytes per file per batch, cut at a line
-  end (a line longer than the cap is a batch of its own).
-* ``checkpointLocation``: the query's checkpoint folder, where a restarted
-  query finds the offset it stopped at before its first batch, so that the cap
-  and the rotation check hold for that batch too.
+  end (a line longer than the cap is a batch of its own). It holds for every
+  batch, the first after a restart too; an ``availableNow`` run is one batch.
 * ``chunkBytes``: a large range is read by several tasks, each owning the
   lines that *start* in its chunk (default 32 MiB).
 
@@ -33,9 +31,7 @@ the message (``error`` is NULL on every line).
 
 from __future__ import annotations
 
-import glob
 import hashlib
-import json
 import os
 from dataclasses import dataclass
 
@@ -99,22 +95,6 @@ def same_file(path: str, head: str) -> bool:
     return head_digest(path, int(head.split(":")[0])) == head
 
 
-def checkpointed_offset(folder: str | None, paths: list[str]) -> dict | None:
-    """The newest offset of these paths in a checkpoint folder's offset log."""
-    if not folder:
-        return None
-    names = [n for n in glob.glob(os.path.join(folder.removeprefix("file:"), "offsets", "*"))
-             if os.path.basename(n).isdigit()]
-    for name in sorted(names, key=lambda n: -int(os.path.basename(n))):
-        with open(name, encoding="utf-8") as fh:
-            for line in fh:
-                if line.startswith("{"):
-                    offset = json.loads(line)
-                    if any(isinstance(offset.get(p), dict) and "pos" in offset[p] for p in paths):
-                        return offset
-    return None
-
-
 @dataclass
 class TailError(InputPartition):
     path: str
@@ -158,8 +138,10 @@ class TailReader(DataSourceStreamReader):
         cap = options.get("maxBytesPerTrigger")
         self.cap = int(cap) if cap else None
         self.chunk = int(options.get("chunkBytes", DEFAULT_CHUNK))
-        # last offset handed out, when known
-        self._known: dict | None = checkpointed_offset(options.get("checkpointLocation"), paths)
+        self._initial: dict | None = None
+        # last offset handed out; a restarted query learns it (commit, or the
+        # batch it runs again) before it asks for more
+        self._known: dict | None = None
 
     def _size(self, path: str) -> int | None:
         try:
@@ -168,6 +150,8 @@ class TailReader(DataSourceStreamReader):
             return None
 
     def initialOffset(self) -> dict:
+        if self._initial is not None:      # asked again after the first batch was planned
+            return self._initial
         out = {}
         for p in self.paths:
             size = self._size(p)
@@ -177,11 +161,11 @@ class TailReader(DataSourceStreamReader):
             out[p] = {"gen": 0, "pos": pos}
             if pos:
                 out[p]["head"] = head_digest(p, pos)
-        self._known = out
+        self._initial = out
         return out
 
     def latestOffset(self) -> dict:
-        base = self._known or {}
+        base = self.initialOffset() if self._known is None else self._known
         out = {}
         for p in self.paths:
             prev = base.get(p, {"gen": 0, "pos": 0})
@@ -194,7 +178,7 @@ class TailReader(DataSourceStreamReader):
             try:
                 if size < floor or prev.get("head") and not same_file(p, prev["head"]):
                     gen, floor = gen + 1, 0   # truncated or rotated: start again at 0
-                limit = size if self.cap is None or self._known is None else min(size, floor + self.cap)
+                limit = size if self.cap is None else min(size, floor + self.cap)
                 pos = last_line_end(p, limit, floor)
                 if pos == floor and limit < size:
                     # one line longer than the cap: that line, and no more

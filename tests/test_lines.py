@@ -30,7 +30,7 @@ def test_abbreviate_and_caps(spark):
 
 
 def test_expand_tabs_with_the_marker_character(spark):
-    texts = ["a\tb\ue000\tc", "\ue000\t\tx\ry\t", "\ue000"]
+    texts = ["a\tb\ue000\tc", "\ue000\t\tx\ry\t", "\ue000", "\ue000\t\ufdd0\tz", "\ufdd0\t"]
     assert _one(spark, texts, L.expand_tabs_col) == [t.expandtabs(4) for t in texts]
 
 

@@ -35,6 +35,7 @@ def test_spans_match_python(spark, find, regex, case):
     got = {r.line_no: (r.match_count, [(s.start, s.end) for s in r.spans]) for r in df.collect()}
     pat = find if regex else re.escape(find)
     for i, line in enumerate(LINES):
+        line = line.expandtabs(4)
         ms = list(re.finditer(pat, line, 0 if case else re.IGNORECASE))
         assert got[i] == (len(ms), [m.span() for m in ms]), line
 
