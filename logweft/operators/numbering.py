@@ -57,12 +57,14 @@ PARTITION_BYTES = 256 * 1024 * 1024
 
 
 def range_partitions(df: DataFrame) -> int:
-    """Partitions for a range shuffle of ``df``: by the optimiser's size
-    estimate (no job), and not fewer than the session's shuffle partitions."""
+    """Partitions for a range shuffle of ``df``: by the sizes of the tables
+    that its plan reads (no job, and no guess about joins), and not fewer
+    than the session's shuffle partitions."""
     least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    # a plan without statistics claims an immense size: no evidence
-    return least if size >= 1 << 50 else max(least, -(-size // PARTITION_BYTES))
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    # a leaf without statistics claims an immense size: no evidence
+    return max(least, -(-sum(x for x in sizes if x < 1 << 50) // PARTITION_BYTES))
 
 
 def small_table(df: DataFrame, row_bytes: int) -> DataFrame:
