@@ -11,8 +11,9 @@ Steps, each a Spark job over a written table:
 1. ``repeated_anchors``: only windows whose smallest ``gram``-word hash (their anchor) is seen twice can repeat. The
    anchors are counted with a pre-aggregated ``groupBy`` and joined back, so that windows of unique text (most of a
    corpus) never become rows. Nothing is lost: equal windows have equal anchors.
-2. ``edge_rows``: the windows with repeated anchors, each with the hashes of the windows before and after it.
-3. ``repeated_edges``: one row per edge seen twice: first coordinate, and whether what precedes and follows is unique.
+2. ``edge_rows``: the windows with repeated anchors, each with the hash of the window after it.
+3. ``repeated_edges``: one row per edge seen twice: its number, first coordinate, and what
+   follows if that is always the same.
 4. ``compact_paths``: an edge and the edge at its first coordinate + 1 are linked by a join; runs of links are paths.
 5. ``path_occurrences`` and ``verified``: the occurrences of each path's head give all spans; spans whose words'
    digest differs from the first one's are not repeats (a hash collision) and are dropped.
@@ -69,11 +70,11 @@ def repeated_anchors(docs: DataFrame, k: int, gram: int, copied: DataFrame) -> D
                 .groupBy("doc_id").agg(F.sort_array(F.collect_list("pos")).alias("at")))
 
 
-_EDGE = "edge long, doc_id long, pos int, before long, after long"
+_EDGE = "edge long, doc_id long, pos int, after long"
 
 
 def edge_rows(docs: DataFrame, anchors: DataFrame, k: int, gram: int) -> DataFrame:
-    """One row for each window whose anchor repeats; ``before`` / ``after`` are 0 at a document's ends."""
+    """One row for each window whose anchor repeats; ``after`` is the next window, 0 at a document's end."""
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in _EDGE.split(", ")]
         for batch in batches:
@@ -97,45 +98,41 @@ def edge_rows(docs: DataFrame, anchors: DataFrame, k: int, gram: int) -> DataFra
                 inside = doc[:n] == doc[k - 1:k - 1 + n]
                 keep = np.flatnonzero(inside & np.isin(least, marked))
                 edges = c.signed(windows)
-                before, after = np.zeros(len(keep), np.int64), np.zeros(len(keep), np.int64)
-                has = (keep > 0) & (keep > bounds[doc[keep]])
-                before[has] = edges[keep[has] - 1]
+                after = np.zeros(len(keep), np.int64)
                 has = keep + k < bounds[doc[keep] + 1]
                 after[has] = edges[keep[has] + 1]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(edges[keep]), pa.array(ids[first + doc[keep]]),
-                     pa.array((keep - bounds[doc[keep]]).astype(np.int32)), pa.array(before), pa.array(after)], names)
+                     pa.array((keep - bounds[doc[keep]]).astype(np.int32)), pa.array(after)], names)
     return docs.join(anchors, "doc_id").select("doc_id", "text", "at").mapInArrow(of, _EDGE)
 
 
 def repeated_edges(edges: DataFrame) -> DataFrame:
-    """One row per edge seen twice or more, with its first coordinate and its neighbours where they are unique."""
-    only = lambda col: F.when(F.min(col) == F.max(col), F.min(col)).otherwise(F.lit(0))
+    """One row per edge seen twice or more: how often, its first coordinate, and the next edge if always the same."""
     return (edges.groupBy("edge")
                  .agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "pos")).alias("first"),
-                      only("before").alias("before"), only("after").alias("after"))
+                      F.min("after").alias("after"), F.max("after").alias("other"))
                  .filter("n > 1")
-                 .select("edge", F.col("first.doc_id").alias("first_doc"), F.col("first.pos").alias("first_pos"),
-                         "before", "after"))
+                 .select("edge", "n", F.col("first.doc_id").alias("first_doc"), F.col("first.pos").alias("first_pos"),
+                         F.when(F.col("after") == F.col("other"), F.col("after")).otherwise(F.lit(0)).alias("after")))
 
 
 def compact_paths(graph: DataFrame) -> DataFrame:
     """Nonbranching paths: ``edge`` (the head), its first coordinate and ``length`` in edges.
 
-    Edge b continues edge a if all occurrences of b come after a and all of a before b; their first coordinates are
-    then neighbours, so the link is an equi-join on coordinates, and a path is a run of links in one document.
+    Edge b continues edge a if b comes after a every time and both occur equally often (so that a comes before b every
+    time). Their first coordinates are then neighbours, so the link is an equi-join on coordinates, and a path is a run
+    of links in one document.
     """
     ahead = graph.filter("after <> 0").select(F.col("first_doc"), (F.col("first_pos") + 1).alias("first_pos"),
-                                              F.col("after").alias("expected"), F.col("edge").alias("previous"))
-    linked = (graph.join(ahead, ["first_doc", "first_pos"], "left")
-                   .withColumn("head_pos", F.when((F.col("expected") == F.col("edge"))
-                                                  & (F.col("before") == F.col("previous")), F.lit(None))
-                                            .otherwise(F.col("first_pos"))))
+                                              F.col("after").alias("edge"), "n", F.lit(True).alias("linked"))
+    linked = (graph.join(ahead, ["first_doc", "first_pos", "edge", "n"], "left")
+                   .withColumn("head_pos", F.when(F.col("linked").isNull(), F.col("first_pos"))))
     run = Window.partitionBy("first_doc").orderBy("first_pos").rowsBetween(Window.unboundedPreceding, 0)
     return (linked.withColumn("head_pos", F.max("head_pos").over(run))
-                  .groupBy("first_doc", F.col("head_pos").alias("first_pos"))
-                  .agg(F.min_by("edge", linked["first_pos"]).alias("edge"),
-                       F.count(F.lit(1)).cast("int").alias("length")))
+                  .groupBy("first_doc", "head_pos")
+                  .agg(F.min_by("edge", "first_pos").alias("edge"), F.count(F.lit(1)).cast("int").alias("length"))
+                  .select("first_doc", F.col("head_pos").alias("first_pos"), "edge", "length"))
 
 
 def path_occurrences(edges: DataFrame, paths: DataFrame) -> DataFrame:
@@ -146,31 +143,41 @@ def path_occurrences(edges: DataFrame, paths: DataFrame) -> DataFrame:
                           & (F.col("pos") == F.col("first_pos"))).alias("is_first")))
 
 
+def _spaced(texts: c.Texts):
+    """The words with one blank after each, end to end; where each begins there; and the documents' bounds in words."""
+    starts, ends, bounds = c.word_spans(texts)
+    sizes = ends - starts + 1
+    places = c.ranges(starts, sizes)
+    stops = np.cumsum(sizes)
+    places[stops - 1] = 0
+    spaced = texts.data[places] if len(texts.data) else texts.data
+    spaced[stops - 1] = 0x20
+    return spaced, np.concatenate([[0], stops]), bounds
+
+
 def verified(docs: DataFrame, occurrences: DataFrame, k: int) -> DataFrame:
     """``doc_id, pos, n_words`` of the occurrences whose words equal those at the path's first coordinate."""
-    per_doc = occurrences.groupBy("doc_id").agg(F.collect_list(F.struct("edge", "pos", "length", "is_first")).alias("at"))
+    per_doc = occurrences.groupBy("doc_id").agg(
+        *[F.collect_list(x).alias(x) for x in ("edge", "pos", "length", "is_first")])
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column("at")
             for first, texts in c.text_steps(batch.column("text")):
-                starts, ends, bounds = c.word_spans(texts)
-                rows = []
-                for i in range(len(texts)):
-                    doc = batch.column("doc_id")[first + i].as_py()
-                    lo = bounds[i]
-                    for x in lists[first + i].as_py():
-                        a, b = lo + x["pos"], lo + x["pos"] + x["length"] + k - 1
-                        words = b"".join(texts.data[s:e].tobytes() + b" " for s, e in zip(starts[a:b], ends[a:b]))
-                        rows.append((x["edge"], doc, x["pos"], x["length"] + k - 1, x["is_first"],
-                                     hashlib.sha256(words).digest()))
-                if rows:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(col, t) for col, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int32(), pa.int32(),
-                                                                         pa.bool_(), pa.binary()))],
-                        ["edge", "doc_id", "pos", "n_words", "is_first", "digest"])
-
-    seen = c.written(docs.join(per_doc, "doc_id").select("doc_id", "text", "at").mapInArrow(
+                spaced, at, bounds = _spaced(texts)
+                lists = {x: batch.column(x).slice(first, len(texts)) for x in ("edge", "pos", "length", "is_first")}
+                sizes = np.diff(lists["pos"].offsets.to_numpy())
+                doc = np.repeat(np.arange(len(texts)), sizes)
+                pos = lists["pos"].flatten().to_numpy()
+                words = lists["length"].flatten().to_numpy() + k - 1
+                lo = bounds[doc] + pos
+                digests = [hashlib.sha256(spaced[a:b]).digest() for a, b in zip(at[lo].tolist(), at[lo + words].tolist())]
+                yield pa.RecordBatch.from_arrays(
+                    [lists["edge"].flatten(), batch.column("doc_id").slice(first, len(texts)).take(pa.array(doc)),
+                     pa.array(pos), pa.array(words.astype(np.int32)), lists["is_first"].flatten(),
+                     pa.array(digests, pa.binary())],
+                    ["edge", "doc_id", "pos", "n_words", "is_first", "digest"])
+
+    seen = c.written(docs.join(per_doc, "doc_id").select("doc_id", "text", "edge", "pos", "length", "is_first").mapInArrow(
         of, "edge long, doc_id long, pos int, n_words int, is_first boolean, digest binary"), "spans")
     source = seen.filter("is_first").select("edge", F.col("digest").alias("first_digest"))
     return (seen.filter("NOT is_first").join(source, "edge").filter("digest = first_digest")
@@ -188,27 +195,27 @@ def remove_spans(docs: DataFrame, spans: DataFrame, copied: DataFrame, k: int) -
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, whole = batch.column("doc_id"), batch.column("copied")
             for first, texts in c.text_steps(batch.column("text")):
-                starts, ends, bounds = c.word_spans(texts)
-                out: list[tuple] = []
-                for i in range(len(texts)):
-                    lo, hi = int(bounds[i]), int(bounds[i + 1])
-                    gone = np.zeros(hi - lo + 1, np.int32)
-                    at = batch.column("at")[first + i].as_py()
-                    if whole[first + i].as_py() and hi - lo >= k:
-                        gone[0] += 1
-                    elif at:
-                        a = np.array(at)
-                        np.add.at(gone, a, 1)
-                        np.add.at(gone, a + np.array(batch.column("sizes")[first + i].as_py()), -1)
-                    keep = np.flatnonzero(np.cumsum(gone[:-1]) == 0) + lo
-                    raw = texts.data.tobytes() if len(texts) == 1 else texts.data
-                    kept = b" ".join(bytes(raw[s:e]) for s, e in zip(starts[keep], ends[keep]))
-                    out.append((ids[first + i].as_py(), hi - lo, hi - lo - len(keep), kept.decode()))
+                spaced, at, bounds = _spaced(texts)
+                counts = np.diff(bounds)
+                part = slice(first, first + len(texts))
+                whole = batch.column("copied").fill_null(False).to_numpy(zero_copy_only=False)[part] & (counts >= k)
+                lists = batch.column("at").slice(first, len(texts)).fill_null([])
+                doc = np.repeat(np.arange(len(texts)), np.diff(lists.offsets.to_numpy()))
+                lo = bounds[doc] + lists.flatten().to_numpy()
+                depth = np.zeros(len(at), np.int64)
+                np.add.at(depth, lo, 1)
+                np.add.at(depth, lo + batch.column("sizes").slice(first, len(texts)).fill_null([]).flatten().to_numpy(), -1)
+                keep = (np.cumsum(depth[:-1]) == 0) & ~np.repeat(whole, counts)
+                left = np.diff(np.concatenate([[0], np.cumsum(keep)])[bounds])
+                picked = np.flatnonzero(keep)
+                sizes = at[picked + 1] - at[picked]
+                body = spaced[c.ranges(at[picked], sizes)]
+                stop = np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], np.cumsum(left)])]
+                kept = [body[a:max(a, b - 1)].tobytes().decode() for a, b in zip(stop[:-1].tolist(), stop[1:].tolist())]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(col, t) for col, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.string()))],
-                    ["doc_id", "n_words", "n_removed", "kept"])
+                    [batch.column("doc_id").slice(first, len(texts)), pa.array(counts), pa.array(counts - left),
+                     pa.array(kept, pa.string())], ["doc_id", "n_words", "n_removed", "kept"])
     return joined.select("doc_id", "text", "at", "sizes", "copied").mapInArrow(of, _RESULT)
 
 
