@@ -15,8 +15,9 @@ for every byte would move the corpus fifty times over; the list is therefore spa
    each bucket is sorted by multikey quicksort (eight bytes a round, ties only) and the common prefixes of neighbours
    give, for every place of the string around its anchor, the runs of suffixes that share its right part; equal left
    parts in a run are one string, removed where its smallest document is smaller.
-4. Runs that reach the first or last suffix of a bucket may go on in the next one. Their strings are compared across
-   boundaries by a second, map-side combined grouping. A hot passage can thus be cut anywhere.
+4. Runs that reach the first or last suffix of a bucket may go on in the next one. Their strings, one row for a string's
+   smallest document in a bucket, are compared across boundaries by a second, map-side combined grouping. A hot passage
+   can thus be cut anywhere.
 
 Exact copies of whole documents are found by digest and are no part of steps 2 to 4.
 """
@@ -159,19 +160,16 @@ def bucket_matches(suffix: pa.Array, before: pa.Array, docs: np.ndarray, pos: np
         if not len(whole):
             continue
         block = np.concatenate([[0], np.cumsum(common < length - o)])
-        edge = (block[whole] == 0) | (block[whole] == block[-1])
+        whole = whole[np.lexsort((docs[whole], left_hash[whole], block[whole]))]
+        new = np.ones(len(whole), bool)
+        new[1:] = (block[whole[1:]] != block[whole[:-1]]) | (left_hash[whole[1:]] != left_hash[whole[:-1]])
+        smallest = docs[whole[np.flatnonzero(new)]][np.cumsum(new) - 1]
+        # a string's smallest document here may still have a smaller one in the next bucket
+        edge = (smallest == docs[whole]) & ((block[whole] == 0) | (block[whole] == block[-1]))
         for i in whole[edge]:
             across.append((left[i, reach - o:].tobytes() + right[i, :length - o].tobytes(), int(docs[i]),
                            int(pos[i]) - o))
-        inner = whole[~edge]
-        if not len(inner):
-            continue
-        by = np.lexsort((docs[inner], left_hash[inner], block[inner]))
-        inner = inner[by]
-        new = np.ones(len(inner), bool)
-        new[1:] = (block[inner[1:]] != block[inner[:-1]]) | (left_hash[inner[1:]] != left_hash[inner[:-1]])
-        smallest = docs[inner[np.flatnonzero(new)]][np.cumsum(new) - 1]
-        gone = inner[smallest < docs[inner]]
+        gone = whole[smallest < docs[whole]]
         first[gone] = np.minimum(first[gone], pos[gone] - o)
         last[gone] = np.maximum(last[gone], pos[gone] - o + length)
     hit = np.flatnonzero(last >= 0)        # every span of a suffix holds its anchor, so their union is one span
