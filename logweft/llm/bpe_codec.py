@@ -5,8 +5,9 @@
    times is one row from here on.
 2. ``word_table``: each distinct word of the corpus is encoded once (``distinct`` combines map-side) and its ids are
    decoded through a join with the id-to-piece table, which is as large as the vocabulary and broadcast.
-3. ``coded_blocks``: the blocks' words are joined with the word table and go back to their block by place; a block's
-   words and its sequences meet, and every document's ids and decoded text are the looked-up parts in order.
+3. ``packed_lookups`` and ``coded_blocks``: the blocks' words are joined with the word table and go back to their block
+   by place, packed; a block's words and its sequences meet, and every document's ids and decoded text are the looked-up
+   parts in order. The blocks are a table bucketed by block, so only the packed words are shuffled for that.
 
 Blocks are bounded by ``BLOCK_WORDS`` (a longer document is a block of its own). Texts with special tokens, or with
 characters beyond the plain set, are split by the library itself and take the same way from there.
@@ -15,6 +16,7 @@ characters beyond the plain set, are split by the library itself and take the sa
 from __future__ import annotations
 
 import hashlib
+import uuid
 from typing import Callable, Iterator
 
 import numpy as np
@@ -27,7 +29,9 @@ from pyspark.sql import types as T
 from logweft.llm import bpe_split as bs
 from logweft.llm import common as c
 
-BLOCK_WORDS = 4_000_000
+BLOCK_WORDS = 8_000_000
+#: Looked-up words that a task packs at a time on their way back to the blocks.
+PACK_ROWS = 200_000
 
 _BLOCK = ("block long, doc_ids array<long>, sizes array<int>, words array<string>, places binary")
 
@@ -106,41 +110,83 @@ def word_table(words: DataFrame, path: str) -> DataFrame:
             ids = [[specials[w]] if w in specials else [t.id for t in tok.model.tokenize(bs.to_byte_level(w))]
                    for w in words]
             yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array(ids, pa.list_(pa.int32()))], ["word", "ids"])
-    encoded = c.written(words.mapInArrow(of, "word string, ids array<int>"), "word-ids")
+    encoded = words.mapInArrow(of, "word string, ids array<int>")
     pieces = F.broadcast(piece_table(words.sparkSession, path))      # bounded by the vocabulary
     decoded = (encoded.select("word", F.posexplode("ids").alias("k", "id")).join(pieces, "id")
                       .groupBy("word").agg(F.sort_array(F.collect_list(F.struct("k", "id", "piece"))).alias("t")))
     return decoded.select("word", F.col("t.id").alias("ids"), F.array_join("t.piece", " ").alias("pieces"))
 
 
-def coded_blocks(blocks: DataFrame, table: DataFrame, schema: str,
-                 per_document: Callable[[list[int], list[str]], tuple]) -> DataFrame:
-    """Joins the blocks' words with the table and gives one row per document: its id, then what ``per_document`` makes
-    of the ids and pieces of its words (lists of blank-joined strings)."""
-    listed = blocks.select("block", F.posexplode("words").alias("place", "word"))
-    back = listed.join(table, "word").select(F.col("block").alias("home"), "place", F.array_join("ids", " ").alias("ids"),
-                                             F.size("ids").alias("n"), "pieces")
-    fields = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
+def bucketed(blocks: DataFrame) -> DataFrame:
+    """The blocks as a warehouse table bucketed by block (written once, no shuffle)."""
+    spark = blocks.sparkSession
+    name = f"word_blocks_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    blocks.write.option("compression", "zstd").bucketBy(buckets, "block").saveAsTable(name)
+    return spark.table(name)
+
+
+def packed_lookups(blocks: DataFrame, table: DataFrame) -> DataFrame:
+    """``home, places, counts, ids, pieces``: for a block, packed runs of its words' places, numbers of ids, ids and
+    pieces (the last two as lines)."""
+    listed = blocks.select(F.col("block").alias("home"), F.posexplode("words").alias("place", "word"))
+    found = listed.join(table, "word").select("home", "place", F.array_join("ids", " ").alias("ids"),
+                                              F.size("ids").alias("n"), "pieces")
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def packs():
+            run = pa.Table.from_batches(held).sort_by([("home", "ascending"), ("place", "ascending")])
+            home = run.column("home").to_numpy()
+            cuts = np.flatnonzero(np.concatenate([[True], home[1:] != home[:-1], [True]]))
+            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+                part = run.slice(a, b - a)
+                lines = [zstandard.compress("\n".join(part.column(x).to_pylist()).encode(), 1) for x in ("ids", "pieces")]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([home[a]], pa.int64()), pa.array([packed_places(part.column("place").to_numpy())], pa.binary()),
+                     pa.array([packed_places(part.column("n").to_numpy())], pa.binary()),
+                     pa.array(lines[:1], pa.binary()), pa.array(lines[1:], pa.binary())],
+                    ["home", "places", "counts", "ids", "pieces"])
+        n = 0
+        for batch in batches:
+            held.append(batch)
+            n += batch.num_rows
+            if n >= PACK_ROWS:
+                yield from packs()
+                held, n = [], 0
+        if n:
+            yield from packs()
+    return found.mapInArrow(of, "home long, places binary, counts binary, ids binary, pieces binary")
+
+
+def coded_blocks(blocks: DataFrame, lookups: DataFrame, schema: str,
+                 per_document: Callable[[int, list[str], list[str]], tuple]) -> DataFrame:
+    """One row per document: its id, then what ``per_document`` makes of the number of its ids and of the ids and pieces
+    of its words (blank-joined strings)."""
+    fields = T._parse_datatype_string(schema)
+
+    def lines(packed: bytes) -> list[str]:
+        return zstandard.decompress(packed).decode().split("\n")
 
     def of(left: pa.Table, right: pa.Table) -> pa.Table:
-        order = np.argsort(right.column("place").to_numpy(), kind="stable")
-        ids = np.array(right.column("ids").to_pylist(), dtype=object)[order]
-        pieces = np.array(right.column("pieces").to_pylist(), dtype=object)[order]
-        sizes = right.column("n").to_numpy()[order].astype(np.int64)
+        place = np.concatenate([np.zeros(0, np.int64), *map(unpacked_places, right.column("places").to_pylist())])
+        order = np.argsort(place, kind="stable")
+        sizes = np.concatenate([np.zeros(0, np.int64), *map(unpacked_places, right.column("counts").to_pylist())])[order]
+        ids, pieces = (np.array([x for packed in right.column(name).to_pylist() for x in lines(packed)], object)[order]
+                       for name in ("ids", "pieces"))
         rows = []
         for row in range(left.num_rows):
             places = unpacked_places(left.column("places")[row].as_py())
-            counts = np.array(left.column("sizes")[row].as_py(), np.int64)
-            ends = np.concatenate([[0], np.cumsum(counts)])
+            ends = np.concatenate([[0], np.cumsum(np.array(left.column("sizes")[row].as_py(), np.int64))]).astype(np.int64)
             for doc, a, b in zip(left.column("doc_ids")[row].as_py(), ends[:-1], ends[1:]):
                 own = places[a:b]
                 rows.append((doc, *per_document(int(sizes[own].sum()), ids[own].tolist(), pieces[own].tolist())))
-        types = [f.dataType for f in fields]
-        arrow = [pa.int64() if isinstance(t, T.LongType) else pa.string() for t in types]
-        cols = list(zip(*rows)) if rows else [[] for _ in types]
+        arrow = [pa.int64() if isinstance(f.dataType, T.LongType) else pa.string() for f in fields]
+        cols = list(zip(*rows)) if rows else [[] for _ in arrow]
         return pa.table([pa.array(list(col), t) for col, t in zip(cols, arrow)], names=[f.name for f in fields])
 
-    return blocks.select("block", "doc_ids", "sizes", "places").groupBy("block").cogroup(back.groupBy("home")) \
+    return blocks.select("block", "doc_ids", "sizes", "places").groupBy("block").cogroup(lookups.groupBy("home")) \
                  .applyInArrow(of, schema)
 
 
@@ -163,9 +209,10 @@ def encode_decode(docs: DataFrame, path: str, digests: bool = False, id_col: str
     table gives an empty result.
     """
     c.prepare(docs.sparkSession)
-    blocks = c.written(word_blocks(docs, path, id_col, text_col, block_words), "word-blocks", compression="zstd")
+    blocks = bucketed(word_blocks(docs, path, id_col, text_col, block_words))
     words = blocks.select(F.explode("words").alias("word")).distinct()
-    table = c.written(word_table(words, path), "word-table")
+    table = c.written(word_table(words, path), "word-table", compression="zstd")
+    table = c.written(packed_lookups(blocks, table), "lookups")
     if digests:
         return coded_blocks(blocks, table, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", _digests)
     return coded_blocks(blocks, table, "doc_id long, n_tokens long, ids string, decoded string", _texts)
