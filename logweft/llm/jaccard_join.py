@@ -4,17 +4,21 @@ A document is the set of its distinct word shingles. Sets of sizes x >= y with J
 most (x + y) / 9 shingles. Sizes fall into bands [2^b, 2^(b+1)); in a band the universe of shingles is hashed into
 ``m`` segments, so a set is cut into ``m`` subsets, and of any H + 1 subsets of two sets that differ in H shingles one
 pair is equal. A set puts all its subsets in the index of its band and probes, in its band and in the lower one if that
-can hold partners, as many as the bound asks for: it takes the largest (cheapest: the fewer sets share them) first.
+can hold partners, as many as the bound asks for: the ones that cost least, by the number of sets that were counted to
+share them. A subset that no other set has costs nothing, so a text of its own probes nothing at all, and passages that
+many documents share are passed over.
 In bands of small sets the index also holds the one-deletion neighbourhood of each subset. A probe that uses it on a
 segment covers two differences there, and each small set picks the cheapest mix of skipping, exact and one-deletion
 probes. Nothing is approximate: any two linked sets share a key.
 
-Keys are counted first, pre-aggregated; only keys that a probe shares with another set come back (``shared_keys``).
+Keys are counted first, pre-aggregated; only keys that two sets share come back (``shared_keys``), and of those only
+the groups that are probed.
 Sets that are equal are one from the start, whatever their number. In a group of sets with a key, each is compared
-with the group's hub first (``star_pairs``, linear); groups that are then one component are done. What is left of the
-others is compared in blocks of bounded size by parity sketches (``block_pairs``): a sketch pair that differs in more
-bits than the bound on H proves that the sets differ in more shingles. Every pair that passes is verified on the whole
-shingle sets.
+with the group's hub first (``star_pairs``, linear); groups that are then one component are done. Of the others, members
+that the triangle inequality on their distances to the hub keeps apart need no comparison (``undecided``). What is left
+is compared in blocks of bounded size by parity sketches (``block_pairs``): a sketch pair that differs in more bits than
+the bound on H proves that the sets differ in more shingles. Every pair that passes is verified on the whole shingle
+sets.
 """
 
 from __future__ import annotations
@@ -23,7 +27,7 @@ from typing import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from logweft.llm import common as c
 from logweft.llm.components import components
@@ -85,8 +89,9 @@ def signatures(docs: DataFrame, shingle: int) -> DataFrame:
 
 # ------------------------------------------------------------------ keys
 def _segments_of(high: np.ndarray) -> np.ndarray:
-    """Segments of a band whose largest size is ``high``: at least one more than any bound on H in it."""
-    return high // 4 + 1
+    """Segments of a band whose largest size is ``high``: one more than any bound on H in it (a quarter of ``high`` at
+    most), and a few to spare, so that no set has to probe its empty segments, which many sets share."""
+    return 9 * high // 32 + 2
 
 
 class _Cut:
@@ -114,12 +119,6 @@ class _Cut:
     def keys(self, content, place, deleted: bool = False):
         return c.signed(c.mixed(content + place + _U(1 if deleted else 0)))
 
-    def largest(self, wanted: np.ndarray) -> np.ndarray:
-        """Flags the ``wanted[owner]`` largest segments of each owner."""
-        by = np.lexsort((self.number, -self.size, self.owner))
-        rank = np.empty(len(by), np.int64)
-        rank[by] = np.arange(len(by)) - self.base[self.owner[by]]
-        return rank < wanted[self.owner]
 
 
 def _mix(sizes: list[int], need: int) -> list[int]:
@@ -146,8 +145,12 @@ def _own_band(ids, values, bounds):
     return ids, values, sizes, (1 << (np.frexp(sizes.astype(np.float64))[1])) - 1
 
 
+#: Roles of a key row, as bits: it is in the index; it probes; it may probe in its own band; in the lower band.
+INDEX, PROBE, OWN, LOWER = 1, 2, 4, 8
+
+
 def keys_of(ids, values, bounds):
-    """Arrays key, doc_id, role (1: in the index, 2: probes, 3: both)."""
+    """Arrays key, doc_id, role (bits, see above)."""
     ids, values, sizes, high = _own_band(ids, values, bounds)
     keys, docs, roles = [], [], []
 
@@ -159,12 +162,11 @@ def keys_of(ids, values, bounds):
     if not len(ids):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
     cut = _Cut(values, sizes, high)
-    probe = cut.largest(np.where(sizes < SMALL, 0, 2 * sizes // 9 + 1))
-    add(cut.keys(cut.content, cut.place), ids[cut.owner], 1 + 2 * probe)
+    add(cut.keys(cut.content, cut.place), ids[cut.owner], np.where(sizes < SMALL, INDEX, INDEX | OWN)[cut.owner])
     # small sets: one-deletion neighbourhoods in the index, and the cheapest mix of probes
     small = sizes[np.searchsorted(cut.base, cut.code, side="right") - 1] < SMALL
     code = cut.code[small]
-    add(cut.keys(cut.content[code] - cut.element[small], cut.place[code], True), ids[cut.owner[code]], 1)
+    add(cut.keys(cut.content[code] - cut.element[small], cut.place[code], True), ids[cut.owner[code]], INDEX)
     _small_probes(cut, np.flatnonzero(sizes < SMALL), 2 * sizes // 9 + 1, ids, add)
     # partners in the lower band
     low = high >> 1
@@ -175,8 +177,8 @@ def keys_of(ids, values, bounds):
         cut = _Cut(picked, sizes[down], low[down])
         need = (sizes[down] + low[down]) // 9 + 1
         little = low[down] < SMALL
-        probe = cut.largest(np.where(little, 0, need))
-        add(cut.keys(cut.content[probe], cut.place[probe]), ids[down][cut.owner[probe]], 2)
+        all_of = ~little[cut.owner]
+        add(cut.keys(cut.content[all_of], cut.place[all_of]), ids[down][cut.owner[all_of]], LOWER)
         _small_probes(cut, np.flatnonzero(little), need, ids[down], add)
     return np.concatenate(keys), np.concatenate(docs), np.concatenate(roles)
 
@@ -195,10 +197,10 @@ def _small_probes(cut: _Cut, owners: np.ndarray, need: np.ndarray, ids: np.ndarr
     for codes, deleted in ((exact, False), (inserted, True)):
         if codes:
             at = np.array(codes)
-            add(cut.keys(cut.content[at], cut.place[at], deleted), ids[cut.owner[at]], 2)
+            add(cut.keys(cut.content[at], cut.place[at], deleted), ids[cut.owner[at]], PROBE)
     if removed:
         at, x = np.array(removed).T
-        add(cut.keys(cut.content[at] - cut.element[x], cut.place[at]), ids[cut.owner[at]], 2)
+        add(cut.keys(cut.content[at] - cut.element[x], cut.place[at]), ids[cut.owner[at]], PROBE)
 
 
 def segment_keys(docs: DataFrame, shingle: int) -> DataFrame:
@@ -206,40 +208,76 @@ def segment_keys(docs: DataFrame, shingle: int) -> DataFrame:
                  lambda *x: [pa.array(y) for y in keys_of(*x)], shingle)
 
 
-def shared_keys(docs: DataFrame, copied: DataFrame, shingle: int) -> DataFrame:
-    """``key, doc_id, role`` of keys that a probe shares with another set; sets equal to an earlier one left out."""
+def cheapest_probes(rows: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Settles who probes: of ``key, doc_id, role, n`` (``n`` sets have the key) the rows that may probe become probes
+    for as many as the bound on H asks for beyond the set's keys that no other set has, rarest first.
+
+    ``sizes``: ``doc_id, n`` (the set's size). The window holds one set's segments.
+    """
+    scheme = F.when(F.col("role").bitwiseAND(OWN) > 0, OWN).when(F.col("role").bitwiseAND(LOWER) > 0, LOWER)
+    each = Window.partitionBy("doc_id", "scheme")
+    rows = (rows.withColumn("scheme", scheme).join(sizes.select("doc_id", F.col("n").alias("size")), "doc_id")
+                .withColumn("rank", F.row_number().over(each.orderBy("n", "key")))
+                .withColumn("shared", F.count(F.lit(1)).over(each)))
+    high = F.expr("shiftleft(1L, length(bin(size))) - 1")          # largest size of the band
+    high = F.when(F.col("scheme") == OWN, high).otherwise(F.shiftright(high, 1))
+    bound = F.when(F.col("scheme") == OWN, 2 * F.col("size")).otherwise(F.col("size") + high)
+    need = F.floor(bound / 9) + 1 - (F.floor(9 * high / 32) + 2 - F.col("shared"))
+    probes = F.col("scheme").isNotNull() & (F.col("rank") <= need)
+    return rows.withColumn("role", F.col("role").bitwiseAND(INDEX | PROBE).bitwiseOR(
+        F.when(probes, PROBE).otherwise(0))).filter("role > 0").select("key", "doc_id", "role")
+
+
+def probed_groups(rows: DataFrame) -> DataFrame:
+    """``key, n, h`` of the keys with two members or more of which one probes and one is in the index; ``h`` digests
+    members and roles."""
+    return rows.groupBy("key").agg(
+        F.count(F.lit(1)).alias("n"), F.bit_or("role").alias("roles"),
+        F.sum(F.xxhash64("doc_id", "role").cast("decimal(38,0)")).alias("h")).filter("n > 1 AND roles = 3")
+
+
+def shared_keys(docs: DataFrame, copied: DataFrame, sizes: DataFrame, shingle: int) -> DataFrame:
+    """``key, doc_id, role, n`` of all groups that are probed; sets equal to an earlier one left out."""
     rows = segment_keys(docs, shingle)
     again = c.written(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.bit_or("role").alias("roles"))
-                          .filter("n > 1 AND roles = 3").select("key"), "keys")
+                          .filter("n > 1 AND roles & 1 > 0 AND roles > 1").select("key"), "keys")
     rows = (rows.join(again.hint("shuffle_hash"), "key").join(copied.select("doc_id"), "doc_id", "left_anti")
                 .groupBy("key", "doc_id").agg(F.bit_or("role").alias("role")))
     rows = c.written(rows, "key-rows")
+    c.removed(again)
+    counted = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.bit_or("role").alias("roles")) \
+                  .filter("n > 1 AND roles & 1 > 0 AND roles > 1").select("key", "n")
+    probes = c.written(cheapest_probes(rows.join(counted, "key"), sizes), "probes")
+    c.removed(rows)
     # many keys have the same members: one of them stands for all
-    groups = rows.groupBy("key").agg(
-        F.count(F.lit(1)).alias("n"), F.bit_or("role").alias("roles"),
-        F.sum(F.xxhash64("doc_id", "role").cast("decimal(38,0)")).alias("h")).filter("n > 1 AND roles = 3")
-    one = groups.groupBy("n", "h").agg(F.min("key").alias("key")).select("key", "n")
-    return c.written(rows.join(one, "key"), "groups")
+    one = probed_groups(probes).groupBy("n", "h").agg(F.min("key").alias("key")).select("key", "n")
+    groups = c.written(probes.join(one, "key"), "groups")
+    c.removed(probes)
+    return groups
 
 
 # ------------------------------------------------------------------ comparing
 def _sketch_bits(n: int) -> int:
-    return max(64, 1 << (2 * int(n) - 1).bit_length()) if n else 64
+    return max(64, 1 << (8 * int(n) - 1).bit_length()) if n else 64
 
 
 def set_table(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
-    """``doc_id, n, sketch, shingles`` of the wanted documents: a parity sketch of 2n bits or more, and the set."""
+    """``doc_id, n, sketch, short, shingles`` of the wanted documents: a parity sketch of 8n bits or more, the same folded
+    to a quarter, and the set."""
     def make(ids, values, bounds):
-        sketches, sets = [], []
+        sketches, shorts, sets = [], [], []
         for a, b in zip(bounds[:-1], bounds[1:]):
             own = values[a:b]
             bits = _sketch_bits(b - a)
             odd = np.bincount((c.mixed(own) & _U(bits - 1)).astype(np.int64), minlength=bits) & 1
-            sketches.append(np.packbits(odd.astype(bool)).tobytes())
+            packed = np.packbits(odd.astype(bool))
+            sketches.append(packed.tobytes())
+            shorts.append(_folded(packed, max(8, len(packed) // 4)).tobytes())
             sets.append(own.tobytes())
-        return [pa.array(ids), pa.array(np.diff(bounds)), pa.array(sketches, pa.binary()), pa.array(sets, pa.binary())]
+        return [pa.array(ids), pa.array(np.diff(bounds)), pa.array(sketches, pa.binary()), pa.array(shorts, pa.binary()),
+                pa.array(sets, pa.binary())]
     rows = docs.join(wanted, "doc_id", "left_semi")
-    return c.written(_each(rows, "doc_id long, n long, sketch binary, shingles binary", make, shingle), "sets")
+    return c.written(_each(rows, "doc_id long, n long, sketch binary, short binary, shingles binary", make, shingle), "sets")
 
 
 def _folded(sketch: np.ndarray, size: int) -> np.ndarray:
@@ -249,73 +287,129 @@ def _folded(sketch: np.ndarray, size: int) -> np.ndarray:
     return sketch
 
 
-def may_link(n_a: int, n_b: int, a: bytes, b: bytes) -> bool:
-    """False only for pairs below the threshold: by size, or by parities that differ (each needs a differing shingle)."""
-    if 5 * min(n_a, n_b) < 4 * max(n_a, n_b):
-        return False
+def differing(a: bytes, b: bytes) -> int:
+    """A lower bound on the shingles that differ: each changes one parity."""
     size = min(len(a), len(b))
     x, y = _folded(np.frombuffer(a, np.uint8), size), _folded(np.frombuffer(b, np.uint8), size)
-    return 9 * int(np.bitwise_count(x ^ y).sum()) <= n_a + n_b
+    return int(np.bitwise_count(x ^ y).sum())
+
+
+def may_link(n_a: int, n_b: int, low: int) -> bool:
+    """False only for pairs below the threshold, by their sizes or by a lower bound on what differs."""
+    return 5 * min(n_a, n_b) >= 4 * max(n_a, n_b) and 9 * low <= n_a + n_b
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The ``a, b`` pairs whose sets are linked; sketches first, then whole sets."""
+def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """``a, b`` pairs with ``n_a, n_b, low`` (a lower bound on the shingles that differ), ``h`` (their number) and
+    ``linked``; pairs that sketches rule out have no ``h`` and are not linked, all others are verified on whole sets."""
     def side(x: str, *cols: str) -> DataFrame:
         return sets.select(F.col("doc_id").alias(x), *[F.col(col).alias(f"{col}_{x}") for col in cols])
 
     def by_sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cols = [batch.column(x).to_pylist() for x in ("n_a", "n_b", "sketch_a", "sketch_b")]
-            keep = pa.array([may_link(*row) for row in zip(*cols)], pa.bool_())
-            yield batch.select(["a", "b"]).filter(keep)
+            low = [differing(x, y) for x, y in zip(batch.column("sketch_a").to_pylist(), batch.column("sketch_b").to_pylist())]
+            near = [may_link(*x) for x in zip(batch.column("n_a").to_pylist(), batch.column("n_b").to_pylist(), low)]
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(x) for x in ("a", "b", "n_a", "n_b")), pa.array(low, pa.int64()), pa.array(near, pa.bool_())],
+                ["a", "b", "n_a", "n_b", "low", "near"])
 
     def by_set(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
+            h, linked = [], []
             for x, y in zip(batch.column("shingles_a").to_pylist(), batch.column("shingles_b").to_pylist()):
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
                 both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(PERCENT[0] * both >= PERCENT[1] * (len(x) + len(y) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    near = (pairs.join(side("a", "n", "sketch"), "a").join(side("b", "n", "sketch"), "b")
-                 .mapInArrow(by_sketch, "a long, b long"))
-    near = c.written(near, "near-pairs")
-    return c.written(near.join(side("a", "shingles"), "a").join(side("b", "shingles"), "b")
-                         .mapInArrow(by_set, "a long, b long"), "links")
-
-
-def star_pairs(groups: DataFrame) -> DataFrame:
-    """Distinct (hub, member) pairs; the hub of a group is its member that is in the most groups."""
+                h.append(len(x) + len(y) - 2 * both)
+                linked.append(PERCENT[0] * both >= PERCENT[1] * (len(x) + len(y) - both))
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(x) for x in ("a", "b", "n_a", "n_b", "low")), pa.array(h, pa.int64()),
+                 pa.array(linked, pa.bool_())], ["a", "b", "n_a", "n_b", "low", "h", "linked"])
+
+    first = c.written(pairs.join(side("a", "n", "sketch"), "a").join(side("b", "n", "sketch"), "b").mapInArrow(
+        by_sketch, "a long, b long, n_a long, n_b long, low long, near boolean"), "sketched-pairs")
+    exact = first.filter("near").join(side("a", "shingles"), "a").join(side("b", "shingles"), "b").mapInArrow(
+        by_set, "a long, b long, n_a long, n_b long, low long, h long, linked boolean")
+    far = first.filter("NOT near").select("a", "b", "n_a", "n_b", "low", F.lit(None).cast("long").alias("h"),
+                                          F.lit(False).alias("linked"))
+    made = c.written(exact.unionByName(far), "compared-pairs")
+    c.removed(first)
+    return made
+
+
+def with_hubs(groups: DataFrame) -> DataFrame:
+    """``key, doc_id, role, hub``: the hub of a group is its member that is in the most groups."""
     weight = groups.groupBy("doc_id").agg(F.count(F.lit(1)).alias("w"))
     hubs = (groups.join(weight, "doc_id").groupBy("key")
                   .agg(F.max(F.struct("w", (-F.col("doc_id")).alias("d"))).alias("h"))
                   .select("key", (-F.col("h.d")).alias("hub")))
-    return (groups.join(hubs, "key").filter("doc_id <> hub")
-                  .select(F.least("doc_id", "hub").alias("a"), F.greatest("doc_id", "hub").alias("b")).distinct())
+    return c.written(groups.join(hubs, "key").select("key", "doc_id", "role", "hub"), "hub-groups")
+
+
+def _pair(x: str, y: str) -> list:
+    return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
 
-def block_pairs(groups: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs that may be linked among members of one group that are in different components yet.
+def star_pairs(groups: DataFrame) -> DataFrame:
+    """Distinct (hub, member) pairs."""
+    return groups.filter("doc_id <> hub").select(*_pair("doc_id", "hub")).distinct()
+
+
+def undecided(groups: DataFrame, star: DataFrame, labels: DataFrame) -> DataFrame:
+    """``key, doc_id, role, component, size``: members of groups that may still hold a link between components.
+
+    What differs is a distance: two members whose distances to the hub are further apart than the bound on H cannot be
+    linked. A member that is not linked to the hub is at least ``low`` away from it, a linked one exactly ``h``; so
+    members far from all linked ones are only compared among themselves, and linked ones stay only where a member of
+    another component may be close to them.
+    """
+    rows = groups.select("*", *_pair("doc_id", "hub")).join(star, ["a", "b"], "left")
+    is_hub = F.col("doc_id") == F.col("hub")
+    # the hub's own size is that of the pairs it is in
+    mine = F.when(F.col("doc_id") == F.col("a"), F.col("n_a")).otherwise(F.col("n_b"))
+    hubs = F.when(F.col("doc_id") == F.col("a"), F.col("n_b")).otherwise(F.col("n_a"))
+    rows = (rows.withColumn("linked", is_hub | F.coalesce("linked", F.lit(False)))
+                .withColumn("h", F.when(is_hub, 0).otherwise(F.col("h")))
+                .withColumn("size", mine).withColumn("hub_size", hubs)
+                .join(labels.select(F.col("id").alias("doc_id"), "component"), "doc_id", "left")
+                .withColumn("component", F.coalesce("component", "doc_id")))
+    per = rows.groupBy("key").agg(
+        F.max("hub_size").alias("hub_n"), F.max(F.when(F.col("linked"), F.col("h"))).alias("far"),
+        F.max(F.when(F.col("linked"), F.col("size"))).alias("top"),
+        F.max(F.when(is_hub, F.col("component"))).alias("home"),
+        F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y")
+    rows = rows.join(per, "key").withColumn("size", F.coalesce("size", "hub_n"))
+    bound = F.floor((F.col("size") + F.greatest(F.coalesce("top", F.lit(0)), "hub_n")) / 9)
+    # between the verified and the sketched bound take the larger
+    apart = F.greatest(F.coalesce("h", F.lit(0)), F.col("low")) - F.col("far") > bound
+    rows = rows.withColumn("close", ~F.col("linked") & (F.col("component") != F.col("home")) & ~apart)
+    close = rows.groupBy("key").agg(F.max("close").alias("any_close"))
+    rows = rows.join(close, "key").filter(~F.col("linked") | F.col("any_close"))
+    rows = c.written(rows.select("key", "doc_id", "role", "component", "size"), "undecided")
+    left = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("x"),
+                                   F.max("component").alias("y"), F.bit_or("role").alias("roles")).filter(
+        "x < y AND roles = 3").select("key", "n")
+    made = c.written(rows.join(left, "key"), "undecided-groups")
+    c.removed(rows)
+    return made
+
+
+def block_pairs(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs that may be linked among the undecided members of one group.
 
     A group is dealt into blocks of about ``BLOCK`` members and every two blocks meet in one task, which compares
     sketches; only pairs that pass are rows.
     """
-    rows = groups.join(labels.select(F.col("id").alias("doc_id"), "component"), "doc_id", "left") \
-                 .withColumn("component", F.coalesce("component", "doc_id"))
-    apart = rows.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")) \
-                .filter("x < y").select("key")
-    rows = rows.join(apart, "key").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+    rows = rows.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
     rows = rows.withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")) \
                .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("key", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own",
-                       "doc_id", "role", "component").join(sets.select("doc_id", F.col("n").alias("size"), "sketch"), "doc_id")
+                       "doc_id", "role", "component", "size").join(
+        sets.select("doc_id", F.col("short").alias("sketch")), "doc_id")
 
     def of(block: pa.Table) -> pa.Table:
         get = {x: block.column(x).to_numpy() for x in ("doc_id", "role", "component", "size", "own", "p", "q")}
         sketches = [np.frombuffer(x, np.uint8) for x in block.column("sketch").to_pylist()]
         found_a, found_b = [], []
-        n = len(sketches)
         widths = np.array([len(s) for s in sketches])
         for width in np.unique(widths):
             folded = {w: np.array([_folded(sketches[i], width) for i in np.flatnonzero(widths == w)])
@@ -328,9 +422,9 @@ def block_pairs(groups: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFr
                 for k, i in enumerate(mine):
                     ok = (theirs > i) if w == width else np.ones(len(theirs), bool)
                     a, b = get["size"][i], get["size"][theirs]
-                    ok &= (get["component"][theirs] != get["component"][i])
+                    ok &= get["component"][theirs] != get["component"][i]
                     ok &= 5 * np.minimum(a, b) >= 4 * np.maximum(a, b)
-                    ok &= ((get["role"][i] | get["role"][theirs]) & 2 > 0)
+                    ok &= ((get["role"][i] | get["role"][theirs]) & PROBE) > 0
                     ok &= (get["p"][i] == get["q"][i]) | (get["own"][theirs] != get["own"][i])
                     rest = np.flatnonzero(ok)
                     if len(rest):
@@ -359,11 +453,16 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE_WORDS, id_col: str =
                      .agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("size")).filter("size > 1"))
     copied = c.written(signed.join(classes, ["n", "d1", "d2"]).filter("doc_id > first_id")
                              .select("doc_id", "first_id"), "copies")
-    groups = shared_keys(rows, copied, shingle)
+    groups = shared_keys(rows, copied, signed, shingle)
     sets = set_table(rows, groups.select("doc_id").distinct(), shingle)
-    links = verified(star_pairs(groups), sets)
+    keyed, groups = groups, with_hubs(groups)
+    c.removed(keyed)
+    star = compared(star_pairs(groups), sets)
+    links = star.filter("linked").select("a", "b")
     labels = components(links)
-    more = verified(c.written(block_pairs(groups, labels, sets), "block-pairs"), sets)
+    rows = undecided(groups, star, labels)
+    c.removed(groups)
+    more = compared(c.written(block_pairs(rows, sets), "block-pairs"), sets).filter("linked").select("a", "b")
     if more.limit(1).count():
         labels = components(links.unionByName(more))
     firsts = copied.withColumnRenamed("first_id", "class_id")

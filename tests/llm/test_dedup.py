@@ -93,7 +93,7 @@ def test_jaccard_chains_and_small_sets(spark):
 
 
 def test_pigeonhole_keys_and_blocks():
-    """Any linked pair shares a key that one of them probes; sketches never rule a linked pair out."""
+    """A linked pair shares more keys than a probing set may leave out; sketches never rule a linked pair out."""
     import numpy as np
     rng = np.random.default_rng(2)
     for size in (1, 3, 6, 9, 16, 31, 33, 64, 90, 128, 300):
@@ -109,7 +109,23 @@ def test_pigeonhole_keys_and_blocks():
             for k, d, r in zip(key.tolist(), doc.tolist(), role.tolist()):
                 at[d][k] = at[d].get(k, 0) | r
             shared = at[1].keys() & at[2].keys()
-            assert any((at[1][k] | at[2][k]) == 3 for k in shared)
+            first, second = (1, 2) if len(a) >= len(b) else (2, 1)       # the larger one probes
+            big, small = max(len(a), len(b)), min(len(a), len(b))
+            low = (1 << small.bit_length()) - 1
+            if big < jaccard_join.SMALL or low < jaccard_join.SMALL and big.bit_length() > small.bit_length():
+                assert any(at[x][k] & 2 and at[y][k] & 1 for k in shared for x, y in ((1, 2), (2, 1)))
+            else:
+                same = big.bit_length() == small.bit_length()
+                bit, bound = (4, 2 * big // 9) if same else (8, (big + low) // 9)
+                hits = [k for k in shared if at[first][k] & bit and at[second][k] & 1]
+                assert len(hits) > jaccard_join._segments_of(low) - (bound + 1)
+            sketches = []
+            for own in (a, b):
+                bits = jaccard_join._sketch_bits(len(own))
+                odd = np.bincount((jaccard_join.c.mixed(own) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+                sketches.append(np.packbits(odd.astype(bool)).tobytes())
+            low = jaccard_join.differing(*sketches)
+            assert low <= len(a) + len(b) - 2 * both and jaccard_join.may_link(len(a), len(b), low)
 
 
 def test_blocks_split_large_groups(spark, monkeypatch):
