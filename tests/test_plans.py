@@ -12,6 +12,8 @@ from logweft.sources.render import document_log
 from logweft.sources.sinks import read_log_table, write_log_table
 
 SF = "/root/testdata/sf0.001"
+# On the smallest tables no document holds the word searched for, and no file has 500 lines to jump back from.
+EMPTY_HERE = {"search_literal", "search_stream", "time_jump_backward"}
 
 
 def plan(df, mode="formatted"):
@@ -33,7 +35,7 @@ def test_every_query_runs_and_oracles_are_named(spark):
     for name, q in REGISTRY.items():
         assert qs[name] is q.build
         rows = q.build(spark, SF).count()
-        assert rows > 0 or name in ("lines_over_time_append",), name
+        assert (rows > 0) != (name in EMPTY_HERE), name
 
 
 def test_numbering_does_not_shuffle_lines(spark, tmpdir_path):
