@@ -1,9 +1,9 @@
 """Layout-aware HTML extraction.
 
 A page is read into a tree as a browser would (void elements, raw text elements, tags that are implied or closed by
-others, misnested ends), elements that are not displayed are left out (the ``hidden`` attribute, inline styles, simple
-selectors of the page's own style sheets, and elements that never show), and the rest is laid out as text: white space
-collapsed, blocks on lines of their own with collapsed margins, lists with markers and indents, preformatted text as
+others, misnested ends), elements that are not displayed are left out (the ``hidden`` attribute, inline styles, the
+cascade of the page's own style sheets on a screen, and elements that never show), and the rest is laid out as text:
+white space collapsed, blocks on lines of their own with collapsed margins, lists with markers and indents, preformatted text as
 it stands, and tables with their cells aligned in columns.
 
 A map-only job over Arrow batches of pages.
@@ -18,7 +18,7 @@ from typing import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from logweft.llm import common as c
+from logweft.llm import common as c, html_style
 
 # Fixed values of HTML: element classes.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -50,14 +50,12 @@ MAX_DEPTH = 120
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:"[^"]*+(?:"|\Z)|'[^']*+(?:'|\Z)"""
                     r"""|[^\s>"'][^\s>]*+)?+)*+)(?:>|\Z)|<[!?/][^>]*+(?:>|\Z)""", re.S)
 _ATTR = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*("[^"]*"?|'[^']*'?|[^\s>]+))?""")
-_GONE = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
-_RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
-_SIMPLE = re.compile(r"([a-zA-Z][a-zA-Z0-9]*)?((?:[.#][\w-]+)*)\Z")
 _BLANK = re.compile(r"[ \t\n\r\f]+")
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "children")
+    #: ``body``: attributes of the body, at the root; the last five are set where style sheets ask for them.
+    __slots__ = ("tag", "attrs", "children", "body", "parent", "elements", "place", "kin", "kins")
 
     def __init__(self, tag: str, attrs: dict[str, str] | None = None):
         self.tag, self.attrs, self.children = tag, attrs or {}, []
@@ -76,6 +74,7 @@ def _attributes(raw: str) -> dict[str, str]:
 def parse(page: str) -> tuple[Node, list[str]]:
     """The tree of a page, and its style sheets."""
     root = Node("html")
+    root.body = {}
     stack, styles, at = [root], [], 0
 
     def close(tags, barriers) -> None:
@@ -117,6 +116,8 @@ def parse(page: str) -> tuple[Node, list[str]]:
         if tag in ("html", "body"):
             if tag == "body":
                 close({"head"}, ())
+            for name, value in _attributes(m[3]).items():
+                (root.body if tag == "body" else root.attrs).setdefault(name, value)
             continue
         if stack[-1].tag == "head" and tag not in HEAD_ONLY:
             stack.pop()
@@ -135,7 +136,9 @@ def parse(page: str) -> tuple[Node, list[str]]:
             body = page[at:end.start()] if end else page[at:]
             at = end.end() if end else len(page)
             if tag == "style":
-                styles.append(body)
+                if (node.attrs.get("type", "").strip().lower() in ("", "text/css")
+                        and html_style.on_screen(node.attrs.get("media", "")) and all(x.tag != "template" for x in stack)):
+                    styles.append(body)
             elif tag in ("textarea", "xmp"):
                 node.children.append(unescape(body) if tag == "textarea" else body)
         elif tag not in VOID and not m[3].endswith("/") or tag in BLOCKS and tag not in VOID:
@@ -143,17 +146,67 @@ def parse(page: str) -> tuple[Node, list[str]]:
                 stack.append(node)
 
 
-def hidden_selectors(styles: list[str]) -> list[tuple[str, set[str], set[str]]]:
-    """Simple selectors (element, classes, id) that the sheets hide."""
-    out = []
-    for sheet in styles:
-        for m in _RULE.finditer(re.sub(r"/\*.*?(?:\*/|\Z)", "", sheet, flags=re.S)):
-            if _GONE.search(m[2]):
-                for selector in m[1].split(","):
-                    if (s := _SIMPLE.match(selector.strip())) and s[0]:
-                        names = re.findall(r"([.#])([\w-]+)", s[2])
-                        out.append(((s[1] or "").lower(), {n for k, n in names if k == "."}, {n for k, n in names if k == "#"}))
-    return out
+def _link(root: Node) -> None:
+    """Parents and places of all elements, under a body as browsers add it."""
+    def place(node: Node, children: list) -> None:
+        node.elements, node.kins = [x for x in children if not isinstance(x, str)], {}
+        for i, child in enumerate(node.elements):
+            child.parent, child.place, child.kin = node, i, node.kins.get(child.tag, 0)
+            node.kins[child.tag] = child.kin + 1
+
+    body = Node("body", root.body)
+    body.children = [x for x in root.children if isinstance(x, str) or x.tag != "head"]
+    root.parent, root.place, root.kin = None, 0, 0
+    place(root, [*(x for x in root.children if not isinstance(x, str) and x.tag == "head"), body])
+    place(body, body.children)
+    todo = list(root.elements[:-1] + body.elements)
+    while todo:
+        node = todo.pop()
+        place(node, node.children)
+        todo += node.elements
+
+
+def keep_displayed(root: Node, styles: list[str]) -> None:
+    """Takes everything out of a tree that is not displayed.
+
+    Styles that hide the whole body or root are not followed: pages hide themselves until their scripts have run.
+    """
+    rules = html_style.Rules(styles)
+    if rules:
+        _link(root)
+    todo, changed, unseen = [(root, True)], [], []
+    while todo:
+        node, seen = todo.pop()
+        kept = []
+        for child in node.children:
+            if isinstance(child, str):
+                if seen:
+                    kept.append(child)
+                continue
+            tag, attrs = child.tag, child.attrs
+            if tag in NEVER_SHOWN or tag == "input":
+                continue
+            said = rules.said(child) if rules or "style" in attrs else {}
+            display = said.get("display", "revert")
+            if display == "none" or display.startswith("revert") and ("hidden" in attrs or tag == "dialog" and "open" not in attrs):
+                continue
+            visibility = said.get("visibility", "inherit")
+            visible = visibility in ("visible", "initial") or visibility not in ("hidden", "collapse") and seen
+            kept.append(child)
+            todo.append((child, visible))
+            if not visible:
+                unseen.append((child, node))
+        if len(kept) != len(node.children):
+            changed.append((node, kept))
+    for node, kept in changed:
+        node.children = kept
+    # unseen elements that show nothing inside go too, but cells keep their place in the row
+    gone: set[int] = set()
+    for node, _ in reversed(unseen):
+        if node.tag not in ("td", "th") and all(not isinstance(x, str) and id(x) in gone for x in node.children):
+            gone.add(id(node))
+    for parent in {id(parent): parent for node, parent in unseen if id(node) in gone}.values():
+        parent.children = [x for x in parent.children if isinstance(x, str) or id(x) not in gone]
 
 
 class _Lines:
@@ -184,23 +237,9 @@ class _Lines:
 
 
 class _Layout:
-    def __init__(self, selectors):
-        self.selectors = selectors
+    def __init__(self):
         self.in_list = 0
 
-    def shown(self, node: Node) -> bool:
-        a = node.attrs
-        if node.tag in NEVER_SHOWN or "hidden" in a or node.tag == "input" or node.tag == "dialog" and "open" not in a:
-            return False
-        if "style" in a and _GONE.search(a["style"]):
-            return False
-        if self.selectors:
-            classes = set(a.get("class", "").split())
-            for tag, own, ids in self.selectors:
-                if (not tag or tag == node.tag) and own <= classes and (not ids or ids == {a.get("id")}):
-                    return False
-        return True
-
     def lines(self, node: Node) -> list[str]:
         out = _Lines()
         self.flow(node, out)
@@ -217,8 +256,6 @@ class _Layout:
                 else:
                     out.flush()
                     out.margin += 1 if out.lines else 0
-            elif not self.shown(child):
-                continue
             elif child.tag not in BLOCKS:
                 if child.tag == "textarea":
                     out.gap(0)
@@ -252,7 +289,7 @@ class _Layout:
                 parts.append(child)
             elif child.tag == "br":
                 parts.append("\n")
-            elif self.shown(child):
+            else:
                 parts.append(self.raw_text(child))
         return "".join(parts)
 
@@ -266,8 +303,6 @@ class _Layout:
             self.flow(loose, out)
             out.flush()
             loose.children.clear()
-            if not self.shown(child):
-                continue
             if re.fullmatch(r"-?\d{1,9}", child.attrs.get("value", "")):
                 number = int(child.attrs["value"])
             mark = f"{number}. " if node.tag == "ol" else "- "
@@ -287,10 +322,8 @@ class _Layout:
                 if isinstance(child, str):
                     if child.strip():
                         head.append(_BLANK.sub(" ", child).strip())
-                elif not self.shown(child):
-                    continue
                 elif child.tag == "tr":
-                    rows.append([x for x in child.children if not isinstance(x, str) and x.tag in ("td", "th") and self.shown(x)])
+                    rows.append([x for x in child.children if not isinstance(x, str) and x.tag in ("td", "th")])
                     rest = Node("div")
                     rest.children = [x for x in child.children if isinstance(x, str) or x.tag not in ("td", "th")]
                     head.extend(self.lines(rest))
@@ -345,7 +378,8 @@ def page_text(page: str | None) -> str:
     if not page:
         return ""
     root, styles = parse(page)
-    return "\n".join(_Layout(hidden_selectors(styles)).lines(root)).strip("\n")
+    keep_displayed(root, styles)
+    return "\n".join(_Layout().lines(root)).strip("\n")
 
 
 def extract(pages: DataFrame, html_col: str = "html", out: str = "text") -> DataFrame:

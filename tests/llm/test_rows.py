@@ -213,3 +213,32 @@ def test_html_deep_long_and_all_visible_words(spark):
     pages = spark.createDataFrame([(1, "<p>a", "old"), (1, "<p>a", None), (None, None, "x")], "page_id long, html string, text string")
     assert sorted((r.text, r.page_id or 0) for r in html_text.extract(pages).collect()) == [("", 0), ("a", 1), ("a", 1)]
     assert html_text.extract(pages.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("sheet, body, text", [
+    ("@media print{.nav{display:none}}", "<p class=nav>a", "a"),
+    ("@media(max-width:600px){.side{display:none}}", "<p class=side>a", "a"),
+    ("@media screen and (min-width:600px){.side{display:none}}", "<p class=side>a</p>b", "b"),
+    ("@media not print{.a{display:none}} @media (400px <= width < 900px), (hover:none){.b{display:none}}",
+     "<i class=a>a</i><i class=b>b</i>", "b"),
+    (".tab{display:none} .tab.active{display:block}", "<div class=tab>x</div><div class='tab active'>y</div>", "y"),
+    (".tab.active{display:block} .tab{display:none}", "<div class=tab>x</div><div class='tab active'>y</div>", "y"),
+    (".tab{display:none} .tab{display:block}", "<div class=tab>x</div>", "x"),
+    (".tab{display:none!important} .tab.a{display:block}", "<div class='tab a'>x</div>z", "z"),
+    (".tab{display:none}", "<div class=tab style='display:block'>x</div>z", "x\nz"),
+    (".m{display:none} .js .m{display:block}", "<body class=js><div class=m>x</div>z", "x\nz"),
+    ("#t:checked ~ .p{display:block} .p{display:none}", "<input id=t type=checkbox checked><div class=p>k</div>", "k"),
+    ("ul > li:nth-child(2n+1):not(.k){display:none}", "<ul><li>a<li>b<li>c<li>d<li class=k>e</ul>", "- b\n- d\n- e"),
+    (".h{visibility:hidden} .h .v{visibility:visible}", "<div class=h>a<b class=v>c</b></div>", "c"),
+    (".a:after{display:none} .a:hover{display:none} .x{content:'}.a{display:none}'}", "<p class=a>k", "k"),
+    (".a{color:red; .b{display:none} &.c{display:none}}", "<div class=a>1<i class=b>2</i></div><i class=b>3</i>", "1\n3"),
+    ("@keyframes x{from{visibility:hidden} .q{display:none}} @layer a{.r.r{display:none}} .r{display:inline}",
+     "<i class=q>3</i><i class=r>4</i>", "34"),
+    ("[hidden]{display:block}", "<p hidden>a", "a"), (".r{display:none", "<i class=r>4</i>5", "5"),
+])
+def test_html_cascade(sheet, body, text):
+    assert html_text.page_text(f"<head><style>{sheet}</style></head>{body}") == text
+
+
+def test_html_sheets_of_other_media():
+    assert html_text.page_text("<style media=print>.a{display:none}</style><p class=a>x") == "x"
