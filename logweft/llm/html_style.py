@@ -8,6 +8,7 @@ last of the most specific declarations decides, important ones first. Media are
 from __future__ import annotations
 
 import re
+from itertools import islice
 from typing import Callable, Iterator
 
 #: The screen that media queries are asked about: pixels, dots an inch, bits.
@@ -145,10 +146,11 @@ def on_screen(queries: str) -> bool:
 
 # ------------------------------------------------------------------ selectors
 class _Compound:
-    __slots__ = ("tag", "ids", "classes", "tests", "joint")
+    #: ``walked``: nodes from which the places that ``joint`` leads to are known not to fit the compounds before.
+    __slots__ = ("tag", "ids", "classes", "tests", "joint", "walked")
 
     def __init__(self):
-        self.tag, self.ids, self.classes, self.tests, self.joint = "", set(), set(), [], ""
+        self.tag, self.ids, self.classes, self.tests, self.joint, self.walked = "", set(), set(), [], "", set()
 
 
 def _never(node) -> bool:
@@ -320,29 +322,42 @@ def _fits(one: _Compound, node) -> bool:
             and all(test(node) for test in one.tests))
 
 
+def _above(node) -> Iterator:
+    while (node := node.parent) is not None:
+        yield node
+
+
 def _before(node) -> Iterator:
     return (node.parent.elements[i] for i in range(node.place - 1, -1, -1)) if node.parent else iter(())
 
 
 def matches(parts: list[_Compound], node, top=None) -> bool:
     """Whether a chain of compounds fits, from the last one up; of a relative one (``top``) the first joint leads there."""
-    def reach(joint: str, node) -> Iterator:
-        if joint == ">" or joint == " ":
-            while (node := node.parent) is not None:
-                yield node
-                if joint == ">":
-                    return
-        else:
-            for x in _before(node):
-                yield x
-                if joint == "+":
-                    return
+    def reach(one: _Compound, node) -> Iterator:
+        if one.joint == ">":
+            if node.parent is not None:
+                yield node.parent
+            return
+        if one.joint == "+":
+            yield from islice(_before(node), 1)
+            return
+        marks = [node]
+        for i, x in enumerate(_above(node) if one.joint == " " else _before(node), 1):
+            yield x
+            if top is None and id(x) in one.walked:
+                break
+            if i % 32 == 0:
+                marks.append(x)
+        if top is None:
+            one.walked.update(map(id, marks))              # asked for the next place: none of these led on
+    if top is None and id(node) in parts[-1].walked:
+        return False
     if not _fits(parts[-1], node):
         return False
     if len(parts) == 1 and top is None:
         return True
     # depth first over the places that each compound may fit, each place once
-    seen, todo = set(), [(len(parts) - 1, reach(parts[-1].joint, node))]
+    seen, todo = set(), [(len(parts) - 1, reach(parts[-1], node))]
     while todo:
         k, places = todo[-1]
         found = next(places, None)
@@ -359,7 +374,7 @@ def matches(parts: list[_Compound], node, top=None) -> bool:
         if _fits(parts[k - 1], found):
             if k == 1 and top is None:
                 return True
-            todo.append((k - 1, reach(parts[k - 1].joint, found)))
+            todo.append((k - 1, reach(parts[k - 1], found)))
     return False
 
 

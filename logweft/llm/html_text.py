@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import re
 from html import unescape
-from typing import Iterator
+from typing import Generator, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -44,8 +44,6 @@ CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "d
           **dict.fromkeys(("h1", "h2", "h3", "h4", "h5", "h6"), ({"h1", "h2", "h3", "h4", "h5", "h6"}, {"div", "section"}))}
 SCOPE = frozenset("table td th caption template button body html".split())
 TABLE_PARTS = frozenset("table td th tr thead tbody tfoot caption".split())
-#: Elements nested deeper than this hang on their ancestor at this depth (their text stays).
-MAX_DEPTH = 120
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:"[^"]*+(?:"|\Z)|'[^']*+(?:'|\Z)"""
                     r"""|[^\s>"'][^\s>]*+)?+)*+)(?:>|\Z)|<[!?/][^>]*+(?:>|\Z)""", re.S)
@@ -76,20 +74,31 @@ def parse(page: str) -> tuple[Node, list[str]]:
     root = Node("html")
     root.body = {}
     stack, styles, at = [root], [], 0
+    open_at: dict[str, list[int]] = {}                # places in the stack by element, so that no depth costs a walk
+
+    def push(node: Node) -> None:
+        open_at.setdefault(node.tag, []).append(len(stack))
+        stack.append(node)
+
+    def cut(i: int) -> None:
+        while len(stack) > i:
+            open_at[stack.pop().tag].pop()
+
+    def last(tags) -> int:
+        return max([open_at[x][-1] for x in tags if open_at.get(x)], default=0)
 
     def close(tags, barriers) -> None:
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].tag in barriers:
-                return
-            if stack[i].tag in tags:
-                del stack[i:]
+        if i := last(tags):
+            barrier = last(barriers)
+            while i > barrier:
                 # several may be open inside each other (a cell in a row)
-                return close(tags, barriers)
+                cut(i)
+                i = last(tags)
 
     def text(raw: str) -> None:
         if raw:
             if stack[-1].tag == "head" and raw.strip():
-                stack.pop()
+                cut(len(stack) - 1)
             stack[-1].children.append(unescape(raw))
 
     while True:
@@ -106,12 +115,9 @@ def parse(page: str) -> tuple[Node, list[str]]:
             if tag == "br":
                 stack[-1].children.append(Node("br"))
                 continue
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    del stack[i:]
-                    break
-                if stack[i].tag in SCOPE and not (tag in TABLE_PARTS and stack[i].tag != "table"):
-                    break
+            i = last((tag,))
+            if i and i >= last(("table",) if tag in TABLE_PARTS else SCOPE):
+                cut(i)
             continue
         if tag in ("html", "body"):
             if tag == "body":
@@ -120,7 +126,7 @@ def parse(page: str) -> tuple[Node, list[str]]:
                 (root.body if tag == "body" else root.attrs).setdefault(name, value)
             continue
         if stack[-1].tag == "head" and tag not in HEAD_ONLY:
-            stack.pop()
+            cut(len(stack) - 1)
         if tag in CLOSES_P:
             close({"p"}, SCOPE)
         if tag in CLOSES:
@@ -128,7 +134,7 @@ def parse(page: str) -> tuple[Node, list[str]]:
         if tag in ("td", "th") and stack[-1].tag in ("table", "thead", "tbody", "tfoot"):
             row = Node("tr")
             stack[-1].children.append(row)
-            stack.append(row)
+            push(row)
         node = Node(tag, _attributes(m[3]) if m[3] else None)
         stack[-1].children.append(node)
         if tag in RAW:
@@ -137,13 +143,12 @@ def parse(page: str) -> tuple[Node, list[str]]:
             at = end.end() if end else len(page)
             if tag == "style":
                 if (node.attrs.get("type", "").strip().lower() in ("", "text/css")
-                        and html_style.on_screen(node.attrs.get("media", "")) and all(x.tag != "template" for x in stack)):
+                        and html_style.on_screen(node.attrs.get("media", "")) and not open_at.get("template")):
                     styles.append(body)
             elif tag in ("textarea", "xmp"):
                 node.children.append(unescape(body) if tag == "textarea" else body)
         elif tag not in VOID and not m[3].endswith("/") or tag in BLOCKS and tag not in VOID:
-            if len(stack) < MAX_DEPTH:
-                stack.append(node)
+            push(node)
 
 
 def _link(root: Node) -> None:
@@ -210,10 +215,11 @@ def keep_displayed(root: Node, styles: list[str]) -> None:
 
 
 class _Lines:
-    """Finished lines, with margins that collapse."""
+    """Finished lines, with margins that collapse; groups of lines in them are indented when all are written out."""
 
-    def __init__(self):
-        self.lines: list[str] = []
+    def __init__(self, mark: str = ""):
+        self.mark = mark                               # before the first line, blanks of its width before the others
+        self.lines: list[str | _Lines] = []
         self.margin = 0
         self.inline: list[str] = []
 
@@ -221,7 +227,7 @@ class _Lines:
         self.flush()
         self.margin = max(self.margin, n)
 
-    def add(self, lines: list[str]) -> None:
+    def add(self, lines: list[str | _Lines]) -> None:
         if lines:
             if self.lines:
                 self.lines += [""] * self.margin
@@ -235,18 +241,56 @@ class _Lines:
             if text:
                 self.add([text.replace("\xa0", " ")])
 
+    def written(self) -> list[str]:
+        """The lines with the marks and indents of the groups around them; empty lines stay empty."""
+        out: list[str] = []
+        groups, indent, begun = [(self, iter(self.lines))], 0, 0         # the first ``begun`` groups have a line
+        while groups:
+            line = next(groups[-1][1], None)
+            if line is None:
+                group, _ = groups.pop()
+                if begun > len(groups):
+                    begun -= 1
+                    indent -= len(group.mark)
+            elif isinstance(line, str):
+                marks = "".join([g.mark for g, _ in groups[begun:]])
+                out.append(" " * indent + marks + line if line else line)
+                indent, begun = indent + len(marks), len(groups)
+            else:
+                groups.append((line, iter(line.lines)))
+        return out
+
+
+#: A step of the layout: it yields the steps it needs, is sent their results, and returns its own.
+Step = Generator["Step", object, object]
+
+
+def _run(step: Step):
+    """The result of a step; those that wait for others are on a list, so that pages may be nested to any depth."""
+    waiting, result = [step], None
+    while waiting:
+        try:
+            step = waiting[-1].send(result)
+        except StopIteration as done:
+            waiting.pop()
+            result = done.value
+        else:
+            waiting.append(step)
+            result = None
+    return result
+
 
 class _Layout:
     def __init__(self):
         self.in_list = 0
 
-    def lines(self, node: Node) -> list[str]:
-        out = _Lines()
-        self.flow(node, out)
+    def lines(self, node: Node, mark: str = "") -> Step:
+        out = _Lines(mark)
+        yield self.flow(node, out)
         out.flush()
-        return out.lines
+        return out
 
-    def flow(self, node: Node, out: _Lines) -> None:
+    def flow(self, node: Node, out: _Lines) -> Step:
         for child in node.children:
             if isinstance(child, str):
                 out.inline.append(child)
@@ -261,46 +305,50 @@ class _Layout:
                     out.gap(0)
                     out.add(child.children[0].split("\n") if child.children and child.children[0] else [])
                 else:
-                    self.flow(child, out)
+                    yield self.flow(child, out)
             else:
                 margin = 0 if self.in_list and child.tag in ("ul", "ol", "menu") else BLOCKS[child.tag]
                 out.gap(margin)
-                self.block(child, out)
+                yield self.block(child, out)
                 out.gap(margin)
 
-    def block(self, node: Node, out: _Lines) -> None:
+    def block(self, node: Node, out: _Lines) -> Step:
         tag = node.tag
         if tag in ("ul", "ol", "menu"):
-            self.items(node, out)
+            yield self.items(node, out)
         elif tag == "table":
-            out.add(self.table(node))
+            out.add((yield self.table(node)))
         elif tag in ("pre", "xmp"):
             text = self.raw_text(node).removeprefix("\n").rstrip("\n")
             out.add([x.rstrip("\r") for x in text.split("\n")] if text.strip() else [])
         elif tag in ("blockquote", "dd"):
-            out.add(["  " + x if x else x for x in self.lines(node)])
+            inner = yield self.lines(node, "  ")
+            out.add([inner] if inner.lines else [])
         else:
-            self.flow(node, out)
+            yield self.flow(node, out)
 
     def raw_text(self, node: Node) -> str:
-        parts = []
-        for child in node.children:
-            if isinstance(child, str):
+        parts, todo = [], [iter(node.children)]
+        while todo:
+            child = next(todo[-1], None)
+            if child is None:
+                todo.pop()
+            elif isinstance(child, str):
                 parts.append(child)
             elif child.tag == "br":
                 parts.append("\n")
             else:
-                parts.append(self.raw_text(child))
+                todo.append(iter(child.children))
         return "".join(parts)
 
-    def items(self, node: Node, out: _Lines) -> None:
+    def items(self, node: Node, out: _Lines) -> Step:
         number = int(node.attrs["start"]) if re.fullmatch(r"-?\d{1,9}", node.attrs.get("start", "")) else 1
         loose = Node("div")
         for child in node.children:
             if isinstance(child, str) or child.tag != "li":
                 loose.children.append(child)         # text and nested lists straight in a list
                 continue
-            self.flow(loose, out)
+            yield self.flow(loose, out)
             out.flush()
             loose.children.clear()
             if re.fullmatch(r"-?\d{1,9}", child.attrs.get("value", "")):
@@ -308,16 +356,16 @@ class _Layout:
             mark = f"{number}. " if node.tag == "ol" else "- "
             number += 1
             self.in_list += 1
-            lines = self.lines(child)
+            item = yield self.lines(child, mark)
             self.in_list -= 1
-            out.add([(mark if i == 0 else " " * len(mark)) + x if x else x for i, x in enumerate(lines)] or [mark.strip()])
-        inner = self.lines(loose)
-        out.add(["  " + x if x else x for x in inner])
+            out.add([item] if item.lines else [mark.strip()])
+        inner = yield self.lines(loose, "  ")
+        out.add([inner] if inner.lines else [])
 
-    def table(self, node: Node) -> list[str]:
+    def table(self, node: Node) -> Step:
         head, rows = [], []
 
-        def collect(part: Node) -> None:
+        def collect(part: Node) -> Step:
             for child in part.children:
                 if isinstance(child, str):
                     if child.strip():
@@ -326,12 +374,12 @@ class _Layout:
                     rows.append([x for x in child.children if not isinstance(x, str) and x.tag in ("td", "th")])
                     rest = Node("div")
                     rest.children = [x for x in child.children if isinstance(x, str) or x.tag not in ("td", "th")]
-                    head.extend(self.lines(rest))
+                    head.extend((yield self.lines(rest)).written())
                 elif child.tag in ("thead", "tbody", "tfoot"):
-                    collect(child)
+                    yield collect(child)
                 else:
-                    head.extend(self.lines(child))
-        collect(node)
+                    head.extend((yield self.lines(child)).written())
+        yield collect(node)
         placed: list[dict[int, tuple[list[str], int]]] = []
         taken: dict[tuple[int, int], bool] = {}
         for r, cells in enumerate(rows):
@@ -343,7 +391,7 @@ class _Layout:
                 for k in range(1, min(self.span(cell, "rowspan"), len(rows) - r)):
                     for j in range(span):
                         taken[(r + k, col + j)] = True
-                line[col] = (self.lines(cell), span)
+                line[col] = ((yield self.lines(cell)).written(), span)
                 col += span
             placed.append(line)
         width: dict[int, int] = {}
@@ -379,7 +427,7 @@ def page_text(page: str | None) -> str:
         return ""
     root, styles = parse(page)
     keep_displayed(root, styles)
-    return "\n".join(_Layout().lines(root)).strip("\n")
+    return "\n".join(_run(_Layout().lines(root)).written()).strip("\n")
 
 
 def extract(pages: DataFrame, html_col: str = "html", out: str = "text") -> DataFrame:

@@ -242,3 +242,22 @@ def test_html_cascade(sheet, body, text):
 
 def test_html_sheets_of_other_media():
     assert html_text.page_text("<style media=print>.a{display:none}</style><p class=a>x") == "x"
+
+
+@pytest.mark.parametrize("deep", [10, 200, 3000])
+def test_html_is_exact_at_any_depth(deep):
+    for wrap in ("<div>", "<b>", "<div><i>"):
+        top = wrap * deep
+        assert html_text.page_text(f"{top}<p hidden>no</p><style>.h{{display:none}}</style><i class=h>no</i>yes") == "yes"
+        assert html_text.page_text(f"a<section hidden>{top}<section>no</section>no</section>b") == "ab"
+        assert html_text.page_text(f"{top}<ul><li>a<li>b</ul><pre>\n x\n  y</pre><table><tr><td>k<td>l<tr><td>long<td>m</table>") == (
+            "- a\n- b\n\n x\n  y\n\nk     l\nlong  m")
+    assert html_text.page_text("<ul><li>" * deep + "x") == "- " * deep + "x"
+    assert html_text.page_text("<table><tr><td>" * deep + "x<td>y</table>z") == "x  y\n\nz"
+    assert html_text.page_text("<blockquote>w" * deep).split() == ["w"] * deep
+
+
+def test_html_descendants_at_depth():
+    sheet = "<style>.k{display:block} .h .k .k b{display:none} .o ~ p{display:none}</style>"
+    page = "<div class=k>" * 3000 + "<b>a</b>" + "</div>" * 3000 + "<div class=h>" + "<div class=k>" * 99 + "<b>no</b></div>" + "</div>" * 99
+    assert html_text.page_text(sheet + page + "<p>1<p class=o>2<p>no<p>no") == "a\n\n1\n\n2"
