@@ -24,8 +24,17 @@ from logweft.llm import common as c, html_style
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript".split())
 HEAD_ONLY = frozenset("base link meta title style script template noscript".split())
-NEVER_SHOWN = frozenset("head script style template noscript noframes noembed iframe title datalist object audio video "
-                        "canvas svg math area param source track rp".split())
+NEVER_SHOWN = frozenset("head script style template noscript noframes noembed iframe title datalist audio video "
+                        "canvas area param source track rp".split())
+#: Inside svg and math: elements that never show, those that hold HTML, tags that end the drawing or formula, elements
+#: that show one child only, and those whose text stands apart.
+DRAWN_NEVER = frozenset("annotation annotation-xml clippath defs desc filter lineargradient marker mask metadata pattern "
+                        "radialgradient symbol".split())
+HOLDS_HTML = frozenset("annotation-xml foreignobject desc title mi mn mo ms mtext".split())
+BREAKS_OUT = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing "
+                       "menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
+ONE_CHILD = frozenset("maction semantics switch".split())
+APART = frozenset("text foreignobject mtr mtd".split())
 #: Blocks, with the blank lines a browser leaves around them.
 BLOCKS = {**dict.fromkeys("address article aside body center dd details dialog div dt fieldset figcaption footer form "
                           "header hgroup html legend li main nav optgroup option search section summary tr td th thead "
@@ -42,7 +51,7 @@ CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "d
           **dict.fromkeys(("thead", "tbody", "tfoot"), ({"td", "th", "tr", "thead", "tbody", "tfoot", "caption"}, {"table"})),
           **dict.fromkeys(("rt", "rp"), ({"rt", "rp"}, {"ruby"})),
           **dict.fromkeys(("h1", "h2", "h3", "h4", "h5", "h6"), ({"h1", "h2", "h3", "h4", "h5", "h6"}, {"div", "section"}))}
-SCOPE = frozenset("table td th caption template button body html".split())
+SCOPE = frozenset("table td th caption template button body html".split()) | HOLDS_HTML
 TABLE_PARTS = frozenset("table td th tr thead tbody tfoot caption".split())
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:"[^"]*+(?:"|\Z)|'[^']*+(?:'|\Z)"""
@@ -52,11 +61,11 @@ _BLANK = re.compile(r"[ \t\n\r\f]+")
 
 
 class Node:
-    #: ``body``: attributes of the body, at the root; the last five are set where style sheets ask for them.
-    __slots__ = ("tag", "attrs", "children", "body", "parent", "elements", "place", "kin", "kins")
+    #: ``foreign``: of svg or math; ``body``: attributes of the body, at the root; the last five are set where style sheets ask for them.
+    __slots__ = ("tag", "attrs", "children", "foreign", "body", "parent", "elements", "place", "kin", "kins")
 
-    def __init__(self, tag: str, attrs: dict[str, str] | None = None):
-        self.tag, self.attrs, self.children = tag, attrs or {}, []
+    def __init__(self, tag: str, attrs: dict[str, str] | None = None, foreign: bool = False):
+        self.tag, self.attrs, self.children, self.foreign = tag, attrs or {}, [], foreign
 
 
 def _attributes(raw: str) -> dict[str, str]:
@@ -95,11 +104,13 @@ def parse(page: str) -> tuple[Node, list[str]]:
                 cut(i)
                 i = last(tags)
 
-    def text(raw: str) -> None:
+    def text(raw: str, plain: bool = False) -> None:
         if raw:
             if stack[-1].tag == "head" and raw.strip():
                 cut(len(stack) - 1)
-            stack[-1].children.append(unescape(raw))
+            # a drawing shows the text of its text elements
+            if not open_at.get("svg") or last(("svg",)) < last(("text", "foreignobject")) or not raw.strip():
+                stack[-1].children.append(raw if plain else unescape(raw))
 
     while True:
         m = _TOKEN.search(page, at)
@@ -110,6 +121,10 @@ def parse(page: str) -> tuple[Node, list[str]]:
         at = m.end()
         tag = (m[2] or "").lower()
         if not tag:
+            if stack[-1].foreign and m[0].startswith("<![CDATA["):
+                end = page.find("]]>", m.start() + 9)
+                text(page[m.start() + 9:end if end >= 0 else len(page)], plain=True)
+                at = end + 3 if end >= 0 else len(page)
             continue
         if m[1]:
             if tag == "br":
@@ -127,16 +142,31 @@ def parse(page: str) -> tuple[Node, list[str]]:
             continue
         if stack[-1].tag == "head" and tag not in HEAD_ONLY:
             cut(len(stack) - 1)
-        if tag in CLOSES_P:
-            close({"p"}, SCOPE)
-        if tag in CLOSES:
-            close(*CLOSES[tag])
-        if tag in ("td", "th") and stack[-1].tag in ("table", "thead", "tbody", "tfoot"):
-            row = Node("tr")
-            stack[-1].children.append(row)
-            push(row)
-        node = Node(tag, _attributes(m[3]) if m[3] else None)
-        stack[-1].children.append(node)
+        attrs = _attributes(m[3]) if m[3] else None
+        if stack[-1].foreign and (tag in BREAKS_OUT or tag == "font" and attrs and not attrs.keys().isdisjoint(("color", "face", "size"))):
+            while stack[-1].foreign and stack[-1].tag not in HOLDS_HTML:
+                cut(len(stack) - 1)
+        foreign = tag in ("svg", "math") or stack[-1].foreign and stack[-1].tag not in HOLDS_HTML
+        if foreign:
+            node = Node(tag, attrs, True)
+            stack[-1].children.append(node)
+            if m[3].endswith("/"):
+                continue
+            if tag not in ("style", "script"):
+                push(node)
+                continue
+        else:
+            if tag in CLOSES_P:
+                close({"p"}, SCOPE)
+            if tag in CLOSES:
+                tags, barriers = CLOSES[tag]
+                close(tags, barriers | HOLDS_HTML)
+            if tag in ("td", "th") and stack[-1].tag in ("table", "thead", "tbody", "tfoot"):
+                row = Node("tr")
+                stack[-1].children.append(row)
+                push(row)
+            node = Node(tag, attrs)
+            stack[-1].children.append(node)
         if tag in RAW:
             end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I).search(page, at)
             body = page[at:end.start()] if end else page[at:]
@@ -179,23 +209,31 @@ def keep_displayed(root: Node, styles: list[str]) -> None:
     rules = html_style.Rules(styles)
     if rules:
         _link(root)
+    language = root.attrs.get("lang", "en").partition("-")[0].lower()
     todo, changed, unseen = [(root, True)], [], []
     while todo:
         node, seen = todo.pop()
         kept = []
+        only = None
+        if node.foreign and node.tag in ONE_CHILD:
+            only = next((x for x in node.children if not isinstance(x, str) and language in (
+                y.strip().partition("-")[0].lower() for y in x.attrs.get("systemlanguage", language).split(","))), node)
         for child in node.children:
             if isinstance(child, str):
                 if seen:
                     kept.append(child)
                 continue
             tag, attrs = child.tag, child.attrs
-            if tag in NEVER_SHOWN or tag == "input":
+            if tag in NEVER_SHOWN or tag == "input" or child.foreign and tag in DRAWN_NEVER or only not in (None, child):
                 continue
             said = rules.said(child) if rules or "style" in attrs else {}
             display = said.get("display", "revert")
-            if display == "none" or display.startswith("revert") and ("hidden" in attrs or tag == "dialog" and "open" not in attrs):
+            if display == "none" or display.startswith("revert") and (
+                    child.foreign and attrs.get("display") == "none" or "hidden" in attrs and not child.foreign
+                    or tag == "dialog" and "open" not in attrs):
                 continue
-            visibility = said.get("visibility", "inherit")
+            usual = ("hidden" if tag == "mphantom" else attrs.get("visibility", "inherit")) if child.foreign else "inherit"
+            visibility = said.get("visibility", usual)
             visible = visibility in ("visible", "initial") or visibility not in ("hidden", "collapse") and seen
             kept.append(child)
             todo.append((child, visible))
@@ -304,6 +342,10 @@ class _Layout:
                 if child.tag == "textarea":
                     out.gap(0)
                     out.add(child.children[0].split("\n") if child.children and child.children[0] else [])
+                elif child.foreign and (child.tag in APART or child.tag == "tspan" and ("x" in child.attrs or "y" in child.attrs)):
+                    out.inline.append(" ")
+                    yield self.flow(child, out)
+                    out.inline.append(" ")
                 else:
                     yield self.flow(child, out)
             else:

@@ -261,3 +261,18 @@ def test_html_descendants_at_depth():
     sheet = "<style>.k{display:block} .h .k .k b{display:none} .o ~ p{display:none}</style>"
     page = "<div class=k>" * 3000 + "<b>a</b>" + "</div>" * 3000 + "<div class=h>" + "<div class=k>" * 99 + "<b>no</b></div>" + "</div>" * 99
     assert html_text.page_text(sheet + page + "<p>1<p class=o>2<p>no<p>no") == "a\n\n1\n\n2"
+
+
+@pytest.mark.parametrize("page, text", [
+    ("a <math><mi>x</mi><mo>=</mo><mn>2</mn></math> b", "a x=2 b"),
+    ("<math><semantics><mi>x</mi><annotation>no</annotation><annotation-xml><p>no</annotation-xml></semantics></math>!", "x!"),
+    ("<svg><title>no</title><desc>no</desc><defs><text>no</text></defs><metadata>no</metadata><text>one</text>"
+     "<text>two<tspan>3</tspan></text></svg>z", "one two3 z"),
+    ("<svg><title/><text>a</text><text><![CDATA[b<c]]></text></svg>d", "a b<c d"),
+    ("<p>x<svg><foreignObject><p>in</p></foreignObject></svg>y</p>", "x\n\nin\n\ny"),
+    ("<svg><g>no<p>out</p>in", "out\n\nin"), ("<svg style='display:none'><text>no</text></svg><svg display=none><text>no</svg>y", "y"),
+    ("<svg><style>.n{display:none}</style><text class=n>no</text></svg>y", "y"),
+    ("<object data=x.swf><param name=a><p>fallback</p></object>", "fallback"),
+])
+def test_html_drawings_formulas_and_fallbacks(page, text):
+    assert html_text.page_text(page) == text
