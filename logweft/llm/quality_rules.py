@@ -32,8 +32,9 @@ class Limits:
     repeat_words: int = 10
     #: Rejected above this percentage of words in repeats ...
     max_covered_percent: int = 30
-    #: ... or if one repeat is longer than this many words and covers more than a tenth of the document.
+    #: ... or if one repeat is longer than this many words and than this percentage of the document's words (0: of any).
     max_longest: int = 100
+    max_longest_percent: int = 10
 
 
 _SYMBOL = np.zeros(256, bool)
@@ -165,7 +166,7 @@ def measure_texts(texts: c.Texts, limits: Limits) -> dict[str, np.ndarray]:
                           | (100 * out["n_repeat_words"] > limits.max_repeat_percent * counts))
     covered = out["n_covered_words"]
     repetitive = ((100 * covered > limits.max_covered_percent * counts)
-                  | ((longest > limits.max_longest) & (10 * longest > counts)))
+                  | ((longest > limits.max_longest) & (100 * longest > limits.max_longest_percent * counts)))
     out["kept"] = ~out["base_failed"] & ~repetitive
     return out
 

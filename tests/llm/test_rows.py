@@ -52,6 +52,15 @@ def test_quality(spark, docs, rows, odd_docs, no_docs):
     assert quality_rules.measure(odd_docs).count() == 8 and quality_rules.measure(no_docs).count() == 0
 
 
+def test_longest_repeat_and_its_share(spark):
+    passage = [f"p{k}" for k in range(120)]
+    texts = {n: " ".join([*passage, *(f"w{k}" for k in range(n - 240)), *passage]) for n in (900, 1200, 1201, 3000)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    for share, kept in ((10, [1200, 1201, 3000]), (0, []), (5, [3000])):
+        limits = quality_rules.Limits(max_longest_percent=share)
+        assert sorted(r.doc_id for r in quality_rules.keep_good(docs, limits=limits).collect()) == kept
+
+
 def test_suffix_repeats_stay_in_their_document():
     rng = np.random.default_rng(0)
     symbols = rng.integers(0, 3, 200)
