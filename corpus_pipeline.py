@@ -19,8 +19,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each text, the one with the largest id, through a new digest index."""
-    return exact_dedup.keep_new(docs)
+    """One document of each text, the one with the largest id, in two batches through a new digest index."""
+    return exact_dedup.keep_new(docs, batches=2)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

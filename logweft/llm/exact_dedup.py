@@ -48,27 +48,54 @@ def append_new(groups: DataFrame, index: str, buckets: int = BUCKETS) -> DataFra
     return new
 
 
+def id_ranges(docs: DataFrame, batches: int, id_col: str = "doc_id") -> list[DataFrame]:
+    """``docs`` in up to so many ranges of ids, the largest first and rows without an id in the last."""
+    number = F.col(id_col).cast("long")
+    cuts = docs.select(number.alias("id")).approxQuantile("id", [k / batches for k in range(1, batches)], 0.01) if batches > 1 else []
+    out, rest = [], F.lit(True)
+    for cut in sorted({int(x) for x in cuts}, reverse=True):
+        out.append(docs.filter(rest & (number >= cut)))
+        rest = number.isNull() | (number < cut)
+    return [*out, docs.filter(rest)]
+
+
+def _through_index(docs: DataFrame, index: str, buckets: int, batches: int, id_col: str, text_col: str):
+    """Takes ``docs`` through an index batch by batch; gives the groups and the new digests of all of them."""
+    groups = new = None
+    for part in id_ranges(docs, batches, id_col):
+        own = c.written(batch_groups(part, id_col, text_col), "digests")
+        fresh = append_new(own, index, buckets)
+        groups, new = (own, fresh) if groups is None else (groups.unionByName(own), new.unionByName(fresh))
+    return groups, new
+
+
 def dedup_exact(docs: DataFrame, index: str | None = None, buckets: int = BUCKETS, id_col: str = "doc_id",
-                text_col: str = "text") -> DataFrame:
+                text_col: str = "text", batches: int = 1) -> DataFrame:
     """``doc_id, keep_id, group_size, kept, text_sha256``: one row per input row, dropped ones too.
 
     Texts already in ``index`` are all dropped (``keep_id`` is the indexed document). Of equal new texts the row with
-    the largest id stays; of rows that also share that id, one. ``group_size`` counts the rows of the batch. Null
+    the largest id stays; of rows that also share that id, one. ``group_size`` counts the rows of ``docs``. Null
     texts count as empty and are equal to each other; a null id is smaller than any, and of a group of null ids one
     row stays with ``keep_id`` null. An empty table gives an empty result. Other columns are ignored.
 
+    ``batches``: ranges of ids, the largest first, that go through the index one after the other; the result is the
+    same for any number. Without ``index`` a new one is made, and dropped when the verdicts are written.
+
     The hot group: grouping combines map-side, and the join that brings the verdict back to the rows reads both
     sides through an exchange, so adaptive execution splits a digest that holds many rows.
     """
     spark = c.prepare(docs.sparkSession)
-    index = index or create_index(spark, buckets=buckets)
-    groups = c.written(batch_groups(docs, id_col, text_col), "digests")
-    new = append_new(groups, index, buckets)
-    held = spark.table(index).select("digest", F.col("keep_id").alias("held_id"))
+    name = index or create_index(spark, buckets=buckets)
+    groups, new = _through_index(docs, name, buckets, batches, id_col, text_col)
+    if batches > 1:
+        groups = groups.groupBy("digest").agg(F.sum("group_size").alias("group_size"))
+    held = spark.table(name).select("digest", F.col("keep_id").alias("held_id"))
     fresh = new.select("digest", F.lit(True).alias("fresh"))
     verdicts = c.written(groups.join(held.hint("merge"), "digest").join(fresh, "digest", "left")
                                .select("digest", F.col("held_id").alias("keep_id"), "group_size",
                                        F.coalesce("fresh", F.lit(False)).alias("fresh")), "verdicts")
+    if index is None:
+        spark.sql(f"DROP TABLE {name}")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_digest(F.col(text_col)).alias("digest"))
     marked = rows.join(verdicts, "digest")
     mine = F.col("fresh") & F.col("doc_id").eqNullSafe(F.col("keep_id"))
@@ -85,11 +112,13 @@ def dedup_exact(docs: DataFrame, index: str | None = None, buckets: int = BUCKET
 
 
 def keep_new(docs: DataFrame, index: str | None = None, buckets: int = BUCKETS, id_col: str = "doc_id",
-             text_col: str = "text") -> DataFrame:
+             text_col: str = "text", batches: int = 1) -> DataFrame:
     """The rows of ``docs`` that :func:`dedup_exact` keeps, all columns unchanged; their texts join the index."""
     spark = c.prepare(docs.sparkSession)
-    index = index or create_index(spark, buckets=buckets)
-    new = append_new(c.written(batch_groups(docs, id_col, text_col), "digests"), index, buckets)
+    name = index or create_index(spark, buckets=buckets)
+    _, new = _through_index(docs, name, buckets, batches, id_col, text_col)
+    if index is None:
+        spark.sql(f"DROP TABLE {name}")
     verdict = new.select(F.col("digest").alias("__digest"), F.col("keep_id").alias("__keep"))
     mine = F.col(id_col).cast("long").eqNullSafe(F.col("__keep"))
     rows = docs.withColumn("__digest", text_digest(F.col(text_col))).join(verdict, "__digest").filter(mine)

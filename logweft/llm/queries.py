@@ -103,8 +103,8 @@ SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
 FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))
 """)
 def op8_exact_dedup(spark, sf_dir):
-    """``documents`` as one batch against a new persistent digest index."""
-    return exact_dedup.dedup_exact(documents(spark, sf_dir))
+    """``documents`` in two batches, the larger ids first, against one digest index."""
+    return exact_dedup.dedup_exact(documents(spark, sf_dir), batches=2)
 
 
 @query("op2_bpe_codec")

@@ -156,6 +156,29 @@ def test_exact_batches(spark, docs, rows):
     assert plan.count("Exchange hashpartitioning") <= 1 or "Bucketed: true" in plan
 
 
+def test_exact_in_id_ranges(spark, docs, odd_docs, no_docs, monkeypatch):
+    tables = lambda: sorted(t.name for t in spark.catalog.listTables())
+    before, met = tables(), []
+    append = exact_dedup.append_new
+
+    def watched(groups, index, buckets):
+        known = spark.table(index).select("digest")
+        met.append((known.count(), groups.join(known, "digest").count()))
+        return append(groups, index, buckets)
+    monkeypatch.setattr(exact_dedup, "append_new", watched)
+    for some in (docs, odd_docs, no_docs):
+        want = sorted(map(str, exact_dedup.dedup_exact(some, buckets=4).collect()))
+        keep = sorted(map(str, exact_dedup.keep_new(some, buckets=4).select("doc_id", "text").collect()))
+        for n in (2, 3):
+            met.clear()
+            assert sorted(map(str, exact_dedup.dedup_exact(some, buckets=4, batches=n).collect())) == want
+            if some is not no_docs:
+                assert len(met) > 1 and met[-1][0] > 0 and max(x for _, x in met) > 0      # later batches met known texts
+            got = exact_dedup.keep_new(some, buckets=4, batches=n).select("doc_id", "text").collect()
+            assert sorted(map(str, got)) == keep
+    assert tables() == before
+
+
 def test_odd_rows(spark, odd_docs, no_docs):
     text = " ".join(f"w{k}" for k in range(30))
     got = sorted((r.doc_id, r.n_removed) for r in substring_dedup.dedup_substrings(odd_docs).collect())
