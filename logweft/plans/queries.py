@@ -936,6 +936,18 @@ def q_document_entities(spark, sf_dir):
     return entities.extract_entities(_docs(spark, sf_dir))
 
 
+@query("document_entity_counts", None)
+def q_document_entity_counts(spark, sf_dir):
+    """Matches and distinct values per entity kind over every document line (checked against Python in the tests)."""
+    return entities.entity_counts(entities.extract_entities(_docs(spark, sf_dir)))
+
+
+@query("document_top_entities", None)
+def q_document_top_entities(spark, sf_dir):
+    """The ten most frequent values of every entity kind over every document line (checked against Python in the tests)."""
+    return entities.top_entities(entities.extract_entities(_docs(spark, sf_dir)), k=10)
+
+
 # ------------------------------------------------------------ long lines, user formats
 @query("long_access_lines", f"""
 SELECT CAST(row_number() OVER (ORDER BY event_id) - 1 AS BIGINT) AS line_no, 'common' AS format,

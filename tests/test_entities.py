@@ -75,3 +75,20 @@ def test_counts_and_top(spark):
     assert counts == {"ipv4": (3, 2), "bool_true": (1, 1)}
     top = entities.top_entities(df, "ipv4", 1).collect()
     assert [(r.value, r.occurrences) for r in top] == [("1.2.3.4", 2)]
+
+
+def test_document_counts_and_top(spark):
+    from collections import Counter
+    from logweft.plans.queries import REGISTRY
+    from logweft.sources.render import document_log
+    folder = "/root/testdata/sf0.001"
+    found = Counter(x for r in document_log(spark, folder).select("line").collect() for x in model(r.line))
+    counts = {r.kind: (r.matches, r.distinct_values) for r in REGISTRY["document_entity_counts"].build(spark, folder).collect()}
+    kinds = {k for k, _ in found}
+    assert counts == {k: (sum(n for (q, _), n in found.items() if q == k), sum(q == k for q, _ in found)) for k in kinds}
+    top = {(r.kind, r.rank): (r.value, r.occurrences) for r in REGISTRY["document_top_entities"].build(spark, folder).collect()}
+    want = {}
+    for k in kinds:
+        best = sorted(((v, n) for (q, v), n in found.items() if q == k), key=lambda x: (-x[1], x[0].encode()))[:10]
+        want |= {(k, i): x for i, x in enumerate(best, 1)}
+    assert top == want and top
