@@ -173,3 +173,21 @@ def test_tail_notices_a_longer_successor(spark, tmpdir_path):
     _run(tail_logs(spark, p, starting_position="earliest"), out, ck)
     got = sorted(r.line for r in spark.read.parquet(out).collect())
     assert got == ["a1", "a2", "b1", "b2", "b3", "b4"]
+
+
+def test_append_query_takes_lines_from_any_task(spark, monkeypatch, tmpdir_path):
+    """Its log is written by the tasks that hold the lines, in any order; the windows are those of the whole log."""
+    import duckdb
+    from logweft import session
+    from logweft.plans.queries import REGISTRY
+    from logweft.sources import render
+    folders, shared, lines = {}, session.shared_dir, render.app_lines
+    monkeypatch.setattr(session, "shared_dir", lambda s, name: folders.setdefault(name, shared(s, name)))
+    monkeypatch.setattr(render, "app_lines", lambda events: lines(events).repartition(7))
+    query = REGISTRY["lines_over_time_append"]
+    got = sorted((r.period, r.file, r.lines) for r in query.build(spark, "/root/testdata/sf0.001").collect())
+    con = duckdb.connect()
+    con.execute("CREATE VIEW events AS SELECT * FROM '/root/testdata/sf0.001/events.parquet'")
+    assert got == sorted(con.execute(query.oracle).fetchall()) and got
+    folder = folders["append-files"].removeprefix("file:")
+    assert sum(x.startswith("part-") for x in os.listdir(folder)) == 7
