@@ -4,7 +4,7 @@ import tempfile
 
 import pytest
 
-sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+sys.path[:0] = [os.path.dirname(os.path.dirname(os.path.abspath(__file__))), os.path.dirname(os.path.abspath(__file__))]
 
 from logweft.session import get_session  # noqa: E402
 
@@ -18,11 +18,3 @@ def spark():
 @pytest.fixture()
 def tmpdir_path():
     return tempfile.mkdtemp(prefix="logweft-test-", dir="/tmp")
-
-
-def lines_df(spark, lines, file="f"):
-    """A log table from literal lines (file, line_no, raw, line)."""
-    from logweft.functions.lines import normalize_lines
-    rows = [(file, i, t) for i, t in enumerate(lines)]
-    df = spark.createDataFrame(rows, "file string, line_no bigint, raw string")
-    return normalize_lines(df)

@@ -2,7 +2,7 @@
 
 import re
 
-from conftest import lines_df
+from log_lines_helper import lines_df
 from logweft.functions import entities
 
 # The rule spelt out for Python's engine, from the entities' definitions.

@@ -4,7 +4,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from conftest import lines_df
+from log_lines_helper import lines_df
 from logweft.functions import formats
 
 COMMON = '1.2.3.4 - - [29/Jan/2024:13:45:19 +0000] "GET /x HTTP/1.1" 200 107 "-"'

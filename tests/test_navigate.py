@@ -4,7 +4,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from conftest import lines_df
+from log_lines_helper import lines_df
 from logweft.functions.timestamps import extract_timestamp
 from logweft.operators import navigate
 

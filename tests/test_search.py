@@ -4,7 +4,7 @@ import re
 
 import pytest
 
-from conftest import lines_df
+from log_lines_helper import lines_df
 from logweft.operators import search
 
 LINES = ["Error: disk full", "all good", "ERROR again error", "", "the end of errors",

@@ -9,7 +9,7 @@ warnings.filterwarnings("ignore", category=DeprecationWarning)
 
 import pytest
 
-from conftest import lines_df
+from log_lines_helper import lines_df
 from logweft.functions.timestamps import extract_timestamp, parse_timestamp_value
 
 D = dt.datetime
