@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from logweft.llm import common as c
-from logweft.llm import (bpe_codec, exact_dedup, html_text, jaccard_join, packing, quality_rules, secret_scan, substring_dedup,
+from logweft.llm import (bpe_codec, exact_dedup, html_text, jaccard_join, merkle, packing, quality_rules, secret_scan, sharding, substring_dedup,
                          suffix_dedup, wavelet_shards)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -190,3 +190,87 @@ def op9_html_text(spark, sf_dir):
     c.prepare(spark)
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "html")
     return html_text.extract(pages).select("page_id", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+_SHARDS = 40
+_CRC = ("xor(list_reduce(l, lambda a, x : xor(a >> 8, t[CAST(xor(a, x) & 255 AS BIGINT) + 1]), CAST(4294967295 AS BIGINT)), "
+        "4294967295)")
+_CRC_TABLE = ("SELECT list_transform(range(256), lambda b : list_reduce([0, 0, 0, 0, 0, 0, 0, 0], lambda c, x : "
+              "CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, b)) AS t")
+
+
+def _sql_bytes(hex_text: str) -> str:
+    return (f"list_transform(range(len({hex_text}) // 2), "
+            f"lambda i : CAST('0x' || substr({hex_text}, CAST(2 * i + 1 AS BIGINT), 2) AS BIGINT))")
+
+
+@query("op11_rendezvous_shards", f"""
+WITH tab AS ({_CRC_TABLE}),
+docs AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+bytes AS (SELECT doc_id, {_sql_bytes('h')} AS l FROM docs),
+sums AS (SELECT doc_id, CAST(len(l) + 16 AS BIGINT) AS size, CAST({_CRC} AS BIGINT) AS text_crc32 FROM bytes, tab),
+score AS (SELECT doc_id, s, ('0x' || substr(md5('=' || doc_id || ':' || s), 1, 13))::BIGINT AS u
+          FROM documents, range({_SHARDS + 1}) r(s)),
+best AS (SELECT doc_id, arg_max(s, u) FILTER (s < {_SHARDS}) AS shard, arg_max(s, u) AS grown FROM score GROUP BY 1)
+SELECT doc_id, size, text_crc32, 'key' AS law, CAST(shard AS INTEGER) AS shard,
+       row_number() OVER (PARTITION BY shard ORDER BY doc_id) - 1 AS slot, CAST(grown AS INTEGER) AS grown_shard
+FROM sums JOIN best USING (doc_id)
+""")
+def op11_rendezvous_shards(spark, sf_dir):
+    """``documents`` over 40 shards of equal weight by rendezvous hashing of their ids, and over 41."""
+    return sharding.shard_documents(documents(spark, sf_dir), [1.0] * _SHARDS)
+
+
+@query("op12_merkle_manifest", f"""
+WITH RECURSIVE tab AS ({_CRC_TABLE}),
+bytes AS (SELECT doc_id, {_sql_bytes("hex(encode(CAST(doc_id AS VARCHAR)))")} AS l FROM documents),
+hit AS (SELECT doc_id, {_CRC} % 5 = 0 AS tampered FROM bytes, tab),
+fields AS (SELECT doc_id, source, strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id
+                  || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-')
+                  || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') AS head,
+                  strlen(text) || ':' AS size, text,
+                  CASE WHEN tampered THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE text END AS changed
+           FROM documents JOIN hit USING (doc_id)),
+leaf AS MATERIALIZED (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS r,
+                sha256(head || coalesce(size || text, '-')) AS leaf, sha256(head || coalesce(size || changed, '-')) AS now FROM fields),
+node(source, level, i, d, n) AS (
+  SELECT source, 0, r, leaf, count(*) OVER (PARTITION BY source) FROM leaf
+  UNION ALL
+  SELECT source, level + 1, i // 16, sha256(string_agg(d, '' ORDER BY i)), any_value((n + 15) // 16)
+  FROM node WHERE n > 1 GROUP BY source, level, i // 16),
+inner_nodes AS MATERIALIZED (SELECT source, level, i, d, n FROM node),
+top AS MATERIALIZED (SELECT source, level AS h, d AS subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS s
+                     FROM inner_nodes WHERE n = 1),
+over(level, i, d, n) AS (
+  SELECT 0, s, subroot, count(*) OVER () FROM top
+  UNION ALL
+  SELECT level + 1, i // 16, sha256(string_agg(d, '' ORDER BY i)), any_value((n + 15) // 16)
+  FROM over WHERE n > 1 GROUP BY level, i // 16),
+outer_nodes AS MATERIALIZED (SELECT level, i, d, n FROM over),
+height AS (SELECT max(level) AS hr, any_value(d) FILTER (n = 1) AS root FROM outer_nodes),
+line AS MATERIALIZED (SELECT doc_id, leaf, now, l.source, r, h, s, subroot, hr, root FROM leaf l
+                      JOIN top t ON t.source IS NOT DISTINCT FROM l.source, height),
+step AS (
+  SELECT doc_id, k, string_agg(d, '' ORDER BY i) FILTER (i < x) AS a, string_agg(d, '' ORDER BY i) FILTER (i > x) AS b
+  FROM (SELECT doc_id, source, k, r // CAST(pow(16, k) AS BIGINT) AS x FROM line, range(h) g(k)) w
+  JOIN inner_nodes n ON n.level = k AND n.source IS NOT DISTINCT FROM w.source AND n.i // 16 = x // 16 GROUP BY doc_id, k
+  UNION ALL
+  SELECT doc_id, h + k, string_agg(d, '' ORDER BY i) FILTER (i < x), string_agg(d, '' ORDER BY i) FILTER (i > x)
+  FROM (SELECT doc_id, h, k, s // CAST(pow(16, k) AS BIGINT) AS x FROM line, range(hr) g(k)) w
+  JOIN outer_nodes n ON n.level = k AND n.i // 16 = x // 16 GROUP BY doc_id, h, k),
+proof AS MATERIALIZED (SELECT doc_id, list(coalesce(a, '') ORDER BY k) AS a, list(coalesce(b, '') ORDER BY k) AS b FROM step GROUP BY 1),
+fold(doc_id, k, d) AS (
+  SELECT doc_id, 0, now FROM line
+  UNION ALL
+  SELECT doc_id, k + 1, sha256(a[k + 1] || d || b[k + 1]) FROM fold JOIN proof USING (doc_id) WHERE k < len(a)),
+ends AS (SELECT doc_id, arg_max(d, k) AS folded FROM fold GROUP BY 1)
+SELECT doc_id, leaf, subroot, root,
+       sha256(coalesce(array_to_string(list_transform(range(len(a)), lambda j : a[j + 1] || b[j + 1]), ''), '')) AS proof_sha256,
+       folded AS folded_root, folded = root AS verified
+FROM line JOIN ends USING (doc_id) LEFT JOIN proof USING (doc_id)
+""")
+def op12_merkle_manifest(spark, sf_dir):
+    """Merkle manifest of ``documents`` by source, every document verified, a fifth of them changed in between."""
+    number = F.crc32(F.col("doc_id").cast("string"))
+    text = F.when(number % 5 == 0, merkle.lowered(F.col("text"))).otherwise(F.col("text"))
+    return merkle.verify_documents(documents(spark, sf_dir), {"text": text})
