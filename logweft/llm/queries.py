@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from logweft.llm import common as c
 from logweft.llm import (bpe_codec, exact_dedup, html_text, jaccard_join, merkle, packing, quality_rules, secret_scan, sharding, substring_dedup,
-                         suffix_dedup, wavelet_shards)
+                         suffix_dedup, token_alignment, wavelet_shards)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -274,3 +274,11 @@ def op12_merkle_manifest(spark, sf_dir):
     number = F.crc32(F.col("doc_id").cast("string"))
     text = F.when(number % 5 == 0, merkle.lowered(F.col("text"))).otherwise(F.col("text"))
     return merkle.verify_documents(documents(spark, sf_dir), {"text": text})
+
+
+@query("op13_token_alignment")
+def op13_token_alignment(spark, sf_dir):
+    """Ids of the 50k byte vocabulary and the 32k piece model aligned over every text of ``documents``."""
+    out = token_alignment.align_documents(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"),
+                                          public_tokenizers.path("piece_bpe_32k.model"), digests=True)
+    return out.withColumnRenamed("groups", "groups_sha256")
