@@ -69,6 +69,7 @@ def test_shards_round_trip(odd_texts):
         assert got[i].ids_crc32 == zlib.crc32(np.array(ids, "<u4").tobytes())
         assert (whole[i].start, whole[i].ids) == (start, ids)
         start += len(ids)
+    assert all(r.shard_end_ids == got[r.doc_id].shard_end_ids >= 1 for r in whole.values())
 
 
 def test_shards_of_odd_rows(odd_docs, no_docs):
@@ -82,7 +83,9 @@ def test_wavelet_access_count_select():
     rng = np.random.default_rng(4)
     for n, top in ((0, 5), (1, 1), (7, 2), (513, 50), (5000, 60000)):
         ids = rng.integers(0, top, n).astype(np.uint32)
-        w = wavelet_shards.Wavelet.from_bytes(wavelet_shards.Wavelet.of(ids, 16).to_bytes())
+        made = wavelet_shards.Wavelet.of(ids, 16)
+        w = wavelet_shards.Wavelet.open(made.to_bytes())
+        assert (made.decode() == ids).all() and made.count(3) == w.count(3) == int((ids == 3).sum())
         assert (w.decode() == ids).all()
         for i in rng.integers(0, n, 30) if n else []:
             value = int(ids[i])
@@ -94,3 +97,23 @@ def test_wavelet_access_count_select():
         assert w.count(65535) == 0 and w.count(1 << 20) == 0
         with pytest.raises(IndexError):
             w.access(n)
+
+
+def test_an_opened_image_reads_few_blocks():
+    rng = np.random.default_rng(6)
+    ids = rng.zipf(1.3, 1 << 20).clip(0, 50_000).astype(np.uint32)
+    image = wavelet_shards.Wavelet.of(ids, 16).to_bytes([5, 9], [len(ids) - 7, 7])
+    for ask in (lambda w: w.access(777_777) == ids[777_777],
+                lambda w: w.count(17, 100_000, 900_000) == int((ids[100_000:900_000] == 17).sum()),
+                lambda w: w.select(17, 4000) == np.flatnonzero(ids == 17)[4000]):
+        w = wavelet_shards.Wavelet.open(image)
+        assert ask(w) and 0 < w.blocks_read <= 3 * w.bits
+    assert [x.tolist() for x in w.documents()] == [[5, 9], [len(ids) - 7, 7]]
+    with pytest.raises(ValueError):
+        wavelet_shards.Wavelet.open(b"WVM1" + image[4:])
+
+
+def test_wide_ids_and_odd_shard_ends():
+    ids = np.array([0, 70_000, 3, 70_000, 1 << 17], np.uint32)
+    w = wavelet_shards.Wavelet.open(wavelet_shards.Wavelet.of(ids).to_bytes())
+    assert w.decode().tolist() == ids.tolist() and [w.access(i) for i in range(5)] == ids.tolist() and w.places(70_000) == [1, 3]
