@@ -142,7 +142,7 @@ _power = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_power[0]) < n:
-        size = max(n, 1 << 16)
+        size = 1 << max(16, (n - 1).bit_length())          # whole powers of two, so that steps of like size share them
         for k, base in enumerate((_BASE, _UNBASE)):
             steps = np.full(size, base, np.uint64)
             steps[0] = 1

@@ -54,13 +54,27 @@ def shingle_sets(texts: c.Texts, shingle: int) -> tuple[np.ndarray, np.ndarray]:
     grams = rolling.windows(shingle)
     whole = doc[:len(grams)] == doc[shingle - 1:] if len(grams) else np.zeros(0, bool)
     short = np.flatnonzero((counts > 0) & (counts < shingle))
-    value = np.concatenate([grams[whole], rolling.spans(bounds[short], bounds[short + 1])])
-    owner = np.concatenate([doc[:len(grams)][whole], short])
-    order = np.lexsort((value, owner))
-    value, owner = value[order], owner[order]
+    value = grams[whole]
+    counts = np.maximum(counts - (shingle - 1), 0)
+    if len(short):                                    # their one shingle goes where their words are
+        value = np.insert(value, (np.cumsum(counts) - counts)[short], rolling.spans(bounds[short], bounds[short + 1]))
+        counts[short] = 1
+    cuts = np.concatenate([[0], np.cumsum(counts)])
+    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+        value[a:b].sort()
     new = np.ones(len(value), bool)
-    new[1:] = (value[1:] != value[:-1]) | (owner[1:] != owner[:-1])
-    return value[new], np.searchsorted(owner[new], np.arange(len(texts) + 1))
+    new[1:] = value[1:] != value[:-1]
+    new[cuts[:-1][counts > 0]] = True
+    return value[new], np.concatenate([[0], np.cumsum(new)])[cuts]
+
+
+def _by_segment(segment: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Stable order of each set's elements by segment, set after set."""
+    out, ends = np.empty(len(segment), np.int64), np.cumsum(sizes)
+    short = segment.astype(np.uint16) if len(segment) and segment.max() < 1 << 16 else segment
+    for a, b in zip((ends - sizes).tolist(), ends.tolist()):
+        out[a:b] = short[a:b].argsort(kind="stable")
+    return out + np.repeat(ends - sizes, sizes)
 
 
 def _each(docs: DataFrame, schema: str, make, shingle: int, cols: tuple[str, ...] = ("doc_id", "text")) -> DataFrame:
@@ -105,7 +119,7 @@ class _Cut:
         self.segment = ((c.mixed(values ^ c.mixed(band)) >> _U(33)).astype(np.int64)) % self.m[owner]
         self.code = self.base[owner] + self.segment
         total = int(self.m.sum())
-        order = np.argsort(self.code, kind="stable")
+        order = _by_segment(self.segment, sizes)
         self.element = c.mixed(values + _U(0x2545F491))
         sums = np.concatenate([[_U(0)], np.cumsum(self.element[order], dtype=np.uint64)])
         ends = np.searchsorted(self.code[order], np.arange(total + 1))
