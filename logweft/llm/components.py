@@ -31,7 +31,10 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
                       "edges")
     state = None
     while True:
-        edges = c.written(_star(c.written(_star(edges, True), "large-star"), False), "small-star")
+        large = c.written(_star(edges, True), "large-star")
+        small = c.written(_star(large, False), "small-star")
+        c.removed(edges, large)
+        edges = small
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(now) == state:
             return edges.select(F.col("u").alias("id"), F.col("v").alias("component"))

@@ -15,7 +15,10 @@ Keys are counted first, pre-aggregated; only keys that two sets share come back
 the groups that are probed.
 Sets that are equal are one from the start, whatever their number. In a group of sets with a key, each is compared
 with the group's hub first (``star_pairs``, linear); groups that are then one component are done. Of the others, members
-that the triangle inequality on their distances to the hub keeps apart need no comparison (``undecided``). What is left
+that the triangle inequality on their distances to the hub keeps apart need no comparison (``undecided``). Then rounds
+follow (``settled``): a few members of a group's components are new hubs, meet all members of other components, and leave
+the group, decided; a group goes on while a round takes a quarter of it or more. So a group of near copies that are not
+all linked to one hub settles in rounds of linear size. What is left, sets that share a subset and are no near copies,
 is compared in blocks of bounded size by parity sketches (``block_pairs``): a sketch pair that differs in more bits than
 the bound on H proves that the sets differ in more shingles. Every pair that passes is verified on the whole shingle
 sets.
@@ -38,6 +41,8 @@ PERCENT = (100, 80)
 #: Sets below this size also have one-deletion neighbourhoods.
 SMALL = 32
 BLOCK = 256
+#: Hubs of a group in one round.
+HUBS = 4
 
 _U = np.uint64
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -407,6 +412,51 @@ def undecided(groups: DataFrame, star: DataFrame, labels: DataFrame) -> DataFram
     return made
 
 
+def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """``rows`` with the component of each member (its own id, if it has no link)."""
+    return (rows.join(labels.select(F.col("id").alias("doc_id"), "component"), "doc_id", "left")
+                .withColumn("component", F.coalesce("component", "doc_id")))
+
+
+def round_hubs(rows: DataFrame, number: int) -> DataFrame:
+    """``key, hub, home``: up to ``HUBS`` members of each group, from different components, those with most members first;
+    another member of a component in each round."""
+    each = rows.groupBy("key", "component").agg(
+        F.min(F.struct(F.xxhash64("doc_id", F.lit(number)).alias("at"), "doc_id")).alias("rep"), F.count(F.lit(1)).alias("n"))
+    order = Window.partitionBy("key").orderBy(F.col("n").desc(), "rep")
+    return (each.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= HUBS)
+                .select("key", F.col("rep.doc_id").alias("hub"), F.col("component").alias("home")))
+
+
+def settled(rows: DataFrame, sets: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rounds of hubs over undecided groups (``key, doc_id, role, component, size, n``): the labels with the links they
+    found, and the members of groups that rounds do not settle."""
+    stuck, number = None, 0
+    while True:
+        hubs = c.written(round_hubs(rows, number), "round-hubs")
+        pairs = rows.join(hubs, "key").filter("component <> home").select(*_pair("doc_id", "hub")).distinct()
+        made = compared(pairs, sets)
+        links = made.filter("linked").select("a", "b")
+        if links.limit(1).count():
+            labels = components(links.unionByName(labels.select(F.col("id").alias("a"), F.col("component").alias("b"))))
+        # a hub has met every member of other components
+        left = rows.join(hubs.select("key", F.col("hub").alias("doc_id")), ["key", "doc_id"], "left_anti")
+        left = c.written(_labelled(left.drop("component"), labels), "round-rows")
+        open_groups = left.groupBy("key").agg(
+            F.count(F.lit(1)).alias("now"), F.min("component").alias("x"), F.max("component").alias("y"),
+            F.bit_or("role").alias("roles")).filter("x < y AND roles = 3").select("key", "now")
+        left = left.join(open_groups, "key").select("key", "doc_id", "role", "component", "size", F.col("n").alias("was"),
+                                                    F.col("now").alias("n"))
+        after = c.written(left, "round-groups")
+        c.removed(hubs, made)
+        more = after.filter("4 * n <= 3 * was").drop("was")
+        rest = after.filter("4 * n > 3 * was").drop("was")
+        stuck = rest if stuck is None else stuck.unionByName(rest)
+        rows, number = more, number + 1
+        if not rows.limit(1).count():
+            return labels, stuck
+
+
 def block_pairs(rows: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs that may be linked among the undecided members of one group.
 
@@ -472,13 +522,15 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE_WORDS, id_col: str =
     keyed, groups = groups, with_hubs(groups)
     c.removed(keyed)
     star = compared(star_pairs(groups), sets)
-    links = star.filter("linked").select("a", "b")
-    labels = components(links)
+    labels = components(star.filter("linked").select("a", "b"))
     rows = undecided(groups, star, labels)
     c.removed(groups)
-    more = compared(c.written(block_pairs(rows, sets), "block-pairs"), sets).filter("linked").select("a", "b")
-    if more.limit(1).count():
-        labels = components(links.unionByName(more))
+    if rows.limit(1).count():
+        labels, rows = settled(rows, sets, labels)
+        rows = c.written(_labelled(rows.drop("component"), labels), "stuck-groups")
+        more = compared(c.written(block_pairs(rows, sets), "block-pairs"), sets).filter("linked").select("a", "b")
+        if more.limit(1).count():
+            labels = components(more.unionByName(labels.select(F.col("id").alias("a"), F.col("component").alias("b"))))
     firsts = copied.withColumnRenamed("first_id", "class_id")
     out = (signed.select("doc_id", F.col("n").alias("n_shingles")).join(firsts, "doc_id", "left")
                  .withColumn("id", F.coalesce("class_id", "doc_id")).join(labels, "id", "left"))

@@ -1,6 +1,9 @@
 import hashlib
+import random
 import re
 
+import numpy as np
+
 from logweft.llm import exact_dedup, jaccard_join, substring_dedup, suffix_dedup
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -195,3 +198,36 @@ def test_odd_rows(spark, odd_docs, no_docs):
     for made in (substring_dedup.dedup_substrings(no_docs), suffix_dedup.dedup_suffixes(no_docs),
                  jaccard_join.near_duplicates(no_docs), exact_dedup.dedup_exact(no_docs), exact_dedup.keep_new(no_docs)):
         assert made.count() == 0
+
+
+def test_large_group_of_near_copies_settles_in_rounds(spark, monkeypatch):
+    """2,000 changed copies of one text, many of them not linked to the same hub, some linked to nothing."""
+    rng = random.Random(8)
+    base = [f"w{k}" for k in range(70)]
+    texts = []
+    for _ in range(2000):
+        words = list(base)
+        for at in rng.sample(range(70), rng.choice([1, 2, 3, 4, 6])):
+            words[at] = f"x{rng.randrange(10 ** 6)}"
+        texts.append(words)
+    sets = [{tuple(w[j:j + 5]) for j in range(66)} for w in texts]
+    names = {s: k for k, s in enumerate(sorted(set().union(*sets)))}
+    held = np.zeros((2000, len(names)), np.float32)
+    for k, s in enumerate(sets):
+        held[k, [names[x] for x in s]] = 1
+    both, size = held @ held.T, held.sum(1)
+    linked = 100 * both >= 80 * (size[:, None] + size[None, :] - both)
+    component = np.arange(2000)
+    while True:
+        least = np.where(linked, component[None, :], 2000).min(1)
+        if (least == component).all():
+            break
+        component = least
+    assert linked.sum(1).max() < 1900 and 1 < len(set(component.tolist())) < 1900
+    rows_of = {}
+    blocks = jaccard_join.block_pairs
+    monkeypatch.setattr(jaccard_join, "block_pairs", lambda rows, sets: rows_of.setdefault("pairs", jaccard_join.c.written(blocks(rows, sets), "seen")))
+    docs = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(texts)], "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.component_id for r in jaccard_join.near_duplicates(docs).collect()}
+    assert got == dict(enumerate(component.tolist()))
+    assert "pairs" not in rows_of or rows_of["pairs"].count() < 20_000           # of two million
