@@ -2,8 +2,18 @@
 
 One alternation scanned left to right: at each position the first
 alternative that matches wins, and matches do not overlap. Spark runs it as
-one ``regexp_extract_all`` pass per line; each match is then labelled with
-its kind by testing the (short) match text. No Python per row.
+one ``regexp_extract_all`` pass per line. No match crosses a line feed, and
+every alternative decides in time bounded by a constant or by what it
+consumes, so a pass is linear in the line:
+
+* a number takes its digits possessively and names, in order, all places at
+  which the backtracking form could end;
+* a path runs to the next ``]``; the ``[`` that no ``]`` follows are taken out
+  of the regex's sight first (:func:`_without_open_brackets`);
+* a string that finds no end is the last with its quote, because each quote
+  that may begin a string may also end the one before.
+
+The kind follows from the match's own shape (:func:`_kind_of`).
 """
 
 from __future__ import annotations
@@ -21,31 +31,22 @@ ENTITY_PATTERNS: list[tuple[str, str]] = [
     ("eui48", r"(?:[0-9A-Fa-f]{1,2}-){5}[0-9A-Fa-f]{1,2}|(?:[0-9A-Fa-f]{1,2}:){5}[0-9A-Fa-f]{1,2}"
               r"|(?:[0-9A-Fa-f]{4}\.){2}[0-9A-Fa-f]{4}"),
     ("uuid", r"[a-fA-F0-9]{8}-[a-fA-F0-9]{4}-[a-fA-F0-9]{4}-[a-fA-F0-9]{4}-[a-fA-F0-9]{12}"),
-    ("bool_true", r"True"),
-    ("bool_false", r"False"),
-    ("none", r"None"),
-    ("number", r"(?<!\w)\-?[0-9]+\.?[0-9]*(?:e[-+]?\d+?)?\b|0x[0-9a-fA-F]*"),
-    ("str", r"b?'''.*?(?<!\\)'''|b?'.*?(?<!\\)'|b?\"\"\".*?(?<!\\)\"\"\"|b?\".*?(?<!\\)\""),
-    ("path", r"\[.*?\]"),
+    ("bool_true", r"\bTrue\b"),
+    ("bool_false", r"\bFalse\b"),
+    ("none", r"\bNone\b"),
+    ("number", r"(?<!\w)-?[0-9]++(?:\.[0-9]*+e[-+]?\d++\b|\.[0-9]*+\b|\.\b|e[-+]?\d++\b|\b)|0x[0-9a-fA-F]*+"),
+    ("str", r"(?<![\\\w])b?(?:'''.*?(?<!\\)'''|'.*?(?<!\\)'|\"\"\".*?(?<!\\)\"\"\"|\".*?(?<!\\)\")"),
+    ("path", r"\[[^\]]*+\]"),
 ]
 ENTITY_KINDS = [k for k, _ in ENTITY_PATTERNS]
 
-# Word-bounded kinds and the look-behind in front of strings.
-_WRAP = {
-    "bool_true": (r"\b", r"\b"),
-    "bool_false": (r"\b", r"\b"),
-    "none": (r"\b", r"\b"),
-    "str": (r"(?<![\\\w])", ""),
-}
-
-
 # Speed only: look-aheads that every match of the kind satisfies anyway (the
 # separator that must follow the first hex digits). Ordinary words made of
 # the letters a-f then fail at once instead of backtracking through groups.
 _GUARDS = {
-    "ipv6": r"(?=[A-Fa-f0-9]{1,4}:)",
-    "eui64": r"(?=[0-9A-Fa-f]{1,2}[-:]|[0-9A-Fa-f]{4}\.)",
-    "eui48": r"(?=[0-9A-Fa-f]{1,2}[-:]|[0-9A-Fa-f]{4}\.)",
+    "ipv6": r"(?=[A-Fa-f0-9]{1,4}+:)",
+    "eui64": r"(?=[0-9A-Fa-f]{1,2}+[-:]|[0-9A-Fa-f]{4}\.)",
+    "eui48": r"(?=[0-9A-Fa-f]{1,2}+[-:]|[0-9A-Fa-f]{4}\.)",
     "uuid": r"(?=[a-fA-F0-9]{8}-)",
 }
 # Any match starts with one of these characters.
@@ -55,14 +56,11 @@ _FIRST = r"(?=[-0-9A-Fa-fTFNb'\"\[])"
 # The address kinds (the first five) all need '.', ':' or '-' within their
 # first nine characters; one shared look-ahead skips all five at once.
 _ADDRESS_KINDS = ("ipv4", "ipv6", "eui64", "eui48", "uuid")
-_ADDRESS_GUARD = r"(?=[0-9A-Fa-f]{1,8}[-:.])"
+_ADDRESS_GUARD = r"(?=[0-9A-Fa-f]{1,8}+[-:.])"
 
 
 def entity_regex() -> str:
-    parts = []
-    for kind, rx in ENTITY_PATTERNS:
-        before, after = _WRAP.get(kind, ("", ""))
-        parts.append(f"{before}{_GUARDS.get(kind, '')}({rx}){after}")
+    parts = [f"{_GUARDS.get(kind, '')}(?:{rx})" for kind, rx in ENTITY_PATTERNS]
     n = len(_ADDRESS_KINDS)
     assert [k for k, _ in ENTITY_PATTERNS[:n]] == list(_ADDRESS_KINDS)
     address = _ADDRESS_GUARD + "(?:" + "|".join(parts[:n]) + ")"
@@ -71,34 +69,58 @@ def entity_regex() -> str:
 
 ENTITY_RX = entity_regex()
 
+# Stand for a "[" that nothing closes: noncharacters, neither letters nor
+# digits to a regex. The first that the text does not hold is taken.
+_HIDDEN = ("\uffff", "\ufdd0")
 
-def _kind_of(match: Column) -> Column:
-    """Kind of one match: the first alternative that matches at its start.
 
-    Equivalent to asking which group matched in the line: an earlier
-    alternative that matched there would have won, and the alternatives
-    that look at context (words, numbers, strings) cannot begin another
-    kind's match.
+def _without_open_brackets(c: Column, hidden: str) -> Column:
+    """The text with ``hidden`` for every ``[`` that no ``]`` follows."""
+    tail = F.substring_index(c, "]", -1)
+    return F.concat(F.left(c, F.length(c) - F.length(tail)), F.replace(tail, F.lit("["), F.lit(hidden)))
+
+
+def _matches(c: Column) -> Column:
+    """All matches in a text without line feeds."""
+    found = lambda t: F.regexp_extract_all(t, F.lit(ENTITY_RX), 0)
+    out = F.when(F.instr(F.substring_index(c, "]", -1), "[") == 0, found(c))
+    for hidden in _HIDDEN:
+        shown = F.transform(found(_without_open_brackets(c, hidden)), lambda m: F.replace(m, F.lit(hidden), F.lit("[")))
+        out = out.when(F.instr(c, hidden) == 0, shown)
+    return out.otherwise(found(c))
+
+
+def _kind_of(match: Column) -> Column:
+    """Kind of one match by its shape.
+
+    A path begins with a bracket and a string with a quote (or ``b`` and one),
+    the three words are themselves, and a colon is only left to ``ipv6`` (it
+    comes before the colon forms of the MAC kinds and takes all of them).
+    Numbers have up to two dashes and one dot; the other kinds have more, in
+    numbers of their own, but for four groups of four digits (19 characters),
+    which ``ipv4`` (up to 15) also separates by three dots.
     """
-    kind = None
-    for k, rx in ENTITY_PATTERNS:
-        before, after = _WRAP.get(k, ("", ""))
-        test = match.rlike(f"(?dU)^{before}(?:{rx}){after}")
-        kind = F.when(test, F.lit(k)) if kind is None else kind.when(test, F.lit(k))
-    return kind
+    first = F.left(match, F.lit(1))
+    count = lambda mark: F.length(match) - F.length(F.replace(match, F.lit(mark), F.lit("")))
+    dashes, dots = count("-"), count(".")
+    return (F.when(first == "[", "path")
+             .when(first.isin("'", '"') | F.left(match, F.lit(2)).isin("b'", 'b"'), "str")
+             .when(match == "True", "bool_true").when(match == "False", "bool_false").when(match == "None", "none")
+             .when(F.instr(match, ":") > 0, "ipv6")
+             .when(dashes == 7, "eui64").when(dashes == 5, "eui48").when(dashes == 4, "uuid")
+             .when((dots == 3) & (F.length(match) == 19), "eui64").when(dots == 3, "ipv4").when(dots == 2, "eui48")
+             .otherwise("number"))
 
 
 def entities_col(col: Column | str = "line") -> Column:
     """ARRAY<STRUCT<kind STRING, value STRING>> of the entities in the text.
 
-    One regex pass over the whole line finds all matches; each (short) match
-    is then labelled.
+    One regex pass finds all matches of a line; the kind is read off each.
     """
     c = F.col(col) if isinstance(col, str) else col
-    matches = F.regexp_extract_all(c, F.lit(ENTITY_RX), 0)
-    labelled = F.transform(matches, lambda m: F.struct(_kind_of(m).alias("kind"),
-                                                       m.alias("value")))
-    return labelled
+    by_line = F.flatten(F.transform(F.split(c, "\n"), _matches))
+    return F.transform(F.when(F.instr(c, "\n") == 0, _matches(c)).otherwise(by_line),
+                       lambda m: F.struct(_kind_of(m).alias("kind"), m.alias("value")))
 
 
 def extract_entities(df: DataFrame, col: str = "line",

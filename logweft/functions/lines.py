@@ -25,36 +25,25 @@ def strip_line_ends(col: Column | str) -> Column:
     return F.btrim(_c(col), F.lit("\r\n"))
 
 
-# Characters that mark expanded tab stops between the passes below: the first
-# that the line does not hold (a private-use one, then noncharacters, which no
-# interchanged text holds).
-_STOPS = ("\ue000", "\ufdd0", "\ufdef")
-
-
 def expand_tabs_col(col: Column | str, tabsize: int = TAB_SIZE) -> Column:
     """Tabs to spaces with a stop every ``tabsize`` columns (as Python's
     ``str.expandtabs``: the column restarts after ``\r`` or ``\n``).
 
     After a tab the column is a multiple of ``tabsize``, so the padding of
-    each tab depends only on the length, modulo ``tabsize``, of the segment
-    just before it. One regex pass per remainder rewrites those tabs to stop
-    markers (the segment boundaries stay visible to the next pass), a last
-    pass turns markers into blanks. No lambda, so it stays in generated code.
+    each tab depends only on the length, modulo ``tabsize``, of the text
+    between it and the tab, line break or start before it. One regex pass per
+    remainder expands those tabs; the blanks it writes make that text a
+    multiple of ``tabsize`` long, so the next pass may take them for text. No
+    lambda, so it stays in generated code; the repeat is possessive, which
+    Java runs as a loop whatever the characters' widths, so a pass is linear
+    and needs no stack.
     """
     c = _c(col)
-    out = F.when(F.instr(c, "\t") == 0, c)
-    for stop in _STOPS[:-1]:
-        out = out.when(F.instr(c, stop) == 0, _expand_with(c, stop, tabsize))
-    return out.otherwise(_expand_with(c, _STOPS[-1], tabsize))
-
-
-def _expand_with(c: Column, stop: str, tabsize: int) -> Column:
-    seg = f"[^\t\r\n{stop}]"
     out = c
     for r in range(tabsize):
-        rx = f"(?<=^|[\t\r\n{stop}])((?:{seg}{{{tabsize}}})*{seg}{{{r}}})\t"
-        out = F.regexp_replace(out, rx, "$1" + stop * (tabsize - r))
-    return F.replace(out, F.lit(stop), F.lit(" "))
+        rx = f"(?<=^|[\t\r\n])((?:[^\t\r\n]{{{tabsize}}})*+[^\t\r\n]{{{r}}})\t"
+        out = F.regexp_replace(out, rx, "$1" + " " * (tabsize - r))
+    return F.when(F.instr(c, "\t") == 0, c).otherwise(out)
 
 
 def strip_ansi_col(col: Column | str) -> Column:

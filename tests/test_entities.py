@@ -2,6 +2,8 @@
 
 import re
 
+from pyspark.sql import functions as F
+
 from log_lines_helper import lines_df
 from logweft.functions import entities
 
@@ -92,3 +94,32 @@ def test_document_counts_and_top(spark):
         best = sorted(((v, n) for (q, v), n in found.items() if q == k), key=lambda x: (-x[1], x[0].encode()))[:10]
         want |= {(k, i): x for i, x in enumerate(best, 1)}
     assert top == want and top
+
+
+def test_random_lines_match_python(spark):
+    import random
+    rnd = random.Random(11)
+    parts = ["1", "12", ".", "e", "e5", "e-7", "-", "+", "x", "0x", "fe", "[", "]", "'", "'''", '"', '"""', "b", "\\", " ", "\n",
+             ":", "::", "00:1a", "True", "None", "é", "٣", "_", "￿", "1.2.3.4", "0011.2233.4455", "ab-cd-ef", "1-2-3-4-5-6-7-8",
+             "123e4567-e89b-12d3-a456-426614174000", "1234.5678.9abc.def0", "\r", "😀"]
+    texts = ["".join(rnd.choice(parts) for _ in range(rnd.randint(0, 16))) for _ in range(6000)]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, line string")
+    got = {r.i: [(e.kind, e.value) for e in r.e] for r in df.select("i", entities.entities_col("line").alias("e")).collect()}
+    wrong = [(texts[i], got[i], model(texts[i])) for i in got if got[i] != model(texts[i])]
+    assert not wrong, wrong[:3]
+
+
+def test_long_lines_take_linear_time(spark):
+    import time
+    n = 1_000_000
+    lines = {"digits": "7" * n + "x", "brackets": "[" * n, "dots": "1." * (n // 2) + "x", "quotes": "\\'" * (n // 2) + "'",
+             "escaped": "'" + "\\'" * (n // 2), "closed": "[" * (n // 2) + "]" + "[" * (n // 2), "hex": "fa" * (n // 2),
+             "colons": "1:" * (n // 2), "exponents": "1e" * (n // 2), "triples": "'''" + "\\'''" * (n // 4), "dashes": "-" * n}
+    spark.createDataFrame([("warm 1 [a]",)], "line string").select(entities.entities_col("line")).collect()
+    for name, text in lines.items():
+        df = spark.createDataFrame([(text,)], "line string").select(F.size(entities.entities_col("line")).alias("n")).cache()
+        start = time.time()
+        found = df.first().n
+        assert time.time() - start < 10, name            # two seconds alone; tests share the machine
+        if name in ("digits", "brackets", "hex", "dashes"):
+            assert found == 0

@@ -46,3 +46,11 @@ def test_expand_tabs_random_like_python(spark):
     alphabet = ["a", "bc", "\t", "\t\t", "\r", "é", "x y", "😀", "1234"]
     texts = ["".join(rnd.choice(alphabet) for _ in range(rnd.randint(0, 12))) for _ in range(400)]
     assert _one(spark, texts, L.expand_tabs_col) == [t.expandtabs(4) for t in texts]
+
+
+def test_expand_tabs_without_markers_and_on_long_lines(spark):
+    texts = ["﷐﷯\ta\t﷯", "a\u0001\t\tb\r\t \n\tx"]
+    assert _one(spark, texts, L.expand_tabs_col) == [t.expandtabs(4) for t in texts]
+    long = ["a😀" * 25_000 + "\t" + "x", "a😀b\t" * 250_000, "\t" * 1_000_000, ("ab" * 400_000 + "\tc") * 2, "😀" * 1_000_000 + "\t"]
+    for t in long:
+        assert _one(spark, [t], L.expand_tabs_col) == [t.expandtabs(4)]
