@@ -140,36 +140,3 @@ def number_lines(df: DataFrame, file_col: str = "file", block_col: str = "__bloc
                      & (F.col(block_col) == F.col("__bstart")), "inner")
     return (joined.withColumn(out, F.col("__shift") + F.col(id_col))
                   .drop("__bfile", "__bstart", "__shift"))
-
-
-def byte_offsets(df: DataFrame, file_col: str = "file", block_col: str = "__block",
-                 id_col: str = "__mid", raw_col: str = "raw", out: str = "byte_offset",
-                 max_blocks: int | None = None, path_bytes: int = 256,
-                 size_col: str | None = None) -> DataFrame:
-    """Byte position where each line starts (plain or decompressed bytes).
-
-    Bytes of a line = ``octet_length(raw) + 1`` (its ``\\n``). With
-    ``size_col`` (bytes of the plain file) a byte-order mark that the reader
-    dropped is found by the bytes that are missing, and counted. A running sum
-    inside a split (a window whose partitions are single splits, so bounded
-    by the split size) plus the bytes of earlier splits of the file.
-    """
-    size = F.octet_length(F.col(raw_col)) + F.lit(1)
-    known = F.max(size_col) if size_col else F.lit(None).cast("long")
-    blocks = df.groupBy(file_col, block_col).agg(F.sum(size).alias("__bytes"), known.alias("__size"))
-    missing = F.col("__size") - F.sum("__bytes").over(Window.partitionBy(file_col))
-    blocks = blocks.withColumn("__mark", F.when(missing >= 2, F.lit(3)).otherwise(F.lit(0)))
-    earlier = Window.partitionBy(file_col).orderBy(block_col) \
-                    .rowsBetween(Window.unboundedPreceding, -1)
-    offsets = blocks.select(F.col(file_col).alias("__bfile"), F.col(block_col).alias("__bstart"),
-                            F.coalesce(F.sum("__bytes").over(earlier), F.lit(0)).alias("__bbase"),
-                            "__mark")
-    offsets = maybe_broadcast(offsets, max_blocks, path_bytes + 16)
-    in_split = Window.partitionBy(file_col, block_col).orderBy(id_col) \
-                     .rowsBetween(Window.unboundedPreceding, -1)
-    with_run = df.withColumn("__run", F.coalesce(F.sum(size).over(in_split), F.lit(0)))
-    joined = with_run.join(offsets, (F.col(file_col) == F.col("__bfile"))
-                           & (F.col(block_col) == F.col("__bstart")), "inner")
-    place = F.col("__bbase") + F.col("__run")
-    return (joined.withColumn(out, F.when(place > 0, place + F.col("__mark")).otherwise(place))
-                  .drop("__bfile", "__bstart", "__bbase", "__run", "__mark"))
