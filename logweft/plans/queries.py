@@ -17,7 +17,7 @@ from typing import Callable
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from logweft.functions import entities, formats, lines as linefns, timestamps
-from logweft.operators import merge, navigate, search
+from logweft.operators import line_index, merge, navigate, search
 from logweft.session import configure
 from logweft.sources import render
 from logweft.sources.files import file_stats, read_logs
@@ -1143,3 +1143,98 @@ def q_lines_over_time_append(spark, sf_dir):
     stream = stream_log_dir(spark, folder).withColumn("file", F.lit("app.log"))
     got = _run_stream(spark, lines_over_time_stream(stream, "1 hour", "1 day"))
     return got.select(ntz("period"), "file", "lines")
+
+
+# ------------------------------------------------------------ raw files by position
+def _index(spark, folder, every, timed=False):
+    """An index of a folder's files, kept as a table and read back."""
+    from logweft.session import shared_dir
+    path = shared_dir(spark, "line-index")
+    line_index.write_index(line_index.line_index(spark, folder, every, timed), path)
+    return spark.read.parquet(path)
+
+
+@query("line_page_indexed", f"""
+WITH {_DOCFILES}
+SELECT file, line_no, {_OFFSET_SQL} AS byte_offset, line FROM filelines
+QUALIFY line_no BETWEEN 40 AND 59
+""")
+def q_line_page_indexed(spark, sf_dir):
+    """Lines 40..59 of every text log file, read by position through a sparse line index."""
+    index = _index(spark, render.document_files(spark, sf_dir), 16)
+    page = line_index.page_by_index(spark, index, 40, 20)
+    return page.withColumn("file", render.bucket_of("file")).select("file", "line_no", "byte_offset", "line")
+
+
+@query("goto_line_indexed", f"""
+WITH {_DOCFILES},
+cnt AS (SELECT file, max(line_no) AS last FROM filelines GROUP BY 1)
+SELECT d.file, d.line_no, d.line FROM filelines d JOIN cnt c ON c.file = d.file
+WHERE d.line_no = greatest(0, least(199, c.last))
+""")
+def q_goto_line_indexed(spark, sf_dir):
+    """Line 200 (1-based) of every text log file, clamped to its last line, through a sparse line index."""
+    index = _index(spark, render.document_files(spark, sf_dir), 64)
+    hit = line_index.goto_by_index(spark, index, 200)
+    return hit.withColumn("file", render.bucket_of("file")).select("file", "line_no", "line")
+
+
+def _jump_indexed(spark, sf_dir, *jump):
+    index = _index(spark, render.app_log_files(spark, sf_dir), 100, timed=True)
+    out = line_index.time_jump_by_index(spark, index, *jump)
+    return out.withColumn("file", render.app_file_of("file")).select("file", "base_line", ntz("target_ts"), "line_no")
+
+
+@query("time_jump_forward_indexed", REGISTRY["time_jump_forward"].oracle)
+def q_time_jump_forward_indexed(spark, sf_dir):
+    """From line 0 of every text log file one hour forward, through an index with times."""
+    return _jump_indexed(spark, sf_dir, 0, 1, "h")
+
+
+@query("time_jump_backward_indexed", REGISTRY["time_jump_backward"].oracle)
+def q_time_jump_backward_indexed(spark, sf_dir):
+    """From line 500 of every text log file two days back, through an index with times."""
+    return _jump_indexed(spark, sf_dir, 500, -2, "d")
+
+
+@query("byte_offsets_gzip", REGISTRY["byte_offsets"].oracle)
+def q_byte_offsets_gzip(spark, sf_dir):
+    """Position of every line in the text of gzip files."""
+    return _doc_files(spark, sf_dir, "gzip", offsets=True).select("file", "line_no", "byte_offset")
+
+
+@query("broken_files", f"""
+WITH {_DOCFILES},
+good AS (SELECT file, count(*) AS lines FROM filelines GROUP BY 1)
+SELECT file, lines, CAST(NULL AS VARCHAR) AS error FROM good
+UNION ALL
+SELECT 'cut-' || file, lines, 'the file ends inside a gzip member' FROM good
+""")
+def q_broken_files(spark, sf_dir):
+    """Gzip files and copies of them that break off in a second member: all lines before the break are read and every
+    broken file is named."""
+    folder = render.document_files(spark, sf_dir, "gzip")
+    name = lambda c: F.concat(F.when(F.col(c).contains("/cut"), "cut-").otherwise(""), render.bucket_of(c))
+    render.cut_copies(spark, folder)
+    found = read_logs(spark, folder, on_missing="report")
+    lines = found.lines.groupBy("file").agg(F.count(F.lit(1)).alias("lines"))
+    errors = found.errors.select(F.col("path").alias("file"), "error")
+    return lines.join(errors, "file", "left").select(name("file").alias("file"), "lines", "error")
+
+
+# ------------------------------------------------------------ lines of any length
+@query("long_line_entities", f"""
+WITH {_ENTITIES},
+width AS (SELECT CAST(sum(length('x' || event_type) + 4 - length('x' || event_type) % 4) AS BIGINT) AS n FROM events)
+SELECT kind, count(*) AS matches, count(DISTINCT value) AS distinct_values, any_value(width.n) AS tab_width
+FROM ents, width GROUP BY kind
+""")
+def q_long_line_entities(spark, sf_dir):
+    """Entities of logs of four lines, as long as the table, each followed by a line of characters and tabs of the same
+    length: tabs and entities in time that grows with the line."""
+    events = render.load(spark, sf_dir, "events")
+    lines = logs_from_table(render.joined_lines(render.entity_lines(events), " ~ "), "text", "file")
+    tabs = logs_from_table(render.joined_lines(events.select(
+        F.lit("tabs.log").alias("file"), "event_id", F.concat(F.lit("x"), "event_type").alias("text")), "\t", last="\t"), "text", "file")
+    width = tabs.agg(F.sum(F.length("line")).alias("tab_width"))
+    return entities.entity_counts(entities.extract_entities(lines)).crossJoin(width)       # one row

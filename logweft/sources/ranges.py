@@ -71,12 +71,13 @@ def codec_of(uri: str) -> str | None:
     return "gzip" if name.endswith(".gz") else "bzip2" if name.endswith(".bz2") else None
 
 
-def _located(uri: str) -> tuple[pafs.FileSystem, str]:
+def located(uri: str) -> tuple[pafs.FileSystem, str]:
+    """The file system of a URI and the path in it."""
     return pafs.FileSystem.from_uri(re.sub("^file:/(?!/)", "file:///", uri))
 
 
 def open_file(uri: str):
-    source, path = _located(uri)
+    source, path = located(uri)
     return source.open_input_file(path)
 
 
@@ -85,7 +86,7 @@ def file_sizes(uris: list[str]) -> dict[str, int | None]:
     out = {}
     for uri in uris:
         try:
-            source, path = _located(uri)
+            source, path = located(uri)
             info = source.get_file_info(path)
             out[uri] = info.size if info.type == pafs.FileType.File else None
         except OSError:
@@ -283,7 +284,7 @@ class RangeReader(DataSourceReader):
         self.lines = options.get("only", "") != "errors"
 
     def partitions(self):
-        return self.plan
+        return self.plan or [Ranges([])]
 
     def read(self, partition):
         for r in partition.ranges:

@@ -254,3 +254,30 @@ def mixed_layout_lines(events: DataFrame) -> DataFrame:
 def mixed_layout_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = mixed_layout_lines(load(spark, sf_dir, "events"))
     return logs_from_table(lines, "text", "file", order_col="event_id", file_order=True)
+
+
+def joined_lines(lines: DataFrame, between: str, last: str = "") -> DataFrame:
+    """The lines of each file, by event id, as one long line."""
+    held = lines.groupBy("file").agg(F.sort_array(F.collect_list(F.struct("event_id", "text"))).alias("held"))
+    return held.select("file", F.concat(F.array_join("held.text", between), F.lit(last)).alias("text"))
+
+
+def cut_copies(spark: SparkSession, folder: str) -> None:
+    """Copies of the gzip files of a folder (``bucket=k/...``) beside them
+    (``bucket=k/cut.gz``), each with the head of a second member behind it, as
+    a writer leaves that was stopped. Tasks copy, one file each."""
+    from logweft.sources.ranges import located, open_file
+    files = spark.read.text(folder).inputFiles()
+    head = bytes([0x1F, 0x8B, 0x08, 0, 0, 0, 0, 0, 0, 3])
+
+    def of(batches):
+        for batch in batches:
+            for uri in batch.column("uri").to_pylist():
+                source, path = located(uri.rsplit("/", 1)[0] + "/cut.gz")
+                with open_file(uri) as old, source.open_output_stream(path, compression=None) as new:
+                    while data := old.read(1 << 20):
+                        new.write(data)
+                    new.write(head)
+            yield batch
+
+    spark.createDataFrame([(f,) for f in files], "uri string").repartition(len(files)).mapInArrow(of, "uri string").count()
