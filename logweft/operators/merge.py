@@ -7,7 +7,8 @@ of its file: when the first timed line of a file is among its first twelve
 lines, every line above it takes its time.
 
 The order is a range shuffle + sort (external, spills); positions in the
-merged log come from :func:`rank_within`, never from one global window.
+merged log come from zone maps and, where files overlap in time, from ranks of
+the keys, never from one global window.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from logweft.functions.timestamps import extract_timestamp
 from logweft.operators.numbering import range_partitions, rank_within, small_table
+from logweft.operators.runs import merged_by_zones
 
 # Fixed value: the header back-fill looks at lines 0..11 of a file.
 HEADER_SCAN_LINES = 12
@@ -82,13 +84,20 @@ def several_files(df: DataFrame) -> bool:
 def merged_positions(df: DataFrame, timed: bool = False, partitions: int | None = None) -> DataFrame:
     """Add ``merged_no``: the 0-based position of each line in the merged log.
 
-    Range partition on the merge key, number inside partitions, add the
-    counts of earlier partitions (a table of one row per partition).
+    Zone maps of the files' blocks (:mod:`logweft.operators.runs`) give the
+    places of all lines whose block overlaps no other one; only the keys of
+    the others are range-partitioned and numbered. ``partitions`` asks for one
+    range shuffle of all lines instead (a log whose lines are in no order);
+    so is a log ranked in which a line has no number or its file no order.
     """
     if not timed:
         df = extract_timestamp(df)
     keyed = backfill_header(df)
-    return rank_within(keyed, MERGE_KEY, out="merged_no", partitions=partitions)
+    # lines without a number, or of files without a place, are no runs
+    loose = F.col("file_order").isNull() | F.col("line_no").isNull()
+    if partitions is not None or keyed.filter(loose).limit(1).count():
+        return rank_within(keyed, MERGE_KEY, out="merged_no", partitions=partitions)
+    return merged_by_zones(keyed)
 
 
 def save_merged(df: DataFrame, path: str, timed: bool = False, count: bool = True,

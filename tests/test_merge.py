@@ -109,3 +109,9 @@ def test_navigation_on_merged_log(spark):
     assert tail == [n - 3, n - 2, n - 1]
     page = sorted(r.merged_no for r in navigate.line_page(merged, 2, 3, position="merged_no").collect())
     assert page == [2, 3, 4]
+
+
+def test_lines_without_a_file_order_are_ranked(spark):
+    df = table(spark, FILES).withColumn("file_order", F.when(F.col("file") == "c.log", None).otherwise(F.col("file_order")))
+    rows = merge.merged_positions(df, timed=True).collect()
+    assert sorted(r.merged_no for r in rows) == list(range(len(python_merge(FILES))))
