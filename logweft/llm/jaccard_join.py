@@ -16,10 +16,11 @@ the groups that are probed.
 Sets that are equal are one from the start, whatever their number. In a group of sets with a key, each is compared
 with the group's hub first (``star_pairs``, linear); groups that are then one component are done. Of the others, members
 that the triangle inequality on their distances to the hub keeps apart need no comparison (``undecided``). Then rounds
-follow (``settled``): a few members of a group's components are new hubs, meet all members of other components, and leave
-the group, decided; a group goes on while a round takes a quarter of it or more. So a group of near copies that are not
-all linked to one hub settles in rounds of linear size. What is left, sets that share a subset and are no near copies,
-is compared in blocks of bounded size by parity sketches (``block_pairs``): a sketch pair that differs in more bits than
+follow (``settled``): groups that share their least member by hash become one (sets that have many subsets in common are
+in as many groups), a few members of a group's components are new hubs, meet all members of other components, and leave
+the group, decided; a group goes on while a round halves its components. So a group of near copies that are not all
+linked to one hub settles in rounds of linear size. What is left, sets that share subsets and are no near copies, is
+compared in blocks of bounded size by parity sketches (``block_pairs``): a sketch pair that differs in more bits than
 the bound on H proves that the sets differ in more shingles. Every pair that passes is verified on the whole shingle
 sets.
 """
@@ -40,7 +41,8 @@ SHINGLE_WORDS = 5
 PERCENT = (100, 80)
 #: Sets below this size also have one-deletion neighbourhoods.
 SMALL = 32
-BLOCK = 256
+#: Members of a block, and bytes of their sketches.
+BLOCK, BLOCK_BYTES = 2048, 16 << 20
 #: Hubs of a group in one round.
 HUBS = 4
 
@@ -428,10 +430,26 @@ def round_hubs(rows: DataFrame, number: int) -> DataFrame:
                 .select("key", F.col("rep.doc_id").alias("hub"), F.col("component").alias("home")))
 
 
+def joined_groups(rows: DataFrame) -> DataFrame:
+    """Undecided groups with the same least member by hash as one group: its pairs are compared once. Equal member lists
+    always meet, and lists that overlap do so as often as they are alike."""
+    least = rows.groupBy("key").agg(F.min(F.xxhash64("doc_id")).alias("least"))
+    return (rows.join(least, "key").groupBy(F.col("least").alias("key"), "doc_id")
+                .agg(F.bit_or("role").alias("role"), F.max("component").alias("component"), F.max("size").alias("size")))
+
+
+def _open(rows: DataFrame) -> DataFrame:
+    """``key, n, parts`` of the groups that may still hold a link between components: members and components."""
+    parts = rows.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"), F.bit_or("role").alias("roles"))
+    return (parts.groupBy("key").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("parts"), F.bit_or("roles").alias("roles"))
+                 .filter("parts > 1 AND roles = 3").select("key", "n", "parts"))
+
+
 def settled(rows: DataFrame, sets: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rounds of hubs over undecided groups (``key, doc_id, role, component, size, n``): the labels with the links they
-    found, and the members of groups that rounds do not settle."""
-    stuck, number = None, 0
+    """Rounds of hubs over undecided groups (``key, doc_id, role, component, size``): the labels with the links they found,
+    and the members of groups that rounds do not settle (with ``n``, their number in the group)."""
+    rows, stuck, number = joined_groups(rows), None, 0
+    rows = c.written(rows.join(_open(rows), "key"), "joined-groups")
     while True:
         hubs = c.written(round_hubs(rows, number), "round-hubs")
         pairs = rows.join(hubs, "key").filter("component <> home").select(*_pair("doc_id", "hub")).distinct()
@@ -441,16 +459,12 @@ def settled(rows: DataFrame, sets: DataFrame, labels: DataFrame) -> tuple[DataFr
             labels = components(links.unionByName(labels.select(F.col("id").alias("a"), F.col("component").alias("b"))))
         # a hub has met every member of other components
         left = rows.join(hubs.select("key", F.col("hub").alias("doc_id")), ["key", "doc_id"], "left_anti")
-        left = c.written(_labelled(left.drop("component"), labels), "round-rows")
-        open_groups = left.groupBy("key").agg(
-            F.count(F.lit(1)).alias("now"), F.min("component").alias("x"), F.max("component").alias("y"),
-            F.bit_or("role").alias("roles")).filter("x < y AND roles = 3").select("key", "now")
-        left = left.join(open_groups, "key").select("key", "doc_id", "role", "component", "size", F.col("n").alias("was"),
-                                                    F.col("now").alias("n"))
-        after = c.written(left, "round-groups")
-        c.removed(hubs, made)
-        more = after.filter("4 * n <= 3 * was").drop("was")
-        rest = after.filter("4 * n > 3 * was").drop("was")
+        left = left.select("key", "doc_id", "role", "size", F.col("parts").alias("before"))
+        left = c.written(_labelled(left, labels), "round-rows")
+        after = c.written(left.join(_open(left), "key"), "round-groups")
+        c.removed(hubs, made, left)
+        more = after.filter("2 * parts <= before").drop("before")
+        rest = after.filter("2 * parts > before").drop("before")
         stuck = rest if stuck is None else stuck.unionByName(rest)
         rows, number = more, number + 1
         if not rows.limit(1).count():
@@ -460,10 +474,12 @@ def settled(rows: DataFrame, sets: DataFrame, labels: DataFrame) -> tuple[DataFr
 def block_pairs(rows: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs that may be linked among the undecided members of one group.
 
-    A group is dealt into blocks of about ``BLOCK`` members and every two blocks meet in one task, which compares
-    sketches; only pairs that pass are rows.
+    A group is dealt into blocks of about ``BLOCK`` members (fewer, where their sketches are long) and every two blocks
+    meet in one task, which compares sketches; only pairs that pass are rows.
     """
-    rows = rows.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+    longest = rows.groupBy("key").agg(F.max("size").alias("longest"))        # a sketch has up to half a byte an element
+    members = F.greatest(F.lit(2), F.least(F.lit(BLOCK), F.floor(BLOCK_BYTES / (F.col("longest") / 2 + 8))))
+    rows = rows.join(longest, "key").withColumn("blocks", F.ceil(F.col("n") / members).cast("int"))
     rows = rows.withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")) \
                .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("key", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own",
