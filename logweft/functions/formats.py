@@ -101,27 +101,37 @@ def _strip_ws(c: Column) -> Column:
 _JSON_SCALAR = r"^(?:-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?|true|false|null)$"
 
 
+def _json_end(value: Column) -> Column:
+    """A string that ends a parse: no text holds the hash of itself."""
+    return F.concat(F.lit("end-"), F.hex(F.xxhash64(value)))
+
+
+def _json_probe(value: Column) -> Column:
+    """``[value, "end"]`` as VARIANT, from a text that may be a JSON value.
+
+    The parser ignores text behind a value, and a text such as ``1] [2`` would
+    close a bracket put around it. The end string behind the value shows both:
+    it is element 1 only if the text before it is exactly one value.
+    """
+    return F.try_parse_json(F.concat(F.lit("["), value, F.lit(',"'), _json_end(value), F.lit('"]')))
+
+
+def _json_container(value: Column) -> Column:
+    """Whether first and last character agree with an object, array or string."""
+    first, last = F.left(value, F.lit(1)), F.right(value, F.lit(1))
+    return (((first == "{") & (last == "}")) | ((first == "[") & (last == "]"))
+            | ((first == '"') & (last == '"') & (F.length(value) > 1)))
+
+
 def is_json_col(col: Column | str) -> Column:
     """True when the (stripped) text is exactly one JSON value of any type.
 
-    ``try_parse_json`` alone accepts trailing text, so the value is also
-    parsed inside ``[...]`` (must be one element) and as an object member.
+    Scalars are decided by their shape, containers by one parse.
     NaN / Infinity are not JSON to Spark (Python accepts them).
     """
     v = _strip_ws(F.col(col) if isinstance(col, str) else col)
-    wrapped = F.concat(F.lit("["), v, F.lit("]"))
-    as_array = F.try_parse_json(wrapped)
-    first, last = F.left(v, F.lit(1)), F.right(v, F.lit(1))
-    container = (((first == "{") & (last == "}")) | ((first == "[") & (last == "]"))
-                 | ((first == '"') & (last == '"') & (F.length(v) > 1)))
-    parsed = (F.try_parse_json(v).isNotNull()
-              & as_array.isNotNull()
-              & F.try_variant_get(as_array, "$[1]", "string").isNull()
-              & (F.size(F.from_json(wrapped, "array<string>")) == 1)
-              & F.try_parse_json(F.concat(F.lit('{"v":'), v, F.lit("}"))).isNotNull())
-    # Scalars are decided by their shape; containers by the parsers.
-    return F.when(v.rlike(_JSON_SCALAR), F.lit(True)).when(container, parsed) \
-            .otherwise(F.lit(False))
+    whole = F.coalesce(F.try_variant_get(_json_probe(v), "$[1]", "string") == _json_end(v), F.lit(False))
+    return F.when(v.rlike(_JSON_SCALAR), F.lit(True)).when(_json_container(v), whole).otherwise(F.lit(False))
 
 
 def _guard(text: Column, fmt: LineFormat) -> Column:
@@ -208,12 +218,17 @@ def parse_access_log(df: DataFrame, col: str = "line", format_out: str = "format
 
 def parse_json_lines(df: DataFrame, col: str = "line", out: str = "json") -> DataFrame:
     """JSON lines as a VARIANT column (NULL for lines that are not JSON),
-    plus ``json_ts``: the whole line through the whole-value time parse."""
-    text = F.col(col)
-    stripped = _strip_ws(text)
-    ok = is_json_col(text)
-    return (df.withColumn(out, F.when(ok, F.try_parse_json(stripped)))
-              .withColumn("json_ts", F.when(ok, parse_timestamp_value(stripped))))
+    plus ``json_ts``: the whole line through the whole-value time parse.
+
+    One parse a line checks and types it."""
+    v = _strip_ws(F.col(col))
+    may = _json_container(v) | v.rlike(_JSON_SCALAR)
+    probed = df.withColumn("__probe", F.when(may, _json_probe(v))) \
+               .withColumn("__value", F.when(F.try_variant_get("__probe", "$[1]", "string") == _json_end(v),
+                                             F.try_variant_get("__probe", "$[0]", "variant")))
+    return (probed.withColumn(out, F.col("__value"))
+                  .withColumn("json_ts", F.when(F.col("__value").isNotNull(), parse_timestamp_value(v)))
+                  .drop("__probe", "__value"))
 
 
 def status_class_col(status: Column | str = "status") -> Column:
@@ -273,9 +288,8 @@ def format_profile(df: DataFrame, by: tuple[str, ...] = ("file",)) -> DataFrame:
 
 def json_key_profile(df: DataFrame, col: str = "json") -> DataFrame:
     """Top-level keys of JSON object lines: value type and number of lines."""
-    # Lines that are not objects give no members (no filter on the parsed
-    # column, which would repeat the JSON check).
-    members = F.explode(F.from_json(F.to_json(F.col(col)), "map<string,variant>"))
-    keyed = df.select(members.alias("key", "_value"))
+    # Lines that are not JSON give no members, elements of arrays have no key.
+    members = df.sparkSession.tvf.variant_explode(F.col(col).outer())
+    keyed = df.select(col).lateralJoin(members).select("key", F.col("value").alias("_value")).filter("key IS NOT NULL")
     return (keyed.groupBy("key", F.schema_of_variant("_value").alias("value_type"))
                  .agg(F.count(F.lit(1)).alias("lines")))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from logweft.functions.formats import is_json_col
 from logweft.schema import DISPLAY_CAP, TAB_SIZE
 
 # ANSI / VT100 control sequence introducer followed by parameters and a final
@@ -116,8 +117,7 @@ def pretty_json(df: DataFrame, col: str = "line", out: str = "pretty") -> DataFr
         return F.struct(depth.alias("depth"), t.alias("before"), F.concat(acc.text, text).alias("text"))
 
     start = F.struct(F.lit(0).alias("depth"), F.lit("").alias("before"), F.lit("").alias("text"))
-    is_json = F.try_parse_json(F.btrim(c)).isNotNull()
-    return df.withColumn(out, F.when(is_json, F.aggregate(tokens, start, step).text))
+    return df.withColumn(out, F.when(is_json_col(c), F.aggregate(tokens, start, step).text))
 
 
 def line_stats(df: DataFrame, by: tuple[str, ...] = ("file",), col: str = "line") -> DataFrame:

@@ -11,6 +11,7 @@ model in the tests instead.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 from typing import Callable
 
@@ -22,7 +23,7 @@ from logweft.session import configure
 from logweft.sources import render
 from logweft.sources.files import file_stats, read_logs
 from logweft.sources.tables import logs_from_table, with_file_order
-from logweft.streaming.streams import (lines_over_time_stream, parse_stream, pending_lines, search_stream,
+from logweft.streaming.streams import (drain, lines_over_time_stream, parse_stream, pending_lines, search_stream,
                                        stream_log_dir, tail_logs)
 
 
@@ -794,7 +795,7 @@ WHERE contains(lower(line), 'the') AND line_no > 2 GROUP BY 1
 """)
 def q_find_next(spark, sf_dir):
     """In every document, the next line holding 'the' after line 2."""
-    return search.next_hits(_docs(spark, sf_dir), "the", after=2)
+    return search.next_hits(_docs(spark, sf_dir), "the", after=2)      # in every file at once; find_next_merged asks one log
 
 
 @query("find_previous", f"""
@@ -1238,3 +1239,131 @@ def q_long_line_entities(spark, sf_dir):
         F.lit("tabs.log").alias("file"), "event_id", F.concat(F.lit("x"), "event_type").alias("text")), "\t", last="\t"), "text", "file")
     width = tabs.agg(F.sum(F.length("line")).alias("tab_width"))
     return entities.entity_counts(entities.extract_entities(lines)).crossJoin(width)       # one row
+
+
+# ------------------------------------------------------------ files that grow
+_GROWN = f"""{_DOCFILES},
+sizes AS (SELECT file, CAST(sum(strlen(raw) + 1) AS BIGINT) AS bytes FROM filelines GROUP BY 1),
+offsets AS (SELECT file, {_OFFSET_SQL} AS byte_offset, line FROM filelines),
+added AS (
+  SELECT CAST(CAST(o.file AS INTEGER) - 4 AS VARCHAR) AS file, o.byte_offset + s.bytes AS byte_offset, line
+  FROM offsets o JOIN sizes s ON CAST(s.file AS INTEGER) = CAST(o.file AS INTEGER) - 4)"""
+
+
+def _growing(spark, sf_dir):
+    """Four growing files and what is written to them later (files 4..7)."""
+    folder = render.document_files(spark, sf_dir)
+    files = {f.split("bucket=")[1].split("/")[0]: f for f in spark.read.text(folder).inputFiles()}
+    # the driver's paths: a folder of its own for each file, so none is missing
+    growing = [files[k] for k in "0123"]
+    return [re.sub("^file:/+", "/", f) for f in growing], [(files[str(k + 4)], files[str(k)]) for k in range(4)]
+
+
+def _tail_twice(spark, sf_dir, position):
+    """Lines that two runs on one checkpoint read, before and after the files have grown."""
+    from logweft.session import shared_dir
+    paths, later = _growing(spark, sf_dir)
+    out, ck = shared_dir(spark, "tail-out"), shared_dir(spark, "tail-ck")
+    for k in range(2):
+        stream = tail_logs(spark, paths, starting_position=position)
+        stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", ck) \
+              .trigger(availableNow=True).start().awaitTermination()
+        if k == 0:
+            render.append_files(spark, later)
+    return spark.read.parquet(out).select(render.bucket_of("file").alias("file"), "byte_offset", "line")
+
+
+@query("tail_latest", f"""
+WITH {_GROWN}
+SELECT file, byte_offset, line FROM added
+""")
+def q_tail_latest(spark, sf_dir):
+    """A tail from the latest position: only lines written after it began."""
+    return _tail_twice(spark, sf_dir, "latest")
+
+
+@query("tail_resumed", f"""
+WITH {_GROWN}
+SELECT file, byte_offset, line FROM added
+UNION ALL SELECT file, byte_offset, line FROM offsets WHERE CAST(file AS INTEGER) < 4
+""")
+def q_tail_resumed(spark, sf_dir):
+    """A tail that pauses while the files grow and goes on at its stored offsets: every line once."""
+    return _tail_twice(spark, sf_dir, "earliest")
+
+
+@query("tail_drained", f"""
+WITH {_DOCFILES},
+offsets AS (SELECT file, {_OFFSET_SQL} AS byte_offset, line FROM filelines)
+SELECT file, byte_offset, line, true AS several FROM offsets WHERE CAST(file AS INTEGER) < 4
+""")
+def q_tail_drained(spark, sf_dir):
+    """What the files hold at the start, read in a series of batches of a third of the largest file."""
+    import os
+    from logweft.session import shared_dir
+    paths, _ = _growing(spark, sf_dir)
+    cap = max(1, max(os.path.getsize(p) for p in paths) // 3)
+    out = shared_dir(spark, "tail-out")
+    n = drain(spark, paths, shared_dir(spark, "tail-ck"), lambda df: df.writeStream.format("parquet").option("path", out), cap, "earliest")
+    return spark.read.parquet(out).select(render.bucket_of("file").alias("file"), "byte_offset", "line", F.lit(n >= 3).alias("several"))
+
+
+@query("tail_errors", f"""
+WITH {_DOCFILES}
+SELECT 'line' AS state, count(*) AS n FROM filelines WHERE CAST(file AS INTEGER) < 4 UNION ALL SELECT 'cannot read file', 1
+""")
+def q_tail_errors(spark, sf_dir):
+    """A path that cannot be read is reported once while the others are followed."""
+    paths, _ = _growing(spark, sf_dir)
+    got = _run_stream(spark, tail_logs(spark, [*paths, paths[0] + ".none"], starting_position="earliest").select("line", "error"))
+    return got.groupBy(F.coalesce("error", F.lit("line")).alias("state")).agg(F.count(F.lit(1)).alias("n"))
+
+
+# ------------------------------------------------------------ line projections and search forms
+_ODD = """odd AS (
+  SELECT 'odd.log' AS file, CAST(row_number() OVER (ORDER BY event_id) - 1 AS BIGINT) AS line_no, * FROM events)"""
+
+
+def _odd_log(spark, sf_dir):
+    """Lines with tabs, colour codes, bytes that are no UTF-8, folded breaks and line ends, as a writer left them."""
+    return logs_from_table(render.odd_lines(render.load(spark, sf_dir, "events")), "text", "file", order_col="event_id")
+
+
+@query("normalize_lines", f"""
+WITH {_ODD}
+SELECT line_no, event_type || repeat(' ', CAST(4 - length(event_type) % 4 AS INTEGER)) || user_id || chr(27) || '[31mred' || chr(27)
+       || '[0m' || chr(65533) || '\\n' || event_id AS line
+FROM odd
+""")
+def q_normalize_lines(spark, sf_dir):
+    """Lenient decoding, line ends and tabs of odd lines."""
+    return _odd_log(spark, sf_dir).select("line_no", "line")
+
+
+@query("strip_ansi_unfold", f"""
+WITH {_ODD}
+SELECT line_no, event_type || repeat(' ', CAST(4 - length(event_type) % 4 AS INTEGER)) || user_id || 'red' || chr(65533) || chr(10)
+       || event_id AS detail
+FROM odd
+""")
+def q_strip_ansi_unfold(spark, sf_dir):
+    """Colour codes dropped and folded breaks opened."""
+    plain = linefns.strip_ansi(_odd_log(spark, sf_dir))
+    return linefns.detail_text(plain).select("line_no", "detail")
+
+
+@query("search_forms", f"""
+WITH {_DOCLINES}
+SELECT 'literal' AS form, count(*) AS hits FROM doclines WHERE contains(line, '.')
+UNION ALL SELECT 'any case', count(*) FROM doclines WHERE contains(lower(line), 'de')
+UNION ALL SELECT 'regex, any case', count(*) FROM doclines WHERE regexp_matches(line, '(DE|the) [a-f]', 'i')
+UNION ALL SELECT 'regex', count(*) FROM doclines WHERE regexp_matches(line, '^[A-Z]')
+""")
+def q_search_forms(spark, sf_dir):
+    """One search object in its forms: a literal dot, any case, the empty text and a pattern."""
+    forms = {"literal": search.Search(".", False, True), "any case": search.Search("DE", False, False),
+             "regex": search.Search("^[A-Z]", True, True), "regex, any case": search.Search("(DE|the) [a-f]", True, False)}
+    log = _docs(spark, sf_dir)
+    hits = log.agg(*[F.count_if(s.matches("line")).alias(k) for k, s in forms.items()])      # one pass
+    return hits.select(F.explode(F.array(*[F.struct(F.lit(k).alias("form"), F.col(f"`{k}`").alias("hits")) for k in forms])).alias("x")) \
+               .select("x.form", "x.hits")

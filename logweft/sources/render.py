@@ -281,3 +281,29 @@ def cut_copies(spark: SparkSession, folder: str) -> None:
             yield batch
 
     spark.createDataFrame([(f,) for f in files], "uri string").repartition(len(files)).mapInArrow(of, "uri string").count()
+
+
+def append_files(spark: SparkSession, pairs: list[tuple[str, str]]) -> None:
+    """Writes the content of each first file behind that of the second, as a
+    process does that goes on logging. Tasks copy, one file each."""
+    from logweft.sources.ranges import located, open_file
+
+    def of(batches):
+        for batch in batches:
+            for r in batch.to_pylist():
+                source, path = located(r["target"])
+                with open_file(r["source"]) as old, source.open_append_stream(path) as new:
+                    while data := old.read(1 << 20):
+                        new.write(data)
+            yield batch
+
+    df = spark.createDataFrame(pairs, "source string, target string").repartition(len(pairs))
+    df.mapInArrow(of, "source string, target string").count()
+
+
+def odd_lines(events: DataFrame) -> DataFrame:
+    """Lines with a tab, a colour code, a byte that is no UTF-8, a folded break and carriage returns at the end."""
+    parts = [F.encode("event_type", "UTF-8"), F.encode(F.lit("\t"), "UTF-8"), F.encode(F.col("user_id").cast("string"), "UTF-8"),
+             F.encode(F.lit("\x1b[31mred\x1b[0m"), "UTF-8"), F.unhex(F.lit("FF")),
+             F.encode(F.concat(F.lit("\\n"), F.col("event_id").cast("string"), F.lit("\r\r")), "UTF-8")]
+    return events.select(F.lit("odd.log").alias("file"), "event_id", F.concat(*parts).cast("string").alias("text"))

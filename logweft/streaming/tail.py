@@ -15,7 +15,9 @@ Options (``spark.readStream.format("logtail").option(...)``):
   or ``earliest`` (the history first, then new lines).
 * ``maxBytesPerTrigger``: cap of bytes per file per batch, cut at a line
   end (a line longer than the cap is a batch of its own). It holds for every
-  batch, the first after a restart too; an ``availableNow`` run is one batch.
+  batch, the first after a restart too; an ``availableNow`` run is one batch
+  (a Python source is not asked for more; see ``streams.drain``).
+* ``endOffsets``: JSON ``{path: position}``; no batch reads past it.
 * ``chunkBytes``: a large range is read by several tasks, each owning the
   lines that *start* in its chunk (default 32 MiB).
 
@@ -32,6 +34,7 @@ the message (``error`` is NULL on every line).
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 from dataclasses import dataclass
 
@@ -138,6 +141,7 @@ class TailReader(DataSourceStreamReader):
         cap = options.get("maxBytesPerTrigger")
         self.cap = int(cap) if cap else None
         self.chunk = int(options.get("chunkBytes", DEFAULT_CHUNK))
+        self.ends = json.loads(options.get("endOffsets", "{}"))
         self._initial: dict | None = None
         # last offset handed out; a restarted query learns it (commit, or the
         # batch it runs again) before it asks for more
@@ -178,6 +182,7 @@ class TailReader(DataSourceStreamReader):
             try:
                 if size < floor or prev.get("head") and not same_file(p, prev["head"]):
                     gen, floor = gen + 1, 0   # truncated or rotated: start again at 0
+                size = max(floor, min(size, self.ends.get(p, size)))
                 limit = size if self.cap is None else min(size, floor + self.cap)
                 pos = last_line_end(p, limit, floor)
                 if pos == floor and limit < size:

@@ -132,3 +132,44 @@ def test_pretty_json_shapes(spark):
     texts = ['{"b":1,"a":[{},[],{"x":"1, {2}: [3]\\\\\\""}],"c":null}', "[]", "{}", "3", '"s"', '[1,[2,3]]']
     df = pretty_json(lines_df(spark, texts))
     assert [r.pretty for r in df.orderBy("line_no").collect()] == [json.dumps(json.loads(t), indent=2) for t in texts]
+
+
+def test_json_is_exactly_one_value(spark):
+    import json
+    import random
+    rnd = random.Random(13)
+    parts = ['{', '}', '[', ']', ',', ':', '"a"', '"b"', '1', '-2.5e3', 'null', 'true', ' ', '"]["', '"}{"', 'x', '"end-"', "\\"]
+    texts = ["".join(rnd.choice(parts) for _ in range(rnd.randint(1, 8))) for _ in range(6000)]
+    texts += ['{"a":1} x', '{"a":1}]["b"}', '{"a":1},"x":{"b":2}', '[1] , [2]', '{"a":1}} {"c":{}', '"a" "b"', '"a","b"', 'null', '{}', '[]',
+              '[1],"end-0"]', '{"a":{"b":[1,{"c":null}]}}', '{"a":1,"a":2}']
+
+    def whole(text):
+        try:
+            json.loads(text)
+            return True
+        except ValueError:
+            return False
+
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, line string")
+    got = formats.parse_json_lines(df).select("i", F.to_json("json").alias("j"), F.col("json").isNotNull().alias("ok"),
+                                              formats.is_json_col("line").alias("is")).collect()
+    for r in got:
+        assert (r.ok, r["is"]) == (whole(texts[r.i]),) * 2, texts[r.i]
+    values = {r.i: r.j for r in got if r.ok}
+    assert len(values) > 150 and all(json.loads(values[i]) == json.loads(texts[i]) for i in values)
+
+
+def test_one_parse_for_a_json_line(spark):
+    df = spark.createDataFrame([('{"a":1}',)], "line string")
+    out = formats.parse_json_lines(df)
+    assert out._jdf.queryExecution().optimizedPlan().toString().lower().count("parsejson") == 1
+    from logweft.functions.lines import pretty_json
+    odd = spark.createDataFrame([('{"a":1} x',), ('{"a":[1,2]}',)], "line string")
+    assert [r.pretty for r in pretty_json(odd).collect()] == [None, '{\n  "a": [\n    1,\n    2\n  ]\n}']
+
+
+def test_key_profile_of_odd_values(spark):
+    rows = ['{"a":1,"b":null,"c.d":[1]}', '[{"a":1}]', '"a"', "x", '{"a":"s"}', "{}"]
+    df = formats.parse_json_lines(spark.createDataFrame([(x,) for x in rows], "line string"))
+    got = {(r.key, r.value_type): r.lines for r in formats.json_key_profile(df).collect()}
+    assert got == {("a", "BIGINT"): 1, ("a", "STRING"): 1, ("b", "VOID"): 1, ("c.d", "ARRAY<BIGINT>"): 1}

@@ -191,3 +191,26 @@ def test_append_query_takes_lines_from_any_task(spark, monkeypatch, tmpdir_path)
     assert got == sorted(con.execute(query.oracle).fetchall()) and got
     folder = folders["append-files"].removeprefix("file:")
     assert sum(x.startswith("part-") for x in os.listdir(folder)) == 7
+
+
+def test_drain_reads_to_the_end_fixed_at_the_start_in_capped_batches(spark, tmpdir_path):
+    from logweft.streaming.streams import drain
+    a, b = os.path.join(tmpdir_path, "a.log"), os.path.join(tmpdir_path, "b.log")
+    with open(a, "w") as fh:
+        fh.write("".join(f"line {k:04d}\n" for k in range(300)))            # 3,000 bytes
+    with open(b, "w") as fh:
+        fh.write("b\n")
+    out, ck = os.path.join(tmpdir_path, "out"), os.path.join(tmpdir_path, "ck")
+
+    def write(df):
+        with open(a, "a") as fh:                                             # grows with every batch
+            fh.write("later\n")
+        return df.filter("error IS NULL").select("line", "byte_offset").writeStream.format("parquet").option("path", out)
+
+    assert drain(spark, [a, b, a + ".none"], ck, write, 1000, "earliest") == 3
+    got = [r.line for r in spark.read.parquet(out).orderBy("byte_offset", "line").collect()]
+    assert sorted(got) == sorted([f"line {k:04d}" for k in range(300)] + ["b"])
+    # the next one goes on there: three lines that came meanwhile, and nothing twice
+    assert drain(spark, [a, b], ck, write, 1000, "earliest") == 1
+    lines = [r.line for r in spark.read.parquet(out).collect()]
+    assert len(lines) == 304 and lines.count("later") == 3
