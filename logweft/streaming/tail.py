@@ -21,10 +21,11 @@ Options (``spark.readStream.format("logtail").option(...)``):
 * ``chunkBytes``: a large range is read by several tasks, each owning the
   lines that *start* in its chunk (default 32 MiB).
 
-Offsets are ``{path: {"gen": g, "pos": p, "head": h}}``. ``head`` is a digest
-of the file's first bytes (up to 1 KiB of what was read). When a file shrinks
-below its offset, or its first bytes are no longer those (truncated, or
-rotated and already longer than before), ``gen`` goes up and reading restarts
+Offsets are ``{path: {"gen": g, "pos": p, "head": h, "last": l}}``. ``head``
+and ``last`` are digests of the first bytes and of those just before ``pos``
+(up to 1 KiB each of what was read). When a file shrinks below its offset, or
+these bytes are no longer the same (truncated, or rotated and already longer
+than before, be it with the same header), ``gen`` goes up and reading restarts
 at 0. Paths must be mounted alike on the driver and all executors.
 A file that cannot be read keeps its old offset and is skipped; the others
 go on. The failure is reported once, as a row whose ``error`` column holds
@@ -82,20 +83,34 @@ def first_line_end(path: str, start: int, size: int) -> int:
     return start
 
 
-# Fixed value: bytes of a file's start that tell it from its successor.
-HEAD_BYTES = 1024
+# Fixed value: bytes at either end of what was read that tell a file from its
+# successor.
+MARK_BYTES = 1024
 
 
-def head_digest(path: str, size: int) -> str:
-    """``length:digest`` of the first bytes (at most ``size`` of them)."""
+def _digest(path: str, start: int, end: int) -> str:
+    """``start:end:digest`` of a range of bytes."""
     with open(path, "rb") as fh:
-        data = fh.read(min(HEAD_BYTES, size))
-    return f"{len(data)}:{hashlib.sha256(data).hexdigest()[:32]}"
+        fh.seek(start)
+        data = fh.read(end - start)
+    return f"{start}:{start + len(data)}:{hashlib.sha256(data).hexdigest()[:32]}"
+
+
+def file_marks(path: str, pos: int) -> dict[str, str]:
+    """Digests of the first bytes and of the last ones before ``pos``."""
+    if not pos:
+        return {}
+    return {"head": _digest(path, 0, min(MARK_BYTES, pos)), "last": _digest(path, max(0, pos - MARK_BYTES), pos)}
 
 
-def same_file(path: str, head: str) -> bool:
-    """Whether the file still begins with the bytes that ``head`` stands for."""
-    return head_digest(path, int(head.split(":")[0])) == head
+def same_file(path: str, marks: dict) -> bool:
+    """Whether a file still holds the bytes that the marks of an offset stand for."""
+    for mark in (marks.get("head"), marks.get("last")):
+        if mark:
+            start, end = (int(x) for x in mark.split(":")[:2])
+            if _digest(path, start, end) != mark:
+                return False
+    return True
 
 
 @dataclass
@@ -162,9 +177,7 @@ class TailReader(DataSourceStreamReader):
             pos = 0
             if self.starting == "latest" and size is not None:
                 pos = last_line_end(p, size)
-            out[p] = {"gen": 0, "pos": pos}
-            if pos:
-                out[p]["head"] = head_digest(p, pos)
+            out[p] = {"gen": 0, "pos": pos, **file_marks(p, pos)}
         self._initial = out
         return out
 
@@ -173,14 +186,14 @@ class TailReader(DataSourceStreamReader):
         out = {}
         for p in self.paths:
             prev = base.get(p, {"gen": 0, "pos": 0})
-            kept = {k: prev[k] for k in ("gen", "pos", "head") if k in prev}
+            kept = {k: prev[k] for k in ("gen", "pos", "head", "last") if k in prev}
             size = self._size(p)
             if size is None:          # unreadable now: keep its place, skip it
                 out[p] = {**kept, "err": "cannot read file"}
                 continue
             gen, floor = prev["gen"], prev["pos"]
             try:
-                if size < floor or prev.get("head") and not same_file(p, prev["head"]):
+                if size < floor or not same_file(p, prev):
                     gen, floor = gen + 1, 0   # truncated or rotated: start again at 0
                 size = max(floor, min(size, self.ends.get(p, size)))
                 limit = size if self.cap is None else min(size, floor + self.cap)
@@ -189,9 +202,7 @@ class TailReader(DataSourceStreamReader):
                     # one line longer than the cap: that line, and no more
                     pos = first_line_end(p, limit, size)
                     pos = floor if pos == limit else pos
-                out[p] = {"gen": gen, "pos": pos}
-                if pos:
-                    out[p]["head"] = head_digest(p, pos)
+                out[p] = {"gen": gen, "pos": pos, **file_marks(p, pos)}
             except OSError as err:
                 out[p] = {**kept, "err": str(err)}
         self._known = out

@@ -214,3 +214,23 @@ def test_drain_reads_to_the_end_fixed_at_the_start_in_capped_batches(spark, tmpd
     assert drain(spark, [a, b], ck, write, 1000, "earliest") == 1
     lines = [r.line for r in spark.read.parquet(out).collect()]
     assert len(lines) == 304 and lines.count("later") == 3
+
+
+def test_a_rotated_file_with_the_same_long_header_is_read_from_its_start(spark, tmpdir_path):
+    p = os.path.join(tmpdir_path, "app.log")
+    header = "#" * 3000 + "\n"
+    with open(p, "w") as fh:
+        fh.write(header + "old 1\nold 2\n")
+    out, ck = os.path.join(tmpdir_path, "out"), os.path.join(tmpdir_path, "ck")
+    df = tail_logs(spark, p, starting_position="earliest")
+    _run(df, out, ck)
+    os.rename(p, p + ".1")
+    with open(p, "w") as fh:
+        fh.write(header + "new 1\nnew 2\nnew 3\n")              # longer than what was read
+    _run(df, out, ck)
+    got = [r.line for r in spark.read.parquet(out).collect()]
+    assert sorted(x for x in got if not x.startswith("#")) == ["new 1", "new 2", "new 3", "old 1", "old 2"]
+    with open(p, "a") as fh:
+        fh.write("new 4\n")
+    _run(df, out, ck)
+    assert spark.read.parquet(out).filter("line LIKE 'new%'").count() == 4
