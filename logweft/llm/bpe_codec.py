@@ -16,7 +16,6 @@ characters beyond the plain set, are split by the library itself and take the sa
 from __future__ import annotations
 
 import hashlib
-import uuid
 from typing import Callable, Iterator
 
 import numpy as np
@@ -118,12 +117,8 @@ def word_table(words: DataFrame, path: str) -> DataFrame:
 
 
 def bucketed(blocks: DataFrame) -> DataFrame:
-    """The blocks as a warehouse table bucketed by block (written once, no shuffle)."""
-    spark = blocks.sparkSession
-    name = f"word_blocks_{uuid.uuid4().hex}"
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    blocks.write.option("compression", "zstd").bucketBy(buckets, "block").saveAsTable(name)
-    return spark.table(name)
+    """The blocks as a table bucketed by block (written once, no shuffle)."""
+    return c.bucketed_table(blocks, int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions")), "block", compression="zstd")
 
 
 def packed_lookups(blocks: DataFrame, table: DataFrame) -> DataFrame:
@@ -203,7 +198,7 @@ def encode_decode(docs: DataFrame, path: str, digests: bool = False, id_col: str
     """``doc_id, n_tokens, ids, decoded`` per input row: decimal ids joined by a blank, and the decoded text.
 
     With ``digests`` the last two are ``ids_sha256, decoded_sha256``, formed where the text is, so that neither leaves
-    its task. As the library does without added special tokens: special tokens written out in a text are encoded as
+    its task, and written at once, so that no table stays but the result. As the library does without added special tokens: special tokens written out in a text are encoded as
     such. For a vocabulary that has no decoder, decoding joins the pieces by a blank. Null texts are empty: no tokens,
     empty strings. Repeated rows give repeated results, null ids stay null, other columns are ignored, and an empty
     table gives an empty result.
@@ -211,8 +206,12 @@ def encode_decode(docs: DataFrame, path: str, digests: bool = False, id_col: str
     c.prepare(docs.sparkSession)
     blocks = bucketed(word_blocks(docs, path, id_col, text_col, block_words))
     words = blocks.select(F.explode("words").alias("word")).distinct()
-    table = c.written(word_table(words, path), "word-table", compression="zstd")
-    table = c.written(packed_lookups(blocks, table), "lookups")
-    if digests:
-        return coded_blocks(blocks, table, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", _digests)
-    return coded_blocks(blocks, table, "doc_id long, n_tokens long, ids string, decoded string", _texts)
+    coded = c.written(word_table(words, path), "word-table", compression="zstd")
+    table = c.written(packed_lookups(blocks, coded), "lookups")
+    c.removed(coded)
+    if not digests:
+        return coded_blocks(blocks, table, "doc_id long, n_tokens long, ids string, decoded string", _texts)
+    made = c.written(coded_blocks(blocks, table, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", _digests), "digests")
+    c.removed(table)
+    c.dropped(blocks)
+    return made

@@ -7,6 +7,7 @@ bytes and scanning code points find the same words.
 
 from __future__ import annotations
 
+import uuid
 from typing import Iterator
 
 import numpy as np
@@ -58,6 +59,33 @@ def removed(*tables: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def free_name(docs: DataFrame, name: str) -> str:
+    """``name``, with underscores in front until no column of ``docs`` has it (names do not differ by case)."""
+    taken = {x.lower() for x in docs.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def bucketed_table(rows: DataFrame, buckets: int, key: str, **options: str) -> DataFrame:
+    """``rows`` as a table bucketed and sorted by ``key``, its files in the shared checkpoint folder; :func:`dropped`
+    removes both. Its name is ``table_name``."""
+    spark = rows.sparkSession
+    name = f"bucketed_{uuid.uuid4().hex}"
+    path = shared_dir(spark, name)
+    rows.write.options(path=path, **options).bucketBy(buckets, key).sortBy(key).saveAsTable(name)
+    table = spark.table(name)
+    table.table_name, table.written_path = name, path
+    return table
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Removes tables of :func:`bucketed_table`, files and name."""
+    for table in tables:
+        table.sparkSession.sql(f"DROP TABLE IF EXISTS {table.table_name}")
+        removed(table)
+
+
 def keyed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, text`` with one row for each non-null id, for operators that join on the id.
 

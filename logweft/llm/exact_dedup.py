@@ -8,8 +8,6 @@ new is appended to the same buckets. Everything is DataFrame operations.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from logweft.llm import common as c
@@ -24,14 +22,24 @@ def text_digest(text: Column) -> Column:
 
 
 def create_index(spark: SparkSession, name: str | None = None, buckets: int = BUCKETS) -> str:
-    """An empty index table ``digest, keep_id`` in the warehouse; gives its name."""
+    """An empty index table ``digest, keep_id``; gives its name. A named one is kept in the warehouse, one without a name
+    has its files in the shared checkpoint folder (see :func:`drop_index`)."""
     c.prepare(spark)
-    name = name or f"digest_index_{uuid.uuid4().hex}"
-    (spark.createDataFrame([], "digest string, keep_id long")
-          .write.bucketBy(buckets, "digest").sortBy("digest").saveAsTable(name))
+    empty = spark.createDataFrame([], "digest string, keep_id long")
+    if name is None:
+        return c.bucketed_table(empty, buckets, "digest").table_name
+    empty.write.bucketBy(buckets, "digest").sortBy("digest").saveAsTable(name)
     return name
 
 
+def drop_index(spark: SparkSession, name: str) -> None:
+    """Removes an index that was made without a name, files and all."""
+    table = spark.table(name)
+    table.table_name = name
+    table.written_path = spark.sql(f"DESCRIBE TABLE EXTENDED {name}").filter("col_name = 'Location'").first().data_type
+    c.dropped(table)
+
+
 def batch_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``digest, keep_id, group_size``: the texts of a batch; of equal ones the largest id stays (null is smallest)."""
     return (docs.select(F.col(id_col).cast("long").alias("doc_id"), text_digest(F.col(text_col)).alias("digest"))
@@ -86,16 +94,18 @@ def dedup_exact(docs: DataFrame, index: str | None = None, buckets: int = BUCKET
     """
     spark = c.prepare(docs.sparkSession)
     name = index or create_index(spark, buckets=buckets)
-    groups, new = _through_index(docs, name, buckets, batches, id_col, text_col)
-    if batches > 1:
-        groups = groups.groupBy("digest").agg(F.sum("group_size").alias("group_size"))
-    held = spark.table(name).select("digest", F.col("keep_id").alias("held_id"))
-    fresh = new.select("digest", F.lit(True).alias("fresh"))
-    verdicts = c.written(groups.join(held.hint("merge"), "digest").join(fresh, "digest", "left")
-                               .select("digest", F.col("held_id").alias("keep_id"), "group_size",
-                                       F.coalesce("fresh", F.lit(False)).alias("fresh")), "verdicts")
-    if index is None:
-        spark.sql(f"DROP TABLE {name}")
+    try:
+        groups, new = _through_index(docs, name, buckets, batches, id_col, text_col)
+        if batches > 1:
+            groups = groups.groupBy("digest").agg(F.sum("group_size").alias("group_size"))
+        held = spark.table(name).select("digest", F.col("keep_id").alias("held_id"))
+        fresh = new.select("digest", F.lit(True).alias("fresh"))
+        verdicts = c.written(groups.join(held.hint("merge"), "digest").join(fresh, "digest", "left")
+                                   .select("digest", F.col("held_id").alias("keep_id"), "group_size",
+                                           F.coalesce("fresh", F.lit(False)).alias("fresh")), "verdicts")
+    finally:
+        if index is None:
+            drop_index(spark, name)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_digest(F.col(text_col)).alias("digest"))
     marked = rows.join(verdicts, "digest")
     mine = F.col("fresh") & F.col("doc_id").eqNullSafe(F.col("keep_id"))
@@ -116,13 +126,16 @@ def keep_new(docs: DataFrame, index: str | None = None, buckets: int = BUCKETS,
     """The rows of ``docs`` that :func:`dedup_exact` keeps, all columns unchanged; their texts join the index."""
     spark = c.prepare(docs.sparkSession)
     name = index or create_index(spark, buckets=buckets)
-    _, new = _through_index(docs, name, buckets, batches, id_col, text_col)
-    if index is None:
-        spark.sql(f"DROP TABLE {name}")
-    verdict = new.select(F.col("digest").alias("__digest"), F.col("keep_id").alias("__keep"))
-    mine = F.col(id_col).cast("long").eqNullSafe(F.col("__keep"))
-    rows = docs.withColumn("__digest", text_digest(F.col(text_col))).join(verdict, "__digest").filter(mine)
-    narrow = docs.select(F.col(id_col), text_digest(F.col(text_col)).alias("__digest")).join(verdict, "__digest")
-    if narrow.filter(mine).groupBy("__digest").count().filter("count > 1").limit(1).count():
-        rows = rows.dropDuplicates(["__digest"])       # rows that repeat the id that stays
+    try:
+        _, new = _through_index(docs, name, buckets, batches, id_col, text_col)
+    finally:
+        if index is None:
+            drop_index(spark, name)
+    digest, keep = c.free_name(docs, "digest"), c.free_name(docs, "keep_id")
+    verdict = new.select(F.col("digest").alias(digest), F.col("keep_id").alias(keep))
+    mine = F.col(id_col).cast("long").eqNullSafe(F.col(keep))
+    rows = docs.withColumn(digest, text_digest(F.col(text_col))).join(verdict, digest).filter(mine)
+    narrow = docs.select(F.col(id_col), text_digest(F.col(text_col)).alias(digest)).join(verdict, digest)
+    if narrow.filter(mine).groupBy(digest).count().filter("count > 1").limit(1).count():
+        rows = rows.dropDuplicates([digest])       # rows that repeat the id that stays
     return rows.select(*docs.columns)

@@ -201,6 +201,10 @@ def _link(root: Node) -> None:
         todo += node.elements
 
 
+#: Inputs that show their value as a label.
+LABELLED_INPUTS = ("submit", "reset", "button")
+
+
 def keep_displayed(root: Node, styles: list[str]) -> None:
     """Takes everything out of a tree that is not displayed.
 
@@ -218,13 +222,17 @@ def keep_displayed(root: Node, styles: list[str]) -> None:
         if node.foreign and node.tag in ONE_CHILD:
             only = next((x for x in node.children if not isinstance(x, str) and language in (
                 y.strip().partition("-")[0].lower() for y in x.attrs.get("systemlanguage", language).split(","))), node)
+        closed = node.tag == "details" and not node.foreign and "open" not in node.attrs
+        if closed:                                     # its first summary alone is on the screen
+            only = next((x for x in node.children if not isinstance(x, str) and x.tag == "summary"), node)
         for child in node.children:
             if isinstance(child, str):
-                if seen:
+                if seen and not closed:
                     kept.append(child)
                 continue
             tag, attrs = child.tag, child.attrs
-            if tag in NEVER_SHOWN or tag == "input" or child.foreign and tag in DRAWN_NEVER or only not in (None, child):
+            button = tag == "input" and not child.foreign and attrs.get("type", "").lower() in LABELLED_INPUTS
+            if tag in NEVER_SHOWN or tag == "input" and not button or child.foreign and tag in DRAWN_NEVER or only not in (None, child):
                 continue
             said = rules.said(child) if rules or "style" in attrs else {}
             display = said.get("display", "revert")
@@ -235,6 +243,11 @@ def keep_displayed(root: Node, styles: list[str]) -> None:
             usual = ("hidden" if tag == "mphantom" else attrs.get("visibility", "inherit")) if child.foreign else "inherit"
             visibility = said.get("visibility", usual)
             visible = visibility in ("visible", "initial") or visibility not in ("hidden", "collapse") and seen
+            if button:                                 # its label
+                if visible and attrs.get("value"):
+                    kept.append(attrs["value"])
+                    changed.append((node, kept))
+                continue
             kept.append(child)
             todo.append((child, visible))
             if not visible:

@@ -143,6 +143,10 @@ def pack(items: DataFrame, capacities: Sequence[int] = CAPACITIES, attention_wor
 
 
 def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """:func:`pack` over the word counts of ``docs``."""
+    """:func:`pack` over the word counts of ``docs``.
+
+    Null and empty texts have no words: one row each, without a bin. Repeated rows are packed one by one, null ids are
+    packed like others, other columns are ignored, and an empty table gives an empty result.
+    """
     c.prepare(docs.sparkSession)
     return pack(word_counts(docs, id_col, text_col), **options)

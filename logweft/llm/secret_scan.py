@@ -139,9 +139,11 @@ def redact(docs: DataFrame, text_col: str = "text", owner_col: str = "source",
            repository_cols: tuple[str, ...] = ("source", "lang"), mark: str = "[SECRET]", **options) -> DataFrame:
     """All columns of ``docs``, with ``mark`` in place of every run of overlapping or touching spans of ``text_col``.
 
-    Texts without a span, null ones included, stay as they are.
+    Texts without a span, null and empty ones included, stay as they are. Repeated rows and rows without an id are masked
+    like others. An empty table gives an empty result. Columns of any name pass through.
     """
     c.prepare(docs.sparkSession)
+    digest, cuts = c.free_name(docs, "digest"), c.free_name(docs, "cuts")
     owner, repository = F.col(owner_col), F.concat_ws("/", *[F.col(x) for x in repository_cols])
     spans = scan(docs, owner, repository, text_col, **options).select("digest", F.explode("spans").alias("s")) \
         .select("digest", "s.start", "s.stop")
@@ -150,15 +152,15 @@ def redact(docs: DataFrame, text_col: str = "text", owner_col: str = "source",
     runs = (spans.withColumn("new", F.when(F.col("start") <= reach, 0).otherwise(1))
                  .withColumn("run", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
                  .groupBy("digest", "run").agg(F.min("start").alias("a"), F.max("stop").alias("b"))
-                 .groupBy("digest").agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("__cuts")))
-    runs = c.written(runs, "cuts").withColumnRenamed("digest", "__digest")
-    rows = docs.withColumn("__digest", F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)).join(runs, "__digest", "left")
+                 .groupBy("digest").agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias(cuts)))
+    runs = c.written(runs, "cuts").withColumnRenamed("digest", digest)
+    rows = docs.withColumn(digest, F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)).join(runs, digest, "left")
 
     def piece(cut, i):
-        at = F.when(i == 0, F.lit(0).cast("long")).otherwise(F.get("__cuts", i - 1)["b"])
+        at = F.when(i == 0, F.lit(0).cast("long")).otherwise(F.get(cuts, i - 1)["b"])
         return F.concat(F.substring(F.col(text_col), (at + 1).cast("int"), (cut["a"] - at).cast("int")), F.lit(mark))
 
-    tail = F.expr(f"substring(`{text_col}`, CAST(element_at(__cuts, -1).b + 1 AS INT))")
-    masked = F.concat(F.array_join(F.transform("__cuts", piece), ""), tail)
-    return rows.withColumn(text_col, F.when(F.col("__cuts").isNotNull(), masked).otherwise(F.col(text_col))) \
+    tail = F.expr(f"substring(`{text_col}`, CAST(element_at({cuts}, -1).b + 1 AS INT))")
+    masked = F.concat(F.array_join(F.transform(cuts, piece), ""), tail)
+    return rows.withColumn(text_col, F.when(F.col(cuts).isNotNull(), masked).otherwise(F.col(text_col))) \
                .select(*docs.columns)

@@ -285,3 +285,31 @@ def test_html_descendants_at_depth():
 ])
 def test_html_drawings_formulas_and_fallbacks(page, text):
     assert html_text.page_text(page) == text
+
+
+def test_html_details_and_button_labels():
+    page = ("<details><summary>more</summary>hidden <p>gone</p></details><details open><summary>s</summary>shown</details>"
+            "<details>no summary</details><form><input type=submit value=Go> <input value=typed><input type=button value='a b' hidden>"
+            "<input type=reset></form><p style='visibility:hidden'>x<input type=submit value=unseen></p>")
+    text = html_text.page_text(page)
+    assert text.split() == ["more", "s", "shown", "Go"]
+
+
+def test_no_table_is_left_behind(spark, docs, odd_docs):
+    import public_tokenizers
+    from logweft.llm import bpe_codec, exact_dedup
+    before = {t.name for t in spark.catalog.listTables()}
+    assert bpe_codec.encode_decode(docs, public_tokenizers.path("word_bpe_49k.json"), digests=True).count() == docs.count()
+    assert exact_dedup.dedup_exact(odd_docs, batches=2).count() == 8
+    assert exact_dedup.keep_new(odd_docs).count() <= 8
+    assert {t.name for t in spark.catalog.listTables()} == before
+
+
+def test_columns_that_bear_internal_names_pass(spark):
+    from logweft.llm import exact_dedup
+    rows = [(1, "password = abcdefgh12", "s", "en", "x", "y", "z"), (2, None, None, None, None, None, None)]
+    names = "doc_id long, text string, source string, lang string, digest string, cuts string, keep_id string"
+    df = spark.createDataFrame(rows, names)
+    got = {r.doc_id: r for r in secret_scan.redact(df).collect()}
+    assert got[1].text == "[SECRET]" and (got[1].digest, got[1].cuts) == ("x", "y") and got[2].text is None
+    assert sorted(r.keep_id or "" for r in exact_dedup.keep_new(df).collect()) == ["", "z"]
