@@ -1367,3 +1367,29 @@ def q_search_forms(spark, sf_dir):
     hits = log.agg(*[F.count_if(s.matches("line")).alias(k) for k, s in forms.items()])      # one pass
     return hits.select(F.explode(F.array(*[F.struct(F.lit(k).alias("form"), F.col(f"`{k}`").alias("hits")) for k in forms])).alias("x")) \
                .select("x.form", "x.hits")
+
+
+@query("pending_after_seen", f"""
+WITH {_DOCFILES},
+sizes AS (SELECT file, CAST(sum(strlen(raw) + 1) AS BIGINT) AS bytes FROM filelines GROUP BY 1),
+offsets AS (SELECT file, {_OFFSET_SQL} AS byte_offset FROM filelines)
+SELECT file, count(*) FILTER (byte_offset >= bytes * 2 // 3) AS pending_lines, bytes * 2 // 3 AS seen
+FROM offsets JOIN sizes USING (file) WHERE CAST(file AS INTEGER) < 4 GROUP BY file, bytes
+""")
+def q_pending_after_seen(spark, sf_dir):
+    """Lines past the seen position, which two control events move while the files are followed."""
+    import os
+    from logweft.session import shared_dir
+    from logweft.streaming.seen import pending_after_seen
+    paths, _ = _growing(spark, sf_dir)
+    control, out, ck = (shared_dir(spark, x) for x in ("control", "seen-out", "seen-ck"))
+    sizes = spark.createDataFrame([(p, os.path.getsize(p)) for p in paths], "file string, size long")      # four rows
+    for thirds in (1, 2):
+        sizes.select("file", F.expr(f"size * {thirds} div 3").alias("seen")).write.mode("append").json(control)
+        lines = tail_logs(spark, paths, starting_position="earliest")
+        events = spark.readStream.schema("file string, seen long").json(control)
+        pending_after_seen(lines, events).writeStream.outputMode("update").option("checkpointLocation", ck).foreachBatch(
+            lambda batch, n: batch.withColumn("batch", F.lit(n)).write.mode("append").parquet(out)
+        ).trigger(availableNow=True).start().awaitTermination()
+    last = spark.read.parquet(out).groupBy("file").agg(F.max_by(F.struct("pending_lines", "seen"), "batch").alias("x"))
+    return last.select(render.bucket_of("file").alias("file"), "x.pending_lines", "x.seen")
