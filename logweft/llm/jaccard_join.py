@@ -43,8 +43,8 @@ PERCENT = (100, 80)
 SMALL = 32
 #: Members of a block, and bytes of their sketches.
 BLOCK, BLOCK_BYTES = 2048, 16 << 20
-#: Hubs of a group in one round.
-HUBS = 4
+#: Hubs of a group in one round, and members of a group that needs no further one (a block holds it whole).
+HUBS, SETTLED = 4, 64
 
 _U = np.uint64
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -463,8 +463,8 @@ def settled(rows: DataFrame, sets: DataFrame, labels: DataFrame) -> tuple[DataFr
         left = c.written(_labelled(left, labels), "round-rows")
         after = c.written(left.join(_open(left), "key"), "round-groups")
         c.removed(hubs, made, left)
-        more = after.filter("2 * parts <= before").drop("before")
-        rest = after.filter("2 * parts > before").drop("before")
+        halved = (2 * F.col("parts") <= F.col("before")) & (F.col("n") > SETTLED)
+        more, rest = after.filter(halved).drop("before"), after.filter(~halved).drop("before")
         stuck = rest if stuck is None else stuck.unionByName(rest)
         rows, number = more, number + 1
         if not rows.limit(1).count():
