@@ -27,7 +27,7 @@ from __future__ import annotations
 
 from typing import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from logweft.session import shared_dir
 
@@ -62,9 +62,21 @@ def range_partitions(df: DataFrame) -> int:
     than the session's shuffle partitions."""
     least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
-    # a leaf without statistics claims an immense size: no evidence
-    return max(least, -(-sum(x for x in sizes if x < 1 << 50) // PARTITION_BYTES))
+    sizes = [_leaf_bytes(df.sparkSession, leaves.apply(i)) for i in range(leaves.size())]
+    return max(least, -(-sum(sizes) // PARTITION_BYTES))
+
+
+def _leaf_bytes(spark: SparkSession, leaf) -> int:
+    """Bytes that a leaf of a plan reads. A checkpointed table claims what was
+    guessed for the plan behind it (a join: the product of its sides), so it
+    is measured by its files (metadata only)."""
+    if leaf.getClass().getSimpleName() == "LogicalRDD":
+        written = leaf.rdd().getCheckpointFile()
+        if written.isDefined():
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(written.get())
+            return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
+    claimed = int(str(leaf.stats().sizeInBytes()))
+    return claimed if claimed < 1 << 50 else 0  # without statistics an immense size: no evidence
 
 
 def small_table(df: DataFrame, row_bytes: int) -> DataFrame:

@@ -115,3 +115,15 @@ def test_lines_without_a_file_order_are_ranked(spark):
     df = table(spark, FILES).withColumn("file_order", F.when(F.col("file") == "c.log", None).otherwise(F.col("file_order")))
     rows = merge.merged_positions(df, timed=True).collect()
     assert sorted(r.merged_no for r in rows) == list(range(len(python_merge(FILES))))
+
+
+def test_range_partitions_of_checkpointed_joins(spark):
+    """A checkpointed join is measured by its files, not by the product guessed for it."""
+    from logweft.operators.numbering import range_partitions, small_table
+    spark.range(1000).write.mode("overwrite").parquet("/tmp/logweft-range-parts")
+    a = spark.read.parquet("/tmp/logweft-range-parts")
+    made = a
+    for k in range(2):
+        made = made.join(small_table(a.select(F.col("id").alias(f"k{k}")), 16).hint("merge"), F.col("id") == F.col(f"k{k}"))
+    made = made.checkpoint()
+    assert range_partitions(made) == range_partitions(made.join(a, "id")) == 4
