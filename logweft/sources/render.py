@@ -131,16 +131,16 @@ def document_files(spark: SparkSession, sf_dir: str, compression: str | None = N
     shared checkpoint space; returns the folder.
 
     File ``bucket=k/part-*`` holds the documents with ``doc_id % 8 == k``,
-    one after the other in ``doc_id`` order (one file per bucket: a bucket
-    goes to one writer task, which sorts it). Spark writes the files from the
-    table; no text passes through the driver. ``compression`` is ``gzip`` or
-    ``bzip2`` for compressed logs.
+    one after the other in ``doc_id`` order (one file per bucket: each bucket
+    goes to a writer task of its own, which sorts it; hashed buckets would meet
+    in one task). Spark writes the files from the table; no text passes through
+    the driver. ``compression`` is ``gzip`` or ``bzip2`` for compressed logs.
     """
     from logweft.session import shared_dir
     path = shared_dir(spark, "document-files")
     docs = load(spark, sf_dir, "documents").filter(F.col("text") != "")
     docs = (docs.select((F.col("doc_id") % DOC_FILES).alias("bucket"), "doc_id", "text")
-                .repartition(DOC_FILES, "bucket")
+                .repartitionById(DOC_FILES, F.col("bucket").cast("int"))
                 .sortWithinPartitions("bucket", "doc_id")
                 .select("bucket", "text"))
     writer = docs.write.partitionBy("bucket")

@@ -121,3 +121,11 @@ def test_no_job_before_the_first_action(spark, tmpdir_path):
             fh.write("x\ny\n")
     assert jobs_of(spark, lambda: read_logs(spark, tmpdir_path, offsets=True)) == []
     assert len(jobs_of(spark, lambda: document_log(spark, "/root/testdata/sf0.001"))) <= 1  # the schema of the table
+
+
+def test_document_files_have_writers_of_their_own(spark):
+    """No two of the files come from one task (hashed buckets met in one)."""
+    from logweft.sources import render
+    folder = render.document_files(spark, "/root/testdata/sf0.001")
+    names = [f.rsplit("/", 1)[-1] for f in spark.read.text(folder).inputFiles()]
+    assert len({n.split("-")[1] for n in names}) == len(names) == render.DOC_FILES
