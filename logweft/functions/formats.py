@@ -92,8 +92,16 @@ HTTP_METHODS = ("GET", "POST", "PUT", "HEAD", "DELETE", "OPTIONS", "PATCH")
 _SEP = "\u0001"
 
 
+def strip_ends(c: Column, marks: str) -> Column:
+    """``btrim``, which walks through the whole text, only where a mark stands at an end."""
+    held = F.lit(False)
+    for m in marks:
+        held = held | c.startswith(m) | c.endswith(m)
+    return F.when(held, F.btrim(c, F.lit(marks))).otherwise(c)
+
+
 def _strip_ws(c: Column) -> Column:
-    return F.btrim(c, F.lit(" \t\n\r\u000b\u000c"))
+    return strip_ends(c, " \t\n\r\u000b\u000c")
 
 
 # A JSON scalar line is one of these; anything else must be an object,
@@ -118,9 +126,8 @@ def _json_probe(value: Column) -> Column:
 
 def _json_container(value: Column) -> Column:
     """Whether first and last character agree with an object, array or string."""
-    first, last = F.left(value, F.lit(1)), F.right(value, F.lit(1))
-    return (((first == "{") & (last == "}")) | ((first == "[") & (last == "]"))
-            | ((first == '"') & (last == '"') & (F.length(value) > 1)))
+    ends = lambda a, b: value.startswith(a) & value.endswith(b)
+    return ends("{", "}") | ends("[", "]") | (ends('"', '"') & (F.octet_length(value) > 1))
 
 
 def is_json_col(col: Column | str) -> Column:
@@ -203,15 +210,16 @@ def parse_access_log(df: DataFrame, col: str = "line", format_out: str = "format
     df = df.withColumns(cols)
     date_value = F.when(fmt_c == "common", F.regexp_replace(F.col("date"), r"^\[+|\]+$", "")) \
                   .otherwise(F.col("date"))
-    split_rx = r'(?d)^(.*?)" "(.*)\z'
-    swallowed = (fmt_c == "common") & F.col("referrer").rlike(split_rx)
+    # (.*?)" "(.*) over a whole referrer without line feeds, by the place of the first '" "': no regex over long text
+    cut = F.instr("referrer", '" "')
+    swallowed = (fmt_c == "common") & (cut > 0) & (F.instr("referrer", "\n") == 0)
     return (df.withColumn("access_ts", F.when(F.col("date").isNotNull(),
                                               parse_timestamp_value(date_value)))
               .withColumn("referrer_clean",
-                          F.when(swallowed, F.regexp_extract("referrer", split_rx, 1))
+                          F.when(swallowed, F.substring_index("referrer", '" "', 1))
                            .otherwise(F.col("referrer")))
               .withColumn("user_agent_clean",
-                          F.when(swallowed, F.regexp_extract("referrer", split_rx, 2))
+                          F.when(swallowed, F.substr("referrer", cut + F.lit(3)))
                            .otherwise(F.col("user_agent")))
               .drop(tmp))
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from logweft.functions.formats import is_json_col
+from logweft.functions.formats import is_json_col, strip_ends
 from logweft.schema import DISPLAY_CAP, TAB_SIZE
 
 # ANSI / VT100 control sequence introducer followed by parameters and a final
@@ -23,7 +23,7 @@ def decode_lenient(col: Column | str) -> Column:
 
 def strip_line_ends(col: Column | str) -> Column:
     """Drop ``\\r`` and ``\\n`` at both ends; blank lines stay blank."""
-    return F.btrim(_c(col), F.lit("\r\n"))
+    return strip_ends(_c(col), "\r\n")
 
 
 def expand_tabs_col(col: Column | str, tabsize: int = TAB_SIZE) -> Column:

@@ -958,8 +958,8 @@ FROM events
 """)
 def q_long_access_lines(spark, sf_dir):
     """Access lines of over 12,000 characters parse whole."""
-    lines = render.long_lines(render.load(spark, sf_dir, "events"))
-    log = logs_from_table(lines, "text", "file", order_col="event_id")
+    events = render.load(spark, sf_dir, "events").withColumn("file", F.lit("long.log"))
+    log = logs_from_table(events, render.long_text(events), "file", order_col="event_id")       # numbered, then written
     out = formats.parse_access_log(log)
     return out.select("line_no", "format", "status", "length",
                       F.length("referrer_clean").alias("referrer_chars"), "user_agent_clean", ntz("access_ts"))

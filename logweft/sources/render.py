@@ -194,16 +194,14 @@ def entity_log(spark: SparkSession, sf_dir: str) -> DataFrame:
                            order_col="event_id", file_order=True)
 
 
-def long_lines(events: DataFrame, width: int = 12_000) -> DataFrame:
-    """Access-log lines with a referrer of ``width`` characters in front of
-    the user agent: longer than any display width."""
+def long_text(events: DataFrame, width: int = 12_000) -> Column:
+    """Access-log line with a referrer of ``width`` characters in front of the
+    user agent, longer than any display width; over the columns of ``events``."""
     ts = F.date_format(_event_time(events), "dd/MMM/yyyy:HH:mm:ss")
-    return events.select(
-        F.lit("long.log").alias("file"), "event_id",
-        F.concat(F.lit("10.0.0.1 - - ["), ts, F.lit(" +0000] \"GET /"), F.col("event_type"),
-                 F.lit(" HTTP/1.1\" "), _status(F.col("event_type")).cast("string"), F.lit(" "),
-                 F.col("event_id").cast("string"), F.lit(" \"http://h/"), F.repeat(F.lit("r"), F.lit(width)),
-                 F.lit("\" \"agent/"), F.col("user_id").cast("string"), F.lit("\"")).alias("text"))
+    return F.concat(F.lit("10.0.0.1 - - ["), ts, F.lit(" +0000] \"GET /"), F.col("event_type"),
+                    F.lit(" HTTP/1.1\" "), _status(F.col("event_type")).cast("string"), F.lit(" "),
+                    F.col("event_id").cast("string"), F.lit(" \"http://h/"), F.repeat(F.lit("r"), F.lit(width)),
+                    F.lit("\" \"agent/"), F.col("user_id").cast("string"), F.lit("\""))
 
 
 def zone_layout_lines(events: DataFrame) -> DataFrame:

@@ -67,7 +67,7 @@ def spread(df: DataFrame, partitions: int | None = None) -> DataFrame:
     return df.repartition(cores) if n is not None and n < cores else df
 
 
-def logs_from_table(df: DataFrame, text_col: str = "text", file_col: str | None = None,
+def logs_from_table(df: DataFrame, text_col: str | Column = "text", file_col: str | None = None,
                     order_col: str | Column | None = None, file_order: bool = False,
                     keep: tuple[str, ...] = (), numbered: bool = True) -> DataFrame:
     """A log table (``file, file_order, line_no, byte_offset, raw, line``).
@@ -82,7 +82,9 @@ def logs_from_table(df: DataFrame, text_col: str = "text", file_col: str | None
       rank by ``order_col`` inside ``file_col``, computed without a
       file-wide window (see :func:`logweft.operators.numbering.rank_within`).
       ``numbered=False`` skips that step (``line_no`` NULL) for jobs that
-      only aggregate lines and need no order.
+      only aggregate lines and need no order. ``text_col`` may be an
+      expression: it is evaluated after the numbering, which then moves the
+      columns of ``df`` and not the lines (for lines far longer than those).
     """
     file_expr = (F.col(file_col) if file_col else F.lit("stdin")).cast("string")
     if df.isStreaming and order_col is not None and numbered:
@@ -92,21 +94,27 @@ def logs_from_table(df: DataFrame, text_col: str = "text", file_col: str | None
         raise ValueError("file_order needs the whole file list: not available on a stream")
     df = spread(df)
     if order_col is None:
-        text = F.regexp_replace(F.col(text_col), "\n\\z", "")
-        parts = F.when(F.col(text_col) == "", F.array().cast("array<string>")) \
+        text_c = F.col(text_col) if isinstance(text_col, str) else text_col
+        text = F.regexp_replace(text_c, "\n\\z", "")
+        parts = F.when(text_c == "", F.array().cast("array<string>")) \
                  .otherwise(F.split(text, "\n", -1))
         lines = df.select(file_expr.alias("file"), *keep,
                           F.posexplode(parts).alias("line_no", "raw"))
         lines = lines.withColumn("line_no", F.col("line_no").cast("bigint"))
     else:
-        base = df.select(file_expr.alias("file"), *keep,
-                         F.col(text_col).alias("raw"),
-                         (F.col(order_col) if isinstance(order_col, str) else order_col)
-                         .alias("__order"))
+        order = F.col(order_col) if isinstance(order_col, str) else order_col
+        if isinstance(text_col, str):
+            base = df.select(file_expr.alias("file"), *keep, F.col(text_col).alias("raw"), order.alias("__order"))
+        else:
+            base = df.select("*", file_expr.alias("__file"), order.alias("__order"))
         if numbered:
-            lines = rank_within(base, ["__order"], ["file"], out="line_no").drop("__order")
+            lines = rank_within(base, ["__order"], ["file" if isinstance(text_col, str) else "__file"], out="line_no")
+        else:
+            lines = base.withColumn("line_no", F.lit(None).cast("bigint"))
+        if isinstance(text_col, str):
+            lines = lines.drop("__order")
         else:
-            lines = base.withColumn("line_no", F.lit(None).cast("bigint")).drop("__order")
+            lines = lines.select(F.col("__file").alias("file"), *keep, text_col.alias("raw"), "line_no")
     lines = lines.withColumn("byte_offset", F.lit(None).cast("bigint"))
     lines = normalize_lines(lines)
     if file_order:

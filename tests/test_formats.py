@@ -173,3 +173,26 @@ def test_key_profile_of_odd_values(spark):
     df = formats.parse_json_lines(spark.createDataFrame([(x,) for x in rows], "line string"))
     got = {(r.key, r.value_type): r.lines for r in formats.json_key_profile(df).collect()}
     assert got == {("a", "BIGINT"): 1, ("a", "STRING"): 1, ("b", "VOID"): 1, ("c.d", "ARRAY<BIGINT>"): 1}
+
+
+def test_long_lines_are_numbered_before_they_are_written(spark):
+    """A text given as an expression is no part of what the numbering writes; swallowed agents of any text come off whole."""
+    from logweft.operators.numbering import rank_within
+    from logweft.sources import tables
+    moved = []
+
+    def watched(df, *args, **kw):
+        moved.append(df.columns)
+        return rank_within(df, *args, **kw)
+
+    rows = spark.createDataFrame([(2, "b"), (0, "é"), (1, "x\" \"y")], "k long, agent string").withColumn("file", F.lit("long.log"))
+    text = F.concat(F.lit('1.1.1.1 - - [01/Jan/2024:00:00:00 +0000] "GET / HTTP/1.1" 200 5 "é'), F.repeat(F.lit("r"), 20_000),
+                    F.lit('" "'), F.col("agent"), F.lit('"'))
+    tables.rank_within, kept = watched, tables.rank_within
+    try:
+        log = tables.logs_from_table(rows, text, "file", order_col="k")
+    finally:
+        tables.rank_within = kept
+    assert moved == [["k", "agent", "file", "__file", "__order"]]
+    out = formats.parse_access_log(log).orderBy("line_no").select("line_no", F.length("referrer_clean"), "user_agent_clean").collect()
+    assert [tuple(r) for r in out] == [(0, 20_001, "é"), (1, 20_001, "x\" \"y"), (2, 20_001, "b")]
