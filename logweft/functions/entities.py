@@ -14,6 +14,9 @@ consumes, so a pass is linear in the line:
   that may begin a string may also end the one before.
 
 The kind follows from the match's own shape (:func:`_kind_of`).
+
+A line of any length is extracted in pieces (:func:`pieces_col`), so no task
+holds all matches of one.
 """
 
 from __future__ import annotations
@@ -123,13 +126,66 @@ def entities_col(col: Column | str = "line") -> Column:
                        lambda m: F.struct(_kind_of(m).alias("kind"), m.alias("value")))
 
 
+# A longer line is cut, each time before the first blank behind so many characters.
+PIECE_CHARS = 1 << 16
+
+# What may be taken off a piece to see that no string or path is open at its
+# end: strings and paths that hold no other mark, and quotes that can begin no
+# string because of the character before them.
+_SETTLED = (r"""(?U)(?=['"\[])(?:(?<![\\\w])'[^'"\[\]\\\n]*+'|(?<![\\\w])"[^'"\[\]\\\n]*+"|\[[^\]\['"\n]*+\]"""
+            r"""|(?<=[\\\w&&[^b]])['"]|(?<=\wb)['"])""")
+
+
+def _settled(text: Column) -> Column:
+    """Whether no match can go on behind the text, which is cut before a blank
+    (a sufficient test: only strings and paths hold blanks)."""
+    # one look at each: a fold keeps no common values
+    return ~(text.rlike("'''|\"\"\"") | F.regexp_replace(text, _SETTLED, "").rlike("['\"\\[]"))
+
+
+def pieces_col(c: Column, chars: int) -> Column:
+    """ARRAY<STRING>: a line without line feeds cut so that the pieces' matches,
+    one piece after the other, are those of the line. Cuts that a string or
+    path may cross are left out; what is open is looked at again when it has
+    doubled, so the time is linear."""
+    parts = F.regexp_extract_all(c, F.lit(f"(?s).{{1,{chars}}}[^ ]*+"), F.lit(0))
+    none = F.array().cast("array<string>")
+
+    def state(done, held, size, seen):
+        return F.struct(done.alias("done"), held.alias("held"), size.alias("size"), seen.alias("seen"))
+
+    def step(acc, part):
+        held, size = F.concat(acc.held, F.array(part)), acc.size + F.octet_length(part)
+        due, zero = size >= 2 * acc.seen, F.lit(0).cast("bigint")
+        text = F.array_join(held, "")
+        return (F.when(due & _settled(text), state(F.concat(acc.done, F.array(text)), none, zero, zero))
+                 .otherwise(state(acc.done, held, size, F.when(due, size).otherwise(acc.seen))))
+
+    zero = F.lit(0).cast("bigint")
+    return F.aggregate(parts, state(none, none, zero, zero), step, lambda acc: F.when(F.size(acc.held) == 0, acc.done).otherwise(
+        F.concat(acc.done, F.array(F.array_join(acc.held, "")))))
+
+
 def extract_entities(df: DataFrame, col: str = "line",
                      keep: tuple[str, ...] = ("file", "line_no")) -> DataFrame:
     """Entity table ``(file, line_no, pos, kind, value)``; ``pos`` is the
-    0-based index of the match in its line."""
-    return df.select(*keep, F.posexplode(entities_col(col)).alias("pos", "e")) \
-             .select(*keep, F.col("pos").cast("int").alias("pos"),
-                     F.col("e.kind").alias("kind"), F.col("e.value").alias("value"))
+    0-based index of the match in its line. Pieces of long lines are spread
+    over the tasks."""
+    from pyspark.sql import Window
+    from logweft.operators.numbering import range_partitions
+    of = [F.col("pos").cast("int").alias("pos"), F.col("e.kind").alias("kind"), F.col("e.value").alias("value")]
+    c = F.col(col)
+    long = F.coalesce((F.length(c) > PIECE_CHARS) & (F.instr(c, "\n") == 0), F.lit(False))
+    whole = df.filter(~long).select(*keep, F.posexplode(entities_col(col)).alias("pos", "e")).select(*keep, *of)
+    lines = df.filter(long).select(*keep, c.alias("__text"), F.monotonically_increasing_id().alias("__line"))
+    pieces = lines.select(*keep, "__line", F.posexplode(pieces_col(F.col("__text"), PIECE_CHARS)).alias("__piece", "__text"))
+    found = pieces.repartition(range_partitions(df), "__line", "__piece").select(
+        *keep, "__line", "__piece", entities_col("__text").alias("__found"))
+    before = Window.partitionBy("__line").orderBy("__piece").rowsBetween(Window.unboundedPreceding, -1)
+    found = found.withColumn("__before", F.coalesce(F.sum(F.size("__found")).over(before), F.lit(0)))
+    cut = found.select(*keep, "__before", F.posexplode("__found").alias("pos", "e")) \
+               .withColumn("pos", F.col("pos") + F.col("__before")).select(*keep, *of)
+    return whole.unionByName(cut)
 
 
 def entity_counts(entities: DataFrame) -> DataFrame:

@@ -255,9 +255,14 @@ def mixed_layout_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def joined_lines(lines: DataFrame, between: str, last: str = "") -> DataFrame:
-    """The lines of each file, by event id, as one long line."""
-    held = lines.groupBy("file").agg(F.sort_array(F.collect_list(F.struct("event_id", "text"))).alias("held"))
-    return held.select("file", F.concat(F.array_join("held.text", between), F.lit(last)).alias("text"))
+    """The lines of each file, by event id, as one long line: first those of
+    neighbouring ids, then these parts (far fewer values in one task)."""
+    parts = lines.groupBy("file", F.floor(F.col("event_id") / 4096).alias("part")).agg(
+        F.sort_array(F.collect_list(F.struct("event_id", "text"))).alias("held"))
+    parts = parts.select("file", "part", F.array_join("held.text", between).alias("text"))
+    held = parts.groupBy("file").agg(F.sort_array(F.collect_list(F.struct("part", "text"))).alias("held"))
+    text = F.array_join("held.text", between)
+    return held.select("file", (F.concat(text, F.lit(last)) if last else text).alias("text"))
 
 
 def cut_copies(spark: SparkSession, folder: str) -> None:

@@ -123,3 +123,23 @@ def test_long_lines_take_linear_time(spark):
         assert time.time() - start < 10, name            # two seconds alone; tests share the machine
         if name in ("digits", "brackets", "hex", "dashes"):
             assert found == 0
+
+
+def test_long_lines_in_pieces(spark, monkeypatch):
+    """Lines cut into pieces give the entities of the whole line, whatever stands across the cuts."""
+    import random
+    rnd = random.Random(7)
+    bits = [" ", " ", "'", '"', "[", "]", "'''", '"""', "\\", "b'", "don't", "Bob's", "12", "-3.5e4", "10.0.0.1", "fe80::1", "True", "é",
+            "'a b'", "[x y]", '"p q"', "00-00-00-00-00-b'z'", "0xb'", "a'", "'c d 'e", "x\U0001f600", "word", "~"]
+    lines = [" ".join(rnd.choices(bits, k=60)) if k % 2 else "".join(rnd.choices(bits, k=90)) for k in range(150)]
+    lines += [" ~ ".join(f"1.2.3.{k} 'v' [/p/{k}] it's" for k in range(80)), "' " + "7 " * 200, "7 " * 200 + "'"]
+    df = lines_df(spark, lines)
+    c = F.col("line")
+    rows = [tuple(r) for r in df.select("line_no", F.posexplode(entities.entities_col("line")).alias("pos", "e")).select(
+        "line_no", "pos", "e.kind", "e.value").orderBy("line_no", "pos").collect()]
+    monkeypatch.setattr(entities, "PIECE_CHARS", 20)
+    got = entities.extract_entities(df).select("line_no", "pos", "kind", "value").orderBy("line_no", "pos")
+    assert [tuple(r) for r in got.collect()] == rows
+    pieces = [r[0] for r in df.orderBy("line_no").select(entities.pieces_col(c, 20)).collect()]
+    assert ["".join(p) for p in pieces] == [x[0] for x in df.orderBy("line_no").select("line").collect()]
+    assert len(pieces[150]) > 60 and len(pieces[151]) == 1 and len(pieces[152]) > 5
