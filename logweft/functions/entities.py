@@ -179,7 +179,9 @@ def extract_entities(df: DataFrame, col: str = "line",
     whole = df.filter(~long).select(*keep, F.posexplode(entities_col(col)).alias("pos", "e")).select(*keep, *of)
     lines = df.filter(long).select(*keep, c.alias("__text"), F.monotonically_increasing_id().alias("__line"))
     pieces = lines.select(*keep, "__line", F.posexplode(pieces_col(F.col("__text"), PIECE_CHARS)).alias("__piece", "__text"))
-    found = pieces.repartition(range_partitions(df), "__line", "__piece").select(
+    # a few source bytes may be long lines: not fewer tasks than the session asks for
+    parts = max(range_partitions(df), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    found = pieces.repartition(parts, "__line", "__piece").select(
         *keep, "__line", "__piece", entities_col("__text").alias("__found"))
     before = Window.partitionBy("__line").orderBy("__piece").rowsBetween(Window.unboundedPreceding, -1)
     found = found.withColumn("__before", F.coalesce(F.sum(F.size("__found")).over(before), F.lit(0)))

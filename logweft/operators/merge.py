@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from logweft.functions.timestamps import extract_timestamp
 from logweft.operators.numbering import range_partitions, rank_within, small_table
-from logweft.operators.runs import merged_by_zones
+from logweft.operators.runs import key_table, merged_by_zones
 
 # Fixed value: the header back-fill looks at lines 0..11 of a file.
 HEADER_SCAN_LINES = 12
@@ -95,9 +95,12 @@ def merged_positions(df: DataFrame, timed: bool = False, partitions: int | None
     keyed = backfill_header(df)
     # lines without a number, or of files without a place, are no runs
     loose = F.col("file_order").isNull() | F.col("line_no").isNull()
-    if partitions is not None or keyed.filter(loose).limit(1).count():
+    if partitions is not None:
         return rank_within(keyed, MERGE_KEY, out="merged_no", partitions=partitions)
-    return merged_by_zones(keyed)
+    keys = key_table(keyed)
+    if keys.filter(loose).limit(1).count():
+        return rank_within(keyed, MERGE_KEY, out="merged_no")
+    return merged_by_zones(keyed, keys=keys)
 
 
 def save_merged(df: DataFrame, path: str, timed: bool = False, count: bool = True,

@@ -52,21 +52,28 @@ def maybe_broadcast(df: DataFrame, row_bound: int | None, row_bytes: int = 32) -
     return df
 
 
-# Bytes of input for one range partition (spill-friendly task size).
+# Bytes of input for one range partition: at most (spill-friendly task size),
+# and at least where there are more partitions than cores.
 PARTITION_BYTES = 256 * 1024 * 1024
+LEAST_BYTES = 1024 * 1024
 
 
 def range_partitions(df: DataFrame) -> int:
     """Partitions for a range shuffle of ``df``: by the sizes of the tables
     that its plan reads (no job, and no guess about joins), and not fewer
-    than the session's shuffle partitions."""
-    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    than the session's shuffle partitions. Of a table too small for those
+    (``LEAST_BYTES`` each) not fewer than the cores: adaptive execution leaves
+    a range shuffle as it is, and every later pass has as many tasks."""
+    spark = df.sparkSession
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    sizes = [_leaf_bytes(df.sparkSession, leaves.apply(i)) for i in range(leaves.size())]
-    return max(least, -(-sum(sizes) // PARTITION_BYTES))
+    sizes = [_leaf_bytes(spark, leaves.apply(i)) for i in range(leaves.size())]
+    if None not in sizes:
+        least = min(least, max(spark.sparkContext.defaultParallelism, -(-sum(sizes) // LEAST_BYTES)))
+    return max(least, -(-sum(x or 0 for x in sizes) // PARTITION_BYTES))
 
 
-def _leaf_bytes(spark: SparkSession, leaf) -> int:
+def _leaf_bytes(spark: SparkSession, leaf) -> int | None:
     """Bytes that a leaf of a plan reads. A checkpointed table claims what was
     guessed for the plan behind it (a join: the product of its sides), so it
     is measured by its files (metadata only)."""
@@ -76,7 +83,7 @@ def _leaf_bytes(spark: SparkSession, leaf) -> int:
             path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(written.get())
             return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
     claimed = int(str(leaf.stats().sizeInBytes()))
-    return claimed if claimed < 1 << 50 else 0  # without statistics an immense size: no evidence
+    return claimed if claimed < 1 << 50 else None  # without statistics an immense size: no evidence
 
 
 def small_table(df: DataFrame, row_bytes: int) -> DataFrame:

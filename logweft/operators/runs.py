@@ -86,7 +86,7 @@ def _placed(zones: DataFrame) -> DataFrame:
     partitions is one row for each.
     """
     spark = zones.sparkSession
-    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    n = range_partitions(zones)
     path = shared_dir(spark, "zones")
     ranged = zones.repartitionByRange(n, "lo").sortWithinPartitions("lo").withColumn("part", F.spark_partition_id())
     ranged.write.parquet(path)                     # two range shuffles may sample different bounds
@@ -112,25 +112,41 @@ def _placed(zones: DataFrame) -> DataFrame:
     return rows.join(groups, "group").select("file_order", "block", "first_line", "lines", "apart", "before", "apart_before")
 
 
-def merged_by_zones(keyed: DataFrame, out: str = "merged_no", run: int | None = None) -> DataFrame:
+def key_table(keyed: DataFrame) -> DataFrame:
+    """``file_order, line_no, ts_key`` of every line, written once: the zone map and the ranks read
+    them more than once, and each time would search the lines for their times again."""
+    path = shared_dir(keyed.sparkSession, "merge-keys")
+    keys = keyed.select(F.col("file_order").cast("int"), F.col("line_no").cast("bigint"), F.col("ts_key").cast("bigint"))
+    keys.write.parquet(path)
+    return keyed.sparkSession.read.schema(keys.schema).parquet(path)
+
+
+def merged_by_zones(keyed: DataFrame, out: str = "merged_no", run: int | None = None, keys: DataFrame | None = None) -> DataFrame:
     """``keyed`` (a log table with ``ts_key``) with the position of each line in
     the order of (``ts_key``, ``line_no``, ``file_order``).
 
-    Jobs at call time: the zone map (one narrow pass over the log) and, if
-    zones overlap, the ranks of their lines' keys; wide rows are never written.
+    Jobs at call time: the keys (one narrow pass over the log, unless its
+    :func:`key_table` is given), the zone map and, if zones overlap, the ranks
+    of their lines' keys; wide rows are never written.
     """
+    keys = key_table(keyed) if keys is None else keys
     run = run or run_lines(keyed)
-    zones = small_table(_placed(zone_map(keyed, run)), 64)
+    zones = small_table(_placed(zone_map(keys, run)), 64)
     block = F.floor(F.col("line_no") / run).cast("bigint")
     marks = zones.select(F.col("file_order").alias("__order"), F.col("block").alias("__block"), "first_line", "apart", "before", "apart_before")
-    rows = keyed.join(marks, (F.col("file_order").cast("int") == F.col("__order")) & (block == F.col("__block")))
+
+    def marked(df: DataFrame) -> DataFrame:
+        return df.join(marks, (F.col("file_order").cast("int") == F.col("__order")) & (block == F.col("__block")))
+
     columns = keyed.columns
-    clean = rows.filter("apart").select(*columns, (F.col("before") + F.col("line_no") - F.col("first_line")).alias(out))
-    if not zones.filter("NOT apart").limit(1).count():
+    kinds = {r.apart for r in zones.select("apart").distinct().collect()}      # two rows at most
+    clean = marked(keyed).filter("apart").select(*columns, (F.col("before") + F.col("line_no") - F.col("first_line")).alias(out))
+    if False not in kinds:
         return clean
-    mixed = rows.filter("NOT apart")
-    ranked = rank_within(mixed.select(F.col("ts_key").alias("__k"), F.col("line_no").alias("__l"), F.col("file_order").alias("__f"),
-                                      "apart_before"), ["__k", "__l", "__f"], out="__rank")
+    ranked = rank_within(marked(keys).filter("NOT apart").select(
+        F.col("ts_key").alias("__k"), F.col("line_no").alias("__l"), F.col("file_order").alias("__f"), "apart_before"),
+        ["__k", "__l", "__f"], out="__rank")
+    mixed = marked(keyed).filter("NOT apart") if True in kinds else keyed
     mixed = mixed.join(ranked.select("__f", "__l", (F.col("__rank") + F.col("apart_before")).alias(out)),
-                       (F.col("file_order") == F.col("__f")) & (F.col("line_no") == F.col("__l")))
-    return clean.unionByName(mixed.select(*columns, out))
+                       (F.col("file_order") == F.col("__f")) & (F.col("line_no") == F.col("__l"))).select(*columns, out)
+    return clean.unionByName(mixed) if True in kinds else mixed

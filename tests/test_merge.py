@@ -127,3 +127,17 @@ def test_range_partitions_of_checkpointed_joins(spark):
         made = made.join(small_table(a.select(F.col("id").alias(f"k{k}")), 16).hint("merge"), F.col("id") == F.col(f"k{k}"))
     made = made.checkpoint()
     assert range_partitions(made) == range_partitions(made.join(a, "id")) == 4
+
+
+def test_range_partitions_of_small_tables(spark):
+    """A small table gets as many range partitions as there are cores, not the session's number of shuffle partitions."""
+    from logweft.operators.numbering import range_partitions
+    spark.range(1000).write.mode("overwrite").parquet("/tmp/logweft-range-parts")
+    kept = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "200")
+    try:
+        assert range_partitions(spark.read.parquet("/tmp/logweft-range-parts")) == spark.sparkContext.defaultParallelism
+        unknown = spark.createDataFrame([(1,)], "id int")           # no statistics
+        assert range_partitions(unknown) == 200
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", kept)

@@ -73,3 +73,19 @@ def test_a_run_grows_with_the_table(spark, monkeypatch):
     empty = log(spark, {0: [1]}).limit(0)
     assert runs.merged_by_zones(empty).count() == 0
     assert merge.MERGE_KEY == ["ts_key", "line_no", "file_order"]
+
+
+def test_files_that_all_overlap_are_read_once_for_keys_and_once_for_rows(spark):
+    files = {o: [o + 10 * i for i in range(300)] for o in range(3)}
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+    df = log(spark, files)
+    keyed = df.mapInArrow(count, df.schema)
+    out = runs.merged_by_zones(keyed, run=50)
+    assert seen.value == 900                 # zone map and ranks come from the keys
+    assert got(out) == want(files) and seen.value == 1800
+    assert "Union" not in out._jdf.queryExecution().optimizedPlan().toString()
