@@ -42,12 +42,15 @@ def _characters(data: np.ndarray) -> tuple[np.ndarray | None, np.ndarray]:
     if not len(data) or data.max() < 0x80:
         return None, data
     at = np.flatnonzero(data & 0xC0 != 0x80)
-    lead = data[at].astype(np.int32)
-    size = np.diff(np.append(at, len(data)))
-    point = np.where(size == 1, lead, lead & (0xFF >> (size + 1)))
+    point = data[at].astype(np.int32)
+    more = np.flatnonzero(point >= 0xC0)             # leads of characters of two bytes or more
+    lead = point[more]
+    size = 2 + (lead >= 0xE0) + (lead >= 0xF0)
+    value = lead & (0xFF >> (size + 1))
     for k in range(1, 4):
-        more = np.flatnonzero(size > k)
-        point[more] = point[more] << 6 | data[at[more] + k] & 0x3F
+        on = np.flatnonzero(size > k)
+        value[on] = value[on] << 6 | data[at[more[on]] + k] & 0x3F
+    point[more] = value
     return at, point
 
 
@@ -102,11 +105,12 @@ def word_starts(texts: c.Texts) -> tuple[np.ndarray, np.ndarray]:
 class IdTable:
     """Ids of words, each encoded once and remembered under the 64-bit hash of its bytes.
 
-    ``encode`` turns a list of words into a list of id lists. Beyond ``limit`` words the table starts anew, so its
-    memory is bounded (about 40 bytes a word and 4 an id).
+    ``encode`` turns a list of words into a list of id lists. Beyond ``limit`` words the table keeps those that were
+    met again since they were learned, or starts anew if these are over half of it, so its memory is bounded (about 40
+    bytes a word and 4 an id).
     """
 
-    def __init__(self, encode: Callable[[list[str]], Iterable[list[int]]], limit: int = 400_000):
+    def __init__(self, encode: Callable[[list[str]], Iterable[list[int]]], limit: int = 1_000_000):
         self.encode, self.limit = encode, limit
         self._forget()
 
@@ -114,18 +118,29 @@ class IdTable:
         self.keys, self.slots = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         self.starts = np.zeros(1, np.int64)
         self.ids = np.zeros(0, np.uint32)
+        self.again = np.zeros(0, bool)                # by slot: met after the step that learned it
+
+    def _keep_used(self) -> None:
+        kept = np.flatnonzero(self.again[self.slots])
+        keys, slots = self.keys[kept], self.slots[kept]
+        if not len(kept) or len(kept) > self.limit // 2:
+            return self._forget()
+        sizes = self.starts[slots + 1] - self.starts[slots]
+        self.ids = self.ids[c.ranges(self.starts[slots], sizes)]
+        self.starts = np.concatenate([[0], np.cumsum(sizes)])
+        self.keys, self.slots, self.again = keys, np.arange(len(keys)), np.zeros(len(keys), bool)
 
     def ids_of(self, texts: c.Texts, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the words at the given places, end to end, and how many each word has."""
         if not len(starts):
             return np.zeros(0, np.uint32), np.zeros(0, np.int64)
         keys, first, place = np.unique(c.byte_hashes(texts).spans(starts, ends), return_index=True, return_inverse=True)
-        at = np.searchsorted(self.keys, keys)
-        new = np.flatnonzero(np.append(self.keys, np.uint64(0))[at] != keys) if len(self.keys) else np.arange(len(keys))
-        if len(new) and len(self.keys) + len(new) > self.limit:
-            self._forget()
-            at, new = np.zeros(len(keys), np.int64), np.arange(len(keys))
-        new = np.union1d(new, np.flatnonzero(at == len(self.keys)))
+        at, known = self._find(keys)
+        self.again[self.slots[at[known]]] = True
+        if not known.all() and len(self.keys) + len(keys) - int(known.sum()) > self.limit:
+            self._keep_used()
+            at, known = self._find(keys)
+        new = np.flatnonzero(~known)
         if len(new):
             self._learn(keys[new], [texts.data[starts[i]:ends[i]].tobytes().decode() for i in first[new]])
             at = np.searchsorted(self.keys, keys)
@@ -133,6 +148,14 @@ class IdTable:
         sizes = self.starts[slot + 1] - self.starts[slot]
         return self.ids[c.ranges(self.starts[slot], sizes)], sizes
 
+    def _find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the table's keys hold these, and which it has."""
+        at = np.searchsorted(self.keys, keys)
+        known = np.zeros(len(keys), bool)
+        inside = at < len(self.keys)
+        known[inside] = self.keys[at[inside]] == keys[inside]
+        return at, known
+
     def _learn(self, keys: np.ndarray, words: list[str]) -> None:
         coded = list(self.encode(words))
         sizes = np.fromiter(map(len, coded), np.int64, len(coded))
@@ -140,6 +163,7 @@ class IdTable:
         slots = np.arange(len(self.keys), len(self.keys) + len(keys))
         self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(sizes)])
         self.ids = np.concatenate([self.ids, flat])
+        self.again = np.concatenate([self.again, np.zeros(len(keys), bool)])
         keys, slots = np.concatenate([self.keys, keys]), np.concatenate([self.slots, slots])
         order = np.argsort(keys, kind="stable")
         self.keys, self.slots = keys[order], slots[order]
@@ -149,7 +173,12 @@ class IdTable:
 def byte_table(path: str) -> IdTable:
     """The table of a byte-level vocabulary, shared by the tasks of a Python worker."""
     model = bs.tokenizer(path).model
-    return IdTable(lambda words: ([t.id for t in model.tokenize(bs.to_byte_level(w))] for w in words))
+
+    def encode(words: list[str]) -> Iterable[list[int]]:
+        ends = np.cumsum([len(w) if w.isascii() else len(w.encode()) for w in words]).tolist()
+        text = bs.to_byte_level("".join(words))       # a character a byte
+        return ([t.id for t in model.tokenize(text[a:b])] for a, b in zip([0, *ends], ends))
+    return IdTable(encode)
 
 
 def coded_documents(texts: c.Texts, starts: np.ndarray, table: IdTable, odd: np.ndarray, whole: Callable[[str], list[int]]

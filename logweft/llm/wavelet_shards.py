@@ -55,14 +55,18 @@ class Wavelet:
     @classmethod
     def of(cls, ids: np.ndarray, bits: int | None = None) -> "Wavelet":
         bits = bits or max(1, int(ids.max()).bit_length() if len(ids) else 1)
-        ids = np.asarray(ids, np.uint16 if bits <= 16 else np.uint32)
+        ids = np.array(ids, np.uint16 if bits <= 16 else np.uint32)
+        spare = np.empty_like(ids)                    # planes go to and fro between two arrays
         planes, ones = [], np.zeros((bits, -(-len(ids) // BLOCK_BITS) + 1), np.int64)
         for k in range(bits):
             on = (ids >> ids.dtype.type(bits - 1 - k) & ids.dtype.type(1)).astype(bool)
             planes.append(np.packbits(on))
             if len(on):
                 np.cumsum(np.add.reduceat(on, np.arange(0, len(on), BLOCK_BITS), dtype=np.int64), out=ones[k, 1:])
-            ids = np.concatenate([ids[~on], ids[on]])
+            zeros = len(ids) - int(ones[k, -1])
+            np.compress(~on, ids, out=spare[:zeros])
+            np.compress(on, ids, out=spare[zeros:])
+            ids, spare = spare, ids
         made = cls(len(ids), bits, ones)
         made.planes = planes
         return made

@@ -58,3 +58,16 @@ def test_ids_equal_the_library(rows):
     byte_words.byte_table.cache_clear()
     ids, bounds = byte_words.encode_texts(steps(["", ""]), BYTE, encode)
     assert len(ids) == 0 and bounds.tolist() == [0, 0, 0]
+
+
+def test_a_full_table_keeps_the_words_met_again():
+    asked = []
+    table = byte_words.IdTable(lambda words: asked.extend(words) or [[len(w), ord(w[0])] for w in words], limit=60)
+    often = [f"often{i}" for i in range(10)]
+    for step in range(12):
+        words = often + [f"once{step}-{i}" for i in range(15)]
+        got = steps(words)
+        ids, sizes = table.ids_of(got, got.offsets[:-1], got.offsets[1:])
+        assert sizes.tolist() == [2] * len(words) and ids.reshape(-1, 2).tolist() == [[len(w), ord(w[0])] for w in words]
+        assert len(table.keys) <= 60
+    assert all(asked.count(w) == 1 for w in often) and len(asked) == 10 + 12 * 15
