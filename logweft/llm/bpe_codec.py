@@ -31,6 +31,8 @@ from logweft.llm import common as c
 BLOCK_WORDS = 8_000_000
 #: Looked-up words that a task packs at a time on their way back to the blocks.
 PACK_ROWS = 200_000
+#: Level of zstd for what lies in the blocks and lookups, which are most of what the job holds on disk.
+LEVEL = 9
 
 _BLOCK = ("block long, doc_ids array<long>, sizes array<int>, words array<string>, places binary")
 
@@ -38,7 +40,7 @@ _BLOCK = ("block long, doc_ids array<long>, sizes array<int>, words array<string
 def packed_places(places: np.ndarray) -> bytes:
     """Unsigned 32-bit places as compressed byte planes."""
     planes = np.ascontiguousarray(places.astype("<u4").view(np.uint8).reshape(-1, 4).T)
-    return zstandard.compress(planes.tobytes(), 1)
+    return zstandard.compress(planes.tobytes(), LEVEL)
 
 
 def unpacked_places(packed: bytes) -> np.ndarray:
@@ -137,7 +139,7 @@ def packed_lookups(blocks: DataFrame, table: DataFrame) -> DataFrame:
             cuts = np.flatnonzero(np.concatenate([[True], home[1:] != home[:-1], [True]]))
             for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
                 part = run.slice(a, b - a)
-                lines = [zstandard.compress("\n".join(part.column(x).to_pylist()).encode(), 1) for x in ("ids", "pieces")]
+                lines = [zstandard.compress("\n".join(part.column(x).to_pylist()).encode(), LEVEL) for x in ("ids", "pieces")]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([home[a]], pa.int64()), pa.array([packed_places(part.column("place").to_numpy())], pa.binary()),
                      pa.array([packed_places(part.column("n").to_numpy())], pa.binary()),

@@ -117,3 +117,13 @@ def test_wide_ids_and_odd_shard_ends():
     ids = np.array([0, 70_000, 3, 70_000, 1 << 17], np.uint32)
     w = wavelet_shards.Wavelet.open(wavelet_shards.Wavelet.of(ids).to_bytes())
     assert w.decode().tolist() == ids.tolist() and [w.access(i) for i in range(5)] == ids.tolist() and w.places(70_000) == [1, 3]
+
+
+def test_packed_places_are_smaller_than_at_the_first_level():
+    import zstandard
+    rng = np.random.default_rng(3)
+    places = np.minimum(rng.zipf(1.2, 300_000), 60_000)
+    packed = bpe_codec.packed_places(places)
+    assert (bpe_codec.unpacked_places(packed) == places).all()
+    planes = np.ascontiguousarray(places.astype("<u4").view(np.uint8).reshape(-1, 4).T)
+    assert len(packed) < len(zstandard.compress(planes.tobytes(), 1))
