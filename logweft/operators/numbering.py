@@ -10,7 +10,7 @@ every row into one task. Instead:
   partitions. That table has at most ``partitions + groups`` rows; it is
   broadcast only when that bound is known to be small, otherwise the join is
   left to the planner (AQE sees its real size at run time).
-  The range-partitioned rows are written once with ``checkpoint()`` (to the
+  The range-partitioned rows are written once (:func:`written_once`, under the
   cluster's ``spark.checkpoint.dir``) before they are counted and numbered:
   two separately planned range shuffles may sample different bounds, and the
   written copy also spares a recomputation when an executor is lost.
@@ -27,10 +27,14 @@ from __future__ import annotations
 
 from typing import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from logweft.session import shared_dir
 
+# Rows of a helper table that one task ranks; more are range-partitioned.
+ROWS_IN_TASK = 100_000
+
 # Largest helper table we broadcast on a proven bound: rows and bytes.
 BROADCAST_ROW_LIMIT = 5_000_000
 BROADCAST_BYTE_LIMIT = 256 * 1024 * 1024
@@ -86,6 +90,19 @@ def _leaf_bytes(spark: SparkSession, leaf) -> int | None:
     return claimed if claimed < 1 << 50 else None  # without statistics an immense size: no evidence
 
 
+def written_once(df: DataFrame, name: str) -> DataFrame:
+    """The rows as a Parquet table in the shared folder: each later pass reads
+    only the columns it needs, and in batches, where a checkpoint is read whole
+    and row by row. Rows that Parquet cannot hold (a void column, names that
+    differ by case alone) are checkpointed."""
+    path = shared_dir(df.sparkSession, name)  # makes sure a checkpoint folder is set
+    try:
+        df.write.parquet(path)
+    except AnalysisException:
+        return df.checkpoint(eager=True)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def small_table(df: DataFrame, row_bytes: int) -> DataFrame:
     """A helper table computed once (checkpointed) and counted, with a
     broadcast hint if what was counted is within the bound."""
@@ -101,19 +118,19 @@ def rank_within(df: DataFrame, order_cols: Sequence[str | Column], group_cols: S
 
     Ties in ``order_cols`` get distinct, arbitrary-but-consistent positions;
     pass a unique key for a fully determined result. Runs one job at call
-    time (the checkpoint of the range-partitioned rows).
+    time (the range-partitioned rows are written).
     """
-    spark = df.sparkSession
-    shared_dir(spark, "rank")  # makes sure a checkpoint folder is set
     n = partitions or range_partitions(df)
     groups = list(group_cols)
     keys = [*[F.col(g) for g in groups],
             *[F.col(c) if isinstance(c, str) else c for c in order_cols]]
-    ranged = (df.repartitionByRange(n, *keys)
-                .sortWithinPartitions(*keys)
-                .withColumn("__pid", F.spark_partition_id())
-                .withColumn("__local", _local_position())
-                .checkpoint(eager=True))
+    alone = n == 1 and not groups       # nothing lies in earlier partitions
+    ranged = written_once((df.repartition(1) if alone else df.repartitionByRange(n, *keys))
+                            .sortWithinPartitions(*keys)
+                            .withColumn("__pid", F.spark_partition_id())
+                            .withColumn("__local", _local_position()), "rank")
+    if alone:
+        return ranged.drop("__pid").withColumnRenamed("__local", out)
     counts = ranged.groupBy(*groups, "__pid").agg(F.count(F.lit(1)).alias("__n"),
                                                   F.min("__local").alias("__first"))
     before = Window.partitionBy(*groups).orderBy("__pid") \

@@ -17,14 +17,15 @@ from typing import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
-from logweft.operators.numbering import PARTITION_BYTES, range_partitions, rank_within, small_table
-from logweft.session import shared_dir
+from logweft.operators.numbering import PARTITION_BYTES, ROWS_IN_TASK, maybe_broadcast, range_partitions, rank_within, written_once
 
 #: Lines of a block, and the most blocks that a table of 256 MiB partitions gets (the zone map is broadcast).
 RUN_LINES = 4096
 MAX_ZONES = 1_000_000
+#: Zones that one task places; more are range-partitioned.
+ZONES_IN_TASK = ROWS_IN_TASK
 _LINES_PER_PARTITION = PARTITION_BYTES // 100
 _PIECE = "file_order int, block bigint, first_line bigint, lines bigint, lo bigint, hi bigint"
 
@@ -77,48 +78,71 @@ def _key(ts: str, line: str) -> Column:
     return F.struct(F.col(ts).alias("ts_key"), F.col(line).alias("line_no"), F.col("file_order").alias("file_order"))
 
 
-def _placed(zones: DataFrame) -> DataFrame:
+def _placed(zones: DataFrame, counted: int) -> DataFrame:
     """Zones with their group (zones that overlap, directly or through others),
     whether it is ``apart`` (one zone, in order), and the lines of earlier
     groups: ``before`` of all, ``apart_before`` of those apart.
 
-    The zones are range-partitioned by first key; what comes from earlier
-    partitions is one row for each.
+    More than ``ZONES_IN_TASK`` zones are range-partitioned by first key; what
+    comes from earlier partitions is one row for each. Fewer are one part,
+    whose windows need no shuffle but the one that brings them together.
     """
-    spark = zones.sparkSession
+    lo = F.col("lo")
+    if counted <= ZONES_IN_TASK:
+        return _placed_here(zones.repartition(1), Window.orderBy(lo))
     n = range_partitions(zones)
-    path = shared_dir(spark, "zones")
-    ranged = zones.repartitionByRange(n, "lo").sortWithinPartitions("lo").withColumn("part", F.spark_partition_id())
-    ranged.write.parquet(path)                     # two range shuffles may sample different bounds
-    ranged = spark.read.schema(ranged.schema).parquet(path)
+    # two range shuffles may sample different bounds
+    ranged = written_once(zones.repartitionByRange(n, lo).sortWithinPartitions(lo).withColumn("part", F.spark_partition_id()), "zones")
     over_parts = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    inside = Window.partitionBy("part").orderBy("lo")
+    inside = Window.partitionBy("part").orderBy(lo)
     earlier = ranged.groupBy("part").agg(F.max("hi").alias("top")).select("part", F.max("top").over(over_parts).alias("top"))
-    reach = F.max("hi").over(inside.rowsBetween(Window.unboundedPreceding, -1))
-    rows = ranged.join(earlier, "part").withColumn("reach", F.greatest(F.col("top"), reach))
-    rows = rows.withColumn("opens", F.when(F.col("reach").isNull() | (F.col("lo") > F.col("reach")), 1).otherwise(0))
+    rows = _opened(ranged.join(earlier, "part"), inside, F.col("top"))
     opened = rows.groupBy("part").agg(F.sum("opens").alias("n")).select("part", F.coalesce(F.sum("n").over(over_parts), F.lit(0)).alias("base"))
     rows = rows.join(opened, "part").withColumn("group", F.col("base") + F.sum("opens").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
-    groups = rows.groupBy("group").agg(F.count(F.lit(1)).alias("zones"), F.sum("lines").alias("group_lines"), F.min("sorted").alias("ordered"),
-                                       F.min("part").alias("part"))
-    groups = groups.withColumn("apart", (F.col("zones") == 1) & F.col("ordered"))
-    own = F.when(F.col("apart"), F.col("group_lines")).otherwise(0)
-    sums = groups.groupBy("part").agg(F.sum("group_lines").alias("a"), F.sum(own).alias("b")).select(
+    groups = _groups(rows, F.min("part").alias("part"))
+    sums = groups.groupBy("part").agg(F.sum("group_lines").alias("a"), F.sum("own").alias("b")).select(
         "part", F.coalesce(F.sum("a").over(over_parts), F.lit(0)).alias("a"), F.coalesce(F.sum("b").over(over_parts), F.lit(0)).alias("b"))
-    before = Window.partitionBy("part").orderBy("group").rowsBetween(Window.unboundedPreceding, -1)
-    groups = groups.join(sums, "part").select(
-        "group", "apart", (F.col("a") + F.coalesce(F.sum("group_lines").over(before), F.lit(0))).alias("before"),
-        (F.col("b") + F.coalesce(F.sum(own).over(before), F.lit(0))).alias("apart_before"))
-    return rows.join(groups, "group").select("file_order", "block", "first_line", "lines", "apart", "before", "apart_before")
+    groups = _before(groups.join(sums, "part"), Window.partitionBy("part").orderBy("group"), F.col("a"), F.col("b"))
+    return rows.join(groups, "group").select(*_PLACED)
+
+
+def _placed_here(zones: DataFrame, order: WindowSpec) -> DataFrame:
+    """:func:`_placed` for zones in one partition."""
+    none = F.lit(0).cast("bigint")
+    rows = _opened(zones, order, None).withColumn("group", F.sum("opens").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    groups = _before(_groups(rows), Window.orderBy("group"), none, none)
+    return rows.join(F.broadcast(groups), "group").select(*_PLACED)
+
+
+_PLACED = ("file_order", "block", "first_line", "lines", "apart", "before", "apart_before")
+
+
+def _opened(rows: DataFrame, order: WindowSpec, top: Column | None) -> DataFrame:
+    """``opens``: 1 where a zone lies behind all earlier ones (those of earlier parts reach ``top``)."""
+    reach = F.max("hi").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("reach", reach if top is None else F.greatest(top, reach))
+    return rows.withColumn("opens", F.when(F.col("reach").isNull() | (F.col("lo") > F.col("reach")), 1).otherwise(0))
+
+
+def _groups(rows: DataFrame, *more: Column) -> DataFrame:
+    groups = rows.groupBy("group").agg(F.count(F.lit(1)).alias("zones"), F.sum("lines").alias("group_lines"),
+                                       F.min("sorted").alias("ordered"), *more)
+    groups = groups.withColumn("apart", (F.col("zones") == 1) & F.col("ordered"))
+    return groups.withColumn("own", F.when(F.col("apart"), F.col("group_lines")).otherwise(0))
+
+
+def _before(groups: DataFrame, order: WindowSpec, lines: Column, apart: Column) -> DataFrame:
+    """Lines of earlier groups of the window behind those of earlier parts: of all groups, and of those apart."""
+    earlier = order.rowsBetween(Window.unboundedPreceding, -1)
+    return groups.select("group", "apart", (lines + F.coalesce(F.sum("group_lines").over(earlier), F.lit(0))).alias("before"),
+                         (apart + F.coalesce(F.sum("own").over(earlier), F.lit(0))).alias("apart_before"))
 
 
 def key_table(keyed: DataFrame) -> DataFrame:
     """``file_order, line_no, ts_key`` of every line, written once: the zone map and the ranks read
     them more than once, and each time would search the lines for their times again."""
-    path = shared_dir(keyed.sparkSession, "merge-keys")
-    keys = keyed.select(F.col("file_order").cast("int"), F.col("line_no").cast("bigint"), F.col("ts_key").cast("bigint"))
-    keys.write.parquet(path)
-    return keyed.sparkSession.read.schema(keys.schema).parquet(path)
+    return written_once(keyed.select(F.col("file_order").cast("int"), F.col("line_no").cast("bigint"), F.col("ts_key").cast("bigint")),
+                        "merge-keys")
 
 
 def merged_by_zones(keyed: DataFrame, out: str = "merged_no", run: int | None = None, keys: DataFrame | None = None) -> DataFrame:
@@ -131,7 +155,9 @@ def merged_by_zones(keyed: DataFrame, out: str = "merged_no", run: int | None =
     """
     keys = key_table(keyed) if keys is None else keys
     run = run or run_lines(keyed)
-    zones = small_table(_placed(zone_map(keys, run)), 64)
+    zones = written_once(zone_map(keys, run), "zone-map")
+    counted = zones.count()
+    zones = maybe_broadcast(written_once(_placed(zones, counted), "zones-placed"), counted, 64)
     block = F.floor(F.col("line_no") / run).cast("bigint")
     marks = zones.select(F.col("file_order").alias("__order"), F.col("block").alias("__block"), "first_line", "apart", "before", "apart_before")
 

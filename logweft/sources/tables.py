@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame, functions as F
 
 from logweft.functions.lines import normalize_lines
-from logweft.operators.numbering import rank_within, small_table
+from logweft.operators.numbering import ROWS_IN_TASK, maybe_broadcast, rank_within, written_once
 
 
 def natural_key(name: Column | str) -> Column:
@@ -27,15 +27,15 @@ def with_file_order(df: DataFrame, file_col: str = "file", out: str = "file_orde
     """Rank of each file in natural name order (0-based).
 
     Computed on the distinct file names only (one row per file), ranked
-    without a global window, and joined back: broadcast when their counted
-    number is within the bound.
+    without a global window (a counted number of at most ``ROWS_IN_TASK`` in
+    one task), and joined back: broadcast when that number is within the bound.
     """
     if out in df.columns:
         df = df.drop(out)
-    files = df.select(F.col(file_col).alias("__ofile")).distinct()
-    ranks = rank_within(files.filter(F.col("__ofile").isNotNull()),
-                        [natural_key("__ofile"), "__ofile"], out=out)
-    ranks = small_table(ranks.select("__ofile", F.col(out).cast("int").alias(out)), 264)
+    files = written_once(df.select(F.col(file_col).alias("__ofile")).distinct().filter(F.col("__ofile").isNotNull()), "file-names")
+    names = files.count()
+    ranks = rank_within(files, [natural_key("__ofile"), "__ofile"], out=out, partitions=1 if names <= ROWS_IN_TASK else None)
+    ranks = maybe_broadcast(ranks.select("__ofile", F.col(out).cast("int").alias(out)), names, 264)
     return (df.join(ranks, F.col(file_col).eqNullSafe(F.col("__ofile")), "left")
               .drop("__ofile"))
 

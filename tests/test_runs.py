@@ -89,3 +89,38 @@ def test_files_that_all_overlap_are_read_once_for_keys_and_once_for_rows(spark):
     assert seen.value == 900                 # zone map and ranks come from the keys
     assert got(out) == want(files) and seen.value == 1800
     assert "Union" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_few_and_many_zones_are_placed_alike(spark, monkeypatch):
+    """Few zones are placed by one task, without the shuffles between range partitions; the places are the same."""
+    rng = random.Random(3)
+    files = {o: sorted(rng.randint(o * 500, o * 500 + 800) for _ in range(300)) for o in range(4)}
+    zones = runs.written_once(runs.zone_map(log(spark, files), 16), "zone-map")
+    counted = zones.count()
+    few = runs._placed(zones, counted)
+    assert few._jdf.queryExecution().executedPlan().toString().count("Exchange") <= 4
+    monkeypatch.setattr(runs, "ZONES_IN_TASK", 0)
+    many = runs._placed(zones, counted)
+    assert sorted(few.collect()) == sorted(many.collect()) and few.count() == sum(-(-300 // 16) for _ in files)
+
+
+def test_ranked_rows_are_read_by_column(spark):
+    """Later passes over numbered rows read the columns they need; rows that Parquet cannot hold are numbered as well."""
+    from logweft.operators.numbering import rank_within
+    df = spark.range(50).select("id", F.repeat(F.lit("x"), 1000).alias("wide"), F.lit(None).alias("none"))
+    ranked = rank_within(df.drop("none"), [F.desc("id")])
+    plan = ranked.select("pos")._jdf.queryExecution().executedPlan().toString()
+    assert "FileScan parquet" in plan and "wide" not in plan
+    for rows in (ranked, rank_within(df, [F.desc("id")])):
+        assert [(r.id, r.pos) for r in rows.orderBy("id").collect()] == [(i, 49 - i) for i in range(50)]
+
+
+def test_few_file_names_are_ranked_by_one_task(spark):
+    from logweft.sources.tables import with_file_order
+    names = ["app.log.10", "app.log.2", "app.log", None, "b.1"]
+    df = spark.createDataFrame([(n, i) for n in names for i in range(3)], "file string, x int")
+    out = with_file_order(df)
+    assert {(r.file, r.file_order) for r in out.collect()} == {
+        ("app.log", 0), ("app.log.2", 1), ("app.log.10", 2), ("b.1", 3), (None, None)} and out.count() == 15
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "SortMergeJoin" not in plan       # no counts of earlier partitions to add
