@@ -39,13 +39,13 @@ _BLOCK = ("block long, doc_ids array<long>, sizes array<int>, words array<string
 
 def packed_places(places: np.ndarray) -> bytes:
     """Unsigned 32-bit places as compressed byte planes."""
-    planes = np.ascontiguousarray(places.astype("<u4").view(np.uint8).reshape(-1, 4).T)
-    return zstandard.compress(planes.tobytes(), LEVEL)
+    planes = np.ascontiguousarray(places.astype("<u4", copy=False).view(np.uint8).reshape(-1, 4).T)
+    return zstandard.compress(planes, LEVEL)
 
 
 def unpacked_places(packed: bytes) -> np.ndarray:
     planes = np.frombuffer(zstandard.decompress(packed), np.uint8).reshape(4, -1)
-    return np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
+    return np.ascontiguousarray(planes.T).view("<u4").ravel()
 
 
 def word_blocks(docs: DataFrame, path: str, id_col: str, text_col: str, block_words: int) -> DataFrame:
@@ -62,17 +62,25 @@ def word_blocks(docs: DataFrame, path: str, id_col: str, text_col: str, block_wo
         ids, sizes, places, held = [], [], [], 0
 
         def block():
-            joined = np.concatenate(places) if places else np.zeros(0, np.int64)
-            # frequent words get small places, which pack better
-            order = np.argsort(-np.bincount(joined, minlength=len(words)), kind="stable")
-            rank = np.empty(len(words), np.int64)
-            rank[order] = np.arange(len(words))
+            # frequent words get small places, which pack better; the batches' places are counted and ranked one by one
+            counts = np.zeros(len(words), np.int64)
+            for own in places:
+                counts += np.bincount(own, minlength=len(words))
+            order = np.argsort(-counts, kind="stable")
+            rank = np.empty(len(words), "<u4")
+            rank[order] = np.arange(len(words), dtype="<u4")
+            joined = np.zeros(held, "<u4")
+            at = held
+            while places:
+                own = places.pop()
+                at -= len(own)
+                joined[at:at + len(own)] = rank[own]
             listed = pa.array(list(words), pa.string()).take(pa.array(order))
             return pa.RecordBatch.from_arrays(
                 [pa.array([number], pa.int64()), pa.array([ids], pa.list_(pa.int64())),
                  pa.array([sizes], pa.list_(pa.int32())),
                  pa.ListArray.from_arrays(pa.array([0, len(listed)], pa.int32()), listed),
-                 pa.array([packed_places(rank[joined] if len(words) else joined)], pa.binary())],
+                 pa.array([packed_places(joined)], pa.binary())],
                 ["block", "doc_ids", "sizes", "words", "places"])
 
         for batch in batches:
@@ -82,10 +90,10 @@ def word_blocks(docs: DataFrame, path: str, id_col: str, text_col: str, block_wo
                 own = pa.array([bs.library_words(path, o) if o is not None else w
                                 for o, w in zip(odd.to_pylist(), own.to_pylist())], pa.list_(pa.string()))
             coded = own.flatten().dictionary_encode()
-            slot = np.array([words.setdefault(w, len(words)) for w in coded.dictionary.to_pylist()], np.int64)
+            slot = np.array([words.setdefault(w, len(words)) for w in coded.dictionary.to_pylist()], "<u4")
             ids += batch.column("doc_id").to_pylist()
             sizes += np.diff(own.offsets.to_numpy()).tolist()
-            places.append(slot[coded.indices.to_numpy()] if len(slot) else np.zeros(0, np.int64))
+            places.append(slot[coded.indices.to_numpy()] if len(slot) else slot)
             held += len(places[-1])
             if held >= block_words:
                 yield block()

@@ -127,3 +127,16 @@ def test_packed_places_are_smaller_than_at_the_first_level():
     assert (bpe_codec.unpacked_places(packed) == places).all()
     planes = np.ascontiguousarray(places.astype("<u4").view(np.uint8).reshape(-1, 4).T)
     assert len(packed) < len(zstandard.compress(planes.tobytes(), 1))
+
+
+def test_places_of_a_block_are_held_in_32_bits():
+    """Packing takes one copy beside the packed bytes, unpacking gives 32-bit places."""
+    import tracemalloc
+    places = (np.arange(2_000_000) % 50).astype("<u4")
+    tracemalloc.start()
+    packed = bpe_codec.packed_places(places)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 2.5 * places.nbytes, peak
+    out = bpe_codec.unpacked_places(packed)
+    assert out.dtype.itemsize == 4 and (out == places).all()
