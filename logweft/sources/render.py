@@ -9,6 +9,8 @@ the merge); the log tables are then built by :func:`logs_from_table`.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from logweft.sources.tables import logs_from_table
@@ -131,25 +133,69 @@ def document_files(spark: SparkSession, sf_dir: str, compression: str | None = N
     shared checkpoint space; returns the folder.
 
     File ``bucket=k/part-*`` holds the documents with ``doc_id % 8 == k``,
-    one after the other in ``doc_id`` order (one file per bucket: each bucket
-    goes to a writer task of its own, which sorts it; hashed buckets would meet
-    in one task). Spark writes the files from the table; no text passes through
-    the driver. ``compression`` is ``gzip`` or ``bzip2`` for compressed logs.
+    one after the other in ``doc_id`` order (one file per bucket). Spark sorts,
+    writes and compresses the documents in parts of bounded size, range-
+    partitioned by bucket and id, so that no task gets a whole bucket; then a
+    task for each bucket puts its parts behind one another, in pieces of 1 MiB
+    (gzip members and bzip2 streams make one file as they are). No text passes
+    through the driver. ``compression`` is ``gzip`` or ``bzip2`` for compressed
+    logs.
     """
+    from logweft.operators.numbering import range_partitions
     from logweft.session import shared_dir
-    path = shared_dir(spark, "document-files")
+    path, parts = shared_dir(spark, "document-files"), shared_dir(spark, "document-parts")
     docs = load(spark, sf_dir, "documents").filter(F.col("text") != "")
     docs = (docs.select((F.col("doc_id") % DOC_FILES).alias("bucket"), "doc_id", "text")
-                .repartitionById(DOC_FILES, F.col("bucket").cast("int"))
+                .repartitionByRange(range_partitions(docs), "bucket", "doc_id")
                 .sortWithinPartitions("bucket", "doc_id")
                 .select("bucket", "text"))
     writer = docs.write.partitionBy("bucket")
     if compression:
         writer = writer.option("compression", compression)
-    writer.text(path)
+    writer.text(parts)
+    _joined_parts(spark, parts, path)
     return path
 
 
+def _joined_parts(spark: SparkSession, parts: str, path: str) -> None:
+    """The part files of each bucket, in the order of their tasks, as one file
+    ``bucket=k/part-*`` of another folder; the parts are deleted. Tasks copy,
+    one bucket each; the driver gets the names (at most a task's partitions
+    and one more for each bucket)."""
+    from logweft.sources.ranges import located, open_file
+    held: dict[int, list[tuple[int, str]]] = {}
+    for uri in spark.read.text(parts).inputFiles():
+        bucket, name = re.search(r"bucket=(-?[0-9]+)/([^/]+)$", uri).groups()
+        held.setdefault(int(bucket), []).append((int(name.split("-")[1]), uri))
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    files = hadoop(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    pairs = []
+    for place, (bucket, found) in enumerate(sorted(held.items())):
+        uris = [uri for _, uri in sorted(found)]
+        end = re.sub(r"^[^.]*", "", uris[0].rsplit("/", 1)[-1])          # .txt, .txt.gz
+        files.mkdirs(hadoop(f"{path}/bucket={bucket}"))
+        folder = str(files.makeQualified(hadoop(f"{path}/bucket={bucket}")).toString())
+        pairs.append((place, f"{folder}/part-{place:05d}-documents{end}", uris))
+    if not pairs:
+        files.mkdirs(hadoop(path))
+        return
+
+    def of(batches):
+        for batch in batches:
+            for r in batch.to_pylist():
+                source, target = located(r["target"])
+                with source.open_output_stream(target, compression=None) as new:
+                    for uri in r["sources"]:
+                        with open_file(uri) as old:
+                            while data := old.read(1 << 20):
+                                new.write(data)
+            yield batch.select(["place"])
+
+    df = spark.createDataFrame(pairs, "place int, target string, sources array<string>")
+    df.repartitionById(len(pairs), "place").mapInArrow(of, "place int").count()
+    files.delete(hadoop(parts), True)
+
+
 def bucket_of(file_col: str = "file") -> Column:
     """The bucket number in a path written by :func:`document_files`."""
     return F.regexp_extract(F.col(file_col), r"bucket=([0-9]+)/", 1)

@@ -129,3 +129,33 @@ def test_document_files_have_writers_of_their_own(spark):
     folder = render.document_files(spark, "/root/testdata/sf0.001")
     names = [f.rsplit("/", 1)[-1] for f in spark.read.text(folder).inputFiles()]
     assert len({n.split("-")[1] for n in names}) == len(names) == render.DOC_FILES
+
+
+@pytest.mark.parametrize("compression", [None, "gzip", "bzip2"])
+def test_document_files_are_written_in_parts_by_many_tasks(spark, monkeypatch, compression):
+    """No task sorts, writes or compresses a whole bucket; the parts make one file in document order."""
+    from logweft.operators import numbering
+    from logweft.sources import render
+    sizes, join = {}, render._joined_parts
+
+    def watched(session, parts, path):
+        for uri in session.read.text(parts).inputFiles():
+            local = uri.removeprefix("file://").removeprefix("file:")
+            sizes.setdefault(local.split("bucket=")[1].split("/")[0], []).append(os.path.getsize(local))
+        join(session, parts, path)
+        assert not os.path.exists(parts.removeprefix("file://").removeprefix("file:"))
+    monkeypatch.setattr(numbering, "range_partitions", lambda df: 40)
+    monkeypatch.setattr(render, "_joined_parts", watched)
+    folder = render.document_files(spark, "/root/testdata/sf0.01", compression)
+    assert len(sizes) == render.DOC_FILES and all(len(x) >= 4 for x in sizes.values())
+    want = {}
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").filter("text <> ''").orderBy("doc_id")
+    for r in rows.select("doc_id", "text").collect():
+        want.setdefault(str(r.doc_id % 8), []).append(r.text + "\n")
+    opened = {None: open, "gzip": gzip.open, "bzip2": bz2.open}[compression]
+    for uri in spark.read.text(folder).inputFiles():
+        with opened(uri.removeprefix("file://").removeprefix("file:"), "rb") as fh:
+            assert fh.read().decode() == "".join(want.pop(uri.split("bucket=")[1].split("/")[0]))
+    assert not want
+    lines = spark.read.text(folder)
+    assert lines.count() == rows.selectExpr("sum(length(text) - length(replace(text, '\n', '')) + 1)").first()[0]
