@@ -9,8 +9,10 @@ the merge); the log tables are then built by :func:`logs_from_table`.
 
 from __future__ import annotations
 
+import os
 import re
 
+from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from logweft.sources.tables import logs_from_table
@@ -135,11 +137,10 @@ def document_files(spark: SparkSession, sf_dir: str, compression: str | None = N
     File ``bucket=k/part-*`` holds the documents with ``doc_id % 8 == k``,
     one after the other in ``doc_id`` order (one file per bucket). Spark sorts,
     writes and compresses the documents in parts of bounded size, range-
-    partitioned by bucket and id, so that no task gets a whole bucket; then a
-    task for each bucket puts its parts behind one another, in pieces of 1 MiB
-    (gzip members and bzip2 streams make one file as they are). No text passes
-    through the driver. ``compression`` is ``gzip`` or ``bzip2`` for compressed
-    logs.
+    partitioned by bucket and id, so that no task gets a whole bucket; then the
+    parts of a bucket are put behind one another (:func:`_copied`; gzip members
+    and bzip2 streams make one file as they are). No text passes through the
+    driver. ``compression`` is ``gzip`` or ``bzip2`` for compressed logs.
     """
     from logweft.operators.numbering import range_partitions
     from logweft.session import shared_dir
@@ -159,41 +160,88 @@ def document_files(spark: SparkSession, sf_dir: str, compression: str | None = N
 
 def _joined_parts(spark: SparkSession, parts: str, path: str) -> None:
     """The part files of each bucket, in the order of their tasks, as one file
-    ``bucket=k/part-*`` of another folder; the parts are deleted. Tasks copy,
-    one bucket each; the driver gets the names (at most a task's partitions
-    and one more for each bucket)."""
-    from logweft.sources.ranges import located, open_file
+    ``bucket=k/part-*`` of another folder; the parts are deleted. Tasks copy;
+    the driver gets the names and sizes (at most a task's partitions and one
+    more for each bucket)."""
     held: dict[int, list[tuple[int, str]]] = {}
     for uri in spark.read.text(parts).inputFiles():
         bucket, name = re.search(r"bucket=(-?[0-9]+)/([^/]+)$", uri).groups()
         held.setdefault(int(bucket), []).append((int(name.split("-")[1]), uri))
     hadoop = spark._jvm.org.apache.hadoop.fs.Path
     files = hadoop(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    pairs = []
+    files.mkdirs(hadoop(path))
+    joined = []
     for place, (bucket, found) in enumerate(sorted(held.items())):
         uris = [uri for _, uri in sorted(found)]
         end = re.sub(r"^[^.]*", "", uris[0].rsplit("/", 1)[-1])          # .txt, .txt.gz
         files.mkdirs(hadoop(f"{path}/bucket={bucket}"))
         folder = str(files.makeQualified(hadoop(f"{path}/bucket={bucket}")).toString())
-        pairs.append((place, f"{folder}/part-{place:05d}-documents{end}", uris))
-    if not pairs:
-        files.mkdirs(hadoop(path))
+        joined.append((f"{folder}/part-{place:05d}-documents{end}", 0, uris))
+    _copied(spark, joined)
+    files.delete(hadoop(parts), True)
+
+
+# Bytes that one task copies into a file, where tasks can write at their places of it.
+PIECE_BYTES = 64 * 1024 * 1024
+
+
+def _pieces(at: int, sources: list[str], sizes: dict[str, int], size: int) -> list[tuple[int, list[tuple[str, int, int]]]]:
+    """``(place, [(source, start, bytes)])`` of files that follow one another
+    from a place of a file on, cut where that file has a multiple of ``size``
+    bytes (no two tasks write to one page of it)."""
+    out: list[tuple[int, list[tuple[str, int, int]]]] = []
+    for uri in sources:
+        start = 0
+        while start < sizes[uri]:
+            n = min(sizes[uri] - start, size - at % size)
+            if not out or at % size == 0:
+                out.append((at, []))
+            out[-1][1].append((uri, start, n))
+            start, at = start + n, at + n
+    return out
+
+
+def _copied(spark: SparkSession, files: list[tuple[str, int, list[str]]]) -> None:
+    """Copies files behind one another to a place of another file, which ends
+    there: ``(target, place, sources)``. Tasks copy at most ``PIECE_BYTES``
+    each, straight to their places; on a file system that only writes from
+    front to back (anything but a mounted one) a task copies a whole file."""
+    from logweft.sources.ranges import file_sizes, located, open_file
+    sizes = file_sizes([uri for _, _, sources in files for uri in sources])
+    rows = []
+    for target, place, sources in files:
+        mounted = isinstance(located(target)[0], pafs.LocalFileSystem)
+        rows += [(target, mounted, at, held) for at, held in _pieces(place, sources, sizes, PIECE_BYTES if mounted else 1 << 62)]
+    if not rows:
         return
 
+    def opened(target, mounted, at):
+        source, path = located(target)
+        if not mounted:
+            return source.open_append_stream(path) if at else source.open_output_stream(path, compression=None)
+        new = open(path, "wb", opener=lambda name, flags: os.open(name, flags & ~os.O_TRUNC, 0o666))
+        new.seek(at)
+        return new
+
     def of(batches):
         for batch in batches:
             for r in batch.to_pylist():
-                source, target = located(r["target"])
-                with source.open_output_stream(target, compression=None) as new:
-                    for uri in r["sources"]:
-                        with open_file(uri) as old:
-                            while data := old.read(1 << 20):
+                with opened(r["target"], r["mounted"], r["at"]) as new:
+                    for x in r["sources"]:
+                        with open_file(x["uri"]) as old:
+                            old.seek(x["start"])
+                            left = x["bytes"]
+                            while left:
+                                data = old.read(min(left, 1 << 20))
+                                if not data:
+                                    raise OSError(f"{x['uri']} is shorter than it was")
                                 new.write(data)
-            yield batch.select(["place"])
+                                left -= len(data)
+            yield batch.select(["id"])
 
-    df = spark.createDataFrame(pairs, "place int, target string, sources array<string>")
-    df.repartitionById(len(pairs), "place").mapInArrow(of, "place int").count()
-    files.delete(hadoop(parts), True)
+    df = spark.createDataFrame([(k, *row) for k, row in enumerate(rows)],
+                               "id int, target string, mounted boolean, at long, sources array<struct<uri: string, start: long, bytes: long>>")
+    df.repartitionById(len(rows), "id").mapInArrow(of, "id int").count()
 
 
 def bucket_of(file_col: str = "file") -> Column:
@@ -334,20 +382,10 @@ def cut_copies(spark: SparkSession, folder: str) -> None:
 
 def append_files(spark: SparkSession, pairs: list[tuple[str, str]]) -> None:
     """Writes the content of each first file behind that of the second, as a
-    process does that goes on logging. Tasks copy, one file each."""
-    from logweft.sources.ranges import located, open_file
-
-    def of(batches):
-        for batch in batches:
-            for r in batch.to_pylist():
-                source, path = located(r["target"])
-                with open_file(r["source"]) as old, source.open_append_stream(path) as new:
-                    while data := old.read(1 << 20):
-                        new.write(data)
-            yield batch
-
-    df = spark.createDataFrame(pairs, "source string, target string").repartition(len(pairs))
-    df.mapInArrow(of, "source string, target string").count()
+    process does that goes on logging; tasks copy (:func:`_copied`)."""
+    from logweft.sources.ranges import file_sizes
+    ends = file_sizes([target for _, target in pairs])
+    _copied(spark, [(target, ends[target], [source]) for source, target in pairs])
 
 
 def odd_lines(events: DataFrame) -> DataFrame:

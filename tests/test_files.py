@@ -159,3 +159,42 @@ def test_document_files_are_written_in_parts_by_many_tasks(spark, monkeypatch, c
     assert not want
     lines = spark.read.text(folder)
     assert lines.count() == rows.selectExpr("sum(length(text) - length(replace(text, '\n', '')) + 1)").first()[0]
+
+
+def tasks_of(spark, build):
+    """Most tasks of a stage that ran while ``build`` did."""
+    jobs = jobs_of(spark, build)
+    tracker = spark.sparkContext.statusTracker()
+    return max(tracker.getStageInfo(s).numTasks for j in jobs for s in tracker.getJobInfo(j).stageIds if tracker.getStageInfo(s))
+
+
+def test_files_grow_by_pieces_of_many_tasks(spark, tmpdir_path, monkeypatch):
+    """No task copies a whole file; one that is there keeps its content, whatever place the new bytes begin at."""
+    from logweft.sources import render
+    monkeypatch.setattr(render, "PIECE_BYTES", 4096, raising=False)
+    held = {}
+    for name, size in (("a", 20_000), ("b", 4096), ("c", 5000), ("d", 8192), ("e", 0), ("f", 7)):
+        with open(os.path.join(tmpdir_path, name), "wb") as fh:
+            held[name] = os.urandom(size)
+            fh.write(held[name])
+    uri = lambda name: "file://" + os.path.join(tmpdir_path, name)
+    pairs = [("a", "c"), ("b", "d"), ("e", "f")]                         # at an odd place, at a piece's end, nothing
+    assert tasks_of(spark, lambda: render.append_files(spark, [(uri(x), uri(y)) for x, y in pairs])) >= 7
+    for x, y in pairs:
+        with open(os.path.join(tmpdir_path, y), "rb") as fh:
+            assert fh.read() == held[y] + held[x]
+
+
+def test_buckets_are_joined_by_pieces_of_many_tasks(spark, monkeypatch):
+    from logweft.sources import render
+    monkeypatch.setattr(render, "PIECE_BYTES", 1 << 14, raising=False)
+    made = []
+    assert tasks_of(spark, lambda: made.append(render.document_files(spark, "/root/testdata/sf0.001"))) >= 2 * render.DOC_FILES
+    folder, want = made[0], {}
+    rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").filter("text <> ''").orderBy("doc_id")
+    for r in rows.select("doc_id", "text").collect():
+        want.setdefault(str(r.doc_id % 8), []).append(r.text + "\n")
+    for name in spark.read.text(folder).inputFiles():
+        with open(name.removeprefix("file://").removeprefix("file:"), "rb") as fh:
+            assert fh.read().decode() == "".join(want.pop(name.split("bucket=")[1].split("/")[0]))
+    assert not want
