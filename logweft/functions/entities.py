@@ -16,7 +16,7 @@ consumes, so a pass is linear in the line:
 The kind follows from the match's own shape (:func:`_kind_of`).
 
 A line of any length is extracted in pieces (:func:`pieces_col`), so no task
-holds all matches of one.
+holds all matches of one; a line that comes in pieces is not put together.
 """
 
 from __future__ import annotations
@@ -86,10 +86,10 @@ def _without_open_brackets(c: Column, hidden: str) -> Column:
 def _matches(c: Column) -> Column:
     """All matches in a text without line feeds."""
     found = lambda t: F.regexp_extract_all(t, F.lit(ENTITY_RX), 0)
-    out = F.when(F.instr(F.substring_index(c, "]", -1), "[") == 0, found(c))
+    out = F.when(~F.substring_index(c, "]", -1).contains("["), found(c))
     for hidden in _HIDDEN:
         shown = F.transform(found(_without_open_brackets(c, hidden)), lambda m: F.replace(m, F.lit(hidden), F.lit("[")))
-        out = out.when(F.instr(c, hidden) == 0, shown)
+        out = out.when(~c.contains(hidden), shown)
     return out.otherwise(found(c))
 
 
@@ -122,7 +122,7 @@ def entities_col(col: Column | str = "line") -> Column:
     """
     c = F.col(col) if isinstance(col, str) else col
     by_line = F.flatten(F.transform(F.split(c, "\n"), _matches))
-    return F.transform(F.when(F.instr(c, "\n") == 0, _matches(c)).otherwise(by_line),
+    return F.transform(F.when(~c.contains("\n"), _matches(c)).otherwise(by_line),
                        lambda m: F.struct(_kind_of(m).alias("kind"), m.alias("value")))
 
 
@@ -166,17 +166,122 @@ def pieces_col(c: Column, chars: int) -> Column:
         F.concat(acc.done, F.array(F.array_join(acc.held, "")))))
 
 
+def _exploded(found: DataFrame, keep: tuple[str, ...]) -> DataFrame:
+    """A row for each of ``__found``. Outer: for an inner one the planner puts a
+    filter on its size below, and with that finds all of it twice."""
+    return found.select(*keep, F.posexplode_outer("__found").alias("pos", "e")).filter(F.col("e").isNotNull())
+
+
+def _on(left: DataFrame, right: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """An inner join by keys that may be NULL."""
+    other = right.withColumnsRenamed({k: f"__on{i}" for i, k in enumerate(keys)})
+    same = [F.col(k).eqNullSafe(F.col(f"__on{i}")) for i, k in enumerate(keys)]
+    return left.join(other, same).drop(*[f"__on{i}" for i in range(len(keys))])
+
+
+def _clean_pieces(df: DataFrame, keep: tuple[str, ...], chars: int) -> DataFrame:
+    """Lines in pieces cut anywhere (``keep``, ``__part``, ``__text``), cut anew
+    as :func:`pieces_col` cuts (``keep``, ``__piece``, ``__text``).
+
+    A new piece begins at the first blank of a part that lies in another run of
+    ``chars`` characters than that of the part with a blank before, and inside
+    a longer part after so many characters; where it begins follows from a few
+    numbers of each part. Pieces at whose end a match may be open are then
+    joined in pairs with those behind them, until none is.
+    """
+    from pyspark.sql import Window
+    from logweft.operators.numbering import LONG_ROWS_BYTES, small_table, written_once
+    text = F.col("__text")
+    head = F.substring_index(text, " ", 1)              # all of a text without a blank
+    rest = F.substr(text, F.length(head) + F.lit(1))
+    cut = F.regexp_extract_all(rest, F.lit(f"(?s).{{1,{chars}}}[^ ]*+"), F.lit(0))
+    number = F.when(rest == "", 0).when(F.length(rest) <= chars, 1).otherwise(F.size(cut))
+    line = Window.partitionBy(*keep).orderBy("__part")
+    before = line.rowsBetween(Window.unboundedPreceding, -1)
+    run = lambda c: F.floor(c / chars)
+    facts = df.select(*keep, "__part", F.length(text).alias("__chars"), F.length(head).alias("__head"), number.alias("__number"))
+    facts = facts.withColumn("__blank", F.when(F.col("__number") > 0, F.coalesce(F.sum("__chars").over(before), F.lit(0)) + F.col("__head")))
+    facts = facts.withColumn("__opens", F.coalesce(run(F.col("__blank")) > run(F.coalesce(F.max("__blank").over(before), F.lit(-1))), F.lit(False)))
+    begun = F.greatest(F.col("__number") - F.when(F.col("__opens"), 0).otherwise(1), F.lit(0))
+    facts = facts.withColumn("__begun", begun).withColumn("__so_far", F.coalesce(F.sum("__begun").over(before), F.lit(0)))
+    facts = small_table(facts.select(*keep, "__part", "__opens", "__so_far"), 48 + 256 * len(keep))
+    at = _on(df, facts, (*keep, "__part")).select(*keep, "__part", "__opens", "__so_far", F.posexplode(F.concat(F.array(head), cut)).alias("__at", "__text"))
+    piece = F.col("__so_far") + F.greatest(F.col("__at") - F.when(F.col("__opens"), 0).otherwise(1), F.lit(0))
+    pieces = _put_together(at.filter(text != "").withColumn("__piece", piece), (*keep, "__piece"), ("__part", "__at"))
+    pieces = written_once(pieces.withColumn("__open", ~_settled(text)), "pieces", LONG_ROWS_BYTES)
+    of = _closed(pieces, keep)
+    if of is None:
+        return pieces.drop("__open")
+    of = _on(pieces.drop("__open"), of, (*keep, "__piece"))
+    joined = _put_together(of.filter("__joined"), (*keep, "__first"), ("__piece",)).withColumnRenamed("__first", "__piece")
+    return of.filter("NOT __joined").select(*keep, "__piece", "__text").unionByName(joined)
+
+
+def _put_together(df: DataFrame, keys: tuple[str, ...], order: tuple[str, ...]) -> DataFrame:
+    """The texts of the same keys as one, in order."""
+    held = F.sort_array(F.collect_list(F.struct(*order, "__text")))
+    return df.groupBy(*keys).agg(held.alias("__held")).select(*keys, F.array_join("__held.__text", "").alias("__text"))
+
+
+def _closed(pieces: DataFrame, keep: tuple[str, ...]) -> DataFrame | None:
+    """The first of the pieces that each one is joined with, so that no match
+    is open at their ends (``keep``, ``__piece``, ``__first``, ``__joined``);
+    None if all stay as they are.
+
+    Each round joins the first, third, ... of neighbouring open ones with the
+    next, so what is joined at most doubles; only the texts of what has grown
+    are read again.
+    """
+    from pyspark.sql import Window
+    from logweft.operators.numbering import written_once
+    heads = pieces.select(*keep, F.col("__piece").alias("__first"), "__open")
+    of = pieces.select(*keep, "__piece", F.col("__piece").alias("__first"))
+    line = Window.partitionBy(*keep).orderBy("__first")
+    grown = False
+    while True:
+        # the end of a line closes all that is open
+        heads = written_once(heads.withColumn("__open", F.col("__open") & F.lead("__first").over(line).isNotNull()), "heads")
+        if heads.filter("__open").isEmpty():
+            break
+        closed = F.coalesce(F.sum((~F.col("__open")).cast("long")).over(line.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        second = F.row_number().over(Window.partitionBy(*keep, "__closed").orderBy("__first")) % 2 == 0
+        to = heads.withColumn("__closed", closed).withColumn("__second", second)
+        to = to.withColumn("__to", F.when(F.col("__second"), F.lag("__first").over(line)).otherwise(F.col("__first")))
+        to = to.withColumn("__grows", F.count(F.lit(1)).over(Window.partitionBy(*keep, "__to")) > 1)
+        to = written_once(to.select(*keep, "__first", "__to", "__grows", "__open"), "joins")
+        of = written_once(_on(of, to.select(*keep, "__first", "__to", "__grows"), (*keep, "__first")).select(
+            *keep, "__piece", F.col("__to").alias("__first"), "__grows"), "pieces-of")
+        texts = _on(pieces.drop("__open"), of.filter("__grows").drop("__grows"), (*keep, "__piece"))
+        again = _put_together(texts, (*keep, "__first"), ("__piece",)).select(*keep, "__first", (~_settled(F.col("__text"))).alias("__open"))
+        heads = to.filter("NOT __grows").select(*keep, "__first", "__open").unionByName(again)
+        of, grown = of.drop("__grows"), True
+    if not grown:
+        return None
+    return of.withColumn("__joined", F.count(F.lit(1)).over(Window.partitionBy(*keep, "__first")) > 1)
+
+
 def extract_entities(df: DataFrame, col: str = "line",
-                     keep: tuple[str, ...] = ("file", "line_no")) -> DataFrame:
+                     keep: tuple[str, ...] = ("file", "line_no"), piece_col: str | None = None) -> DataFrame:
     """Entity table ``(file, line_no, pos, kind, value)``; ``pos`` is the
     0-based index of the match in its line. Pieces of long lines are spread
-    over the tasks."""
+    over the tasks.
+
+    With ``piece_col`` a row is a piece of a line, which ``keep`` names: cut
+    anywhere between characters, the pieces follow one another by that column
+    (:func:`logweft.sources.tables.logs_from_table`). The entities are those of
+    the line put together, which no task does. Runs jobs at call time."""
     from pyspark.sql import Window
     from logweft.operators.numbering import range_partitions
     of = [F.col("pos").cast("int").alias("pos"), F.col("e.kind").alias("kind"), F.col("e.value").alias("value")]
     c = F.col(col)
-    long = F.coalesce((F.length(c) > PIECE_CHARS) & (F.instr(c, "\n") == 0), F.lit(False))
-    whole = df.filter(~long).select(*keep, F.posexplode(entities_col(col)).alias("pos", "e")).select(*keep, *of)
+    if piece_col is not None:
+        pieces = _clean_pieces(df.select(*keep, F.col(piece_col).alias("__part"), F.coalesce(c, F.lit("")).alias("__text")), keep, PIECE_CHARS)
+        found = pieces.select(*keep, "__piece", entities_col("__text").alias("__found"))
+        counts = Window.partitionBy(*keep).orderBy("__piece").rowsBetween(Window.unboundedPreceding, -1)
+        found = found.withColumn("__before", F.coalesce(F.sum(F.size("__found")).over(counts), F.lit(0)))
+        return _exploded(found, (*keep, "__before")).withColumn("pos", F.col("pos") + F.col("__before")).select(*keep, *of)
+    long = F.coalesce((F.length(c) > PIECE_CHARS) & (~c.contains("\n")), F.lit(False))
+    whole = _exploded(df.filter(~long).select(*keep, entities_col(col).alias("__found")), keep).select(*keep, *of)
     lines = df.filter(long).select(*keep, c.alias("__text"), F.monotonically_increasing_id().alias("__line"))
     pieces = lines.select(*keep, "__line", F.posexplode(pieces_col(F.col("__text"), PIECE_CHARS)).alias("__piece", "__text"))
     # a few source bytes may be long lines: not fewer tasks than the session asks for
@@ -185,8 +290,7 @@ def extract_entities(df: DataFrame, col: str = "line",
         *keep, "__line", "__piece", entities_col("__text").alias("__found"))
     before = Window.partitionBy("__line").orderBy("__piece").rowsBetween(Window.unboundedPreceding, -1)
     found = found.withColumn("__before", F.coalesce(F.sum(F.size("__found")).over(before), F.lit(0)))
-    cut = found.select(*keep, "__before", F.posexplode("__found").alias("pos", "e")) \
-               .withColumn("pos", F.col("pos") + F.col("__before")).select(*keep, *of)
+    cut = _exploded(found, (*keep, "__before")).withColumn("pos", F.col("pos") + F.col("__before")).select(*keep, *of)
     return whole.unionByName(cut)
 
 

@@ -67,6 +67,27 @@ def normalize_lines(df: DataFrame, raw: str = "raw", out: str = "line",
     return df.withColumn(out, expand_tabs_col(strip_line_ends(decode_lenient(raw)), tabsize))
 
 
+def line_start(text: Column, tabsize: int = TAB_SIZE) -> tuple[Column, Column]:
+    """Whether the column restarts inside a piece of a line, and how far the
+    piece moves it (from 0 where it restarts)."""
+    restarts = text.contains("\t") | text.contains("\r") | text.contains("\n")
+    tail = text
+    for mark in "\t\r\n":
+        tail = F.substring_index(tail, mark, -1)
+    return restarts, F.length(F.when(restarts, tail).otherwise(text)) % tabsize
+
+
+def normalize_piece_col(raw: Column | str, first: Column, last: Column, column: Column, tabsize: int = TAB_SIZE) -> Column:
+    """:func:`normalize_lines` for a piece of a line: its ends are stripped
+    where the line begins (``first``) and ends (``last``), tabs go on from the
+    column that the pieces before reach."""
+    c, marks = decode_lenient(raw), F.lit("\r\n")
+    c = F.when(first & (c.startswith("\r") | c.startswith("\n")), F.ltrim(c, marks)).otherwise(c)
+    c = F.when(last & (c.endswith("\r") | c.endswith("\n")), F.rtrim(c, marks)).otherwise(c)
+    whole = F.concat(F.repeat(F.lit("x"), column), c)
+    return F.when(c.contains("\t"), F.substr(expand_tabs_col(whole, tabsize), column + F.lit(1))).otherwise(c)
+
+
 def expand_tabs(df: DataFrame, col: str = "line", tabsize: int = TAB_SIZE) -> DataFrame:
     return df.withColumn(col, expand_tabs_col(col, tabsize))
 

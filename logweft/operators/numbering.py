@@ -90,14 +90,19 @@ def _leaf_bytes(spark: SparkSession, leaf) -> int | None:
     return claimed if claimed < 1 << 50 else None  # without statistics an immense size: no evidence
 
 
-def written_once(df: DataFrame, name: str) -> DataFrame:
+# Bytes of a row group of rows that hold long texts: a reader's batch (4,096 rows) ends where its row group does.
+LONG_ROWS_BYTES = 16 * 1024 * 1024
+
+
+def written_once(df: DataFrame, name: str, group_bytes: int | None = None) -> DataFrame:
     """The rows as a Parquet table in the shared folder: each later pass reads
     only the columns it needs, and in batches, where a checkpoint is read whole
     and row by row. Rows that Parquet cannot hold (a void column, names that
-    differ by case alone) are checkpointed."""
+    differ by case alone) are checkpointed. ``group_bytes`` bounds the row
+    groups, and by that what a task holds of rows with long texts."""
     path = shared_dir(df.sparkSession, name)  # makes sure a checkpoint folder is set
     try:
-        df.write.parquet(path)
+        (df.write if group_bytes is None else df.write.option("parquet.block.size", group_bytes)).parquet(path)
     except AnalysisException:
         return df.checkpoint(eager=True)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -1234,11 +1234,12 @@ def q_long_line_entities(spark, sf_dir):
     """Entities of logs of four lines, as long as the table, each followed by a line of characters and tabs of the same
     length: tabs and entities in time that grows with the line."""
     events = render.load(spark, sf_dir, "events")
-    lines = logs_from_table(render.joined_lines(render.entity_lines(events), " ~ "), "text", "file")
+    lines = logs_from_table(render.joined_lines(render.entity_lines(events), " ~ "), "text", "file", part_col="part")
     tabs = logs_from_table(render.joined_lines(events.select(
-        F.lit("tabs.log").alias("file"), "event_id", F.concat(F.lit("x"), "event_type").alias("text")), "\t", last="\t"), "text", "file")
+        F.lit("tabs.log").alias("file"), "event_id", F.concat(F.lit("x"), "event_type").alias("text")), "\t", last="\t"), "text", "file",
+        part_col="part")
     width = tabs.agg(F.sum(F.length("line")).alias("tab_width"))
-    return entities.entity_counts(entities.extract_entities(lines)).crossJoin(width)       # one row
+    return entities.entity_counts(entities.extract_entities(lines, piece_col="piece")).crossJoin(width)       # one row
 
 
 # ------------------------------------------------------------ files that grow

@@ -349,14 +349,16 @@ def mixed_layout_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def joined_lines(lines: DataFrame, between: str, last: str = "") -> DataFrame:
-    """The lines of each file, by event id, as one long line: first those of
-    neighbouring ids, then these parts (far fewer values in one task)."""
-    parts = lines.groupBy("file", F.floor(F.col("event_id") / 4096).alias("part")).agg(
-        F.sort_array(F.collect_list(F.struct("event_id", "text"))).alias("held"))
-    parts = parts.select("file", "part", F.array_join("held.text", between).alias("text"))
-    held = parts.groupBy("file").agg(F.sort_array(F.collect_list(F.struct("part", "text"))).alias("held"))
-    text = F.array_join("held.text", between)
-    return held.select("file", (F.concat(text, F.lit(last)) if last else text).alias("text"))
+    """The lines of each file, by event id, as one long line in parts
+    ``(file, part, text)``, those of neighbouring ids: a line may be longer
+    than a row can be. The line is the parts put together as they are."""
+    of = F.floor(F.col("event_id") / 4096)
+    ends = lines.groupBy(F.col("file").alias("__file")).agg(F.min(of).alias("first"), F.max(of).alias("last"))    # a row for each file
+    parts = lines.groupBy("file", of.alias("part")).agg(F.sort_array(F.collect_list(F.struct("event_id", "text"))).alias("held"))
+    parts = parts.join(F.broadcast(ends), F.col("file").eqNullSafe(F.col("__file")))
+    return parts.select("file", "part", F.concat(
+        F.when(F.col("part") > F.col("first"), between).otherwise(""), F.array_join("held.text", between),
+        F.when(F.col("part") == F.col("last"), last).otherwise("")).alias("text"))
 
 
 def cut_copies(spark: SparkSession, folder: str) -> None:

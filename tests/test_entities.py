@@ -143,3 +143,76 @@ def test_long_lines_in_pieces(spark, monkeypatch):
     pieces = [r[0] for r in df.orderBy("line_no").select(entities.pieces_col(c, 20)).collect()]
     assert ["".join(p) for p in pieces] == [x[0] for x in df.orderBy("line_no").select("line").collect()]
     assert len(pieces[150]) > 60 and len(pieces[151]) == 1 and len(pieces[152]) > 5
+
+
+def _in_parts(rnd, texts, sizes):
+    """Rows (key, part, text) that cut each text anywhere."""
+    rows = []
+    for key, t in texts:
+        j = p = 0
+        size = rnd.choice(sizes)
+        while j < len(t) or not p:
+            n = rnd.choice(size)
+            rows.append((key, p, t[j:j + n]))
+            j, p = j + n, p + rnd.choice([1, 3])
+    rnd.shuffle(rows)
+    return rows
+
+
+def test_lines_that_come_in_pieces(spark, monkeypatch):
+    """Lines cut anywhere give the entities of the whole line, with no row that holds a line."""
+    import random
+    rnd = random.Random(3)
+    bits = [" ", " ", "'", '"', "[", "]", "'''", '"""', "\\", "b'", "don't", "12", "-3.5e4", "10.0.0.1", "fe80::1", "True", "é", "'a b'",
+            "[x y]", "00-00-00-00-00-b'z'", "'c d 'e", "x\U0001f600", "word", "~"]
+    lines = [" ".join(rnd.choices(bits, k=60)) if k % 2 else "".join(rnd.choices(bits, k=90)) for k in range(40)]
+    lines += [" ~ ".join(f"1.2.3.{k} 'v' [/p/{k}] it's" for k in range(80)), "7 " * 100 + "'", "", "nothing"]
+    rows = _in_parts(rnd, list(enumerate(lines)), [[1, 2, 3], [5, 9, 20], [100, 300], [0, 1, 70]])
+    monkeypatch.setattr(entities, "PIECE_CHARS", 20)
+    cut = spark.createDataFrame(rows, "line_no int, piece int, line string")
+    held = entities._clean_pieces(cut.select("line_no", F.col("piece").alias("__part"), F.col("line").alias("__text")), ("line_no",), 20)
+    held = held.orderBy("line_no", "__piece").collect()
+    put = {}
+    for r in held:
+        put.setdefault(r.line_no, []).append(r["__text"])
+    assert {k: "".join(v) for k, v in put.items()} == {k: t for k, t in enumerate(lines) if t}
+    assert len(put[40]) > 40
+    got = {}
+    for r in entities.extract_entities(cut, keep=("line_no",), piece_col="piece").orderBy("line_no", "pos").collect():
+        got.setdefault(r.line_no, []).append((r.pos, r.kind, r.value))
+    for k, t in enumerate(lines):
+        assert got.get(k, []) == [(i, *x) for i, x in enumerate(model(t))], t
+
+
+def test_logs_from_parts_of_texts(spark):
+    """Texts in parts are the log of the whole texts: lines, numbers, stripped ends and tab stops."""
+    import random
+    from logweft.sources.tables import logs_from_table
+    rnd = random.Random(5)
+    bits = ["a", "é", "\U0001f600", "\t", "\t", "\r", "\n", "\n", "\r\n", "word ", "x"]
+    texts = ["", "\n", "\r\n", "a\n", "\n\n", "\r\r\ta\t\r"] + ["".join(rnd.choices(bits, k=rnd.randint(0, 40))) for _ in range(60)]
+    texts = [(f"f{i}", t) for i, t in enumerate(texts)]
+    whole = logs_from_table(spark.createDataFrame(texts, "file string, text string"), "text", "file").collect()
+    parts = spark.createDataFrame(_in_parts(rnd, texts, [[0, 1, 1, 2, 3, 8, 20]]), "file string, part int, text string")
+    got = {}
+    for r in logs_from_table(parts, "text", "file", part_col="part").orderBy("file", "line_no", "piece").collect():
+        a = got.get((r.file, r.line_no), ("", ""))
+        got[r.file, r.line_no] = (a[0] + r.raw, a[1] + r.line)
+    assert got == {(r.file, r.line_no): (r.raw, r.line) for r in whole}
+
+
+def test_joined_lines_hold_no_line_whole(spark):
+    """The rendered lines come in parts of neighbouring ids, and are the same put together."""
+    from logweft.sources.render import joined_lines
+    ids = [*range(4090, 4100), 3, 12_000, 90_000]
+    rows = [(f"f{k % 2}", k, f"t{k}") for k in ids]
+    parts = joined_lines(spark.createDataFrame(rows, "file string, event_id long, text string"), " ~ ", last="!").orderBy("file", "part").collect()
+    for f in ("f0", "f1"):
+        mine = [r.text for r in parts if r.file == f]
+        assert "".join(mine) == " ~ ".join(f"t{k}" for k in sorted(ids) if k % 2 == int(f[1])) + "!" and len(mine) > 1
+
+
+def test_entities_are_found_once(spark):
+    """No filter of the planner runs the extraction a second time."""
+    plan = entities.extract_entities(lines_df(spark, ["1.2.3.4"]))._jdf.queryExecution().optimizedPlan().toString()
+    assert "size(transform" not in plan
