@@ -24,6 +24,13 @@ class LineFormat:
     ``split`` (same groups) and ``test`` are optional faster forms: ``test``
     matches exactly the lines that ``regex`` matches, and on those ``split``
     gives exactly its groups.
+
+    ``head`` is a form for long lines that ``regex`` matches if, and only if,
+    they hold no line feed, end with ``end`` and begin, before that, with
+    ``head``: its groups are those of ``regex`` but the last, which is all that
+    stands between ``head`` and ``end`` and so is not gone through. Where
+    ``head`` may take a group otherwise than ``regex``, :func:`_head_settled` says
+    whether there was a choice.
     """
 
     name: str
@@ -31,12 +38,18 @@ class LineFormat:
     groups: tuple[str, ...]
     split: str | None = None
     test: str | None = None
+    head: str | None = None
+    end: str = ""
 
     @staticmethod
     def _whole(regex: str) -> str:
         # (?d): only \n ends a line for '.', as in Python; \z: whole text.
         return "(?d)^(?:" + regex + r")\z"
 
+    @property
+    def full_head(self) -> str:
+        return "(?d)^(?:" + self.head + ")"
+
     @property
     def full(self) -> str:
         return self._whole(self.split or self.regex)
@@ -63,6 +76,9 @@ COMMON_LOG = LineFormat(
     split=r'([^ \n]*+) ([^ \n]*+) (?>(.*?) (?=\[))(?>(\[[^ \n]*+ .*?\]) ")([^ \n]*+) '
           r'(.*?)( HTTP\/.*)?" ([^ \n]*+) (?>(.*?) ")(.*)"',
     test=r'[^ \n]*+ [^ \n]*+ (?>.*? (?=\[))(?>\[[^ \n]*+ .*?\] ")[^ \n]*+ (?>.*?" )[^ \n]*+ (?>.*? ").*"',
+    head=r'([^ \n]*+) ([^ \n]*+) (?>(.*?) (?=\[))(?>(\[[^ \n]*+ .*?\]) ")([^ \n]*+) '
+         r'(.*?)( HTTP\/.*?)?" ([^ \n]*+) (?>(.*?) ")',
+    end='"',
 )
 COMBINED_LOG = LineFormat(
     "combined",
@@ -92,6 +108,13 @@ HTTP_METHODS = ("GET", "POST", "PUT", "HEAD", "DELETE", "OPTIONS", "PATCH")
 _SEP = "\u0001"
 
 
+def holds(c: Column, mark: str) -> Column:
+    """Whether a text holds a character. ``contains`` looks at one byte after
+    the other; splitting at a single character that means nothing to a regex
+    searches as Java does, many bytes at once, and stops at the first."""
+    return F.size(F.split(c, mark, 2)) > 1
+
+
 def strip_ends(c: Column, marks: str) -> Column:
     """``btrim``, which walks through the whole text, only where a mark stands at an end."""
     held = F.lit(False)
@@ -124,6 +147,14 @@ def _json_probe(value: Column) -> Column:
     return F.try_parse_json(F.concat(F.lit("["), value, F.lit(',"'), _json_end(value), F.lit('"]')))
 
 
+def _json_scalar(value: Column) -> Column:
+    """Whether the text is a JSON scalar; a look at its end first, for long lines."""
+    ends = F.lit(False)
+    for last in "0123456789el":
+        ends = ends | value.endswith(last)
+    return ends & value.rlike(_JSON_SCALAR)
+
+
 def _json_container(value: Column) -> Column:
     """Whether first and last character agree with an object, array or string."""
     ends = lambda a, b: value.startswith(a) & value.endswith(b)
@@ -136,22 +167,45 @@ def is_json_col(col: Column | str) -> Column:
     Scalars are decided by their shape, containers by one parse.
     NaN / Infinity are not JSON to Spark (Python accepts them).
     """
-    v = _strip_ws(F.col(col) if isinstance(col, str) else col)
+    return _is_json(_strip_ws(F.col(col) if isinstance(col, str) else col))
+
+
+def _is_json(v: Column) -> Column:
     whole = F.coalesce(F.try_variant_get(_json_probe(v), "$[1]", "string") == _json_end(v), F.lit(False))
-    return F.when(v.rlike(_JSON_SCALAR), F.lit(True)).when(_json_container(v), whole).otherwise(F.lit(False))
+    return F.when(_json_scalar(v), F.lit(True)).when(_json_container(v), whole).otherwise(F.lit(False))
 
 
 def _guard(text: Column, fmt: LineFormat) -> Column:
     """Cheap test before a built-in pattern: both need '] "'."""
-    return F.instr(text, '] "') > 0 if fmt in (COMMON_LOG, COMBINED_LOG) else F.lit(True)
+    return text.contains('] "') if fmt in (COMMON_LOG, COMBINED_LOG) else F.lit(True)
+
+
+def _before_end(text: Column, fmt: LineFormat) -> Column:
+    """The text without the ``end`` of its format, taken off by bytes: to count characters is to walk through them."""
+    return F.substring(text.cast("binary"), F.lit(1), F.octet_length(text) - len(fmt.end.encode())).cast("string")
+
+
+def _may_have_head(text: Column, fmt: LineFormat) -> Column:
+    return text.endswith(fmt.end) & ~holds(text, "\n")
 
 
-def format_col(col: Column | str = "line", formats: Sequence[LineFormat] | None = None) -> Column:
-    """The dispatch: 'json', a registered regex format name, or 'default'."""
+def _is_format(text: Column, fmt: LineFormat) -> Column:
+    if fmt.head is None:
+        return text.rlike(fmt.full_test)
+    return _may_have_head(text, fmt) & _before_end(text, fmt).rlike(fmt.full_head)
+
+
+def format_col(col: Column | str = "line", formats: Sequence[LineFormat] | None = None,
+               known: dict[str, Column] | None = None, stripped: Column | None = None) -> Column:
+    """The dispatch: 'json', a registered regex format name, or 'default'.
+    ``known`` says of formats whether a line matches, where that is found
+    already, ``stripped`` is a column that holds the text without blanks around it."""
     text = F.col(col) if isinstance(col, str) else col
-    chain = F.when(_strip_ws(text) == "", F.lit("default")).when(is_json_col(text), F.lit("json"))
+    bare = _strip_ws(text) if stripped is None else stripped
+    chain = F.when(bare == "", F.lit("default")).when(_is_json(bare), F.lit("json"))
     for fmt in LINE_FORMATS if formats is None else formats:
-        chain = chain.when(_guard(text, fmt) & text.rlike(fmt.full_test), F.lit(fmt.name))
+        matches = (known or {}).get(fmt.name)
+        chain = chain.when(_guard(text, fmt) & _is_format(text, fmt) if matches is None else matches, F.lit(fmt.name))
     return chain.otherwise(F.lit("default"))
 
 
@@ -165,7 +219,43 @@ def _groups(text: Column, fmt: LineFormat) -> Column:
     replacement = _SEP.join(f"${i}" for i in range(1, len(fmt.groups) + 1))
     fast = F.split(F.regexp_replace(text, fmt.full, replacement), _SEP)
     slow = F.array(*[F.regexp_extract(text, fmt.full, i) for i in range(1, len(fmt.groups) + 1)])
-    return F.when(F.instr(text, _SEP) == 0, fast).otherwise(slow)
+    return F.when(~holds(text, _SEP), fast).otherwise(slow)
+
+
+def _by_head(text: Column, fmt: LineFormat) -> Column:
+    """The line without its ``end``, its ``head`` rewritten to groups and separators: another text if, and only if, the
+    format matches (a line without its ``end``: NULL)."""
+    replacement = "".join(f"${i}{_SEP}" for i in range(1, len(fmt.groups)))
+    return F.regexp_replace(text, fmt.full_head, replacement)
+
+
+def _blank_part(parts: Column) -> Column:
+    """Place (from 1) of the first ``" "`` in a text parted at its quotes: a part of one blank with quotes on both sides;
+    1 if there is none."""
+    return F.array_position(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 2, F.lit(0))), " ").cast("int") + 1
+
+
+def _joined(parts: Column, start: Column, count: Column) -> Column:
+    return F.when(count == 1, F.get(parts, start - 1)).otherwise(F.array_join(F.slice(parts, start, count), '"'))
+
+
+def _head_settled(groups: Column, parts: Column, at: Column) -> Column:
+    """Whether the request version of the common format, which ``head`` takes
+    as short as it can be and ``regex`` as long, has one end only.
+
+    At a later one the rest, ``" status length "`` and more, would begin: a
+    quote before a blank and, two blanks on, a blank before a quote that is not
+    the last. The quotes are those around the referrer and in it (``parts``).
+    If it holds ``" "`` (at ``at``), the blank of that may be the first of the
+    three, and the last is in what follows it.
+    """
+    referrer = groups[9]
+    quiet = ~groups[7].contains('"') & ~groups[8].contains('"')
+    before = (at == 2) | ~_joined(parts, F.lit(1), at - 1).contains('" ')         # one part: no quote
+    agent = _joined(parts, at + 1, F.size(parts) - at)
+    one = F.when(F.size(parts) == 1, F.lit(True)).when(at > 1, ~referrer.startswith(" ") & before & ~agent.contains(' "')) \
+           .otherwise(~referrer.contains(' "'))
+    return F.coalesce(parts.isNotNull() & ((groups[6] == "") | (quiet & one)), F.lit(False))
 
 
 def parse_access_log(df: DataFrame, col: str = "line", format_out: str = "format",
@@ -185,14 +275,25 @@ def parse_access_log(df: DataFrame, col: str = "line", format_out: str = "format
     """
     chosen = list(LINE_FORMATS if formats is None else formats)
     text = F.col(col)
-    tmp = "__access_groups"
+    tmp, body, told, head, parts, at, settled = "__access_groups", "__body", "__told", "__head", "__parts", "__at", "__settled"
+    # the common format by its head: one pass over the head both matches and parts a line
+    by_head = COMMON_LOG in chosen and [x.name for x in chosen].count(COMMON_LOG.name) == 1
+    may = _guard(text, COMMON_LOG) & _may_have_head(text, COMMON_LOG)
+    df = df.withColumn(body, F.when(may, _before_end(text, COMMON_LOG)) if by_head else F.lit(None).cast("string"))
+    df = df.withColumn(told, _by_head(F.col(body), COMMON_LOG))
+    matched = F.coalesce(F.col(told) != F.col(body), F.lit(False))
     if format_out not in df.columns:
-        df = classify_lines(df, col, format_out, chosen)
+        df = df.withColumn(head, _strip_ws(text))
+        df = df.withColumn(format_out, format_col(text, chosen, {COMMON_LOG.name: matched} if by_head else None, F.col(head)))
     fmt_c = F.col(format_out)
     groups_expr = F.lit(None).cast("array<string>")
     for fmt in chosen:
         groups_expr = F.when(fmt_c == fmt.name, _groups(text, fmt)).otherwise(groups_expr)
-    df = df.withColumn(tmp, groups_expr)
+    df = df.withColumn(head, F.when(matched & (fmt_c == COMMON_LOG.name), F.split(told, _SEP)))
+    df = df.withColumn(parts, F.when(F.size(head) == len(COMMON_LOG.groups), F.split(F.col(head)[9], '"'))) \
+           .withColumn(at, _blank_part(F.col(parts)))
+    df = df.withColumn(settled, _head_settled(F.col(head), F.col(parts), F.col(at)))
+    df = df.withColumn(tmp, F.when(F.col(settled), F.col(head)).otherwise(groups_expr))
     g = F.col(tmp)
     cols = {}
     extra = dict.fromkeys(x for fmt in chosen for x in fmt.groups if x not in ACCESS_FIELDS)
@@ -210,18 +311,19 @@ def parse_access_log(df: DataFrame, col: str = "line", format_out: str = "format
     df = df.withColumns(cols)
     date_value = F.when(fmt_c == "common", F.regexp_replace(F.col("date"), r"^\[+|\]+$", "")) \
                   .otherwise(F.col("date"))
-    # (.*?)" "(.*) over a whole referrer without line feeds, by the place of the first '" "': no regex over long text
-    cut = F.instr("referrer", '" "')
-    swallowed = (fmt_c == "common") & (cut > 0) & (F.instr("referrer", "\n") == 0)
+    # (.*?)" "(.*) over a whole referrer without line feeds, by its quotes: no regex over long text
+    df = df.withColumn(parts, F.when(fmt_c != "common", None).when(F.col(settled), F.col(parts)).when(
+        ~holds(F.col("referrer"), "\n"), F.split("referrer", '"')))
+    df = df.withColumn(at, F.when(F.col(settled), F.col(at)).otherwise(_blank_part(F.col(parts))))
     return (df.withColumn("access_ts", F.when(F.col("date").isNotNull(),
                                               parse_timestamp_value(date_value)))
               .withColumn("referrer_clean",
-                          F.when(swallowed, F.substring_index("referrer", '" "', 1))
+                          F.when(F.col(at) > 1, _joined(F.col(parts), F.lit(1), F.col(at) - 1))
                            .otherwise(F.col("referrer")))
               .withColumn("user_agent_clean",
-                          F.when(swallowed, F.substr("referrer", cut + F.lit(3)))
+                          F.when(F.col(at) > 1, _joined(F.col(parts), F.col(at) + 1, F.size(F.col(parts)) - F.col(at)))
                            .otherwise(F.col("user_agent")))
-              .drop(tmp))
+              .drop(tmp, body, told, head, parts, at, settled))
 
 
 def parse_json_lines(df: DataFrame, col: str = "line", out: str = "json") -> DataFrame:
@@ -230,7 +332,7 @@ def parse_json_lines(df: DataFrame, col: str = "line", out: str = "json") -> Dat
 
     One parse a line checks and types it."""
     v = _strip_ws(F.col(col))
-    may = _json_container(v) | v.rlike(_JSON_SCALAR)
+    may = _json_container(v) | _json_scalar(v)
     probed = df.withColumn("__probe", F.when(may, _json_probe(v))) \
                .withColumn("__value", F.when(F.try_variant_get("__probe", "$[1]", "string") == _json_end(v),
                                              F.try_variant_get("__probe", "$[0]", "variant")))

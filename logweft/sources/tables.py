@@ -7,10 +7,13 @@ import re
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from logweft.functions.lines import decode_lenient, line_start, normalize_lines, normalize_piece_col
-from logweft.operators.numbering import (LONG_ROWS_BYTES, ROWS_IN_TASK, maybe_broadcast, rank_within, small_table,
-                                         written_once)
+from logweft.operators.numbering import (LONG_ROWS_BYTES, ROWS_IN_TASK, maybe_broadcast, range_partitions, rank_within,
+                                         small_table, written_once)
 from logweft.schema import TAB_SIZE
 
+# Tasks for a core where texts are written from rows far smaller than they are.
+TASKS_A_CORE = 4
+
 
 def natural_key(name: Column | str) -> Column:
     """Natural file-name order key: the base name split on '.', digit tokens
@@ -128,6 +131,9 @@ def logs_from_table(df: DataFrame, text_col: str | Column = "text", file_col: st
         if isinstance(text_col, str):
             lines = lines.drop("__order")
         else:
+            # rows far smaller than their texts: by their bytes they would be as many tasks as cores, or a few more
+            tasks = max(range_partitions(base), TASKS_A_CORE * df.sparkSession.sparkContext.defaultParallelism)
+            lines = lines.repartition(tasks, "__order") if numbered else lines
             lines = lines.select(F.col("__file").alias("file"), *keep, text_col.alias("raw"), "line_no")
     lines = lines.withColumn("byte_offset", F.lit(None).cast("bigint"))
     lines = normalize_lines(lines)

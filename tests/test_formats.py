@@ -196,3 +196,52 @@ def test_long_lines_are_numbered_before_they_are_written(spark):
     assert moved == [["k", "agent", "file", "__file", "__order"]]
     out = formats.parse_access_log(log).orderBy("line_no").select("line_no", F.length("referrer_clean"), "user_agent_clean").collect()
     assert [tuple(r) for r in out] == [(0, 20_001, "é"), (1, 20_001, "x\" \"y"), (2, 20_001, "b")]
+
+
+def test_common_lines_by_their_head(spark):
+    """Any common line has the groups of the fixed pattern, taken by its head, with line feeds, separators and later
+    quotes at which a longer request version could end."""
+    import random
+    import re
+    rng = random.Random(9)
+    marks = ["a", "b", " ", "[", '] "', '" ', ' "', '"', " HTTP/", '" "', " [", "]", "\n", " a", "\x01"]
+    some = lambda n: "".join(rng.choices(marks, [9, 9, 18, 3, 3, 3, 3, 5, 3, 4, 3, 3, .3, 5, .3], k=rng.randint(0, n)))
+    lines = []
+    for _ in range(4000):
+        version = rng.choice(["", " HTTP/1", " HTTP/1", ' HTTP/1"'])
+        agent = rng.choice(["", '" "' + some(4)])
+        lines.append(f'{some(1)} {some(1)} {some(1)} [{some(1)} {some(1)}] "{some(1)} {some(1)}{version}{some(1)}" {some(2)} {some(1)} "{some(4)}{agent}"')
+    rows = formats.parse_access_log(spark.createDataFrame(list(enumerate(lines)), "line_no int, line string")).collect()
+    longer = 0
+    for r in rows:
+        found = re.fullmatch(formats.COMMON_LOG.regex, r.line)
+        assert (r.format == "common") == bool(found), r.line
+        if not found:
+            continue
+        g = found.groups()
+        agent = re.fullmatch(r'(.*?)" "(.*)', g[9])
+        assert (r.ip, r.remote_log_name, r.userid, r.date, r.request_method, r.path, r.request_version) == (*g[:6], g[6] or None), r.line
+        assert (r.referrer, r.referrer_clean, r.user_agent_clean) == (g[9], *(agent.groups() if agent else (g[9], None))), r.line
+        longer += (re.match(formats.COMMON_LOG.head, r.line[:-1]).group(7) or None) != (g[6] or None)
+    assert longer > 300
+
+
+def test_long_referrers_are_not_gone_through(spark):
+    """The head of a common line ends where the referrer begins, and no search by single characters follows."""
+    import re
+    line = COMMON.replace('"-"', '"http://h/' + "r " * 6000 + '" "agent/1 (x y)"')
+    assert re.match(formats.COMMON_LOG.head, line[:-1]).end() == line.index('"http') + 1
+    df = formats.parse_access_log(lines_df(spark, [line, line.replace("r", "\t", 1), line.replace("r ", '" ', 1)]))
+    assert "instr(" not in df._jdf.queryExecution().optimizedPlan().toString().lower()
+    rows = df.orderBy("line_no").select("referrer_clean", "user_agent_clean").collect()
+    assert [r.user_agent_clean for r in rows] == ["agent/1 (x y)"] * 2 + [None]      # a version that ends in the referrer
+    assert rows[0].referrer_clean == "http://h/" + "r " * 6000
+
+
+def test_lines_without_tabs_are_decoded(spark):
+    from logweft.functions.lines import normalize_lines
+    raw = [b"a\xffb", b"\xed\xa0\x80", b"\r\xc3\x28\r", "é�\U0001f600".encode(), b"", b"\xff\tx", b"\tx\r"]
+    df = spark.createDataFrame([(i, bytearray(x)) for i, x in enumerate(raw)], "i int, b binary").selectExpr("i", "cast(b as string) raw")
+    want = [r.c for r in df.select("i", F.make_valid_utf8("raw").alias("c")).orderBy("i").collect()]
+    got = [r.line for r in normalize_lines(df).orderBy("i").collect()]
+    assert got == [c.strip("\r\n").expandtabs(4) for c in want] and got[0] == "a�b"
